@@ -109,14 +109,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         # rare: only documents with such a chunk spell it by its digest, the others keep their lists
         hit = recipes.select("__sha", F.explode("__fp").alias("__bad")).join(bad, "__bad", "left_semi").select(F.col("__sha").alias("__hit")).distinct()
-        rows = recipes.join(hit, recipes["__sha"] == hit["__hit"], "left").withColumn("__list", F.when(F.col("__hit").isNotNull(), exact).otherwise(F.col("__fp"))).drop("__hit")
+        rows = recipes.join(hit, F.col("__sha") == F.col("__hit"), "left").withColumn("__list", F.when(F.col("__hit").isNotNull(), exact).otherwise(F.col("__fp"))).drop("__hit")
         rows = rows.withColumn("__list", F.when(F.size("__list") == 0, F.col("__fp")).otherwise(F.col("__list")))
     # the ordered list is the key that is compared; the size ends it
     rows = rows.withColumn("__list", F.concat("__list", F.array("__size")))
     copies = rows.groupBy("__list", "__id").agg(F.count("*").alias("__n"), F.first("__sha").alias("__sha"))
     groups = copies.groupBy("__list").agg(F.min("__id").alias("keep_id"), F.sum("__n").alias("group_size"), F.count("*").alias("__ids"))
     many = groups.filter("group_size > 1").select(F.col("__list").alias("__key"), "keep_id", "group_size")
-    out = copies.join(many, copies["__list"] == many["__key"], "left")
+    out = copies.join(many, F.col("__list") == F.col("__key"), "left")
     out = out.withColumns({"keep_id": F.when(F.col("__key").isNull(), F.col("__id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1))})
     out = out.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
     return out.select("__id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"), ((F.col("__nth") == 1) & F.col("__id").eqNullSafe(F.col("keep_id"))).alias("kept"), "__sha")

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import exact_dedup, mixing, sharding
+from lodestat.llm import exact_dedup, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_feistel_shards": sharding.op2_feistel_shards,
     "op3_chunk_dedup": exact_dedup.op3_chunk_dedup,
+    "op4_simhash_components": simhash.op4_simhash_components,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 SQL: dict[str, str] = {"op3_chunk_dedup": exact_dedup.OP3_SQL}
