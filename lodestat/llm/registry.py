@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import exact_dedup, mixing, sharding, simhash
+from lodestat.llm import exact_dedup, license_scan, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_feistel_shards": sharding.op2_feistel_shards,
     "op3_chunk_dedup": exact_dedup.op3_chunk_dedup,
     "op4_simhash_components": simhash.op4_simhash_components,
