@@ -26,8 +26,16 @@ def ascii_lower(col: Column) -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """A key for rows whose id may be null: the id, or else the text's digest. Rows that agree in it are interchangeable for these operators."""
-    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.sha2(text_or_empty(text_col), 256)))
+    """A key of a row by its id and text. Rows that agree in it are interchangeable for these operators."""
+    text = text_or_empty(text_col)
+    return F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(text)), F.octet_length(text).cast("string"))
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose row_key is not in keys (column __key). Few keys, as counted, are broadcast; else both sides are shuffled."""
+    gone = keys.select(F.col("__key").alias("__gone")).distinct()
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, row_key(id_col, text_col) == F.col("__gone"), "left_anti")
 
 
 def shared_dir(spark: SparkSession) -> str:

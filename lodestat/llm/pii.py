@@ -123,7 +123,7 @@ def confidences(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
     """One row a row of docs: __id, base and more, both array<struct<kind, start, end, value>>; more holds what the bootstrap found.
 
-    Null text counts as empty. Rows that agree in id (or, without one, in text) and text have the same finds; every row stays.
+    Null text counts as empty. Rows that agree in id and text have the same finds; every row stays.
     """
     text = text_or_empty(text_col)
     some = text.rlike("[0-9@]")
@@ -131,7 +131,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.array().cast("array<struct<start: bigint, end: bigint, value: string, before: string>>")
     rows = docs.select(
         F.col(id_col).alias("__id"),
-        F.when(some, F.concat_ws("/", row_key(id_col, text_col), F.xxhash64(text))).alias("__key"),
+        F.when(some, row_key(id_col, text_col)).alias("__key"),
         F.when(some, base_spans(text)).otherwise(empty).alias("base"),
         F.when(some, candidates(text)).otherwise(none).alias("cand"),
     )

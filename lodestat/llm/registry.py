@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import exact_dedup, license_scan, mixing, pii, sharding, simhash
+from lodestat.llm import decontaminate, exact_dedup, license_scan, mixing, pii, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_feistel_shards": sharding.op2_feistel_shards,
     "op3_chunk_dedup": exact_dedup.op3_chunk_dedup,
     "op4_simhash_components": simhash.op4_simhash_components,
+    "op5_bm25_wand": decontaminate.op5_bm25_wand,
     "op6_pii_bootstrap": pii.op6_pii_bootstrap,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }

@@ -211,9 +211,8 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their component; rows that repeat an id (or, without one, a text) stay once."""
+    """The rows of docs whose id is the least of their component; rows that repeat an id and text stay once. Without any id in a component, its least key stays."""
     found = near_duplicates(docs, {"__key": row_key(id_col, text_col), "__id": F.col(id_col)}, "__id", text_col)
-    # without any id in a component its least key stays
     stay = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("__fp")).alias("__g")).agg(F.min(F.struct(F.when(F.col("__id").eqNullSafe(F.col("component_id")), 0).otherwise(1), "__key"))["__key"].alias("__stay"))
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
     return keyed.join(stay.select("__stay").distinct(), F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"]).drop("__key")
