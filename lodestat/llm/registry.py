@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import decontaminate, exact_dedup, langid, license_scan, mixing, pii, sharding, simhash
+from lodestat.llm import decontaminate, exact_dedup, langid, license_scan, mixing, pii, secrets_crf, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bm25_wand": decontaminate.op5_bm25_wand,
     "op6_pii_bootstrap": pii.op6_pii_bootstrap,
     "op8_language_id": langid.op8_language_id,
+    "op9_secret_crf": secrets_crf.op9_secret_crf,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }
 SQL: dict[str, str] = {"op3_chunk_dedup": exact_dedup.OP3_SQL}
