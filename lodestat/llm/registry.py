@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import decontaminate, exact_dedup, langid, license_scan, mixing, pii, secrets_crf, sharding, simhash
+from lodestat.llm import decontaminate, exact_dedup, langid, license_scan, mixing, pii, secrets_crf, sharding, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_components": simhash.op4_simhash_components,
     "op5_bm25_wand": decontaminate.op5_bm25_wand,
     "op6_pii_bootstrap": pii.op6_pii_bootstrap,
+    "op7_previous_factors": suffix_dedup.op7_previous_factors,
     "op8_language_id": langid.op8_language_id,
     "op9_secret_crf": secrets_crf.op9_secret_crf,
     "op10_pareto_mix": mixing.op10_pareto_mix,
