@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestat.llm.common import join_dim, table, text_or_empty, unit_hash
+from lodestat.llm.common import cut, join_dim, row_key, table, text_or_empty, unit_hash
 
 SHARE, CAP, WEIGHTS, SEED = 1.5, 2.0, (3.0, 1.0, 2.0), 42
 #: Parts of a source's order of rank that are summed before the one part that holds its border is sorted.
@@ -91,6 +91,21 @@ def mix(rows: DataFrame, source_col: str, size_col: str, keys: list[str], *, sha
     return rows.withColumn("copies", F.col("__whole") + taken.cast("bigint")).select(*[c for c in names if c not in ("source_size", "target", "copies")], "source_size", "target", "copies")
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs, each row as often as the mix takes it. Sizes and keys are mixed; texts move once, in the join with the copies.
+
+    Rows that agree in id, text and source are numbered, so that each gets copies of its own; they come out as one row repeated by the sum.
+    """
+    key = F.concat_ws("/", row_key(id_col, text_col), F.hex(F.xxhash64(source_col)))
+    slim = docs.select(key.alias("__key"), F.col(source_col).alias("__src"), word_count(text_or_empty(text_col)).alias("__words"))
+    slim = cut(slim.groupBy("__key", "__src", "__words").agg(F.count("*").alias("__n")).withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))), "sizes")
+    plan = mix(slim, "__src", "__words", ["__key", "__nth"], **options)
+    plan = plan.groupBy("__key").agg(F.sum("copies").alias("__copies")).filter("__copies > 0").withColumnRenamed("__key", "__taken")
+    # the join leaves rows of one key in one partition, where the first of them stays
+    out = docs.withColumn("__key", key).join(plan, F.col("__key") == F.col("__taken")).dropDuplicates(["__key"])
+    return out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents. Text null: size 0. Sizes, targets and taken count words."""
     text = text_or_empty("text")
