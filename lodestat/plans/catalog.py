@@ -1,10 +1,4 @@
-"""The query catalogue: name to builder, name to SQL."""
+"""The query catalogue: importing the modules registers their queries."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from lodestat.plans import laws, panel, quality  # noqa: F401
+from lodestat.plans.registry import QUERIES, SQL  # noqa: F401
