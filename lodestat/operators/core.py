@@ -20,7 +20,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def prefix_sums(df: DataFrame, by: list[str], order: str, weight: str, bins: int = 64) -> DataFrame:
-    """df with `below` (sum of weight over smaller `order` in the group) and `upto` (over equal ones too). One row a value in each group.
+    """df with `__below` (sum of weight over smaller `order` in the group) and `__upto` (over equal ones too). One row a value in each group.
 
     A window over a whole group would sort it in one task. Here groups are cut into bins at approximate quantiles, bins are
     summed, and only rows of a bin are sorted together; any cut gives the same sums.
@@ -38,7 +38,7 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, weight: str, bins: int
     within = Window.partitionBy(*by, "__bin").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.join(small(sums), same & (F.col("__bin") == F.col("__k_bin")), "left")
     upto = F.col("__start") + F.sum(weight).over(within)
-    return df.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col(weight)).drop("__bin", "__start", "__k_bin", *[f"__k_{c}" for c in by])
+    return df.withColumn("__upto", upto).withColumn("__below", F.col("__upto") - F.col(weight)).drop("__bin", "__start", "__k_bin", *[f"__k_{c}" for c in by])
 
 
 def rounded(col: str | Column, digits: int = 6) -> Column:

@@ -46,7 +46,7 @@ def ridge_cv(df: DataFrame, x: list[str], y: list[str], fold: str, alphas: list[
         best = None
         for alpha in alphas:
             sse = sum(squared_error(m, len(x), t, ridge_from(total - m, len(x), t, alpha)) for m in folds.values())
-            rmse = float(np.sqrt(sse / total[0, 0]))
+            rmse = float(np.sqrt(max(0.0, sse) / total[0, 0]))
             if best is None or rmse < best[1]:
                 best = (alpha, rmse)
         beta = ridge_from(total, len(x), t, best[0])

@@ -12,10 +12,10 @@ from lodestat.operators.core import prefix_sums, small
 
 
 def value_counts(long: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, value, n, below, upto, total) of distinct values: a frozen reference."""
-    counts = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    out = prefix_sums(counts, by, value, "n")
-    totals = out.groupBy(*by).agg(F.sum("n").alias("total")).select(*[F.col(c).alias(f"__t_{c}") for c in by], "total")
+    """(by, value, __c, __below, __upto, __total) of distinct values: a frozen reference."""
+    counts = long.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
+    out = prefix_sums(counts, by, value, "__c")
+    totals = out.groupBy(*by).agg(F.sum("__c").alias("__total")).select(*[F.col(c).alias(f"__t_{c}") for c in by], "__total")
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__t_{c}"))
@@ -24,7 +24,7 @@ def value_counts(long: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def midrank(long: DataFrame, by: list[str], value: str, out: str = "score") -> DataFrame:
     """long with (#smaller + #not larger) / 2n of each value in its group; null stays null. Ranks are taken over distinct values, then joined."""
-    ref = value_counts(long, by, value).select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(value).alias("__r"), ((F.col("below") + F.col("upto")) / (2 * F.col("total"))).alias(out))
+    ref = value_counts(long, by, value).select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(value).alias("__r"), ((F.col("__below") + F.col("__upto")) / (2 * F.col("__total"))).alias(out))
     same = F.col(value) == F.col("__r")
     for c in by:
         same = same & (F.col(c) == F.col(f"__r_{c}"))
@@ -40,12 +40,12 @@ def midrank_against(ref: DataFrame, obs: DataFrame, by: list[str], value: str, o
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__t_{c}"))
-    return ranked.join(small(totals), same).filter("n_obs > 0").select(*by, value, "n_obs", ((F.col("below") + F.col("upto")) / (2 * F.col("__total"))).alias(out))
+    return ranked.join(small(totals), same).filter("n_obs > 0").select(*by, value, "n_obs", ((F.col("__below") + F.col("__upto")) / (2 * F.col("__total"))).alias(out))
 
 
 def average_ranks(long: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
     """long with average-tie ranks from 1."""
-    ref = value_counts(long, by, value).select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(value).alias("__r"), (F.col("below") + (F.col("n") + 1) / 2).alias(out))
+    ref = value_counts(long, by, value).select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(value).alias("__r"), (F.col("__below") + (F.col("__c") + 1) / 2).alias(out))
     same = F.col(value) == F.col("__r")
     for c in by:
         same = same & (F.col(c) == F.col(f"__r_{c}"))
@@ -65,8 +65,8 @@ def spearman_pairs(long: DataFrame, key: str, name: str, value: str, names: list
 def distances(long: DataFrame, by: list[str], sample: str, first: str, second: str, value: str) -> DataFrame:
     """(by, ks, wasserstein) between two samples: running counts over distinct values, their largest gap and the area between them."""
     counts = long.filter(F.col(sample).isin(first, second) & F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(sample) == first).alias("__a"), F.count_if(F.col(sample) == second).alias("__b"))
-    ranked = prefix_sums(counts, by, value, "__a").withColumnRenamed("upto", "__fa").drop("below")
-    ranked = prefix_sums(ranked, by, value, "__b").withColumnRenamed("upto", "__fb").drop("below")
+    ranked = prefix_sums(counts, by, value, "__a").withColumnRenamed("__upto", "__fa").drop("__below")
+    ranked = prefix_sums(ranked, by, value, "__b").withColumnRenamed("__upto", "__fb").drop("__below")
     totals = counts.groupBy(*by).agg(F.sum("__a").alias("__na"), F.sum("__b").alias("__nb")).select(*[F.col(c).alias(f"__t_{c}") for c in by], "__na", "__nb")
     same = F.lit(True)
     for c in by:
