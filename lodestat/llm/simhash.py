@@ -188,7 +188,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, most: int = MOST_MEMBERS
 
 
 def near_duplicates(docs: DataFrame, keep: dict[str, Column], id_name: str, text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """keep's columns, __fp and component_id (the least id_name that links reach), one row a row of docs.
+    """keep's columns, __fp, component_id (the least id_name that links reach) and __root (a fingerprint that names the component), one row a row of docs.
 
     Null text counts as empty and has fingerprint zero, which links like any other. Null ids reach others and are never the least.
     An empty table gives no rows.
@@ -198,9 +198,9 @@ def near_duplicates(docs: DataFrame, keep: dict[str, Column], id_name: str, text
     roots = cut(connected_components(near_links(nodes.select("__fp"), radius)), "roots")
     # a root's least id, then each linked fingerprint's; the others have their own
     linked = nodes.join(roots, F.col("__fp") == F.col("node"))
-    least = linked.groupBy("root").agg(F.min("__least").alias("__id")).select(F.col("root").alias("__root"), "__id")
-    of = roots.join(least, F.col("root") == F.col("__root")).select("node", "__id")
-    named = nodes.join(of, F.col("__fp") == F.col("node"), "left").select(F.col("__fp").alias("__node"), F.coalesce("__id", "__least").alias("component_id"))
+    least = linked.groupBy("root").agg(F.min("__least").alias("__id")).select(F.col("root").alias("__named"), "__id")
+    of = roots.join(least, F.col("root") == F.col("__named")).select("node", "__id", F.col("root").alias("__r"))
+    named = nodes.join(of, F.col("__fp") == F.col("node"), "left").select(F.col("__fp").alias("__node"), F.coalesce("__id", "__least").alias("component_id"), F.coalesce("__r", "__fp").alias("__root"))
     # copies share a fingerprint: the adaptive join splits a hot one
     return prints.join(named.hint("merge"), F.col("__fp") == F.col("__node")).drop("__node")
 
@@ -213,6 +213,6 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the least of their component; rows that repeat an id and text stay once. Without any id in a component, its least key stays."""
     found = near_duplicates(docs, {"__key": row_key(id_col, text_col), "__id": F.col(id_col)}, "__id", text_col)
-    stay = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("__fp")).alias("__g")).agg(F.min(F.struct(F.when(F.col("__id").eqNullSafe(F.col("component_id")), 0).otherwise(1), "__key"))["__key"].alias("__stay"))
+    stay = found.groupBy("__root").agg(F.min(F.struct(F.when(F.col("__id").eqNullSafe(F.col("component_id")), 0).otherwise(1), "__key"))["__key"].alias("__stay"))
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
     return keyed.join(stay.select("__stay").distinct(), F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"]).drop("__key")
