@@ -82,9 +82,18 @@ def fit(docs: DataFrame, text_col: str, declared: Column, sample: int = SAMPLE,
                 data = text.as_buffer().to_pybytes()
                 if len(data) >= 20:
                     counts[languages.index(lang)] += np.bincount(_codes(data), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.astype(np.int32).tobytes()], pa.binary())], names=["counts"])
-
-    counts = sum((np.frombuffer(bytes(r[0]), np.int32).reshape(len(languages), BUCKETS).astype(np.int64) for r in chosen.mapInArrow(counted, "counts binary").collect()), np.zeros((len(languages), BUCKETS), np.int64))
+        lang, bucket = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(counts[lang, bucket])], names=["lang", "bucket", "n"])
+
+    def packed(rows: pa.Table) -> pa.Table:
+        counts = np.bincount(rows.column("bucket").to_numpy(), rows.column("n").to_numpy(), BUCKETS)
+        return pa.table({"lang": rows.column("lang").slice(0, 1), "counts": pa.array([counts.astype(np.int64).tobytes()], pa.binary())})
+
+    # summed by language before they come to the driver: one row of a fixed size each
+    sums = chosen.mapInArrow(counted, "lang bigint, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = np.zeros((len(languages), BUCKETS), np.int64)
+    for r in sums.groupBy("lang").applyInArrow(packed, "lang bigint, counts binary").collect():
+        counts[r[0]] = np.frombuffer(bytes(r[1]), np.int64)
     model = TextModel(languages, counts, np.zeros((len(languages), 2)))
     scored = chosen.withColumn("__n", F.octet_length("__text")).filter("__n >= 200").select("__lang", F.element_at(text_scores(F.col("__text"), model), (F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("__lang"))).cast("int")).alias("m"))
     usual = {r[0]: (r[1], r[2]) for r in scored.groupBy("__lang").agg(F.avg("m"), F.coalesce(F.stddev_pop("m"), F.lit(0.0))).collect()}
