@@ -16,10 +16,10 @@ LICENSES = [
     ("apache-1.1", "apache", r"apache(?: software)?(?: license| licence)?(?: version| v)? ?1 1", r"apache org licenses license 1 1", r"apache 1 1"),
     ("apache", "apache", r"apache(?: software)?", r"apache org licenses", r"apache"),
     ("gpl-1", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?1(?: 0)?", r"", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"gnu org licenses (?:old licenses )?gpl 2 0", r"gpl 2 0(?: only)?"),
     ("gpl-2-or-later", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?2(?: 0)? or(?: at your option)?(?: any)? later(?: version)?", r"", r"gpl 2 0 or later"),
-    ("gpl-3", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?3(?: 0)?", r"gnu org licenses gpl 3 0", r"gpl 3 0(?: only)?"),
+    ("gpl-2", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"gnu org licenses (?:old licenses )?gpl 2 0", r"gpl 2 0(?: only)?"),
     ("gpl-3-or-later", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?3(?: 0)? or(?: at your option)?(?: any)? later(?: version)?", r"", r"gpl 3 0 or later"),
+    ("gpl-3", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?3(?: 0)?", r"gnu org licenses gpl 3 0", r"gpl 3 0(?: only)?"),
     ("gpl", "g", r"(?:gnu )?(?:general public|gpl)", r"gnu org (?:copyleft|licenses) gpl", r"gpl"),
     ("lgpl-2", "l", r"(?:gnu )?(?:library general public|lgpl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"gnu org licenses old licenses lgpl 2 0", r"lgpl 2 0(?: only| or later)?"),
     ("lgpl-2.1", "l", r"(?:gnu )?(?:lesser general public|lgpl)(?: license| licence)?(?: version| v)? ?2 1", r"gnu org licenses (?:old licenses )?lgpl 2 1", r"lgpl 2 1(?: only| or later)?"),
@@ -90,6 +90,7 @@ FORMS = {
     "tag": (50, 1.0, "spdx", r"spdx license identifier (?:[a-z0-9]+ (?:with|or|and) )?{tag}"),
     "notice": (30, 0.8, "licen", r"(?:under|see|by|to|is|license|licence|with) " + _THE + r"{name}" + _LICENSE),
     "named": (20, 0.6, "licen", r"{name}" + _LICENSE),
+    "title": (25, 0.7, "licen", r"{title}"),
     "field": (30, 0.9, "licen", r"licen[sc]e(?: is)? (?:the )?{name}"),
     "address": (35, 0.9, "", r"(?:https? )?(?:www )?{url}(?: [0-9])*(?: html| txt| php)?"),
 }
@@ -113,7 +114,10 @@ def rules() -> list[tuple[int, str, str, str, float]]:
         for form, (priority, score, marker, pattern) in FORMS.items():
             if form == "address" and not url:
                 continue
-            body = pattern.replace("{name}", f"(?:{name})").replace("{url}", url).replace("{tag}", tag)
+            title = name.replace("(?: license| licence)?", "(?: license| licence)")
+            if form == "title" and title == name:
+                continue
+            body = pattern.replace("{name}", f"(?:{name})").replace("{title}", title).replace("{url}", url).replace("{tag}", tag)
             need = keyword if form != "address" else url.split(" ")[0].replace("(?:", "")
             out.append((priority, need if len(need) > 2 else marker or need, label, body, score))
     out += [(p, k, label, pattern, s) for p, k, label, pattern, s in OTHER]
