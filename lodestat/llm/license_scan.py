@@ -14,8 +14,21 @@ from lodestat.llm.license_rules import PHRASES, rules
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: What a text must hold for a rule or phrase to match in it, over the lower-cased raw text.
-GATE = r"licen[sc]|spdx|creativecommons|opendatacommons|unlicense|wtfpl|python\W+org|mozilla\W+org|boost\W+org|sil\W+org|all\W+rights\W+reserved|public\W+domain|permission\W+(?:is|to)|redistribution\W+and|free\W+software|altered\W+source|unencumbered|gnu\W+org|apache\W+org|eclipse\W+org|opensource\W+org|mariadb\W+com|php\W+net|elastic\W+co|blueoakcouncil|(?<![0-9a-z])cc[^0-9a-z]+by(?![0-9a-z])"
+#: What a lower-cased text must hold for a rule or phrase to match in it: one of these, or a hint and then the pattern of that hint.
+GATE = ("licen", "spdx", "creativecommons", "opendatacommons", "unlicense", "wtfpl", "unencumbered", "blueoakcouncil")
+HINTS = {
+    "cc": r"(?<![0-9a-z])cc[^0-9a-z]+by(?![0-9a-z])",
+    "org": r"(?:python|mozilla|boost|sil|gnu|apache|eclipse|opensource)\W+org",
+    "reserved": r"all\W+rights\W+reserved",
+    "domain": r"public\W+domain",
+    "permission": r"permission\W+(?:is|to)",
+    "redistribution": r"redistribution\W+and",
+    "software": r"free\W+software",
+    "altered": r"altered\W+source",
+    "mariadb": r"mariadb\W+com",
+    "php": r"php\W+net",
+    "elastic": r"elastic\W+co",
+}
 
 DETECTION = "struct<first: bigint, last: bigint, rank: int, priority: int, label: string, score: double>"
 
@@ -66,6 +79,16 @@ def _rule_table() -> Column:
     return F.array(*rows)
 
 
+def _gate(low: Column) -> Column:
+    """Literals are searched as bytes; a pattern runs only where its hint stands."""
+    out = F.lit(False)
+    for word in GATE:
+        out = out | low.contains(word)
+    for word, pattern in HINTS.items():
+        out = out | (low.contains(word) & low.rlike(pattern))
+    return out
+
+
 def _places(label: str, phrase: str) -> Column:
     """Where the words of a base phrase stand consecutively."""
     at = spans(F.col("__words"), F.lit(f"(?<= ){phrase}(?= )"))
@@ -78,9 +101,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null text counts as empty and finds nothing; a text without a keyword gets empty arrays. Every row stays, repeated ones too.
     """
     text = text_or_empty(text_col)
-    gated = F.lower(text).rlike(GATE)
+    gated = _gate(F.col("__low"))
     docs = docs.withColumn("__n_words", F.regexp_count(text, F.lit(_ANY_CASE_WORD)).cast("bigint"))
-    docs = docs.withColumn("__words", F.when(gated, words_of(text)))
+    docs = docs.withColumn("__low", F.lower(text)).withColumn("__words", F.when(gated, words_of(text))).drop("__low")
     base = F.concat(*[_places(label, phrase) for label, phrase in PHRASES])
     chosen = F.filter(_rule_table(), lambda r: F.contains(F.col("__words"), r["keyword"]))
     found = F.flatten(
