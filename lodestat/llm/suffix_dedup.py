@@ -26,9 +26,12 @@ from lodestat.llm.common import table, text_or_empty
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a block of documents, and bytes of text that a bucket of anchors stands for.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 1 << 20
+#: Rows that are packed at once.
+ROWS = 4096
 _NONE = np.int64((1 << 63) - 1)  # an id after all others: null
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+_RUNS = 20_000  # runs of windows that are marked at once
 _POSITION = np.uint64((1 << 24) - 1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -48,7 +51,7 @@ def _unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, id, text) to rows (block, ids, copies, sizes, text); rows that repeat are counted."""
-    for batch in batches:
+    for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
         block = batch.column(0).to_numpy()
         ids = batch.column(1)
         keys = np.where(np.asarray(ids.is_null()), _NONE, ids.fill_null(0).to_numpy(zero_copy_only=False))
@@ -163,8 +166,18 @@ def _repeated(rows: pa.Table) -> pa.Table:
     return pa.table({"block": rows.column("block"), "kind": pa.array([0] * len(lists), pa.int64()), "bucket": rows.column("bucket"), "data": pa.array(data, pa.binary())})
 
 
+def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at start and have these sizes, one run after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as a number, the first byte first."""
+    return np.lib.stride_tricks.sliding_window_view(text, 8)[at].view(np.uint64).reshape(-1).byteswap(inplace=True)
+
+
 class Snippets:
-    """Texts around the repeated anchors of a block: distinct ones by bucket, with the smallest id of each and where they stand."""
+    """Texts around the repeated anchors of a block: distinct ones in order of bucket, with the smallest id of each, and where each run of windows has its own."""
 
     def __init__(self, block: Block, replies: dict[int, bytes], buckets: int, length: int) -> None:
         runs = block.anchors(length)
@@ -176,15 +189,33 @@ class Snippets:
             hot[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
         chosen = np.flatnonzero(hot[np.searchsorted(distinct, h)]) if len(h) else np.empty(0, np.int64)
         self.start, self.size, self.doc = start[chosen], size[chosen], doc[chosen]
-        self.bucket = _bucket(h[chosen], buckets)
-        place, self.of = {}, np.empty(len(chosen), np.int64)
-        text, ids = block.text, block.ids[self.doc]
-        for i, (s, n, b) in enumerate(zip(self.start.tolist(), self.size.tolist(), self.bucket.tolist(), strict=True)):
-            self.of[i] = place.setdefault((b, text[s : s + n + length - 1]), len(place))
-        self.keys = list(place)
-        self.least = np.full(len(place), _NONE)
-        np.minimum.at(self.least, self.of, ids)
-        self.order = sorted(range(len(self.keys)), key=lambda i: self.keys[i][0])  # by bucket, then as they come
+        h, every, text = h[chosen], np.arange(len(chosen)), np.frombuffer(block.text, np.uint8)
+        wide = self.size + length - 1
+        rep = every
+        if len(chosen):
+            # equal snippets have equal keys; those of one key are compared byte by byte, and any that differ stand for themselves
+            key = h.view(np.uint64) * _C[0] ^ self.size.view(np.uint64) * _C[1] ^ _words(text, self.start) * _C[2] ^ _words(text, self.start + wide - 8) * _C[3]
+            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            rep = first[inverse]
+            for k in range(0, len(rep), _RUNS):
+                dup = every[k : k + _RUNS][rep[k : k + _RUNS] != every[k : k + _RUNS]]
+                dup, same = dup[wide[dup] == wide[rep[dup]]], dup[wide[dup] != wide[rep[dup]]]
+                rep[same] = same
+                if len(dup):
+                    differ = text[_flat(self.start[dup], wide[dup])] != text[_flat(self.start[rep[dup]], wide[dup])]
+                    bad = dup[np.add.reduceat(differ, np.cumsum(wide[dup]) - wide[dup], dtype=np.int64) > 0]
+                    rep[bad] = bad
+        reps = np.flatnonzero(rep == every)
+        bucket = _bucket(h[reps], buckets)
+        order = np.argsort(bucket, kind="stable")
+        self.reps, self.bucket = reps[order], bucket[order]
+        place = np.empty(len(chosen), np.int64)
+        place[self.reps] = np.arange(len(reps))
+        self.of = place[rep]
+        self.least = np.full(len(reps), _NONE)
+        np.minimum.at(self.least, self.of, block.ids[self.doc])
+        self.wide = wide[self.reps]
+        self.text = text
 
 
 def _texts(buckets: int, length: int) -> callable:
@@ -194,64 +225,59 @@ def _texts(buckets: int, length: int) -> callable:
         out: dict[str, list] = {"bucket": [], "block": [], "least": [], "sizes": [], "text": []}
         if docs.num_rows and replies.num_rows:
             s = Snippets(Block(docs), dict(zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist(), strict=True)), buckets, length)
-            at = 0
-            while at < len(s.order):
-                to, b = at, s.keys[s.order[at]][0]
-                while to < len(s.order) and s.keys[s.order[to]][0] == b:
-                    to += 1
-                own = s.order[at:to]
+            found, at = np.unique(s.bucket, return_index=True)
+            for b, lo, hi in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(s.reps)], strict=True):
                 out["bucket"].append(b)
                 out["block"].append(docs.column("block")[0].as_py())
-                out["least"].append(_pack(s.least[own]))
-                out["sizes"].append(_pack(np.array([len(s.keys[i][1]) for i in own], np.int64)))
-                out["text"].append(zstandard.compress(b"".join(s.keys[i][1] for i in own), 3))
-                at = to
+                out["least"].append(_pack(s.least[lo:hi]))
+                out["sizes"].append(_pack(s.wide[lo:hi]))
+                out["text"].append(zstandard.compress(s.text[_flat(s.start[s.reps[lo:hi]], s.wide[lo:hi])].tobytes(), 3))
         return pa.table({k: pa.array(v, pa.int64() if k in ("bucket", "block") else pa.binary()) for k, v in out.items()})
 
     return run
 
 
-def _ranks(columns: list[np.ndarray]) -> np.ndarray:
-    """Ranks of rows of small numbers, as many columns at once as 63 bits hold."""
-    while True:
-        bits = max(1, max(int(c.max(initial=0)) for c in columns).bit_length())
-        per = max(2, 63 // bits)
-        if bits > 31:
-            raise ValueError("a bucket is too large to be ranked; make BUCKET_BYTES smaller")
-        merged = []
-        for i in range(0, len(columns), per):
-            key = columns[i].astype(np.int64)
-            for c in columns[i + 1 : i + per]:
-                key = (key << bits) | c
-            merged.append(_dense(key))
-        if len(merged) == 1:
-            return merged[0]
-        columns = merged
-
-
-def _dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    out = np.empty(len(key), np.int64)
-    if len(key):
-        out[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
-    return out
+#: Suffixes that are put in order at once, unless more share their first eight bytes.
+PART = 1 << 18
 
 
 def previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """For suffixes at `starts`: the smallest owner among suffixes that share their first `length` bytes.
 
-    In suffix order (ranks of eight bytes, combined until they cover the length) such suffixes stand together, as their common prefixes with
-    their neighbours are that long. A suffix's previous or next smaller owner lies in that stretch, and so has a longest previous factor of at
-    least `length`, just if the stretch's smallest owner is smaller than its own.
+    Suffixes are put in order by their first eight bytes, then stretches of equal ones by the next eight, and so on until they cover the
+    length; a stretch that agrees is not sorted again. In suffix order, suffixes with so long a common prefix stand together. A suffix's
+    previous or next smaller owner lies in that stretch, and so has a longest previous factor of at least `length`, just if the stretch's
+    smallest owner is smaller than its own.
     """
-    padded = np.r_[text, np.zeros(8, np.uint8)]
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").reshape(-1).astype(np.uint64)
-    rank8 = _dense(words)
-    steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
-    suffix_rank = _ranks([rank8[starts + k] for k in steps])
-    least = np.full(int(suffix_rank.max(initial=-1)) + 1, _NONE)
-    np.minimum.at(least, suffix_rank, owner)
-    return least[suffix_rank]
+    out = np.empty(len(starts), np.int64)
+    if not len(starts):
+        return out
+    steps = [*range(8, length - 7, 8), *([length - 8] if length % 8 else [])]
+    head = _words(text, starts)
+    order = np.argsort(head)
+    head = head[order]
+    new = np.r_[True, head[1:] != head[:-1]]
+    del head
+    edges, at = np.r_[np.flatnonzero(new), len(order)], 0
+    while at < len(order):
+        k = int(np.searchsorted(edges, at + PART, "right")) - 1
+        to = int(edges[k] if edges[k] > at else edges[k + 1])
+        part, first = order[at:to], new[at:to]
+        for step in steps:
+            word, group = _words(text, starts[part] + step), np.cumsum(first) - 1
+            mixed = np.zeros(int(group[-1]) + 1, bool)
+            mixed[group[word != word[first][group]]] = True
+            place = np.flatnonzero(mixed[group])
+            if len(place):
+                word, group = word[place], group[place]
+                sub = np.lexsort((word, group))
+                word, group = word[sub], group[sub]
+                part[place] = part[place[sub]]
+                first[place] = np.r_[True, (word[1:] != word[:-1]) | (group[1:] != group[:-1])]
+        begin = np.flatnonzero(first)
+        out[part] = np.repeat(np.minimum.reduceat(owner[part], begin), np.diff(np.r_[begin, len(part)]))
+        at = to
+    return out
 
 
 def _factors(length: int) -> callable:
@@ -290,18 +316,19 @@ def _removed(buckets: int, length: int, id_is: pa.DataType) -> callable:
                 kinds[kind][bucket] = data
             if kinds[1]:
                 s = Snippets(block, kinds[0], buckets, length)
-                n = np.array([len(s.keys[i][1]) - length + 1 for i in s.order], np.int64)
-                first = np.empty(len(n), np.int64)
-                first[s.order] = np.cumsum(n) - n
+                n = s.size[s.reps]
+                first = np.cumsum(n) - n
                 runs = [np.split(_unpack(kinds[1][b]), 2) for b in sorted(kinds[1])]
                 least = np.concatenate([np.repeat(values, counts) for counts, values in runs])
-                flat = np.arange(s.size.sum()) - np.repeat(np.cumsum(s.size) - s.size, s.size)
-                own = np.repeat(first[s.of], s.size) + flat
-                hit = least[own] < np.repeat(block.ids[s.doc], s.size)
-                begin = (np.repeat(s.start, s.size) + flat)[hit]
-                np.add.at(covered, begin, 1)
-                np.add.at(covered, begin + length, -1)
-            gone = np.cumsum(covered[:-1]) > 0
+                for at in range(0, len(s.size), _RUNS):
+                    size, of = s.size[at : at + _RUNS], s.of[at : at + _RUNS]
+                    flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    hit = least[np.repeat(first[of], size) + flat] < np.repeat(block.ids[s.doc[at : at + _RUNS]], size)
+                    begin = (np.repeat(s.start[at : at + _RUNS], size) + flat)[hit]  # each window once
+                    covered[begin] += 1
+                    covered[begin + length] -= 1
+            gone = np.cumsum(covered, out=covered)[:-1] > 0
+            del covered
             for i, (key, n_copies) in enumerate(zip(block.ids.tolist(), block.copies, strict=True)):
                 a, b = int(block.starts[i]), int(block.starts[i] + block.sizes[i])
                 part, raw = gone[a:b], np.frombuffer(block.text, np.uint8, b - a, a) if b > a else np.empty(0, np.uint8)
