@@ -23,6 +23,8 @@ from lodestat.llm.components import connected_components
 SHINGLE, RADIUS, BITS, SEED = 4, 4, 64, 42
 #: Members of a bucket that a task compares at once; larger buckets are cut finer by the bits that are left.
 MOST_MEMBERS = 20_000
+#: Members up to which all of a bucket are compared at once, before it is known whether it is dense.
+SMALL = 256
 _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -106,20 +108,27 @@ def _linked(radius: int, most: int) -> callable:
         """Links in whole buckets, each of at most `most` rows."""
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
-        a, b = [], []
-        small = np.repeat(size <= 64, size) & np.repeat(size > 1, size)
-        k, f = key[small], fp[small]
-        for d in range(1, int(size[size <= 64].max(initial=1))):
+        bucket = np.repeat(np.arange(len(first)), size)
+        # small buckets: neighbours at distance 1, 2, ... of all of them at once
+        left = np.flatnonzero((size[bucket] > 1) & (size[bucket] <= SMALL))
+        k, f, n = bucket[left], fp[left], size[bucket[left]]
+        of, a, b = [], [], []
+        for d in range(1, SMALL):
+            if not d & (d - 1):  # at 1, 2, 4, ... those are left out that have no neighbour so far away
+                k, f, n = k[n > d], f[n > d], n[n > d]
             if len(k) <= d:
                 break
             hit = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= radius))
+            of.append(k[hit])
             a.append(f[hit])
             b.append(f[hit + d])
-        for i in np.flatnonzero(size > 64):
-            pairs = np.array(_forest(fp[first[i] : first[i] + size[i]], radius), dtype=np.uint64).reshape(-1, 2)
-            a.append(pairs[:, 0])
-            b.append(pairs[:, 1])
-        return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+        of, a, b = (np.concatenate([np.empty(0, x.dtype), *y]) for x, y in ((bucket, of), (fp, a), (fp, b)))
+        # large buckets, and those of which nearly all are linked, give a spanning forest
+        dense = (np.bincount(of, minlength=len(first)) > 2 * size) | (size > SMALL)
+        keep = ~dense[of]
+        pairs = [p for i in np.flatnonzero(dense) for p in _forest(fp[first[i] : first[i] + size[i]], radius)]
+        pairs = np.array(pairs, dtype=np.uint64).reshape(-1, 2)
+        return np.concatenate([a[keep], pairs[:, 0]]), np.concatenate([b[keep], pairs[:, 1]])
 
     def rows(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
         keys = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)
@@ -210,9 +219,16 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their component; rows that repeat an id and text stay once. Without any id in a component, its least key stays."""
-    found = near_duplicates(docs, {"__key": row_key(id_col, text_col), "__id": F.col(id_col)}, "__id", text_col)
-    stay = found.groupBy("__root").agg(F.min(F.struct(F.when(F.col("__id").eqNullSafe(F.col("component_id")), 0).otherwise(1), "__key"))["__key"].alias("__stay"))
+#: Parameters of one_of_each. Over two-word shingles few edits change few bits: pairs with a similarity of 0.8 in five-word shingles differ by
+#: 5 or 6 bits, seldom by over 7, while unrelated texts come within 7 bits about once in 3e10 pairs.
+COPY_SHINGLE, COPY_RADIUS = 2, 7
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS) -> DataFrame:
+    """The row with the smallest id of each component; rows that repeat an id and text stay once. Null ids come last; without any id in a component its least key stays."""
+    found = near_duplicates(docs, {"__key": row_key(id_col, text_col), "__id": F.col(id_col)}, "__id", text_col, radius, shingle)
+    first = F.struct(F.col("__id").isNull().alias("x"), F.col("__id").alias("y"), F.col("__key").alias("z"))
+    stay = cut(found.groupBy("__root").agg(F.min(first)["z"].alias("__stay")).select("__stay"), "stay")
+    # the join leaves rows of one key in one partition, where the first of them stays
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    return keyed.join(stay.select("__stay").distinct(), F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return keyed.join(stay.hint("merge"), F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"]).drop("__key")
