@@ -219,16 +219,116 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Parameters of one_of_each. Over two-word shingles few edits change few bits: pairs with a similarity of 0.8 in five-word shingles differ by
-#: 5 or 6 bits, seldom by over 7, while unrelated texts come within 7 bits about once in 3e10 pairs.
+#: Parameters of one_of_each. Over two-word shingles few edits change few bits, so that fingerprints find candidates; whether a candidate is a
+#: copy is decided by the shingles of five words that both texts have, of all that either has.
 COPY_SHINGLE, COPY_RADIUS = 2, 7
+ALIKE_SHINGLE, ALIKE = 5, (4, 5)
+#: Shingles of kept texts that a task holds of a group; what is like none of these goes on to the next round.
+HELD = 500_000
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS) -> DataFrame:
-    """The row with the smallest id of each component; rows that repeat an id and text stay once. Null ids come last; without any id in a component its least key stays."""
-    found = near_duplicates(docs, {"__key": row_key(id_col, text_col), "__id": F.col(id_col)}, "__id", text_col, radius, shingle)
-    first = F.struct(F.col("__id").isNull().alias("x"), F.col("__id").alias("y"), F.col("__key").alias("z"))
-    stay = cut(found.groupBy("__root").agg(F.min(first)["z"].alias("__stay")).select("__stay"), "stay")
-    # the join leaves rows of one key in one partition, where the first of them stays
+def shingles(data: bytes, size: int = ALIKE_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Sorted hashes of a text's different shingles; a text of fewer words is one."""
+    words = data.translate(_UPPER).split()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), seed) for i in range(max(1, len(words) - size + 1))], dtype=np.uint64))
+
+
+class Kept:
+    """Texts that stay, by their least shingles: texts that are alike share one of the first fifth."""
+
+    def __init__(self) -> None:
+        self.sets: list[np.ndarray] = []
+        self.index: dict[int, list[int]] = {}
+        self.held = 0
+
+    @staticmethod
+    def _first(found: np.ndarray) -> list[int]:
+        return found[: len(found) - -(-len(found) * ALIKE[0] // ALIKE[1]) + 1].tolist()
+
+    def has_like(self, found: np.ndarray) -> bool:
+        n = len(found)
+        for i in sorted({i for h in self._first(found) for i in self.index.get(h, ())}):
+            m = len(self.sets[i])
+            if min(n, m) * ALIKE[1] >= max(n, m) * ALIKE[0]:
+                both = len(np.intersect1d(found, self.sets[i], assume_unique=True))
+                if both * ALIKE[1] >= (n + m - both) * ALIKE[0]:
+                    return True
+        return False
+
+    def add(self, found: np.ndarray) -> None:
+        for h in self._first(found):
+            self.index.setdefault(h, []).append(len(self.sets))
+        self.sets.append(found)
+        self.held += len(found)
+
+
+def _copies(held: int) -> callable:
+    """For mapInArrow over rows (__group, __none, __id, __key, __text) sorted by the first four: rows of texts like an earlier one that stays, without text, and rows to go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, kept = None, None, Kept()
+        for batch in batches:
+            out, gone = [], []
+            for i, (g, key) in enumerate(zip(batch.column("__group").to_pylist(), batch.column("__key").to_pylist(), strict=True)):
+                if g != group:
+                    group, last, kept = g, None, Kept()
+                if key == last:  # a row that repeats another
+                    continue
+                last = key
+                found = shingles(batch.column("__text")[i].as_buffer().to_pybytes())
+                like = kept.has_like(found)
+                if not like and (kept.held < held or not kept.sets):
+                    kept.add(found)
+                    continue
+                out.append(i)
+                gone.append(like)
+            rows = batch.take(pa.array(out, pa.int64()))
+            text = pa.array([None if x else t for x, t in zip(gone, rows.column("__text").to_pylist(), strict=True)], rows.schema.field("__text").type)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], text], names=rows.schema.names)
+
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """One row a text that differs in words: __fp, and __none, __id and __key of its first row by id; null ids come last."""
+    slim = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__key"), text_or_empty(text_col).alias("__text"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [v.as_buffer().to_pybytes() for v in batch.column("__text")]
+            prints = np.array([fingerprint(x, shingle) for x in data], dtype=np.uint64)
+            words = pa.array([xxhash.xxh3_128_digest(b" ".join(x.translate(_UPPER).split())) for x in data], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__key"), pa.array(prints.view(np.int64)), words], names=["__id", "__key", "__fp", "__words"])
+
+    rows = slim.mapInArrow(made, f"__id {slim.schema['__id'].dataType.simpleString()}, __key string, __fp bigint, __words binary")
+    first = F.min(F.struct(F.col("__id").isNull().alias("__none"), "__id", "__key")).alias("__first")
+    return rows.groupBy("__fp", "__words").agg(first).select("__fp", "__first.*")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS, *, held: int = HELD) -> DataFrame:
+    """docs without texts that are alike to one that stays with a smaller id; rows that repeat an id and text stay once. Null ids come last, by key.
+
+    Fingerprints within radius, and what these link, are groups of candidates. In a group texts are taken by id, and one stays unless it is alike
+    to one that stays; texts of the same words are one. A round holds so many kept texts of a group; what is like none of them goes on.
+    """
+    texts = cut(_texts(docs, id_col, text_col, shingle), "texts")
+    roots = connected_components(near_links(texts.select("__fp").distinct(), radius))
+    named = cut(texts.join(roots.hint("merge"), F.col("__fp") == F.col("node"), "left").select(F.coalesce("root", "__fp").alias("__group"), "__none", "__id", "__key"), "named")
+    several = named.groupBy("__group").count().filter("count > 1").select(F.col("__group").alias("__g"))
+    members = named.join(several.hint("merge"), F.col("__group") == F.col("__g")).drop("__g")
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    left = keyed.select(F.col("__key").alias("__k"), text_or_empty(text_col).alias("__text")).join(members.hint("merge"), F.col("__k") == F.col("__key"))
+    left, order = left.select("__group", "__none", "__id", "__key", "__text"), ["__group", "__none", "__id", "__key"]
+    stay = named.select(F.col("__key").alias("__stay"))
+    gone: DataFrame | None = None
+    while True:
+        schema = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in left.columns)
+        found = cut(left.repartition("__group").sortWithinPartitions(*order).mapInArrow(_copies(held), schema), "copies")
+        here = found.filter("__text is null").select(F.col("__key").alias("__gone"))
+        gone = here if gone is None else gone.unionByName(here)
+        left = found.filter("__text is not null")
+        if left.isEmpty():
+            break
+    stay = cut(stay.join(gone.hint("merge"), F.col("__stay") == F.col("__gone"), "left_anti"), "stay")
+    # the join leaves rows of one key in one partition, where the first of them stays
     return keyed.join(stay.hint("merge"), F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -222,6 +222,49 @@ def test_one_of_each_catches_near_copies_only(spark):
     assert {g * 10 for g in range(40)} <= kept and len(kept) <= 40 + 18  # most of the 120 copies
 
 
+@pytest.mark.parametrize("held", [1, simhash.HELD])
+def test_one_of_each_is_greedy_by_similarity(spark, held):
+    rng = random.Random(13)
+    rows, words = [], [w + v for w in _WORDS for v in _WORDS]
+    for g in range(12):
+        text = [rng.choice(words) for _ in range(120)]
+        for c in range(6):
+            changed = list(text)
+            for _ in range(rng.choice([0, 1, 2, 3, 12])):
+                changed[rng.randrange(120)] = "new" + str(rng.random())
+            rows.append((g * 10 + c, " ".join(changed)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def greedy(group):
+        want = []
+        for i, _ in rows:
+            if not any(group[i] == group[k] and alike(i, k) for k in want):
+                want.append(i)
+        return want
+
+    # everything is a candidate: just the greedy choice by similarity, also where a round holds one text
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame, radius=24, held=held).collect()) == greedy({i: 0 for i, _ in rows})
+    kept = sorted(r.doc_id for r in simhash.one_of_each(frame, held=held).collect())
+    assert all(any(alike(i, k) for k in kept) for i, _ in rows)  # what went is like one that stays
+    assert len(set(kept) ^ set(greedy({i: 0 for i, _ in rows}))) <= 0.05 * len(rows)
+
+
+def test_one_of_each_leaves_linked_texts_that_differ(spark):
+    rng = random.Random(14)
+    text = [rng.choice(_WORDS) + rng.choice(_WORDS) for _ in range(300)]
+    rows = [(0, " ".join(text))]
+    for c in range(1, 9):  # 13 words changed far apart in 300: under 0.8 similar in five-word shingles, few bits in two-word shingles
+        changed = list(text)
+        for k in range(5 + c, 300, 23):
+            changed[k] = "new" + str(rng.random())
+        rows.append((c, " ".join(changed)))
+    prints = [simhash.fingerprint(t.encode(), simhash.COPY_SHINGLE) for _, t in rows]
+    assert any((prints[0] ^ x).bit_count() <= simhash.COPY_RADIUS for x in prints[1:])
+    assert {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(range(9))
+
+
 # -- 5 ------------------------------------------------------------------------------------------
 
 
