@@ -221,7 +221,7 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Parameters of one_of_each. Over two-word shingles few edits change few bits, so that fingerprints find candidates; whether a candidate is a
 #: copy is decided by the shingles of five words that both texts have, of all that either has.
-COPY_SHINGLE, COPY_RADIUS = 2, 7
+COPY_SHINGLE, COPY_RADIUS = 2, 9
 ALIKE_SHINGLE, ALIKE = 5, (4, 5)
 #: Shingles of kept texts that a task holds of a group; what is like none of these goes on to the next round.
 HELD = 500_000

@@ -265,6 +265,22 @@ def test_one_of_each_leaves_linked_texts_that_differ(spark):
     assert {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(range(9))
 
 
+def test_one_of_each_finds_copies_eight_and_nine_bits_apart(spark):
+    rng, found = random.Random(15), {}
+    while len(found) < 2:
+        text = [rng.choice(_WORDS) + rng.choice(_WORDS) for _ in range(110)]
+        changed = list(text)
+        for k in rng.sample(range(110), 2):
+            changed[k] = "new" + str(rng.random())
+        a, b = " ".join(text), " ".join(changed)
+        x, y = ({tuple(t[k : k + 5]) for k in range(106)} for t in (text, changed))
+        bits = (simhash.fingerprint(a.encode(), 2) ^ simhash.fingerprint(b.encode(), 2)).bit_count()
+        if bits in (8, 9) and len(x & y) >= 0.8 * len(x | y):
+            found[bits] = (a, b)
+    rows = [(10 * bits + c, t) for bits, pair in found.items() for c, t in enumerate(pair)]
+    assert {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {80, 90}
+
+
 # -- 5 ------------------------------------------------------------------------------------------
 
 
