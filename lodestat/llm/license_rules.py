@@ -1,6 +1,6 @@
 """Signature rules of the licence scan.
 
-A rule is (priority, keyword, label, pattern, score). Patterns are read over words: text lower-cased, everything but letters and
+A rule is (priority, keywords, label, pattern, score); whatever the pattern matches holds one of the keywords. Patterns are read over words: text lower-cased, everything but letters and
 digits turned into single spaces. Rules are ordered; where one detection lies inside another of the same or a higher
 priority it is suppressed. The table is built from LICENSES by FORMS: a licence's own names and addresses,
 each in the ways that notices, tags and references put them.
@@ -8,39 +8,41 @@ each in the ways that notices, tags and references put them.
 
 from __future__ import annotations
 
-#: label, keyword that every text with the name holds, pattern of the name, pattern of its address or "", SPDX tag words
+import re
+
+#: label, keywords (by |) of which every text with the name holds one, pattern of the name, pattern of its address or "", SPDX tag words
 LICENSES = [
-    ("mit", "mit", r"(?:mit|expat)", r"opensource org licenses? mit", r"mit"),
+    ("mit", "mit|expat", r"(?:mit|expat)", r"opensource org licenses? mit", r"mit"),
     ("mit-0", "mit", r"mit (?:no attribution|0)", r"opensource org licenses? mit 0", r"mit 0"),
     ("apache-2", "apache", r"apache(?: software)?(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"apache org licenses license 2 0", r"apache 2 0"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license| licence)?(?: version| v)? ?1 1", r"apache org licenses license 1 1", r"apache 1 1"),
     ("apache", "apache", r"apache(?: software)?", r"apache org licenses", r"apache"),
-    ("gpl-1", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?1(?: 0)?", r"", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2-or-later", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?2(?: 0)? or(?: at your option)?(?: any)? later(?: version)?", r"", r"gpl 2 0 or later"),
-    ("gpl-2", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"gnu org licenses (?:old licenses )?gpl 2 0", r"gpl 2 0(?: only)?"),
-    ("gpl-3-or-later", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?3(?: 0)? or(?: at your option)?(?: any)? later(?: version)?", r"", r"gpl 3 0 or later"),
-    ("gpl-3", "g", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?3(?: 0)?", r"gnu org licenses gpl 3 0", r"gpl 3 0(?: only)?"),
-    ("gpl", "g", r"(?:gnu )?(?:general public|gpl)", r"gnu org (?:copyleft|licenses) gpl", r"gpl"),
-    ("lgpl-2", "l", r"(?:gnu )?(?:library general public|lgpl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"gnu org licenses old licenses lgpl 2 0", r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "l", r"(?:gnu )?(?:lesser general public|lgpl)(?: license| licence)?(?: version| v)? ?2 1", r"gnu org licenses (?:old licenses )?lgpl 2 1", r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "l", r"(?:gnu )?(?:lesser general public|lgpl)(?: license| licence)?(?: version| v)? ?3(?: 0)?", r"gnu org licenses lgpl 3 0", r"lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "l", r"(?:gnu )?(?:lesser general public|lgpl)", r"gnu org (?:copyleft|licenses) lesser", r"lgpl"),
-    ("agpl-3", "a", r"(?:gnu )?(?:affero general public|agpl)(?: license| licence)?(?: version| v)? ?3(?: 0)?", r"gnu org licenses agpl 3 0", r"agpl 3 0(?: only| or later)?"),
-    ("agpl", "a", r"(?:gnu )?(?:affero general public|agpl)", r"", r"agpl"),
-    ("fdl", "d", r"(?:gnu )?(?:free documentation|gfdl|fdl)(?: license| licence)?(?:(?: version| v)? ?1 [123])?", r"gnu org licenses fdl", r"gfdl 1 [123](?: only| or later)?"),
+    ("gpl-1", "gpl|general public", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?1(?: 0)?", r"", r"gpl 1 0(?: only| or later)?"),
+    ("gpl-2-or-later", "gpl|general public", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?2(?: 0)? or(?: at your option)?(?: any)? later(?: version)?", r"", r"gpl 2 0 or later"),
+    ("gpl-2", "gpl|general public", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"gnu org licenses (?:old licenses )?gpl 2 0", r"gpl 2 0(?: only)?"),
+    ("gpl-3-or-later", "gpl|general public", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?3(?: 0)? or(?: at your option)?(?: any)? later(?: version)?", r"", r"gpl 3 0 or later"),
+    ("gpl-3", "gpl|general public", r"(?:gnu )?(?:general public|gpl)(?: license| licence)?(?: version| v)? ?3(?: 0)?", r"gnu org licenses gpl 3 0", r"gpl 3 0(?: only)?"),
+    ("gpl", "gpl|general public", r"(?:gnu )?(?:general public|gpl)", r"gnu org (?:copyleft|licenses) gpl", r"gpl"),
+    ("lgpl-2", "lgpl|general public", r"(?:gnu )?(?:library general public|lgpl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"gnu org licenses old licenses lgpl 2 0", r"lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl|general public", r"(?:gnu )?(?:lesser general public|lgpl)(?: license| licence)?(?: version| v)? ?2 1", r"gnu org licenses (?:old licenses )?lgpl 2 1", r"lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3", "lgpl|general public", r"(?:gnu )?(?:lesser general public|lgpl)(?: license| licence)?(?: version| v)? ?3(?: 0)?", r"gnu org licenses lgpl 3 0", r"lgpl 3 0(?: only| or later)?"),
+    ("lgpl", "lgpl|general public", r"(?:gnu )?(?:lesser general public|lgpl)", r"gnu org (?:copyleft|licenses) lesser", r"lgpl"),
+    ("agpl-3", "agpl|affero", r"(?:gnu )?(?:affero general public|agpl)(?: license| licence)?(?: version| v)? ?3(?: 0)?", r"gnu org licenses agpl 3 0", r"agpl 3 0(?: only| or later)?"),
+    ("agpl", "agpl|affero", r"(?:gnu )?(?:affero general public|agpl)", r"", r"agpl"),
+    ("fdl", "fdl|free documentation", r"(?:gnu )?(?:free documentation|gfdl|fdl)(?: license| licence)?(?:(?: version| v)? ?1 [123])?", r"gnu org licenses fdl", r"gfdl 1 [123](?: only| or later)?"),
     ("bsd-0", "bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)", r"", r"0bsd"),
     ("bsd-1", "bsd", r"(?:(?:1|one) clause bsd|bsd (?:1|one) clause)", r"", r"bsd 1 clause"),
     ("bsd-2", "bsd", r"(?:(?:2|two) clause(?: simplified)? bsd|bsd (?:2|two) clause|simplified bsd|freebsd)", r"opensource org licenses? bsd 2 clause", r"bsd 2 clause(?: patent)?"),
     ("bsd-3", "bsd", r"(?:(?:3|three) clause bsd|bsd (?:3|three) clause|new bsd|modified bsd|revised bsd)", r"opensource org licenses? bsd 3 clause", r"bsd 3 clause(?: clear)?"),
     ("bsd-4", "bsd", r"(?:(?:4|four) clause bsd|bsd (?:4|four) clause|original bsd)", r"", r"bsd 4 clause(?: uc)?"),
-    ("bsd", "bsd", r"(?:bsd|bsd style|berkeley)", r"opensource org licenses? bsd", r"bsd"),
-    ("mpl-1", "m", r"(?:mozilla public|mpl)(?: license| licence)?(?: version| v)? ?1(?: [01])?", r"mozilla org mpl 1", r"mpl 1 [01]"),
-    ("mpl-2", "m", r"(?:mozilla public|mpl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"mozilla org mpl 2", r"mpl 2 0"),
+    ("bsd", "bsd|berkeley", r"(?:bsd|bsd style|berkeley)", r"opensource org licenses? bsd", r"bsd"),
+    ("mpl-1", "mpl|mozilla", r"(?:mozilla public|mpl)(?: license| licence)?(?: version| v)? ?1(?: [01])?", r"mozilla org mpl 1", r"mpl 1 [01]"),
+    ("mpl-2", "mpl|mozilla", r"(?:mozilla public|mpl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"mozilla org mpl 2", r"mpl 2 0"),
     ("mpl", "mozilla", r"mozilla public", r"mozilla org mpl", r"mpl"),
-    ("epl-1", "e", r"(?:eclipse public|epl)(?: license| licence)?(?: version| v)? ?1(?: 0)?", r"eclipse org legal epl v10", r"epl 1 0"),
-    ("epl-2", "e", r"(?:eclipse public|epl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"eclipse org legal epl (?:2 0|v20)", r"epl 2 0"),
-    ("eupl", "e", r"(?:european union public|eupl)(?: license| licence)?(?:(?: version| v)? ?1 [0-2])?", r"", r"eupl 1 [0-2]"),
-    ("cddl", "c", r"(?:common development and distribution|cddl)(?: license| licence)?(?:(?: version| v)? ?1(?: [01])?)?", r"opensource org licenses? cddl", r"cddl 1 [01]"),
+    ("epl-1", "epl|eclipse", r"(?:eclipse public|epl)(?: license| licence)?(?: version| v)? ?1(?: 0)?", r"eclipse org legal epl v10", r"epl 1 0"),
+    ("epl-2", "epl|eclipse", r"(?:eclipse public|epl)(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"eclipse org legal epl (?:2 0|v20)", r"epl 2 0"),
+    ("eupl", "eupl|european union", r"(?:european union public|eupl)(?: license| licence)?(?:(?: version| v)? ?1 [0-2])?", r"", r"eupl 1 [0-2]"),
+    ("cddl", "cddl|common development", r"(?:common development and distribution|cddl)(?: license| licence)?(?:(?: version| v)? ?1(?: [01])?)?", r"opensource org licenses? cddl", r"cddl 1 [01]"),
     ("cpl", "common public", r"common public(?: license| licence)?(?:(?: version| v)? ?1(?: 0)?)?", r"", r"cpl 1 0"),
     ("artistic-1", "artistic", r"artistic(?: license| licence)?(?: version| v)? ?1(?: 0)?", r"", r"artistic 1 0(?: perl| cl8)?"),
     ("artistic-2", "artistic", r"artistic(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"opensource org licenses? artistic", r"artistic 2 0"),
@@ -49,7 +51,7 @@ LICENSES = [
     ("libpng", "libpng", r"libpng", r"", r"libpng(?: 2 0)?"),
     ("bsl-1", "boost", r"boost(?: software)?(?:(?: license| licence)(?: version| v)? ?1(?: 0)?)?", r"boost org license 1 0", r"bsl 1 0"),
     ("busl-1.1", "business source", r"business source", r"mariadb com bsl11", r"busl 1 1"),
-    ("wtfpl", "wtfpl", r"(?:wtfpl|do what the fuck you want to public)", r"wtfpl net", r"wtfpl"),
+    ("wtfpl", "wtfpl|do what the", r"(?:wtfpl|do what the fuck you want to public)", r"wtfpl net", r"wtfpl"),
     ("unlicense", "unlicense", r"unlicense", r"unlicense org", r"unlicense"),
     ("ofl-1.1", "open font", r"(?:sil )?open font", r"scripts sil org ofl", r"ofl 1 1(?: rfn| no rfn)?"),
     ("postgresql", "postgresql", r"postgresql", r"opensource org licenses? postgresql", r"postgresql"),
@@ -64,13 +66,13 @@ LICENSES = [
     ("odbl", "open da", r"open data(?: commons open)? ?(?:base)?(?: license| licence)?|open database", r"opendatacommons org licenses odbl", r"odbl 1 0"),
     ("odc-by", "attribution", r"open data commons attribution", r"opendatacommons org licenses by", r"odc by 1 0"),
     ("pddl", "public domain dedication", r"(?:open data commons )?public domain dedication and", r"opendatacommons org licenses pddl", r"pddl 1 0"),
-    ("cc0", "c", r"(?:cc0|cc zero|creative commons zero)(?:(?: v| version)? ?1(?: 0)?)?(?: universal)?", r"creativecommons org publicdomain zero", r"cc0 1 0"),
-    ("cc-by", "c", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?(?: international| unported| generic)?", r"creativecommons org licenses by [1-4]", r"cc by [1-4] [05]"),
-    ("cc-by-sa", "c", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", r"creativecommons org licenses by sa", r"cc by sa [1-4] [05]"),
-    ("cc-by-nd", "c", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1-4] [05])?", r"creativecommons org licenses by nd", r"cc by nd [1-4] [05]"),
-    ("cc-by-nc", "c", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?", r"creativecommons org licenses by nc [1-4]", r"cc by nc [1-4] [05]"),
-    ("cc-by-nc-sa", "c", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", r"creativecommons org licenses by nc sa", r"cc by nc sa [1-4] [05]"),
-    ("cc-by-nc-nd", "c", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] [05])?", r"creativecommons org licenses by nc nd", r"cc by nc nd [1-4] [05]"),
+    ("cc0", "cc0|cc zero|creative commons zero", r"(?:cc0|cc zero|creative commons zero)(?:(?: v| version)? ?1(?: 0)?)?(?: universal)?", r"creativecommons org publicdomain zero", r"cc0 1 0"),
+    ("cc-by", "cc by|creative commons attribution", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?(?: international| unported| generic)?", r"creativecommons org licenses by [1-4]", r"cc by [1-4] [05]"),
+    ("cc-by-sa", "cc by|creative commons attribution", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", r"creativecommons org licenses by sa", r"cc by sa [1-4] [05]"),
+    ("cc-by-nd", "cc by|creative commons attribution", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1-4] [05])?", r"creativecommons org licenses by nd", r"cc by nd [1-4] [05]"),
+    ("cc-by-nc", "cc by|creative commons attribution", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?", r"creativecommons org licenses by nc [1-4]", r"cc by nc [1-4] [05]"),
+    ("cc-by-nc-sa", "cc by|creative commons attribution", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", r"creativecommons org licenses by nc sa", r"cc by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "cc by|creative commons attribution", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] [05])?", r"creativecommons org licenses by nc nd", r"cc by nc nd [1-4] [05]"),
     ("openrail", "rail", r"(?:creativeml )?(?:big ?science )?(?:open)? ?rail(?: m)?", r"", r"openrail(?: m)?"),
     ("llama", "llama", r"llama(?: [234](?: [0-9])?)? community", r"", r"llama [234]"),
     ("elastic-2", "elastic", r"elastic(?: license| licence)?(?: version| v)? ?2(?: 0)?", r"elastic co licensing elastic license", r"elastic 2 0"),
@@ -81,18 +83,18 @@ LICENSES = [
     ("mulan-2", "mulan", r"mulan (?:psl|permissive software)(?: v2)?", r"", r"mulanpsl 2 0"),
 ]
 
-_GRANT = r"(?:(?:re)?licen[sc]ed|released|distributed|available|provided|published|redistributed|covered|used|shared|offered)"
+GRANT = r"(?:(?:re)?licen[sc]ed|released|distributed|available|provided|published|redistributed|covered|used|shared|offered)"
 _THE = r"(?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:gnu )?"
 _LICENSE = r"(?: public| software)?(?: license| licence)s?"
-#: name: (priority, score, text that the keyword must be found with, pattern with {name}, {url} or {tag})
+#: name: (priority, score, pattern with {name}, {title}, {url} or {tag})
 FORMS = {
-    "grant": (40, 1.0, "licen", _GRANT + r" (?:only )?under " + _THE + r"{name}(?:" + _LICENSE + r")?(?:(?: version| v)? ?[1-4](?: [0-9])?)?(?: only| or later)?"),
-    "tag": (50, 1.0, "spdx", r"spdx license identifier (?:[a-z0-9]+ (?:with|or|and) )?{tag}"),
-    "notice": (30, 0.8, "licen", r"(?:under|see|by|to|is|license|licence|with) " + _THE + r"{name}" + _LICENSE),
-    "named": (20, 0.6, "licen", r"{name}" + _LICENSE),
-    "title": (25, 0.7, "licen", r"{title}"),
-    "field": (30, 0.9, "licen", r"licen[sc]e(?: is)? (?:the )?{name}"),
-    "address": (35, 0.9, "", r"(?:https? )?(?:www )?{url}(?: [0-9])*(?: html| txt| php)?"),
+    "grant": (40, 1.0, GRANT + r" (?:only )?under " + _THE + r"{name}(?:" + _LICENSE + r")?(?:(?: version| v)? ?[1-4](?: [0-9])?)?(?: only| or later)?"),
+    "tag": (50, 1.0, r"spdx license identifier (?:[a-z0-9]+ (?:with|or|and) )?{tag}"),
+    "notice": (30, 0.8, r"(?:under|see|by|to|is|license|licence|with) " + _THE + r"{name}" + _LICENSE),
+    "named": (20, 0.6, r"{name}" + _LICENSE),
+    "title": (25, 0.7, r"{title}"),
+    "field": (30, 0.9, r"licen[sc]e(?: is)? (?:the )?{name}"),
+    "address": (35, 0.9, r"(?:https? )?(?:www )?{url}(?: [0-9])*(?: html| txt| php)?"),
 }
 #: Rules that name no licence of the list.
 OTHER = [
@@ -107,20 +109,26 @@ OTHER = [
 ]
 
 
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, keyword, label, pattern, score), the first the most important."""
+def _literal(pattern: str) -> str:
+    """What a pattern begins with, up to its first choice."""
+    found = re.match(r"[a-z0-9 ]*", pattern)[0]
+    return found[:-1] if pattern[len(found) :].startswith("?") else found
+
+
+def rules() -> list[tuple[int, tuple[str, ...], str, str, float]]:
+    """(priority, keywords, label, pattern, score), the first the most important."""
     out = []
-    for label, keyword, name, url, tag in LICENSES:
-        for form, (priority, score, marker, pattern) in FORMS.items():
+    for label, keywords, name, url, tag in LICENSES:
+        for form, (priority, score, pattern) in FORMS.items():
             if form == "address" and not url:
                 continue
             title = name.replace("(?: license| licence)?", "(?: license| licence)")
             if form == "title" and title == name:
                 continue
             body = pattern.replace("{name}", f"(?:{name})").replace("{title}", title).replace("{url}", url).replace("{tag}", tag)
-            need = keyword if form != "address" else url.split(" ")[0].replace("(?:", "")
-            out.append((priority, need if len(need) > 2 else marker or need, label, body, score))
-    out += [(p, k, label, pattern, s) for p, k, label, pattern, s in OTHER]
+            need = {"address": (url.split(" ")[0].replace("(?:", ""),), "tag": (_literal(tag) or "spdx",)}.get(form, tuple(keywords.split("|")))
+            out.append((priority, need, label, body, score))
+    out += [(p, (k,), label, pattern, s) for p, k, label, pattern, s in OTHER]
     return sorted(out, key=lambda r: -r[0])
 
 

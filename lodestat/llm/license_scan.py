@@ -10,24 +10,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.llm.common import ascii_lower, table, text_or_empty
-from lodestat.llm.license_rules import PHRASES, rules
+from lodestat.llm.license_rules import GRANT, PHRASES, rules
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: What a lower-cased text must hold for a rule or phrase to match in it: one of these, or a hint and then the pattern of that hint.
+_GAP = "[^0-9a-z]+"
+#: What a lower-cased text must hold for a rule or phrase to match in it: one of these, or a hint and then the pattern of that hint. Forms
+#: with a word for licence are in the first; grants, addresses, names and phrases that need none have hints.
 GATE = ("licen", "spdx", "creativecommons", "opendatacommons", "unlicense", "wtfpl", "unencumbered", "blueoakcouncil")
 HINTS = {
-    "cc": r"(?<![0-9a-z])cc[^0-9a-z]+by(?![0-9a-z])",
-    "org": r"(?:python|mozilla|boost|sil|gnu|apache|eclipse|opensource)\W+org",
-    "reserved": r"all\W+rights\W+reserved",
-    "domain": r"public\W+domain",
-    "permission": r"permission\W+(?:is|to)",
-    "redistribution": r"redistribution\W+and",
-    "software": r"free\W+software",
-    "altered": r"altered\W+source",
-    "mariadb": r"mariadb\W+com",
-    "php": r"php\W+net",
-    "elastic": r"elastic\W+co",
+    "under": f"{GRANT}{_GAP}(?:only{_GAP})?under(?![0-9a-z])",
+    "cc": f"(?<![0-9a-z])cc{_GAP}by(?![0-9a-z])",
+    "org": f"(?:python|mozilla|boost|sil|gnu|apache|eclipse|opensource){_GAP}org",
+    "database": f"open{_GAP}database",
+    "reserved": f"all{_GAP}rights{_GAP}reserved",
+    "domain": f"public{_GAP}domain",
+    "permission": f"permission{_GAP}(?:is|to)",
+    "redistribution": f"redistribution{_GAP}and",
+    "software": f"free{_GAP}software",
+    "altered": f"altered{_GAP}source",
+    "mariadb": f"mariadb{_GAP}com",
+    "php": f"php{_GAP}net",
+    "elastic": f"elastic{_GAP}co",
 }
 
 DETECTION = "struct<first: bigint, last: bigint, rank: int, priority: int, label: string, score: double>"
@@ -75,7 +79,7 @@ def suppress(found: Column) -> Column:
 
 
 def _rule_table() -> Column:
-    rows = [F.struct(F.lit(i).alias("rank"), F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(label).alias("label"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"), F.lit(s).alias("score")) for i, (p, k, label, pattern, s) in enumerate(rules())]
+    rows = [F.struct(F.lit(i).alias("rank"), F.lit(p).alias("priority"), F.array(*[F.lit(x) for x in k]).alias("keywords"), F.lit(label).alias("label"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"), F.lit(s).alias("score")) for i, (p, k, label, pattern, s) in enumerate(rules())]
     return F.array(*rows)
 
 
@@ -105,7 +109,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = docs.withColumn("__n_words", F.regexp_count(text, F.lit(_ANY_CASE_WORD)).cast("bigint"))
     docs = docs.withColumn("__low", F.lower(text)).withColumn("__words", F.when(gated, words_of(text))).drop("__low")
     base = F.concat(*[_places(label, phrase) for label, phrase in PHRASES])
-    chosen = F.filter(_rule_table(), lambda r: F.contains(F.col("__words"), r["keyword"]))
+    chosen = F.filter(_rule_table(), lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("__words"), k)))
     found = F.flatten(
         F.transform(
             chosen,

@@ -67,6 +67,32 @@ def test_license_scan(docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+LICENSE_LINES = [
+    ("Released under MIT.", "mit"), ("Available under Apache 2.0", "apache-2"), ("distributed under BSD-3-Clause", "bsd-3"), ("distributed under the GNU GPL v3", "gpl-3"), ("Covered only under the Mozilla Public", "mpl"), ("shared under_CC0 1.0", "cc0"),
+    ("Licensed under the Expat License", "mit"), ("the Berkeley licence", "bsd"), ("SPDX-License-Identifier: MPL-2.0", "mpl-2"), ("SPDX-License-Identifier: OFL-1.1", "ofl-1.1"), ("SPDX-License-Identifier: PSF-2.0", "python-2"),
+    ("all_rights_reserved", "proprietary"), ("placed into the public_domain", "public-domain"), ("an Open Database", "odbl"), ("see www.gnu.org/licenses/gpl-2.0.html", "gpl-2"), ("used under EPL-2.0", "epl-2"), ("under way", None), ("offered under duress", None),
+]
+
+
+def test_license_gate_loses_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # also a line of each form and licence, as its own patterns put it
+    names = ["mit", "apache 2.0", "GPL-2.0 or later", "lesser general public", "agpl 3", "gfdl 1.3", "two-clause BSD", "mpl 2.0", "eclipse public", "eupl", "cddl 1.0", "artistic 2", "zlib", "cc by-sa 4.0", "creative commons zero", "do what the fuck you want to public", "sspl", "mulan psl"]
+    lines = [t for t, _ in LICENSE_LINES] + [f.format(n) for n in names for f in ("released under the terms of the {}", "see {} license", "{} Licence", "License: {}", "SPDX-License-Identifier: {}")]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
+
+    def found():
+        return [[d.label for d in r["__found"]] for r in license_scan.scan(frame).orderBy("doc_id").collect()]
+
+    gated, every = found(), license_rules.rules()
+    for (line, label), labels in zip(LICENSE_LINES, gated, strict=False):
+        assert (label in labels) if label else not labels, line
+    monkeypatch.setattr(license_scan, "_gate", lambda low: F.lit(True))
+    monkeypatch.setattr(license_scan, "rules", lambda: [(p, ("",), label, pattern, s) for p, _, label, pattern, s in every])
+    assert found() == gated
+
+
 def test_license_containment(spark):
     row = license_scan.scan(spark.createDataFrame([(1, "SPDX-License-Identifier: Apache-2.0\nLicensed under the GNU General Public License version 3 or later.")], "doc_id int, text string")).first()
     spans = [(d.first, d.last, d.priority) for d in row["__found"]]
