@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.common import cut, join_dim, row_key, table, text_or_empty, unit_hash, without
 
-#: Bounds of the labelled sample that the text models are fitted on: documents of each declared language, languages (the most frequent).
-SAMPLE, MOST_LANGUAGES = 400, 24
+#: Bound of the labelled sample that the text models are fitted on: documents of each declared language. Every declared language has a model.
+SAMPLE = 400
+#: Languages whose counts a task holds at once; likelihoods that it takes at once.
+HELD, PIECE = 16, 1 << 22
 BUCKETS = 1 << 16
 #: Text counts as so many independent trigrams at most; trust in declarations and suffixes; strength of each level of the host prior.
 MOST_TRIGRAMS, DECLARED, SUFFIX, STRENGTH = 60.0, 0.9, 0.8, 20.0
@@ -58,32 +60,42 @@ class TextModel:
         """Mean log likelihood of a text for each language, and its trigrams."""
         total, n, step = np.zeros(len(self.languages)), 0, 1 << 18
         for at in range(0, len(data), step):  # in pieces, so that long texts need no more memory
-            codes = _codes(data[at : at + step])
-            total += self.log_p[:, codes].sum(axis=1, dtype=np.float64)
+            codes, piece = _codes(data[at : at + step]), max(1024, PIECE // len(self.languages))
+            for k in range(0, len(codes), piece):
+                total += self.log_p[:, codes[k : k + piece]].sum(axis=1, dtype=np.float64)
             n += len(codes)
         return total / max(1, n), n
 
 
-def fit(docs: DataFrame, text_col: str, declared: Column, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> TextModel | None:
-    """Fits on at most `sample` (in expectation) whole texts of each of the most frequent declared languages; which ones, hashes of the texts decide."""
+def fit(docs: DataFrame, text_col: str, declared: Column, sample: int = SAMPLE) -> TextModel | None:
+    """Fits on at most `sample` (in expectation) whole texts of each declared language; which ones, hashes of the texts decide."""
     rows = docs.select(declared.alias("__lang"), text_or_empty(text_col).alias("__text"))
-    sizes = rows.filter("__lang is not null").groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(most_languages).collect()
-    sizes = {r[0]: r[1] for r in sizes if r[1] >= 5}
+    sizes = dict(rows.filter("__lang is not null").groupBy("__lang").count().collect())
     if not sizes:
         return None
     languages = sorted(sizes)
     rate = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k]))]), F.col("__lang"))
     chosen = rows.filter(F.col("__lang").isin(languages) & (unit_hash(F.col("__text"), F.lit("sample")) < rate)).repartition(8, F.xxhash64("__text"))
 
+    place = {k: i for i, k in enumerate(languages)}
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = {}
+
+        def rows_of() -> Iterator[pa.RecordBatch]:
+            for lang, found in sorted(counts.items()):
+                bucket = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang)), pa.array(bucket), pa.array(found[bucket])], names=["lang", "bucket", "n"])
+            counts.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_buffer().to_pybytes()
                 if len(data) >= 20:
-                    counts[languages.index(lang)] += np.bincount(_codes(data), minlength=BUCKETS)
-        lang, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(counts[lang, bucket])], names=["lang", "bucket", "n"])
+                    if place[lang] not in counts and len(counts) >= HELD:
+                        yield from rows_of()
+                    counts[place[lang]] = counts.get(place[lang], 0) + np.bincount(_codes(data), minlength=BUCKETS)
+        yield from rows_of()
 
     def packed(rows: pa.Table) -> pa.Table:
         counts = np.bincount(rows.column("bucket").to_numpy(), rows.column("n").to_numpy(), BUCKETS)
@@ -136,10 +148,6 @@ def _sum_arrays(*arrays: Column) -> Column:
     return out
 
 
-def _sums(name: str, n: int) -> Column:
-    return F.array(*[F.sum(F.col(name)[i]) for i in range(n)])
-
-
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host: Column | None = None, *, model: TextModel | None = None) -> DataFrame:
     """One row a row of docs: __id, __key, declared, host, text_language, detected, posterior, kept.
 
@@ -163,21 +171,30 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     slack = [math.fsum((m, -SPREADS * max(s, 0.05))) for m, s in model.usual.tolist()]
     und = (F.lit(min(slack)) - F.lit(15.0) / F.sqrt(F.greatest(size, F.lit(1.0)))) * weight
     text = F.transform(F.slice("__s", 1, n), lambda m: m * weight)
-    said = F.array(*[F.when(~F.coalesce(F.col("declared").isin(known), F.lit(False)), 0.0).when(F.col("declared") == k, math.log(DECLARED)).otherwise(math.log((1 - DECLARED) / max(1, n - 1))) for k in known])
+    said = F.transform(names, lambda k: F.when(~F.coalesce(F.col("declared").isin(known), F.lit(False)), 0.0).when(F.col("declared") == k, math.log(DECLARED)).otherwise(math.log((1 - DECLARED) / max(1, n - 1))))
     ending = F.regexp_extract(F.coalesce("host", F.lit("")), r"\.([a-z]{2})$", 1)
-    suffix = F.array(*[F.when(ending.isin([s for s, v in SUFFIXES.items() if v == k]), math.log(SUFFIX)).when(ending.isin([s for s, v in SUFFIXES.items() if v in known]), math.log((1 - SUFFIX) / max(1, n - 1))).otherwise(0.0) for k in known])
+    ends = [F.lit(x) for s, v in SUFFIXES.items() if v in known for x in (s, v)]
+    of = F.element_at(F.create_map(*ends), ending) if ends else F.lit(None).cast("string")
+    suffix = F.transform(names, lambda k: F.when(of.isNull(), 0.0).when(of == k, math.log(SUFFIX)).otherwise(math.log((1 - SUFFIX) / max(1, n - 1))))
     rows = rows.withColumns({"__text": text, "__und": und, "__said": _sum_arrays(said, suffix), "domain": domain_of(F.col("host"))})
     best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
     # what each row looks like without its host, as one vote
     rows = rows.withColumn("__vote", best(_sum_arrays(F.col("__text"), F.col("__said"))))
-    votes = rows.filter(size > 0).groupBy("host", "domain").agg(F.array(*[F.count_if(F.col("__vote") == k).cast("double") for k in known]).alias("__h"))
-    votes = cut(votes, "hosts")
-    total = votes.agg(_sums("__h", n).alias("g")).first()[0]
+    votes = cut(rows.filter(size > 0).groupBy("host", "domain", "__vote").agg(F.count("*").alias("n")), "hosts")
+
+    def by(*cols: str) -> DataFrame:
+        """cols and __h, the votes for each language."""
+        sums = votes.groupBy(*cols, "__vote").agg(F.sum("n").cast("double").alias("n"))
+        found = sums.groupBy(*cols).agg(F.map_from_entries(F.collect_list(F.struct("__vote", "n"))).alias("__m"))
+        return found.select(*cols, F.transform(names, lambda k: F.coalesce(F.element_at("__m", k), F.lit(0.0))).alias("__h"))
+
+    total = by().first()
+    total = total and total[0]
     total = [(x or 0.0) + 1.0 for x in (total or [0.0] * n)]
     world = _log_array([x / sum(total) for x in total])
     smooth = lambda counts, above: F.zip_with(counts, above, lambda c, p: (c + p * STRENGTH) / (F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) + STRENGTH))
-    domains = votes.groupBy("domain").agg(_sums("__h", n).alias("__d")).select(F.col("domain").alias("__dom"), smooth(F.col("__d"), world).alias("__pd"))
-    priors = votes.filter("host is not null").join(domains, F.col("domain") == F.col("__dom")).select("host", smooth(F.col("__h"), F.col("__pd")).alias("__prior"))
+    domains = by("domain").select(F.col("domain").alias("__dom"), smooth(F.col("__h"), world).alias("__pd"))
+    priors = by("host", "domain").filter("host is not null").join(domains, F.col("domain") == F.col("__dom")).select("host", smooth(F.col("__h"), F.col("__pd")).alias("__prior"))
     rows = join_dim(rows, priors, ["host"])
     prior = F.transform(F.coalesce("__prior", world), lambda p: F.log(p))
     rows = rows.withColumn("__all", _sum_arrays(F.col("__text"), F.col("__said"), prior))

@@ -425,6 +425,23 @@ def language_rows():
     return rows, held, {1000 + i: k for i, k in enumerate(["en", "fr", "de"] * 20)}, say
 
 
+def test_language_knows_every_declared_language(spark):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(21), []
+    codes = ["en", *[a + b for a in "abcde" for b in "qwxyz"], "few", "one"]  # 28 languages; two have under five texts
+    for k, code in enumerate(codes):
+        own = random.Random(k)
+        parts = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)]
+        for _ in range({"few": 3, "one": 1}.get(code, 8)):
+            text = " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(150))
+            rows.append((len(rows), text, code, "s"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = langid.identify(frame, host=F.col("source")).collect()
+    assert len(got) == len(rows)
+    assert [(r["__id"], r.declared, r.detected) for r in got if r.detected != r.declared or not r.kept] == []
+
+
 def test_language(spark, empty):
     from pyspark.sql import functions as F
 
