@@ -1,17 +1,20 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
-Base matches of the whole corpus are seed entities. The words before an identifier are its lexical pattern. Patterns and
-instances form a bipartite graph, and confidence runs over it in rounds: a pattern is as sure of a kind as the share of its instances
-that are known to be of it, an instance as sure as the best pattern that holds it. Identifiers in patterns of high confidence that no base
-pattern matched are new finds. Column functions only: texts are read once, then only candidate strings (words with digits or an @).
+Base matches of the whole corpus are seed entities. The words beside an identifier are its lexical patterns: the two words before it, the
+word before it, and the words on both sides. Patterns and identifiers form a bipartite graph, and confidence runs over it in rounds: a pattern is as sure of a kind as the share of
+its known identifiers that are of it, where unknown ones count a little against it; an identifier that no base pattern matched is as sure as its patterns are together, if its shape is at home in such
+patterns; sure ones are known in the next round and admit further patterns. Column functions only: texts are read once, then only
+candidate strings (runs of words with digits, and words with an @).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import ascii_lower, cut, row_key, table, text_or_empty
+from lodestat.llm.common import ascii_lower, cut, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns in forms that never backtrack over a run: possessive, and begun only where a run or the last match ends.
@@ -23,27 +26,57 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-#: Rounds of the bootstrap; confidence from which a pattern finds more; distinct known instances it must have.
-ROUNDS, SURE, SUPPORT = 3, 0.8, 5
-#: Weight of an unseen instance in a pattern's confidence: few instances prove little.
-PRIOR = 1.0
-#: A word with a digit or an @: from the start of a word, in one pass.
-_CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-SPAN = "struct<start: bigint, end: bigint, value: string>"
+#: Rounds of the bootstrap; confidence from which a pattern or an identifier is sure; distinct known identifiers that a pattern must have;
+#: share of a shape's identifiers that must stand in sure patterns.
+ROUNDS, SURE, SUPPORT, FIT = 3, 0.8, 5, 0.1
+#: In a pattern's confidence: weight of an unseen identifier (few prove little), and of one that is not known to be of any kind.
+PRIOR, UNKNOWN = 1.0, 0.1
+#: What can be an identifier: a word with a digit or @, and words after single blanks that carry its digits on; at least so many digits, or an @.
+_CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@](?:\S++|(?<=[0-9)])\x20(?=[0-9(+]))*+"
+DIGITS = 5
+#: Rows of the small side of a join are repeated so often that a hot key of the other side is read by as many tasks.
+SALTS = 16
+#: Matches of a text that are placed one after the other; blocks of them are placed by their sums.
+BLOCK = 256
+SPAN = "struct<start: bigint, end: bigint, value: string, left: string, right: string>"
+FOUND = "array<struct<kind: int, start: bigint, end: bigint, value: string>>"
+SEEN = "array<struct<kind: int, start: bigint, end: bigint, value: string, v: bigint, shape: bigint, p: array<bigint>>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches, by code points."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("f"))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    """array<struct<start, end, value, left, right>> of all matches, by code points; left and right: what stands between it and the matches beside it.
+
+    Places are sums within blocks and sums of blocks, so the work grows with the matches, not with their square.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def within(block: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+
+        def step(acc: Column, p: Column) -> Column:
+            start = (acc["at"] + F.length(p["b"])).cast("bigint")
+            end = (start + F.length(p["f"])).cast("bigint")
+            one = F.struct(start.alias("start"), end.alias("end"), p["f"].alias("value"), p["b"].alias("left"), p["a"].alias("right"))
+            return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
+
+        return F.aggregate(block, begin, step)
+
+    def moved(s: Column, by: Column) -> Column:
+        return F.struct((s["start"] + by).cast("bigint").alias("start"), (s["end"] + by).cast("bigint").alias("end"), s["value"].alias("value"), s["left"].alias("left"), s["right"].alias("right"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = (acc["at"] + F.length(p["b"])).cast("bigint")
-        end = (start + F.length(p["f"])).cast("bigint")
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), p["f"].alias("value"))).alias("out"))
+    def joined(blocks: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+        step = lambda acc, b: F.struct((acc["at"] + b["at"]).cast("bigint").alias("at"), F.array_append(acc["out"], F.transform(b["out"], lambda s: moved(s, acc["at"]))).alias("out"))
+        return F.flatten(F.aggregate(blocks, begin, step, lambda acc: acc["out"]))
 
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = _let(F.struct(between.alias("b"), found.alias("f")), lambda x: F.arrays_zip(F.slice(x["b"], 1, F.size(x["f"])).alias("b"), x["f"].alias("f"), F.slice(x["b"], 2, F.size(x["f"])).alias("a")))
+    return _let(pairs, lambda p: joined(F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), F.lit(BLOCK)), lambda i: within(F.slice(p, i, BLOCK)))))
 
 
 def luhn(digits: Column) -> Column:
@@ -64,87 +97,141 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind (its place in KINDS), start, end, value>> in order of kind, then start."""
-    parts = []
-    for i, kind in enumerate(KINDS):
-        parts.append(_of_kind(text, i, kind))
-    return F.concat(*parts)
+def _gate(text: Column, kind: str) -> Column:
+    return F.contains(text, F.lit("@")) if kind == "email" else text.rlike(GATE[kind])
+
+
+def _patterns(left: Column, right: Column) -> Column:
+    """Hashes of the lexical patterns of an identifier between two stretches of text: words lower-cased, digits as 0. No word before it: no pattern."""
+    clean = lambda c: F.regexp_replace(F.regexp_replace(ascii_lower(c), "[0-9]+", "0"), r"\s+", " ")
+    two = clean(F.regexp_extract(left, r"(?<!\S)((?:\S++\s++)?\S++)\s*+\z", 1))
+    after = clean(F.regexp_extract(right, r"^\s*+(\S++)", 1))
+
+    def named(two: Column) -> Column:
+        one = F.substring_index(two, " ", -1)
+        parts = [("two", two), ("one", one), ("both", F.concat(one, F.lit(" _ "), after))]
+        return F.transform(F.filter(F.array(*[F.struct(F.lit(n).alias("n"), c.alias("w")) for n, c in parts]), lambda x: two != ""), lambda x: F.xxhash64(x["n"], x["w"]))
+
+    return F.array_distinct(_let(two, named))
+
+
+def _shape(value: Column) -> Column:
+    """Hash of what an identifier looks like: runs of digits as 9, of letters as a, and how many digits there are by fours."""
+    mask = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[^0-9@.:/_+()\\x20-]+", "a")
+    return F.xxhash64(mask, F.floor(F.length(F.regexp_replace(value, "[^0-9]", "")) / 4))
+
+
+def _seen(kind: Column, start: Column, value: Column, left: Column, right: Column) -> Column:
+    return F.struct(
+        kind.cast("int").alias("kind"), start.cast("bigint").alias("start"), (start + F.length(value)).cast("bigint").alias("end"), value.alias("value"),
+        F.xxhash64(ascii_lower(value)).alias("v"), _shape(value).alias("shape"), _patterns(left, right).alias("p"),
+    )
+
+
+def base_seen(text: Column) -> Column:
+    """Base matches in order of kind, then start, each with its value's and shape's hashes and its patterns."""
+    return _let(text, lambda t: F.concat(*[_of_kind(t, i, kind) for i, kind in enumerate(KINDS)]))
 
 
 def _of_kind(text: Column, i: int, kind: str) -> Column:
     found = F.filter(spans(text, BASE[kind]), lambda s: valid(kind, s["value"]))
-    tagged = F.transform(found, lambda s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    gate = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(GATE[kind])
-    return F.when(gate, tagged).otherwise(F.array().cast("array<struct<kind: int, start: bigint, end: bigint, value: string>>"))
+    return F.when(_gate(text, kind), F.transform(found, lambda s: _seen(F.lit(i), s["start"], s["value"], s["left"], s["right"]))).otherwise(F.array().cast(SEEN))
 
 
-def _shape(value: Column) -> Column:
-    """What an identifier looks like: digits as 9, letters as a, runs shortened, numbers of digits by size."""
-    mask = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[^0-9@.:/_+()-]+", "a")
-    return F.concat(F.substring(mask, 1, 24), F.lit("/"), F.least(F.lit(4), F.floor(F.length(F.regexp_replace(value, "[^0-9]", "")) / 4)).cast("string"))
+def masked(text: Column) -> Column:
+    """The text with line breaks in place of base matches, at the same places."""
+    for kind in KINDS:
+        text = _masked(text, kind)
+    return text
+
+
+def _masked(text: Column, kind: str) -> Column:
+    return _let(text, lambda t: F.when(_gate(t, kind), _without(t, kind)).otherwise(t))
+
+
+def _without(text: Column, kind: str) -> Column:
+    between, found = F.split(text, BASE[kind], -1), F.regexp_extract_all(text, F.lit(BASE[kind]), F.lit(0))
+
+    def blank(p: Column) -> Column:
+        return F.concat(p["b"], F.when(p["f"].isNull(), "").when(valid(kind, p["f"]), F.repeat(F.lit("\n"), F.length(p["f"]))).otherwise(p["f"]))
+
+    return F.array_join(F.transform(F.arrays_zip(between.alias("b"), found.alias("f")), blank), "")
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, value, before>> of words with a digit or @; before: the two words on the left, lower-cased, on the same line or not."""
-    found = F.filter(spans(text, _CANDIDATE), lambda s: (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 6) | F.contains(s["value"], F.lit("@")))
+    """Strings that can be identifiers, kind null, with their patterns. Marks around one are not part of it; a bracket stays if its other half does."""
+    lead = r"^[^A-Za-z0-9+(]+|^\((?=[^)]*\z)"
 
     def trimmed(s: Column) -> Column:
-        core = F.regexp_replace(s["value"], r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$", "")
-        lead = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^A-Za-z0-9+(]+", ""))
-        start = (s["start"] + lead).cast("bigint")
-        left = F.substring(text, F.greatest(F.lit(1), s["start"] - 79).cast("int"), F.least(F.lit(80), s["start"]).cast("int"))
-        return F.struct(start.alias("start"), (start + F.length(core)).cast("bigint").alias("end"), core.alias("value"), ascii_lower(F.regexp_extract(left, r"((?:\S{1,30}\s+)?\S{1,30})\s*$", 1)).alias("before"))
+        core = F.regexp_replace(F.regexp_replace(s["value"], lead, ""), r"[^A-Za-z0-9)]++\z|(?<![(][^()]{0,9})\)\W*+\z", "")
+        start = s["start"] + F.length(s["value"]) - F.length(F.regexp_replace(s["value"], lead, ""))
+        return _seen(F.lit(None), start, core, s["left"], s["right"])
+
+    enough = lambda s: (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= DIGITS) | F.contains(s["value"], F.lit("@"))
+    return F.filter(F.transform(F.filter(spans(text, _CANDIDATE), enough), trimmed), lambda s: (F.length(s["value"]) > 0) & (F.size(s["p"]) > 0))
+
+
+def _salted(big: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """big joined with few, whose key is unique. A hot key of big is dealt out by another column; few is repeated for each part."""
+    few = few.withColumnRenamed(key, "__few").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.join(few, (F.col(key) == F.col("__few")) & (F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int") == F.col("__salt")), how).drop("__few", "__salt")
+
 
-    return F.filter(F.transform(found, trimmed), lambda s: F.length(s["value"]) > 0)
+def sure_patterns(edges: DataFrame, known: DataFrame | None, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
+    """(p, of, confidence, known): patterns that are sure of a kind, from edges (p, v, kind) and what earlier rounds found (v, of, score)."""
+    if known is None:
+        scored = edges.select("p", F.col("kind").alias("__of"), F.lit(1.0).alias("__score"))
+    else:
+        scored = _salted(edges.select("p", "v", "kind"), known.select("v", "of", "score"), "v", "p", "left")
+        scored = scored.select("p", F.coalesce("kind", "of").alias("__of"), F.when(F.col("kind").isNull(), F.col("score")).otherwise(1.0).alias("__score"))
+    of = [F.col("__of") == k for k in range(len(KINDS))]
+    sums = scored.groupBy("p").agg(F.count("*").alias("n"), *[F.sum(F.when(c, F.col("__score"))).alias(f"m{k}") for k, c in enumerate(of)], *[F.count_if(c).alias(f"k{k}") for k, c in enumerate(of)])
+    mass = [F.coalesce(F.col(f"m{k}"), F.lit(0.0)) for k in range(len(KINDS))]
+    against = sum(mass, F.lit(PRIOR)) + (F.col("n") - sum((F.col(f"k{k}") for k in range(len(KINDS))), F.lit(0))) * UNKNOWN
+    each = F.array(*[F.struct(F.round(mass[k] / against, 9).alias("confidence"), F.lit(k).alias("of"), F.col(f"k{k}").alias("known")) for k in range(len(KINDS))])
+    best = F.array_max(F.filter(each, lambda x: x["known"] >= support))
+    return sums.select("p", best.alias("b")).filter(F.col("b.confidence") >= sure).select("p", "b.of", "b.confidence", "b.known")
 
 
-def confidences(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence, known) after `rounds` rounds.
+def discover(edges: DataFrame, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT, fit: float = FIT) -> DataFrame:
+    """(v, of, score): identifiers without a kind that the rounds are sure of.
 
-    edges: pattern, value, kind (of the base pattern that matched there, else null). Everything is grouped sums over distinct edges; a
-    hot pattern is pre-aggregated in every task. Round by round, patterns give their confidence to their unseen instances.
+    edges: p, v, shape, kind (null if no base pattern matched). All steps are grouped sums with partial sums in every task, and joins with the few sure patterns and identifiers,
+    which are repeated so that a pattern or identifier of a third of all edges is no single task's.
     """
-    edges = edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    edges = cut(edges, "edges")
-    per = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    seeds = edges.filter("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("score"))
-    known = seeds
-    out: DataFrame | None = None
+    edges = cut(edges.groupBy("p", "v").agg(F.min("kind").alias("kind"), F.min("shape").alias("shape")), "edges")
+    unknown = edges.filter("kind is null")
+    shapes = unknown.groupBy("v").agg(F.min("shape").alias("shape")).groupBy("shape").agg(F.count("*").alias("n"))
+    known: DataFrame | None = None
     for _ in range(rounds):
-        votes = edges.select("pattern", "value").join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") >= 1.0).alias("known"))
-        out = cut(votes.join(per, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + PRIOR)).alias("confidence"), "known"), "patterns")
-        reach = edges.filter("kind is null").select("pattern", "value").join(out.filter(F.col("known") >= SUPPORT), "pattern")
-        found = reach.groupBy("value", "kind").agg(F.max("confidence").alias("score")).filter(F.col("score") >= SURE / 2)
-        known = seeds.unionByName(found).groupBy("value", "kind").agg(F.max("score").alias("score"))
-    return out
+        patterns = cut(sure_patterns(edges, known, sure, support), "patterns")
+        reach = _salted(unknown, patterns.select("p", "of", "confidence"), "p", "v").groupBy("v", "of").agg(F.min("shape").alias("shape"), (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("s"))
+        best = cut(reach.groupBy("v").agg(F.min("shape").alias("shape"), F.max(F.struct(F.round("s", 9).alias("score"), (-F.col("of")).alias("of"))).alias("b")).select("v", "shape", "b.score", (-F.col("b.of")).alias("of")), "reach")
+        home = best.groupBy("shape", "of").agg(F.sum("score").alias("s")).join(shapes, "shape").filter(F.round(F.col("s") / F.col("n"), 9) >= fit)
+        home = home.select(F.concat_ws("/", "shape", "of").alias("home"))
+        known = cut(_salted(best.filter(F.col("score") >= sure).withColumn("home", F.concat_ws("/", "shape", "of")), home, "home", "v").select("v", "of", "score"), "known")
+    return known
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT, fit: float = FIT) -> DataFrame:
     """One row a row of docs: __id, base and more, both array<struct<kind, start, end, value>>; more holds what the bootstrap found.
 
-    Null text counts as empty. Rows that agree in id and text have the same finds; every row stays.
+    Null and empty texts have no finds. Every row stays, also those that repeat, each with finds of its own; null ids and further columns, also of clashing names, do not matter. Of kinds that
+    are equally sure of an identifier the first stands. Texts are read whole, in time that grows with their length. An empty table gives no rows.
     """
     text = text_or_empty(text_col)
     some = text.rlike("[0-9@]")
-    empty = F.array().cast("array<struct<kind: int, start: bigint, end: bigint, value: string>>")
-    none = F.array().cast("array<struct<start: bigint, end: bigint, value: string, before: string>>")
-    rows = docs.select(
-        F.col(id_col).alias("__id"),
-        F.when(some, row_key(id_col, text_col)).alias("__key"),
-        F.when(some, base_spans(text)).otherwise(empty).alias("base"),
-        F.when(some, candidates(text)).otherwise(none).alias("cand"),
-    )
+    rows = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), F.when(some, base_seen(text)).otherwise(F.array().cast(SEEN)).alias("base"), F.when(some, candidates(masked(text))).otherwise(F.array().cast(SEEN)).alias("cand"))
     rows = cut(rows, "pii")
-    each = rows.filter("__key is not null").select("__key", "base", F.explode("cand").alias("c")).select("__key", "base", "c.*").filter("before <> ''")
-    hits = F.filter("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    each = each.select("__key", "start", "end", "value", F.concat_ws("|", "before", _shape(F.col("value"))).alias("pattern"), F.array_min(F.transform(hits, lambda b: b["kind"])).alias("kind"))
-    patterns = confidences(each.select("pattern", "value", "kind"), rounds).filter((F.col("confidence") >= sure) & (F.col("known") >= support))
-    best = patterns.groupBy("pattern").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k")))["k"].alias("k")).select("pattern", (-F.col("k")).cast("int").alias("of"))
-    new = each.filter("kind is null").join(best, "pattern")
-    new = new.groupBy("__key").agg(F.sort_array(F.collect_set(F.struct(F.col("of").alias("kind"), "start", "end", "value"))).alias("more")).withColumnRenamed("__key", "__k")
-    out = rows.drop("cand").join(new, F.col("__key") == F.col("__k"), "left")
-    return out.select("__id", "base", F.coalesce("more", empty).alias("more"))
+    each = rows.filter("size(base) + size(cand) > 0").select(F.explode(F.concat("base", "cand")).alias("c")).select("c.*")
+    known = discover(each.select(F.explode("p").alias("p"), "v", "shape", "kind"), rounds, sure, support, fit)
+    held = rows.filter("size(cand) > 0")
+    new = _salted(held.select("__row", F.explode("cand").alias("c")).select("__row", "c.start", "c.end", "c.value", "c.v"), known.select("v", "of"), "v", "__row")
+    new = new.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct(F.col("of").cast("int").alias("kind"), "start", "end", "value"))).alias("more")).withColumnRenamed("__row", "__of_row")
+    base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("base")
+    none = F.array().cast(FOUND)
+    with_new = held.join(new, F.col("__row") == F.col("__of_row"), "left").select("__id", base, F.coalesce("more", none).alias("more"))
+    return with_new.unionByName(rows.filter("size(cand) = 0").select("__id", base, none.alias("more")))
 
 
 def _joined(found: Column) -> Column:
@@ -153,7 +240,7 @@ def _joined(found: Column) -> Column:
 
 
 def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents."""
+    """All documents: counts of the base spans by kind, their digest, and all spans."""
     out = personal_data(table(spark, sf_dir, "documents"))
     count = [_count(i, kind) for i, kind in enumerate(KINDS)]
     return out.select(F.col("__id").alias("doc_id"), *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "more")).alias("spans"))

@@ -381,6 +381,107 @@ def test_pii_bootstrap(spark):
     assert not out[101].more and len(out) == 43
 
 
+def planted_identifiers():
+    """Texts whose identifiers have no base form: in contexts that base phones share, in a context that only later rounds can learn, and alike strings elsewhere."""
+    rng = random.Random(16)
+    number = lambda: rng.choice(["030-{}", "0049 30 {}", "(030) {}", "0{}", "030/{}"]).format(rng.randint(2000000, 9999999))
+    rows, want, none = [], [], []
+
+    def add(context, value, kept=None):
+        lead = f"{prose(6, rng)} {context} "
+        rows.append((len(rows), f"{lead}{value}{rng.choice(['.', ',', '', ' and'])} {prose(5, rng)}"))
+        if kept is not None:
+            kept.append((len(rows) - 1, len(lead), len(lead) + len(value)))
+
+    for k in range(400):
+        add(rng.choice(["Call me at", "my phone number is", "Tel.:"]), f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}")
+    shared = [number() for _ in range(40)]
+    for v in shared:
+        add(rng.choice(["call me at", "Tel.:"]), v, want)
+        add("or ring us on", v, want)
+    for _ in range(60):
+        add("or ring us on", number(), want)  # only numbers found in an earlier round stand here too
+        add("invoice no", number(), none)
+        add("posted in", str(rng.randint(10000, 99999)), none)
+    return rows, want, none
+
+
+def test_pii_finds_identifiers_of_new_forms_in_later_rounds(spark):
+    rows, want, none = planted_identifiers()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found(rounds):
+        return {(r["__id"], s.start, s.end) for r in pii.personal_data(frame, rounds=rounds).collect() for s in r.more}
+
+    first, all_ = found(1), found(3)
+    assert len(all_ & set(want)) >= 0.9 * len(want) and not all_ - set(want)
+    assert not first & set(want[80:]) and len(first & set(want[:80])) > 70
+
+
+def brute_discover(edges, rounds, sure, support, fit):
+    kind, shape = {}, {}
+    for p, v, s, k in edges:
+        shape[v] = s
+        if k is not None:
+            kind[v] = k
+    pairs = {(p, v) for p, v, *_ in edges}
+    per_shape = collections.Counter(shape[v] for v in shape if v not in kind)
+    known = {}
+    for _ in range(rounds):
+        by = collections.defaultdict(list)
+        for p, v in pairs:
+            by[p].append(v)
+        patterns = {}
+        for p, vs in by.items():
+            best = None
+            of = [[1.0 if v in kind else known[v][1] for v in vs if kind.get(v, known.get(v, (None,))[0]) == k] for k in range(4)]
+            against = 1 + sum(map(sum, of)) + 0.1 * (len(vs) - sum(map(len, of)))
+            for k, mine in enumerate(of):
+                if len(mine) >= support:
+                    best = max(best or (0, 0), (round(sum(mine) / against, 9), k))
+            if best and best[0] >= sure:
+                patterns[p] = best
+        score = {}
+        for p, v in pairs:
+            if v not in kind and p in patterns:
+                c, k = patterns[p]
+                score[v, k] = 1 - (1 - score.get((v, k), 0.0)) * (1 - c)
+        best = {}
+        for (v, k), s in score.items():
+            best[v] = max(best.get(v, (0, -9)), (round(s, 9), -k))
+        home = collections.Counter()
+        for v, (s, k) in best.items():
+            home[shape[v], -k] += s
+        known = {v: (-k, s) for v, (s, k) in best.items() if s >= sure and round(home[shape[v], -k] / per_shape[shape[v]], 9) >= fit}
+    return {(v, k, round(s, 6)) for v, (k, s) in known.items()}
+
+
+def test_pii_rounds_are_a_plain_loop(spark):
+    rng = random.Random(17)
+    value = {v: (rng.randrange(6), rng.choice([None, None, 0, 1, 2, 3])) for v in range(300)}
+    edges = []
+    for _ in range(1500):
+        p, v = rng.randrange(60), rng.randrange(300)
+        if value[v][1] is not None:
+            p = value[v][1] * 15 + p % 15 if rng.random() < 0.97 else p
+        edges.append((p, v, *value[v]))
+    options = {"rounds": 3, "sure": 0.4, "support": 3, "fit": 0.2}
+    frame = spark.createDataFrame(edges, "p long, v long, shape long, kind int")
+    got = {(r.v, r.of, round(r.score, 6)) for r in pii.discover(frame, **options).collect()}
+    assert got == brute_discover(edges, **options) and len(got) > 20
+
+
+def test_pii_long_text_of_identifiers(spark):
+    import time
+
+    rng = random.Random(18)
+    text = " ".join(f"{rng.choice(_WORDS)} {rng.randint(10**5, 10**9)}" + (" a@b.cd" if k % 3 == 0 else "") for k in range(40_000))
+    frame = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    began = time.time()
+    got = {r["__id"]: r for r in pii.personal_data(frame).collect()}
+    assert [(s.kind, s.start, s.end) for s in got[1].base] == brute_pii(text) and time.time() - began < 60
+
+
 # -- 7 ------------------------------------------------------------------------------------------
 
 
