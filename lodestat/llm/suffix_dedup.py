@@ -6,9 +6,10 @@ previous and next smaller positions, so an array of longest previous factors nee
 
 A suffix order of a whole corpus does not fit one machine. Here suffixes are dealt out by content: of the 24-byte strings inside a
 window of `length` bytes the one with the least hash is the window's anchor, and equal windows have equal anchors. Windows whose
-anchor stands in one place only cannot repeat and go no further. The others meet in the bucket of their anchor, where they are sorted and
-the factors read off. Documents are packed into blocks that every step reads; between the steps move three bytes an anchor, then the text around
-repeated anchors (distinct texts of a block once), then runs of smallest ids.
+anchor stands in one place only cannot repeat and go no further. The others meet in the bucket of their anchor with the text around it: there all
+suffixes of at least `length` bytes are put in order to the ends of these texts, with the common prefixes of neighbours, and the array of longest previous factors is read off from
+each suffix's previous and next smaller owner. Factors reach to the end of the text around their anchor; longer ones go on at the next anchor. Documents are packed into blocks that every step
+reads; between the steps move three bytes an anchor, then the text around repeated anchors (distinct texts of a block once), then factors.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def _sketch(buckets: int, length: int) -> callable:
         block = Block(rows)
         h, many, bucket = _distinct(block, block.anchors(length), buckets)
         found, at = np.unique(bucket, return_index=True)
-        parts = [slice(a, b) for a, b in zip(at, [*at[1:], len(h)], strict=True)]
+        parts = [slice(a, b) for a, b in zip(at, [*at, len(h)][1:], strict=True)]
         data = [_pack(np.diff(np.r_[0, h[p] * 2 + many[p]])) for p in parts]
         return pa.table({"bucket": pa.array(found, pa.int64()), "block": pa.array([rows.column("block")[0].as_py()] * len(found), pa.int64()), "data": pa.array(data, pa.binary())})
 
@@ -226,7 +227,7 @@ def _texts(buckets: int, length: int) -> callable:
         if docs.num_rows and replies.num_rows:
             s = Snippets(Block(docs), dict(zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist(), strict=True)), buckets, length)
             found, at = np.unique(s.bucket, return_index=True)
-            for b, lo, hi in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(s.reps)], strict=True):
+            for b, lo, hi in zip(found.tolist(), at.tolist(), [*at.tolist(), len(s.reps)][1:], strict=True):
                 out["bucket"].append(b)
                 out["block"].append(docs.column("block")[0].as_py())
                 out["least"].append(_pack(s.least[lo:hi]))
@@ -241,20 +242,81 @@ def _texts(buckets: int, length: int) -> callable:
 PART = 1 << 18
 
 
-def previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """For suffixes at `starts`: the smallest owner among suffixes that share their first `length` bytes.
+def _suffix_words(text: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """_words of a text that eight bytes follow, with zeros for what lies at or past the ends."""
+    past = np.clip(at + 8 - ends, 0, 8).astype(np.uint64) * np.uint64(8)
+    word = _words(text, np.minimum(at, len(text) - 8))
+    return np.where(past < 64, word >> np.minimum(past, np.uint64(63)) << np.minimum(past, np.uint64(63)), np.uint64(0))
 
-    Suffixes are put in order by their first eight bytes, then stretches of equal ones by the next eight, and so on until they cover the
-    length; a stretch that agrees is not sorted again. In suffix order, suffixes with so long a common prefix stand together. A suffix's
-    previous or next smaller owner lies in that stretch, and so has a longest previous factor of at least `length`, just if the stretch's
-    smallest owner is smaller than its own.
+
+def suffix_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, part: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Puts `part`, numbers of suffixes of which those between two marks of `first` share their first eight bytes, in order; returns their common prefixes.
+
+    Stretches of equal suffixes are put in order by the next eight bytes, and so on to the ends of the suffixes, at last by their lengths. A stretch
+    that agrees is not sorted again. The common prefix of each with the one before it is 0 at the marks given.
+    """
+    common, size = np.zeros(len(part), np.int64), ends - starts
+    for step in range(8, int(size[part].max()), 8):
+        live = np.flatnonzero(~(first & np.r_[first[1:], True]))
+        if not len(live):
+            break
+        of = part[live]
+        word, group = _suffix_words(text, starts[of] + step, ends[of]), np.cumsum(first[live]) - 1
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[word != word[first[live]][group]]] = True
+        place = np.flatnonzero(mixed[group])
+        if len(place):
+            word, group = word[place], group[place]
+            sub = np.lexsort((word, group))
+            word, group = word[sub], group[sub]
+            part[live[place]] = part[live[place[sub]]]
+            new = np.flatnonzero((word[1:] != word[:-1]) & (group[1:] == group[:-1])) + 1
+            differ = word[new] ^ word[new - 1]
+            first[live[place[new]]] = True
+            common[live[place[new]]] = step + sum((differ < np.uint64(1 << b)).astype(np.int64) for b in range(8, 64, 8))
+    # equal to the end of the shorter
+    live = np.flatnonzero(~(first & np.r_[first[1:], True]))
+    part[live] = part[live[np.lexsort((size[part[live]], np.cumsum(first[live])))]]
+    same = np.flatnonzero(~first)
+    common[same] = size[part[same]]
+    common[1:] = np.minimum(common[1:], np.minimum(size[part[1:]], size[part[:-1]]))
+    return common
+
+
+def nearest_smaller(owner: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """Common prefix of each suffix with the nearest one before it in suffix order that has a smaller owner; 0 where it is under `length` or none is.
+
+    Windows of doubling width hold their smallest owner and smallest common prefix; each suffix goes back by the widest ones whose owners are
+    none smaller than its own.
+    """
+    place = np.arange(len(owner))
+    begin = np.maximum.accumulate(np.where(common < length, place, 0))
+    levels = int((place - begin).max(initial=0)).bit_length()
+    owners, prefixes = [owner], [common]
+    for k in range(levels - 1):
+        owners.append(np.minimum(owners[k][: -(1 << k)], owners[k][1 << k :]))
+        prefixes.append(np.minimum(prefixes[k][: -(1 << k)], prefixes[k][1 << k :]))
+    at, least = place.copy(), common.copy()
+    for k in reversed(range(levels)):
+        able = np.flatnonzero(at - (1 << k) >= begin)
+        back = at[able] - (1 << k)
+        go = owners[k][back] >= owner[able]
+        able, back = able[go], back[go]
+        at[able], least[able] = back, np.minimum(least[able], prefixes[k][back])
+    return np.where(at > begin, least, 0)
+
+
+def previous_factors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """The array of longest previous factors of the suffixes text[starts:ends]: the longest prefix that a suffix shares with one of a smaller owner, 0 if under `length`.
+
+    In suffix order the longest is shared with the previous or the next suffix of a smaller owner.
     """
-    out = np.empty(len(starts), np.int64)
+    out = np.zeros(len(starts), np.int64)
     if not len(starts):
         return out
-    steps = [*range(8, length - 7, 8), *([length - 8] if length % 8 else [])]
-    head = _words(text, starts)
-    order = np.argsort(head)
+    text = np.r_[text, np.zeros(8, np.uint8)]
+    head = _suffix_words(text, starts, ends)
+    order = np.argsort(head, kind="stable")
     head = head[order]
     new = np.r_[True, head[1:] != head[:-1]]
     del head
@@ -262,26 +324,18 @@ def previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, le
     while at < len(order):
         k = int(np.searchsorted(edges, at + PART, "right")) - 1
         to = int(edges[k] if edges[k] > at else edges[k + 1])
-        part, first = order[at:to], new[at:to]
-        for step in steps:
-            word, group = _words(text, starts[part] + step), np.cumsum(first) - 1
-            mixed = np.zeros(int(group[-1]) + 1, bool)
-            mixed[group[word != word[first][group]]] = True
-            place = np.flatnonzero(mixed[group])
-            if len(place):
-                word, group = word[place], group[place]
-                sub = np.lexsort((word, group))
-                word, group = word[sub], group[sub]
-                part[place] = part[place[sub]]
-                first[place] = np.r_[True, (word[1:] != word[:-1]) | (group[1:] != group[:-1])]
-        begin = np.flatnonzero(first)
-        out[part] = np.repeat(np.minimum.reduceat(owner[part], begin), np.diff(np.r_[begin, len(part)]))
+        part = order[at:to]
+        common = suffix_order(text, starts, ends, part, new[at:to])
+        own = owner[part]
+        before = nearest_smaller(own, common, length)
+        after = nearest_smaller(own[::-1], np.r_[0, common[:0:-1]], length)[::-1]
+        out[part] = np.maximum(before, after)
         at = to
     return out
 
 
 def _factors(length: int) -> callable:
-    """Step 4, a bucket: to each block, for each window of its snippets in order, the smallest id that has the window; as runs."""
+    """Step 4, a bucket: to each block, for each window of its snippets in order, by how much its longest previous factor falls short of the snippet's end; -1 for none."""
 
     def run(rows: pa.Table) -> pa.Table:
         texts = [zstandard.decompress(t) for t in rows.column("text").to_pylist()]
@@ -289,14 +343,11 @@ def _factors(length: int) -> callable:
         least = [_unpack(s) for s in rows.column("least").to_pylist()]
         size, owner = np.concatenate(sizes), np.concatenate(least)
         at, n = np.cumsum(size) - size, size - length + 1
-        starts = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        found = previous_factors(np.frombuffer(b"".join(texts), np.uint8), starts, np.repeat(owner, n), length)
-        data, begin = [], 0
-        for s in sizes:
-            own = found[begin : begin + int((s - length + 1).sum())]
-            begin += len(own)
-            new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            data.append(_pack(np.r_[np.diff(np.r_[new, len(own)]), own[new]]))
+        starts, ends = _flat(at, n), np.repeat(at + size, n)
+        found = previous_factors(np.frombuffer(b"".join(texts), np.uint8), starts, ends, np.repeat(owner, n), length)
+        short = np.where(found > 0, ends - starts - found, -1).astype(np.int32)
+        parts = np.split(short, np.cumsum([int((s - length + 1).sum()) for s in sizes])[:-1])
+        data = [zstandard.compress(p.tobytes(), 1) for p in parts]
         return pa.table({"block": rows.column("block"), "kind": pa.array([1] * len(data), pa.int64()), "bucket": rows.column("bucket"), "data": pa.array(data, pa.binary())})
 
     return run
@@ -318,15 +369,18 @@ def _removed(buckets: int, length: int, id_is: pa.DataType) -> callable:
                 s = Snippets(block, kinds[0], buckets, length)
                 n = s.size[s.reps]
                 first = np.cumsum(n) - n
-                runs = [np.split(_unpack(kinds[1][b]), 2) for b in sorted(kinds[1])]
-                least = np.concatenate([np.repeat(values, counts) for counts, values in runs])
+                short = np.concatenate([np.frombuffer(zstandard.decompress(kinds[1][b]), np.int32) for b in sorted(kinds[1])])
                 for at in range(0, len(s.size), _RUNS):
                     size, of = s.size[at : at + _RUNS], s.of[at : at + _RUNS]
                     flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    hit = least[np.repeat(first[of], size) + flat] < np.repeat(block.ids[s.doc[at : at + _RUNS]], size)
+                    # the snippet's first document has the snippet's factors; for later ones of the block all of it stands in the first
+                    later = np.repeat(block.ids[s.doc[at : at + _RUNS]] > s.least[of], size)
+                    lack = np.where(later, 0, short[np.repeat(first[of], size) + flat])
+                    hit = lack >= 0
                     begin = (np.repeat(s.start[at : at + _RUNS], size) + flat)[hit]  # each window once
+                    factor = (np.repeat(size + length - 1, size) - flat - lack)[hit]
                     covered[begin] += 1
-                    covered[begin + length] -= 1
+                    np.subtract.at(covered, begin + factor, 1)
             gone = np.cumsum(covered, out=covered)[:-1] > 0
             del covered
             for i, (key, n_copies) in enumerate(zip(block.ids.tolist(), block.copies, strict=True)):

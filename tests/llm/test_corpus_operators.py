@@ -503,15 +503,50 @@ def brute_repeats(rows, n=50):
     return collections.Counter(out)
 
 
+@pytest.mark.parametrize("part", [1 << 18, 40])
+def test_longest_previous_factors(part, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    rng = random.Random(20)
+    for letters, length in (("ab", 8), ("abc", 12), ("a\x00", 9), ("abcdefgh", 8)):
+        texts = [bytes(ord(rng.choice(letters)) for _ in range(rng.randint(length, 60))) for _ in range(25)]
+        texts += [t[rng.randrange(3) :] + b"ba" for t in texts[:10] if len(t) > length + 3] + [b"a" * 70, b"a" * 50]
+        ids = [rng.randrange(12) for _ in texts]
+        starts, ends, owner, at = [], [], [], 0
+        for i, t in zip(ids, texts, strict=True):
+            for k in range(len(t) - length + 1):
+                starts.append(at + k)
+                ends.append(at + len(t))
+                owner.append(i)
+            at += len(t)
+        raw = b"".join(texts)
+        got = suffix_dedup.previous_factors(np.frombuffer(raw, np.uint8), np.array(starts), np.array(ends), np.array(owner), length)
+        suffixes = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+
+        def shared(x, y):
+            n = 0
+            for a, b in zip(x, y, strict=False):
+                if a != b:
+                    break
+                n += 1
+            return n
+
+        want = [max((shared(x, y) for y, j in zip(suffixes, owner, strict=True) if j < i), default=0) for x, i in zip(suffixes, owner, strict=True)]
+        assert got.tolist() == [w if w >= length else 0 for w in want] and any(got)
+
+
 @pytest.mark.parametrize("sizes", [{}, {"block_bytes": 3000, "bucket_bytes": 2000}])
 def test_suffix_dedup(spark, docs, empty, sizes):
     rng = random.Random(8)
     shared = prose(30, rng)
-    rows = [(i, t) for i, t, *_ in awkward() if len(t or "") < 50_000]
+    rows = [(i, t) for i, t, *_ in awkward()]  # two of them over 50 kB
     rows += [(k, prose(20, rng) + shared[rng.randrange(50) :] + prose(20, rng)) for k in range(200, 215)] + [(300, "ab" * 400), (301, "b" + "ab" * 300), (302, shared[:50]), (303, shared[:49])]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **sizes).collect()
     assert collections.Counter((r["__id"], r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in got) == brute_repeats(rows)
     assert suffix_dedup.remove_repeats(empty).count() == 0
+    short = [(1, "a short text"), (2, "a short text"), (3, None)]
+    assert sorted(r.n_bytes for r in suffix_dedup.remove_repeats(spark.createDataFrame(short, "doc_id long, text string"), **sizes).collect()) == [0, 12, 12]
 
 
 # -- 8 ------------------------------------------------------------------------------------------
