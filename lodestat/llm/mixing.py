@@ -107,8 +107,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents. Text null: size 0. Sizes, targets and taken count words."""
+    """All documents. Text null: size 0. Sizes, targets and taken count words. Texts are read once; the rest works on their sizes."""
     text = text_or_empty("text")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(text).alias("__digest"))
+    rows = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(text).alias("__digest")), "sizes")
     out = mix(rows, "source", "size", ["doc_id", "source", "size", "__digest"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
