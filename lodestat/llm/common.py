@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join may be broadcast up to this many rows of at most some hundred bytes each.
 BROADCAST_ROWS = 50_000
+#: Matches of a text that are placed one after the other; blocks of them are placed by their sums.
+BLOCK = 256
+SPAN = "struct<start: bigint, end: bigint, value: string, left: string, right: string>"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,3 +76,39 @@ def join_dim(big: DataFrame, dim: DataFrame, on: list[str], how: str = "left", l
 def unit_hash(*cols: Column) -> Column:
     """A double in (0, 1) that depends on the values only."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def spans(text: Column, pattern: Column, measure: Callable[[Column], Column] = F.length) -> Column:
+    """array<struct<start, end, value, left, right>> of all matches, in code points or another measure that adds up; left and right: what stands between it and the matches beside it.
+
+    Places are sums within blocks and sums of blocks, so the work grows with the matches, not with their square.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def within(block: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+
+        def step(acc: Column, p: Column) -> Column:
+            start = (acc["at"] + measure(p["b"])).cast("bigint")
+            end = (start + measure(p["f"])).cast("bigint")
+            one = F.struct(start.alias("start"), end.alias("end"), p["f"].alias("value"), p["b"].alias("left"), p["a"].alias("right"))
+            return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
+
+        return F.aggregate(block, begin, step)
+
+    def moved(s: Column, by: Column) -> Column:
+        return F.struct((s["start"] + by).cast("bigint").alias("start"), (s["end"] + by).cast("bigint").alias("end"), s["value"].alias("value"), s["left"].alias("left"), s["right"].alias("right"))
+
+    def joined(blocks: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+        step = lambda acc, b: F.struct((acc["at"] + b["at"]).cast("bigint").alias("at"), F.array_append(acc["out"], F.transform(b["out"], lambda s: moved(s, acc["at"]))).alias("out"))
+        return F.flatten(F.aggregate(blocks, begin, step, lambda acc: acc["out"]))
+
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    pairs = let(F.struct(between.alias("b"), found.alias("f")), lambda x: F.arrays_zip(F.slice(x["b"], 1, F.size(x["f"])).alias("b"), x["f"].alias("f"), F.slice(x["b"], 2, F.size(x["f"])).alias("a")))
+    return let(pairs, lambda p: joined(F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), F.lit(BLOCK)), lambda i: within(F.slice(p, i, BLOCK)))))

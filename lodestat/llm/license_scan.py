@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import ascii_lower, table, text_or_empty
+from lodestat.llm.common import BLOCK, ascii_lower, let, spans, table, text_or_empty
 from lodestat.llm.license_rules import GRANT, PHRASES, rules
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,36 +46,37 @@ def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
-def spans(words: Column, pattern: Column) -> Column:
-    """array<struct<first, last>> of word numbers at which the pattern matches, in order. A single pass over the matches and what lies between."""
-    between, found = F.split(words, pattern, -1), F.regexp_extract_all(words, pattern, F.lit(0))
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("f"))
-    begin = F.struct(F.lit(-1).cast("bigint").alias("at"), F.array().cast("array<struct<first: bigint, last: bigint>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        first = acc["at"] + _spaces(p["b"])
-        last = first + _spaces(p["f"])
-        return F.struct(last.cast("bigint").alias("at"), F.array_append(acc["out"], F.struct(first.cast("bigint").alias("first"), last.cast("bigint").alias("last"))).alias("out"))
-
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+def places(words: Column, pattern: Column) -> Column:
+    """array<struct<first, last>> of word numbers at which the pattern matches, in order."""
+    return F.transform(spans(words, pattern, _spaces), lambda s: F.struct((s["start"] - 1).alias("first"), (s["end"] - 1).alias("last")))
 
 
 def suppress(found: Column) -> Column:
     """Detections, sorted by start, then longest, then rank, without those that lie inside an earlier one of the same or a higher priority.
 
-    One pass that holds, for each priority, how far its detections reach.
+    How far the detections of each priority reach is a running maximum: blocks of detections are passed one by one from the reach of the blocks before them. (One that is
+    suppressed reaches no farther than the one it lies in, so all count.)
     """
     levels = sorted({r[0] for r in rules()})
     ordered = F.array_sort(found, lambda x, y: F.when(x["first"] != y["first"], F.when(x["first"] < y["first"], -1).otherwise(1)).when(x["last"] != y["last"], F.when(x["last"] > y["last"], -1).otherwise(1)).otherwise(F.when(x["rank"] < y["rank"], -1).when(x["rank"] > y["rank"], 1).otherwise(0)))
-    begin = F.struct(F.array(*[F.lit(-1).cast("bigint")] * len(levels)).alias("reach"), F.array().cast(f"array<{DETECTION}>").alias("out"))
+    start = F.array(*[F.lit(-1).cast("bigint")] * len(levels))
     numbers = F.array(*[F.lit(x) for x in levels])
+    none = F.array().cast(f"array<{DETECTION}>")
+
+    def reached(reach: Column, d: Column) -> Column:
+        return F.zip_with(numbers, reach, lambda p, r: F.when(p == d["priority"], F.greatest(r, d["last"])).otherwise(r))
 
     def step(acc: Column, d: Column) -> Column:
         inside = F.exists(F.arrays_zip(numbers.alias("p"), acc["reach"].alias("r")), lambda z: (z["p"] >= d["priority"]) & (z["r"] >= d["last"]))
-        reach = F.zip_with(numbers, acc["reach"], lambda p, r: F.when(p == d["priority"], F.greatest(r, d["last"])).otherwise(r))
-        return F.when(inside, acc).otherwise(F.struct(reach.alias("reach"), F.array_append(acc["out"], d).alias("out")))
+        return F.struct(reached(acc["reach"], d).alias("reach"), F.when(inside, acc["out"]).otherwise(F.array_append(acc["out"], d)).alias("out"))
+
+    def passed(acc: Column, block: Column) -> Column:
+        one = F.aggregate(block, F.struct(acc["reach"].alias("reach"), none.alias("out")), step)
+        return let(one, lambda x: F.struct(x["reach"].alias("reach"), F.array_append(acc["out"], x["out"]).alias("out")))
 
-    return F.aggregate(ordered, begin, step, lambda acc: acc["out"])
+    begin = F.struct(start.alias("reach"), F.array().cast(f"array<array<{DETECTION}>>").alias("out"))
+    blocks = lambda d: F.transform(F.sequence(F.lit(1), F.greatest(F.size(d), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(d, i, BLOCK))
+    return let(ordered, lambda d: F.flatten(F.aggregate(blocks(d), begin, passed, lambda acc: acc["out"])))
 
 
 def _rule_table() -> Column:
@@ -95,14 +96,15 @@ def _gate(low: Column) -> Column:
 
 def _places(label: str, phrase: str) -> Column:
     """Where the words of a base phrase stand consecutively."""
-    at = spans(F.col("__words"), F.lit(f"(?<= ){phrase}(?= )"))
+    at = places(F.col("__words"), F.lit(f"(?<= ){phrase}(?= )"))
     return F.transform(at, lambda s: F.struct(F.lit(label).alias("label"), s["first"].alias("first"), s["last"].alias("last")))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with __n_words, __base (label, first, last of the base phrases) and __found (detections that stand).
 
-    Null text counts as empty and finds nothing; a text without a keyword gets empty arrays. Every row stays, repeated ones too.
+    Null text counts as empty and finds nothing; a text without a keyword gets empty arrays. Every row stays, repeated ones too, each with finds of its own; detections that tie in place
+    and length go by rank. Texts are read whole, in time that grows with their length and detections. An empty table stays empty; other columns stay as they are.
     """
     text = text_or_empty(text_col)
     gated = _gate(F.col("__low"))
@@ -114,7 +116,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform(
             chosen,
             lambda r: F.transform(
-                spans(F.col("__words"), r["pattern"]),
+                places(F.col("__words"), r["pattern"]),
                 lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), r["rank"].alias("rank"), r["priority"].alias("priority"), r["label"].alias("label"), r["score"].alias("score")),
             ),
         )

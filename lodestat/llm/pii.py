@@ -9,12 +9,10 @@ candidate strings (runs of words with digits, and words with an @).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import ascii_lower, cut, table, text_or_empty
+from lodestat.llm.common import ascii_lower, cut, let, spans, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns in forms that never backtrack over a run: possessive, and begun only where a run or the last match ends.
@@ -36,49 +34,10 @@ _CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@](?:\S++|(?<=[0-9)])\x20(?=[0-9(+]))*+"
 DIGITS = 5
 #: Rows of the small side of a join are repeated so often that a hot key of the other side is read by as many tasks.
 SALTS = 16
-#: Matches of a text that are placed one after the other; blocks of them are placed by their sums.
-BLOCK = 256
-SPAN = "struct<start: bigint, end: bigint, value: string, left: string, right: string>"
 FOUND = "array<struct<kind: int, start: bigint, end: bigint, value: string>>"
 SEEN = "array<struct<kind: int, start: bigint, end: bigint, value: string, v: bigint, shape: bigint, p: array<bigint>>>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, left, right>> of all matches, by code points; left and right: what stands between it and the matches beside it.
-
-    Places are sums within blocks and sums of blocks, so the work grows with the matches, not with their square.
-    """
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def within(block: Column) -> Column:
-        begin = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-
-        def step(acc: Column, p: Column) -> Column:
-            start = (acc["at"] + F.length(p["b"])).cast("bigint")
-            end = (start + F.length(p["f"])).cast("bigint")
-            one = F.struct(start.alias("start"), end.alias("end"), p["f"].alias("value"), p["b"].alias("left"), p["a"].alias("right"))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
-
-        return F.aggregate(block, begin, step)
-
-    def moved(s: Column, by: Column) -> Column:
-        return F.struct((s["start"] + by).cast("bigint").alias("start"), (s["end"] + by).cast("bigint").alias("end"), s["value"].alias("value"), s["left"].alias("left"), s["right"].alias("right"))
-
-    def joined(blocks: Column) -> Column:
-        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
-        step = lambda acc, b: F.struct((acc["at"] + b["at"]).cast("bigint").alias("at"), F.array_append(acc["out"], F.transform(b["out"], lambda s: moved(s, acc["at"]))).alias("out"))
-        return F.flatten(F.aggregate(blocks, begin, step, lambda acc: acc["out"]))
-
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = _let(F.struct(between.alias("b"), found.alias("f")), lambda x: F.arrays_zip(F.slice(x["b"], 1, F.size(x["f"])).alias("b"), x["f"].alias("f"), F.slice(x["b"], 2, F.size(x["f"])).alias("a")))
-    return _let(pairs, lambda p: joined(F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), F.lit(BLOCK)), lambda i: within(F.slice(p, i, BLOCK)))))
-
-
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
     values = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda d: d != ""), lambda d: d.cast("int"))
@@ -112,7 +71,7 @@ def _patterns(left: Column, right: Column) -> Column:
         parts = [("two", two), ("one", one), ("both", F.concat(one, F.lit(" _ "), after))]
         return F.transform(F.filter(F.array(*[F.struct(F.lit(n).alias("n"), c.alias("w")) for n, c in parts]), lambda x: two != ""), lambda x: F.xxhash64(x["n"], x["w"]))
 
-    return F.array_distinct(_let(two, named))
+    return F.array_distinct(let(two, named))
 
 
 def _shape(value: Column) -> Column:
@@ -130,11 +89,11 @@ def _seen(kind: Column, start: Column, value: Column, left: Column, right: Colum
 
 def base_seen(text: Column) -> Column:
     """Base matches in order of kind, then start, each with its value's and shape's hashes and its patterns."""
-    return _let(text, lambda t: F.concat(*[_of_kind(t, i, kind) for i, kind in enumerate(KINDS)]))
+    return let(text, lambda t: F.concat(*[_of_kind(t, i, kind) for i, kind in enumerate(KINDS)]))
 
 
 def _of_kind(text: Column, i: int, kind: str) -> Column:
-    found = F.filter(spans(text, BASE[kind]), lambda s: valid(kind, s["value"]))
+    found = F.filter(spans(text, F.lit(BASE[kind])), lambda s: valid(kind, s["value"]))
     return F.when(_gate(text, kind), F.transform(found, lambda s: _seen(F.lit(i), s["start"], s["value"], s["left"], s["right"]))).otherwise(F.array().cast(SEEN))
 
 
@@ -146,7 +105,7 @@ def masked(text: Column) -> Column:
 
 
 def _masked(text: Column, kind: str) -> Column:
-    return _let(text, lambda t: F.when(_gate(t, kind), _without(t, kind)).otherwise(t))
+    return let(text, lambda t: F.when(_gate(t, kind), _without(t, kind)).otherwise(t))
 
 
 def _without(text: Column, kind: str) -> Column:
@@ -168,7 +127,7 @@ def candidates(text: Column) -> Column:
         return _seen(F.lit(None), start, core, s["left"], s["right"])
 
     enough = lambda s: (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= DIGITS) | F.contains(s["value"], F.lit("@"))
-    return F.filter(F.transform(F.filter(spans(text, _CANDIDATE), enough), trimmed), lambda s: (F.length(s["value"]) > 0) & (F.size(s["p"]) > 0))
+    return F.filter(F.transform(F.filter(spans(text, F.lit(_CANDIDATE)), enough), trimmed), lambda s: (F.length(s["value"]) > 0) & (F.size(s["p"]) > 0))
 
 
 def _salted(big: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:

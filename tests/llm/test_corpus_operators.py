@@ -101,6 +101,25 @@ def test_license_containment(spark):
         assert not any(y[0] <= x[0] and x[1] <= y[1] and y[2] >= x[2] for k, y in enumerate(spans) if k != i)
 
 
+def test_license_detections_are_a_plain_loop(spark):
+    """All detections of every rule over all words, then suppression by looking at each pair."""
+    rng = random.Random(23)
+    pieces = [t for t, _ in LICENSE_LINES] + ["under the GNU Lesser General Public License v2.1 or later", "see the Apache License, Version 2.0", "cc by nc sa 4.0", "Licence: MIT", "the quick fox"]
+    lines = [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(25)] + [" / ".join(pieces) * 30]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")).orderBy("doc_id").collect()
+    every = license_rules.rules()
+    for line, r in zip(lines, got, strict=True):
+        words = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(line))) + " "
+        found = []
+        for rank, (priority, _, label, pattern, score) in enumerate(every):
+            for m in re.finditer(f"(?<= )(?:{pattern})(?= )", words):
+                first = words[: m.start()].count(" ") - 1
+                found.append((first, -(first + m[0].count(" ")), rank, priority, label, score))
+        found.sort()
+        want = [d for i, d in enumerate(found) if not any(e[3] >= d[3] and e[1] <= d[1] for e in found[:i])]
+        assert [(d.first, -d.last, d["rank"], d.priority, d.label, d.score) for d in r["__found"]] == want
+
+
 # -- 2 ------------------------------------------------------------------------------------------
 
 
