@@ -152,7 +152,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     """One row a row of docs: __id, __key, declared, host, text_language, detected, posterior, kept.
 
     Null text counts as empty and has no text evidence; null or unknown declarations and hosts have none either. A text without a pair of letters,
-    one that "und" explains best, or one whose best posterior is under SURE is not kept. Tables without labelled rows have one class, "und".
+    one that "und" explains best, or one whose best posterior is under SURE is not kept. Tables without labelled rows have one class, "und"; an empty table gives no rows. Of languages that tie
+    the first by code stands. Whole texts are read, in pieces; rows that repeat are judged alike and all stay, each a vote of its host. Other columns do not matter.
     """
     declared = F.lower(F.regexp_extract(F.coalesce(F.col(declared_col).cast("string"), F.lit("")), r"^\s*([A-Za-z]{2,3})", 1)) if declared_col else F.lit("")
     declared = F.when(declared != "", declared)
@@ -220,6 +221,12 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; the source is the host."""
+    """All documents; the source is the host. A source without dots has no suffix; pages, whose addresses have, are read by language_of_pages."""
     out = identify(table(spark, sf_dir, "documents"), host=F.lower(F.col("source")))
     return out.select(F.col("__id").alias("doc_id"), "declared", "text_language", "detected", F.round("posterior", 6).alias("posterior"), "kept")
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages: their text without markup, the language that the markup declares, the suffix of the address and the priors of its host."""
+    out = identify(page_evidence(table(spark, sf_dir, "pages")), "page_id", host=F.col("host"))
+    return out.select(F.col("__id").alias("page_id"), "declared", "host", "text_language", "detected", F.round("posterior", 6).alias("posterior"), "kept")

@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii_bootstrap": pii.op6_pii_bootstrap,
     "op7_previous_factors": suffix_dedup.op7_previous_factors,
     "op8_language_id": langid.op8_language_id,
+    "language_of_pages": langid.language_of_pages,
     "op9_secret_crf": secrets_crf.op9_secret_crf,
     "op10_pareto_mix": mixing.op10_pareto_mix,
 }

@@ -608,6 +608,71 @@ def test_language(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def brute_posteriors(rows, model):
+    """The fusion row by row: text, declaration, suffix, then host priors smoothed over domain and all."""
+    import math
+
+    known, n = model.languages, len(model.languages)
+    slack = min(m - langid.SPREADS * max(s, 0.05) for m, s in model.usual.tolist())
+    first, votes = {}, collections.Counter()
+    for i, text, lang, host in rows:
+        found = re.match(r"\s*([A-Za-z]{2,3})", lang or "")
+        declared = found[1].lower() if found else None
+        means, size = model.means((text or "").encode())
+        weight = min(langid.MOST_TRIGRAMS, size)
+        said = [0.0] * n
+        if declared in known:
+            said = [math.log(langid.DECLARED if k == declared else (1 - langid.DECLARED) / max(1, n - 1)) for k in known]
+        of = langid.SUFFIXES.get(host.rsplit(".", 1)[-1]) if host and "." in host else None
+        if of in known:
+            said = [x + math.log(langid.SUFFIX if k == of else (1 - langid.SUFFIX) / max(1, n - 1)) for x, k in zip(said, known, strict=True)]
+        own = [m * weight + x for m, x in zip(means, said, strict=True)]
+        domain = host if host is None or "." not in host else ".".join(host.split(".")[-2:])
+        first[i] = (own, (slack - 15 / math.sqrt(max(size, 1))) * weight + math.log(1e-3), size, host, domain)
+        if size:
+            votes[host, domain, known[own.index(max(own))]] += 1
+    count = lambda test: [sum(v for (h, d, k), v in votes.items() if k == lang and test(h, d)) for lang in known]
+    total = [x + 1.0 for x in count(lambda h, d: True)]
+    world = [x / sum(total) for x in total]
+    smooth = lambda c, above: [(x + p * langid.STRENGTH) / (sum(c) + langid.STRENGTH) for x, p in zip(c, above, strict=True)]
+    hosts = {h for h, _, _ in votes if h is not None}
+    out = {}
+    for i, (own, und, size, host, domain) in first.items():
+        prior = world
+        if host in hosts:
+            prior = smooth(count(lambda h, d, host=host: h == host), smooth(count(lambda h, d, domain=domain: d == domain), world))
+        every = [x + math.log(p) for x, p in zip(own, prior, strict=True)]
+        top = max(*every, und)
+        mass = sum(math.exp(x - top) for x in every) + math.exp(und - top)
+        posterior = math.exp(max(every) - top) / mass
+        detected = "und" if size < 1 or und > max(every) else known[every.index(max(every))]
+        out[i] = (detected, round(posterior, 6), detected != "und" and posterior >= langid.SURE)
+    return out
+
+
+def test_language_posteriors_are_bayes_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    rows, held, _, say = language_rows()
+    rng = random.Random(24)
+    hosts = ["www.a.fr", "b.a.fr", "news.b.de", "c.uk", "plain", None, "x.b.de"]
+    rows = [(i, t, k if rng.random() < 0.7 else rng.choice(["de", "xx", None]), rng.choice(hosts)) for i, t, k, _ in rows + held]
+    rows += [(3000, say("fr", 2), "de", "www.a.fr"), (3001, None, "fr", "c.uk"), (3002, "", None, None), (3003, "12 34 #", None, "c.uk"), (3004, "a", None, "plain"), (3005, "a", None, "plain"), (3006, say("en", 9000), "fr", "news.b.de")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit(frame, "text", F.col("lang"))
+    got = {r["__id"]: (r.detected, round(r.posterior, 6), r.kept) for r in langid.identify(frame, host=F.col("source"), model=model).collect()}
+    want = brute_posteriors(rows, model)
+    assert set(got) == set(want)
+    for i, (detected, posterior, kept) in want.items():
+        assert got[i][0] == detected and got[i][2] == kept and abs(got[i][1] - posterior) < 2e-6, i
+
+
+def test_language_of_pages(spark):
+    out = langid.language_of_pages(spark, "/root/testdata/sf0.001").collect()
+    assert out and {c for r in out for c in r.asDict()} == {"page_id", "declared", "host", "text_language", "detected", "posterior", "kept"}
+    assert sum(r.kept and r.detected == r.declared for r in out) >= 0.9 * sum(r.kept and r.declared is not None for r in out)
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://user@www.Example.fr:80/x?q", "<html lang='fr-FR'><script>var a='<p>';</script><p>le texte</p></html>"), (2, None, None)], "page_id long, url string, html string")
     r = langid.page_evidence(pages).orderBy("page_id").collect()
