@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,3 +167,75 @@ def huber(x: Column, delta: float = 1e-3) -> Column:
 def hash_draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
     """A number in [0, n) that any engine with MD5 reproduces."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("bigint"), n)
+
+
+#: Cumulative Poisson probabilities with mean 1 at 0, 1, ..., 6; more is counted as 7.
+_POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(7)]
+
+
+def poisson_weight(seed: int, replicate: Column, key: Column) -> Column:
+    """A Poisson number with mean 1 that any engine with MD5 reproduces: how often a row stands in a resample."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    out = F
+    for k, p in enumerate(_POISSON):
+        out = out.when(u < p, k)
+    return out.otherwise(7)
+
+
+def on_grid(x: Column, unit: str) -> Column:
+    """Whether x is a whole multiple of unit, in decimals."""
+    return x.cast("decimal(38,18)") % F.lit(unit).cast("decimal(38,18)") == 0
+
+
+# -- dates, boxes, sources ---------------------------------------------------------------------------
+
+
+def consistent_lag(primary: Column, lag_days: Column, most: int = 30) -> Column:
+    """False only if the source is primary and the lag is known and too long."""
+    return ~(F.coalesce(primary, F.lit(False)) & F.coalesce(F.abs(lag_days) > most, F.lit(False)))
+
+
+def years_from(anchor: Column, when: Column) -> Column:
+    return F.datediff(when.cast("date"), anchor) / F.lit(365.25)
+
+
+def month_mid_days(month: Column) -> Column:
+    """Days from the first of a month to its middle; may be a half."""
+    return (F.dayofmonth(F.last_day(month)) - 1) / F.lit(2.0)
+
+
+def inside(x: Column, low: float, high: float) -> Column:
+    return (x >= low) & (x <= high)
+
+
+def inferred_data(method: Column, n: Column, compute: Column) -> Column:
+    """Data that compute and size imply, C / 6N, where operations were counted; else null."""
+    return F.when(method.contains("Operation counting") & (n > 0) & (compute > 0), compute / (6 * n))
+
+
+def upward_targets(q: Column, most: float, multiples: list[float]) -> Column:
+    """Multiples of q up to `most` that improve on it, each once, in order."""
+    clipped = F.transform(F.array(*[F.lit(float(m)) for m in multiples]), lambda m: F.round(F.least(q * m, F.lit(most)), 9))
+    return F.array_sort(F.array_distinct(F.filter(clipped, lambda x: x > q + 1e-12)))
+
+
+def bound_status(v: Column, low: float, high: float, tolerance: float) -> Column:
+    return F.when(v <= low + tolerance, "lower").when(v >= high - tolerance, "upper").otherwise("interior")
+
+
+def half_unit(v: Column) -> Column:
+    """Half a unit in the sixth significant digit."""
+    return 0.5 * F.pow(F.lit(10.0), F.floor(F.log10(v * 1.0)) - 5)
+
+
+def intersect(*boxes: tuple[float, float]) -> tuple[float, float]:
+    """The interval that all intervals share; an error if there is none."""
+    low, high = max(b[0] for b in boxes), min(b[1] for b in boxes)
+    if low > high:
+        raise ValueError("the intervals have nothing in common")
+    return low, high
+
+
+def signature(part: Column) -> Column:
+    """Aggregate: the sorted parts of a group, joined. For groups with few distinct parts."""
+    return F.array_join(F.array_sort(F.collect_list(part)), ";")

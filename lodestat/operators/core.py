@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,31 +17,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once: written to the folder that spark.checkpoint.dir names and read again, so that no later step or lost executor computes it anew; where none is named, persisted."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{root.rstrip('/')}/lodestat-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most `limit` rows, else df for a shuffle join."""
+    """df, computed once, with a broadcast hint if a count shows that it has at most `limit` rows, else for a shuffle join."""
+    df = stored(df)
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def prefix_sums(df: DataFrame, by: list[str], order: str, weight: str, bins: int = 64) -> DataFrame:
+def _same(by: list[str], mark: str) -> Column:
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{mark}{c}"))
+    return same
+
+
+def prefix_sums(df: DataFrame, by: list[str], order: str, weight: str | list[str], bins: int = 64, following: bool = False) -> DataFrame:
     """df with `__below` (sum of weight over smaller `order` in the group) and `__upto` (over equal ones too). One row a value in each group.
 
-    A window over a whole group would sort it in one task. Here groups are cut into bins at approximate quantiles, bins are
-    summed, and only rows of a bin are sorted together; any cut gives the same sums.
+    Of several weights each has its own, `__below_w` and `__upto_w`; with `following` there is `__next`, the next larger `order` of the group. A window over a whole
+    group would sort it in one task. Here groups are cut into bins at approximate quantiles, bins are summed, and only rows of a bin are sorted together; any cut gives the same sums.
     """
+    weights = [weight] if isinstance(weight, str) else weight
+    df = stored(df)
     cuts = df.groupBy(*by).agg(F.percentile_approx(order, [k / bins for k in range(1, bins)], 1000).alias("__cuts"))
     cuts = cuts.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__cuts")
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    df = df.join(small(cuts), same, "left").drop(*[f"__k_{c}" for c in by])
+    df = df.join(small(cuts), _same(by, "__k_"), "left").drop(*[f"__k_{c}" for c in by])
     df = df.withColumn("__bin", F.size(F.filter("__cuts", lambda x: x < F.col(order)))).drop("__cuts")
-    sums = df.groupBy(*by, "__bin").agg(F.sum(weight).alias("__sum"))
-    before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__bin").alias("__k_bin"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(*by, "__bin").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.join(small(sums), same & (F.col("__bin") == F.col("__k_bin")), "left")
-    upto = F.col("__start") + F.sum(weight).over(within)
-    return df.withColumn("__upto", upto).withColumn("__below", F.col("__upto") - F.col(weight)).drop("__bin", "__start", "__k_bin", *[f"__k_{c}" for c in by])
+    sums = df.groupBy(*by, "__bin").agg(*[F.sum(w).alias(f"__sum_{w}") for w in weights], F.min(order).alias("__first"))
+    at = Window.partitionBy(*by).orderBy("__bin")  # at most `bins` rows a group
+    starts = [F.coalesce(F.sum(f"__sum_{w}").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__start_{w}") for w in weights]
+    sums = sums.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__bin").alias("__k_bin"), *starts, F.lead("__first").over(at).alias("__then"))
+    inner = Window.partitionBy(*by, "__bin").orderBy(order)
+    df = df.join(small(sums), _same(by, "__k_") & (F.col("__bin") == F.col("__k_bin")), "left")
+    for w in weights:
+        name = "" if isinstance(weight, str) else f"_{w}"
+        df = df.withColumn(f"__upto{name}", F.col(f"__start_{w}") + F.sum(w).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        df = df.withColumn(f"__below{name}", F.col(f"__upto{name}") - F.col(w))
+    if following:
+        df = df.withColumn("__next", F.coalesce(F.lead(order).over(inner), F.col("__then")))
+    return df.drop("__bin", "__k_bin", "__then", *[f"__start_{w}" for w in weights], *[f"__k_{c}" for c in by])
 
 
 def rounded(col: str | Column, digits: int = 6) -> Column:

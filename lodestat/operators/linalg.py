@@ -78,3 +78,19 @@ def leave_one_out(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     j = df.join(F.broadcast(sums) if not by else sums, same)
     e = (F.col(y) - F.col("level") - F.col("slope") * F.col(x)) / (1 - 1 / F.col("n") - F.try_divide((F.col(x) - F.col("mx")) * (F.col(x) - F.col("mx")), F.col("sxx")))
     return j.groupBy(*by, "n").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+
+
+def compare(df: DataFrame, simple: list[str], rich: list[str], y: str, fold: str, gain: float, wins: int) -> dict:
+    """Cross-validated errors of a simple and a richer least-squares model of y, and which is selected: the richer only if it gains a share of the error and wins so many folds."""
+    out, every = {}, list(dict.fromkeys([*simple, *rich]))
+    sums = gram(df, every, [y], [fold])
+    total = sum(sums.values())
+    sse = {}
+    for name, x in (("simple", simple), ("rich", rich)):
+        at = [0, *[1 + every.index(c) for c in x], len(every) + 1]
+        part = lambda m, at=at: m[np.ix_(at, at)]
+        sse[name] = {k: squared_error(part(m), len(x), 0, ridge_from(part(total - m), len(x), 0, 0.0)) for k, m in sums.items()}
+        out[f"rmse_{name}"] = float(np.sqrt(max(0.0, sum(sse[name].values())) / total[0, 0]))
+    out["gain"] = 1 - out["rmse_rich"] / out["rmse_simple"] if out["rmse_simple"] else 0.0
+    out["fold_wins"] = sum(sse["rich"][k] < sse["simple"][k] for k in sums)
+    return out | {"selected": "rich" if out["gain"] >= gain and out["fold_wins"] >= wins else "simple"}

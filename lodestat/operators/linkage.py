@@ -56,3 +56,31 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 def fingerprint(df: DataFrame) -> Column:
     """Aggregate that is the same for the same rows in any order."""
     return F.concat_ws("/", F.count("*"), F.hex(F.bit_xor(F.xxhash64(*df.columns))), F.sum(F.pmod(F.xxhash64(F.lit(7), *df.columns), F.lit(1_000_000_007))))
+
+
+def variants(df: DataFrame, rules: dict[str, Column], switches: dict[str, list[str]]) -> DataFrame:
+    """df with `variant`, a row for each variant that admits it: variants name the rules that hold in them. One pass; a rule that is null fails."""
+    admits = []
+    for name, on in switches.items():
+        ok = F.lit(True)
+        for r in on:
+            ok = ok & F.coalesce(rules[r], F.lit(False))
+        admits.append(F.when(ok, F.lit(name)))
+    return df.withColumn("variant", F.explode(F.array_compact(F.array(*admits))))
+
+
+def bridge_forms(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(form, loo_rmse, within_one_se, selected) of y (0 to 100) from x: constant, linear and logit, each row predicted from the others by leverages. Selected is the simplest within one standard error of the best."""
+    odds = F.log(F.col(y) / (100 - F.col(y)))
+    s = df.agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.regr_sxx(y, x).alias("sxx"), F.sum(y).alias("sy"), F.regr_slope(odds, F.col(x)).alias("lb"), F.regr_intercept(odds, F.col(x)).alias("la"))
+    j = df.join(F.broadcast(s))  # one row
+    rest = 1 - 1 / F.col("n") - (F.col(x) - F.col("mx")) * (F.col(x) - F.col("mx")) / F.col("sxx")
+    logit = odds - (odds - F.col("la") - F.col("lb") * F.col(x)) / rest
+    errors = {"constant": F.col(y) - (F.col("sy") - F.col(y)) / (F.col("n") - 1), "linear": (F.col(y) - F.col("a") - F.col("b") * F.col(x)) / rest, "logit": F.col(y) - 100 / (1 + F.exp(-logit))}
+    j = j.select(*[e.alias(k) for k, e in errors.items()])
+    one = j.agg(*[f.alias(f"{p}_{k}") for k in errors for p, f in (("m", F.avg(F.col(k) * F.col(k))), ("s", F.stddev_samp(F.col(k) * F.col(k)) / F.sqrt(F.count(k))))])
+    best = F.array_min(F.array(*[F.struct(F.col(f"m_{k}").alias("m"), F.col(f"s_{k}").alias("s")) for k in errors]))
+    one = one.withColumn("bar", best["m"] + best["s"])
+    chosen = F.coalesce(*[F.when(F.col(f"m_{k}") <= F.col("bar"), F.lit(k)) for k in errors])
+    rows = F.array(*[F.struct(F.lit(k).alias("form"), F.sqrt(f"m_{k}").alias("loo_rmse"), (F.col(f"m_{k}") <= F.col("bar")).alias("within_one_se"), (chosen == k).alias("selected")) for k in errors])
+    return one.select(F.explode(rows).alias("r")).select("r.*")

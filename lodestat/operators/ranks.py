@@ -6,9 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestat.operators.core import prefix_sums, small
+from lodestat.operators.core import prefix_sums, small, stored
 
 
 def value_counts(long: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -65,17 +64,31 @@ def spearman_pairs(long: DataFrame, key: str, name: str, value: str, names: list
 def distances(long: DataFrame, by: list[str], sample: str, first: str, second: str, value: str) -> DataFrame:
     """(by, ks, wasserstein) between two samples: running counts over distinct values, their largest gap and the area between them."""
     counts = long.filter(F.col(sample).isin(first, second) & F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(sample) == first).alias("__a"), F.count_if(F.col(sample) == second).alias("__b"))
-    ranked = prefix_sums(counts, by, value, "__a").withColumnRenamed("__upto", "__fa").drop("__below")
-    ranked = prefix_sums(ranked, by, value, "__b").withColumnRenamed("__upto", "__fb").drop("__below")
+    ranked = prefix_sums(counts, by, value, ["__a", "__b"], following=True)
     totals = counts.groupBy(*by).agg(F.sum("__a").alias("__na"), F.sum("__b").alias("__nb")).select(*[F.col(c).alias(f"__t_{c}") for c in by], "__na", "__nb")
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__t_{c}"))
+    gap = F.abs(F.col("__upto___a") / F.col("__na") - F.col("__upto___b") / F.col("__nb"))
     ranked = ranked.join(small(totals), same)
-    gap = F.abs(F.col("__fa") / F.col("__na") - F.col("__fb") / F.col("__nb"))
-    # the next value: neighbours only, cut at the same bins by an order within each group
-    nxt = F.lead(value).over(Window.partitionBy(*by).orderBy(value)) if by else F.lead(value).over(Window.orderBy(value))
-    return ranked.withColumn("__next", nxt).groupBy(*by).agg(F.max(gap).alias("ks"), F.coalesce(F.sum(gap * (F.col("__next") - F.col(value))), F.lit(0.0)).alias("wasserstein"))
+    return ranked.groupBy(*by).agg(F.max(gap).alias("ks"), F.coalesce(F.sum(gap * (F.col("__next") - F.col(value))), F.lit(0.0)).alias("wasserstein"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """(by, n, a column for each of probs): exact quantiles, between order statistics by proportion. Null values do not count.
+
+    The order statistics are looked up among running counts of distinct values, so no task holds the values of a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
+    ranked = stored(prefix_sums(counts, by, value, "__c"))
+    n = ranked.groupBy(*by).agg(F.sum("__c").alias("n")).select(*[F.col(c).alias(f"__t_{c}") for c in by], "n")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__t_{c}"))
+    at = {k: (F.col("n") - 1) * F.lit(float(p)) for k, p in probs.items()}
+    stands = lambda place: F.max(F.when((F.col("__below") <= place) & (place < F.col("__upto")), F.col(value)))
+    found = ranked.join(small(n), same).groupBy(*by, "n").agg(*[stands(g(h)).alias(f"__{w}_{k}") for k, h in at.items() for w, g in (("low", F.floor), ("high", F.ceil))])
+    return found.select(*by, "n", *[(F.col(f"__low_{k}") + (h - F.floor(h)) * (F.col(f"__high_{k}") - F.col(f"__low_{k}"))).alias(k) for k, h in at.items()])
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestat.functions.columns import hash_draw
-from lodestat.operators.core import small
+from lodestat.functions.columns import hash_draw, poisson_weight
+from lodestat.operators.core import small, stored
+from lodestat.operators.ranks import quantiles
 
 
 def draws(units: DataFrame, group: str | None, unit: str, replicates: int, seed: int) -> DataFrame:
@@ -30,9 +31,9 @@ def draws(units: DataFrame, group: str | None, unit: str, replicates: int, seed:
 def ratio_interval(clusters: DataFrame, group: str, unit: str, total: str, count: str, replicates: int, seed: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(group, mean, low, high, replicates) of sum(total) / sum(count) with units resampled in each group."""
     boot = draws(clusters.select(group, unit, total, count), group, unit, replicates, seed).groupBy(group, "replicate").agg((F.sum(total) / F.sum(count)).alias("__m"))
-    boot = boot.groupBy(group).agg(F.percentile("__m", [low, high]).alias("__p"), F.count("*").alias("replicates"))
+    boot = quantiles(boot, [group], "__m", {"low": low, "high": high}).withColumnRenamed("n", "replicates")
     mean = clusters.groupBy(F.col(group).alias("__g")).agg((F.sum(total) / F.sum(count)).alias("mean"))
-    return boot.join(small(mean), F.col(group).eqNullSafe(F.col("__g"))).select(group, "mean", F.col("__p")[0].alias("low"), F.col("__p")[1].alias("high"), "replicates")
+    return boot.join(small(mean), F.col(group).eqNullSafe(F.col("__g"))).select(group, "mean", "low", "high", "replicates")
 
 
 def bootstrap(units: DataFrame, unit: str, statistic: Callable[[pd.DataFrame], dict[str, float]], names: list[str], replicates: int, seed: int) -> DataFrame:
@@ -47,3 +48,59 @@ def bootstrap(units: DataFrame, unit: str, statistic: Callable[[pd.DataFrame], d
 
     schema = "replicate int, " + ", ".join(f"{n} double" for n in names)
     return draws(units, None, unit, replicates, seed).groupBy("replicate").applyInPandas(one, schema)
+
+
+def row_interval(df: DataFrame, by: list[str], key: str, value: str, replicates: int, seed: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(by, replicates, mean, low, high) of the mean of value with rows resampled: each row weighs by a Poisson number that its key's hash decides, so tasks sum all replicates of their rows."""
+    each = df.select(*by, F.col(value).alias("__v"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.struct(r.alias("rep"), poisson_weight(seed, r, F.col(key)).alias("w")))).alias("__r"))
+    boot = each.groupBy(*by, F.col("__r.rep").alias("__rep")).agg(F.try_divide(F.sum(F.col("__r.w") * F.col("__v")), F.sum("__r.w")).alias("__m"))
+    q = quantiles(boot, by, "__m", {"low": low, "high": high}).withColumnRenamed("n", "replicates")
+    mean = df.groupBy(*[F.col(c).alias(f"__g_{c}") for c in by]).agg(F.avg(value).alias("mean"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    return q.join(small(mean), same).select(*by, "replicates", "mean", "low", "high")
+
+
+def overlap_interval(first: DataFrame, second: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """(identities, shared, clashes, difference, low, high) of mean(first) - mean(second), the union of identities resampled. A clash is a shared identity with two values; the first's counts."""
+    a, b = first.select(F.col(key).alias("__ka"), F.col(value).alias("__va")), second.select(F.col(key).alias("__kb"), F.col(value).alias("__vb"))
+    u = a.join(b, F.col("__ka") == F.col("__kb"), "full")
+    ina, inb = F.col("__ka").isNotNull(), F.col("__kb").isNotNull()
+    u = stored(u.select(F.coalesce("__ka", "__kb").alias("k"), F.coalesce("__va", "__vb").alias("v"), ina.alias("a"), inb.alias("b"), (ina & inb & ~F.col("__va").eqNullSafe(F.col("__vb"))).alias("clash")))
+    each = u.select("v", "a", "b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.struct(r.alias("rep"), poisson_weight(seed, r, F.col("k")).alias("w")))).alias("r")).select("v", "a", "b", "r.*")
+    mean = lambda c: F.try_divide(F.sum(F.when(F.col(c), F.col("w") * F.col("v"))), F.sum(F.when(F.col(c), F.col("w"))))
+    q = quantiles(each.groupBy("rep").agg((mean("a") - mean("b")).alias("d")), [], "d", {"low": 0.025, "high": 0.975}).drop("n")
+    point = u.agg(F.count("*").alias("identities"), F.count_if(F.col("a") & F.col("b")).alias("shared"), F.count_if("clash").alias("clashes"), (F.avg(F.when(F.col("a"), F.col("v"))) - F.avg(F.when(F.col("b"), F.col("v")))).alias("difference"))
+    return point.join(F.broadcast(q))  # one row by one row
+
+
+def forecast(df: DataFrame, t: str, y: str, scenarios: dict[str, float], horizons: list[int], replicates: int, seed: int) -> DataFrame:
+    """(scenario, horizon, central, low, high, noise_sd): a linear trend from its last time on. A scenario multiplies the rate, if that is positive; bands come from rows resampled. df: grouped rows, one a time."""
+    fit = df.agg(F.max(t).alias("last"), F.regr_slope(y, t).alias("g"), F.regr_intercept(y, t).alias("a"))
+    each = df.join(F.broadcast(fit))  # one row
+    e = F.col(y) - F.col("a") - F.col("g") * F.col(t)
+    noise = each.agg(F.sqrt(F.sum(e * e) / (F.count("*") - 2)).alias("noise_sd"))
+    cases = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(float(m)).alias("mult"), F.lit(h).alias("horizon")) for k, m in scenarios.items() for h in horizons])).alias("c")
+    ahead = lambda: F.col("a") + F.col("g") * F.col("last") + F.col("g") * F.when(F.col("g") > 0, F.col("mult")).otherwise(1.0) * F.col("horizon")
+    central = fit.select("a", "g", "last", cases).select("a", "g", "last", "c.*").select("scenario", "horizon", ahead().alias("central"))
+    boot = draws(df, None, t, replicates, seed).groupBy("replicate").agg(F.regr_slope(y, t).alias("g"), F.regr_intercept(y, t).alias("a"))
+    boot = boot.join(F.broadcast(fit.select("last"))).select("a", "g", "last", cases).select("a", "g", "last", "c.*").select("scenario", "horizon", ahead().alias("v"))
+    q = quantiles(boot, ["scenario", "horizon"], "v", {"low": 0.025, "high": 0.975}).drop("n")
+    return q.join(small(central), ["scenario", "horizon"]).join(F.broadcast(noise))
+
+
+def leave_level_out(df: DataFrame, level: str, x: str, y: str) -> DataFrame:
+    """(level, n, slope, rmse, baseline_rmse): each level predicted by a line, and by the mean, of the other levels. One aggregation by level; levels are few."""
+    p = {"n": F.count(y), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(F.col(x) * F.col(x)), "sxy": F.sum(F.col(x) * F.col(y)), "syy": F.sum(F.col(y) * F.col(y))}
+    s = stored(df.groupBy(level).agg(*[v.alias(k) for k, v in p.items()]))
+    j = s.join(F.broadcast(s.agg(*[F.sum(k).alias(f"t_{k}") for k in p])))  # one row
+    c = {k: F.col(k) for k in p}
+    r = {k: F.col(f"t_{k}") - F.col(k) for k in p}
+    slope = (r["sxy"] - r["sx"] * r["sy"] / r["n"]) / (r["sxx"] - r["sx"] * r["sx"] / r["n"])
+    j = j.withColumn("slope", slope).withColumn("mean", r["sy"] / r["n"]).withColumn("level_", (r["sy"] - F.col("slope") * r["sx"]) / r["n"])
+    a, b = F.col("level_"), F.col("slope")
+    line = c["syy"] - 2 * (a * c["sy"] + b * c["sxy"]) + c["n"] * a * a + 2 * a * b * c["sx"] + b * b * c["sxx"]
+    flat = c["syy"] - 2 * F.col("mean") * c["sy"] + c["n"] * F.col("mean") * F.col("mean")
+    root = lambda v: F.sqrt(F.greatest(F.lit(0.0), v) / c["n"])
+    return j.select(level, "n", "slope", root(line).alias("rmse"), root(flat).alias("baseline_rmse"))

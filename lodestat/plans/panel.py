@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lodestat.functions import columns as C
 from lodestat.operators import aggregates, linkage, ranks
-from lodestat.operators.core import rounded, small, table
+from lodestat.operators.core import rounded, small, stored, table
 from lodestat.plans.registry import query
 
 _KEY = "nullif(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"
@@ -167,7 +167,7 @@ def monthly_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frontier_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders at or over the 90th percentile of their own month, of months with 20 or more; the percentiles are aggregated and joined, not windowed."""
     m = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_totalprice").alias("v"), F.col("o_orderstatus").alias("status"))
-    p = m.groupBy(F.col("month").alias("mm")).agg(F.percentile("v", 0.9).alias("p90"), F.count("*").alias("c")).filter("c >= 20")
+    p = ranks.quantiles(m, ["month"], "v", {"p90": 0.9}).filter("n >= 20").select(F.col("month").alias("mm"), "p90")
     return m.join(small(p), F.col("month") == F.col("mm")).filter("v >= p90").groupBy("month", "status").agg(F.count("*").alias("n_frontier"), rounded(F.avg("v"), 6).alias("mean_v"))
 
 
@@ -191,7 +191,7 @@ def rolling_origin_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six months ahead from every origin with six months or more behind it: last value and linear trend. Months are grouped first, so the join is over months."""
     m = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice")
     k = (F.substring("month", 1, 4).cast("int") - 1995) * 12 + F.substring("month", 6, 2).cast("int")
-    b = m.groupBy("month").agg(F.percentile("o_totalprice", 0.9).alias("p90"), F.count("*").alias("n")).filter("n >= 20").select(k.alias("k"), "p90")
+    b = stored(ranks.quantiles(m, ["month"], "o_totalprice", {"p90": 0.9}).filter("n >= 20").select(k.alias("k"), "p90"))
     t = b.select(F.col("k").alias("tk"), F.col("p90").alias("actual"))
     fit = F.regr_slope("p90", "k") * F.col("tk") + F.regr_intercept("p90", "k")
     o = t.join(small(b), F.col("k") <= F.col("tk") - 6).groupBy("tk", "actual").agg(F.count("*").alias("n_train"), F.max_by("p90", "k").alias("persistence"), fit.alias("trend")).filter("n_train >= 6")
@@ -223,8 +223,9 @@ def variance_decomposition_icc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def within_group_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
     s = cells.groupBy("user_id").agg(F.count("*").alias("c"), F.stddev_samp("v").alias("sd"), (F.max("v") - F.min("v")).alias("spread")).filter("c >= 2")
-    p = F.percentile("sd", [0.25, 0.5, 0.75])
-    return s.agg(F.count("*").alias("n"), *[rounded(p[i], 5).alias(k) for i, k in enumerate(("q1", "median", "q3"))], rounded(F.max("spread"), 5).alias("widest"))
+    s = stored(s)
+    q = ranks.quantiles(s, [], "sd", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return q.join(F.broadcast(s.agg(F.max("spread").alias("widest")))).select("n", *[rounded(k, 5).alias(k) for k in ("q1", "median", "q3")], rounded("widest", 5).alias("widest"))  # one row by one row
 
 
 @query(
@@ -248,8 +249,11 @@ def reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("rebuilt"))
     j = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderpriority").alias("priority"), F.abs(F.col("rebuilt") - F.col("o_totalprice")).alias("d"))
     share = F.avg((F.col("d") <= 50000).cast("int"))
-    p = F.percentile("d", [0.5, 0.95])
-    return j.groupBy("priority").agg(F.count("*").alias("n"), rounded(F.avg("d"), 3).alias("mean_delta"), rounded(p[0], 3).alias("median_delta"), rounded(p[1], 3).alias("p95_delta"), rounded(share).alias("share_within"), F.when(share >= 0.95, "reconciled").otherwise("quarantined").alias("verdict"))
+    j = stored(j)
+    q = ranks.quantiles(j, ["priority"], "d", {"median_delta": 0.5, "p95_delta": 0.95}).drop("n").withColumnRenamed("priority", "pr")
+    out = j.groupBy("priority").agg(F.count("*").alias("n"), F.avg("d").alias("mean_delta"), share.alias("share")).join(small(q), F.col("priority").eqNullSafe(F.col("pr")))
+    share = F.col("share")
+    return out.select("priority", "n", *[rounded(c, 3).alias(c) for c in ("mean_delta", "median_delta", "p95_delta")], rounded(share).alias("share_within"), F.when(share >= 0.95, "reconciled").otherwise("quarantined").alias("verdict"))
 
 
 @query(

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.functions import columns as C
 from lodestat.operators import ranks, resample
-from lodestat.operators.core import rounded, small, table, unpivot
+from lodestat.operators.core import rounded, small, stored, table, unpivot
 from lodestat.plans.registry import query
 
 INDICATORS = ["words", "word_length", "unique_share", "digit_share", "upper_share", "line_ends"]
@@ -23,9 +22,10 @@ def indicators(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "lang", "source", text.alias("text"), w.alias("w"))
     n, size = F.size("w"), F.length("text")
     count = lambda p: F.regexp_count("text", F.lit(p))
+    among = lambda chars: size - F.length(F.translate("text", chars, ""))
     return docs.select(
-        "doc_id", "lang", "source", n.cast("double").alias("words"), C.desirable(F.try_divide(count(r"\S"), n), 3, 10).alias("word_length"), F.try_divide(F.size(F.array_distinct("w")), n).alias("unique_share"),
-        F.try_divide(count("[0-9]"), size).alias("digit_share"), F.try_divide(count("[A-Z]"), size).alias("upper_share"), F.try_divide(count(r"[.!?]\n"), count(r"\n") + 1).alias("line_ends"),
+        "doc_id", "lang", "source", n.cast("double").alias("words"), C.desirable(F.try_divide(F.length(F.array_join("w", "")), n), 3, 10).alias("word_length"), F.try_divide(F.size(F.array_distinct("w")), n).alias("unique_share"),
+        F.try_divide(among("0123456789"), size).alias("digit_share"), F.try_divide(among("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), size).alias("upper_share"), F.try_divide(count(r"[.!?]\n"), count(r"\n") + 1).alias("line_ends"),
     )
 
 
@@ -52,7 +52,7 @@ q AS (SELECT *, (words + (word_length + digit_share + upper_share) / 3 + (unique
 
 def scores(docs: DataFrame) -> DataFrame:
     """Indicators as mid-rank scores in [0, 1], lower-is-better ones turned round, and q, their family-balanced mean. Complete rows only."""
-    ind = indicators(docs).na.drop(subset=INDICATORS).persist(StorageLevel.MEMORY_AND_DISK)  # six numbers a document, read several times
+    ind = stored(indicators(docs)).na.drop(subset=INDICATORS)  # six numbers a document; the drop must not reach the texts' expressions
     long = unpivot(ind, ["doc_id", "lang", "source"], INDICATORS, "indicator", "value")
     scored = ranks.midrank(long, ["indicator"], "value", "s")
     wide = scored.groupBy("doc_id", "lang", "source").agg(*[F.max(F.when(F.col("indicator") == n, (1 - F.col("s")) if n in LOWER else F.col("s"))).alias(n) for n in INDICATORS])
@@ -79,11 +79,12 @@ FROM g, (VALUES (0.1), (0.3), (0.5), (0.7), (0.9)) t(threshold) GROUP BY thresho
 def quality_conflict_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a document's indicators lie apart: shares over thresholds, and quantiles of the spread. One aggregation for all thresholds."""
     every = [F.col(n) for n in INDICATORS]
-    spread = scores(table(spark, sf_dir, "documents")).select((F.greatest(*every) - F.least(*every)).alias("spread"))
+    spread = stored(scores(table(spark, sf_dir, "documents")).select((F.greatest(*every) - F.least(*every)).alias("spread")))
     marks = [0.1, 0.3, 0.5, 0.7, 0.9]
-    one = spread.agg(*[F.avg((F.col("spread") >= t).cast("int")).alias(f"r{i}") for i, t in enumerate(marks)], F.percentile("spread", [0.5, 0.9, 0.95]).alias("p"))
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"r{i}").alias("rate")) for i, t in enumerate(marks)])).alias("x"), "p")
-    return rows.select("x.threshold", rounded("x.rate").alias("rate"), *[rounded(F.col("p")[i]).alias(f"spread_{k}") for i, k in enumerate((50, 90, 95))])
+    one = spread.agg(*[F.avg((F.col("spread") >= t).cast("int")).alias(f"r{i}") for i, t in enumerate(marks)])
+    q = ranks.quantiles(spread, [], "spread", {f"spread_{k}": k / 100 for k in (50, 90, 95)}).drop("n")
+    rows = one.join(F.broadcast(q)).select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"r{i}").alias("rate")) for i, t in enumerate(marks)])).alias("x"), *q.columns)  # one row by one row
+    return rows.select("x.threshold", rounded("x.rate").alias("rate"), *[rounded(c).alias(c) for c in q.columns])
 
 
 _RANK = "rk AS (SELECT doc_id, indicator, rank() OVER (PARTITION BY indicator ORDER BY value) + (count(*) OVER (PARTITION BY indicator, value) - 1) / 2.0 AS r FROM long)"
@@ -96,7 +97,7 @@ SELECT a, b, round(rho, 6) AS rho, CASE WHEN rho <= -0.3 THEN 'antagonistic' WHE
 )
 def indicator_spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of every pair of indicators and what it amounts to."""
-    long = unpivot(indicators(table(spark, sf_dir, "documents")).na.drop(subset=INDICATORS).persist(StorageLevel.MEMORY_AND_DISK), ["doc_id"], INDICATORS, "indicator", "value")
+    long = unpivot(stored(indicators(table(spark, sf_dir, "documents"))).na.drop(subset=INDICATORS), ["doc_id"], INDICATORS, "indicator", "value")
     out = ranks.spearman_pairs(long, "doc_id", "indicator", "value", sorted(INDICATORS))
     kind = F.when(F.col("rho").isNull(), "undefined").when(F.col("rho") <= -0.3, "antagonistic").when(F.col("rho") >= 0.3, "redundant").otherwise("weak")
     return out.select("a", "b", rounded("rho").alias("rho"), kind.alias("association"))
