@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestat.functions import columns as C
-from lodestat.operators import aggregates, allocation, linalg, optim
-from lodestat.operators.core import rounded, small, table, unpivot
+from lodestat.operators import aggregates, allocation, linalg, optim, ranks
+from lodestat.operators.core import rounded, small, stored, table, unpivot
 from lodestat.plans.registry import query
 
 _P = "1.68982::DOUBLE AS e, 406.268::DOUBLE AS a, 0.339983::DOUBLE AS al, 409.744::DOUBLE AS b, 0.279888::DOUBLE AS be"
@@ -199,7 +199,16 @@ def loo_corner_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
 FAMILIES = [("exponential", 1e7, 6.0), ("power", 5e9, 4.0), ("logarithmic", 2e9, 10.0)]
 
 
-@query()
+_FAMILY = "CASE {0}.kind WHEN 'exponential' THEN {0}.gamma * exp({0}.lam * {1}) WHEN 'power' THEN {0}.gamma * pow({1}, {0}.lam) ELSE {0}.gamma * ln(1 + {0}.lam * {1}) END"
+_GAP = f"ln({_FAMILY.format('a', '{0}')}) - ln({_FAMILY.format('b', '{0}')})"
+
+
+@query(
+    f"""WITH RECURSIVE fam AS (SELECT * FROM (VALUES ('exponential', 1e7, 6.0::DOUBLE), ('power', 5e9, 4.0::DOUBLE), ('logarithmic', 2e9, 10.0::DOUBLE)) f(kind, gamma, lam)), cell AS (SELECT a.kind AS first, b.kind AS second, pow(10.0, i / 100.0 - 5) AS lo, pow(10.0, (i + 1) / 100.0 - 5) AS hi FROM fam a, fam b, (SELECT unnest(generate_series(0, 499)) AS i) WHERE a.kind < b.kind),
+h AS (SELECT first, second, lo, hi, 0 AS step FROM cell JOIN fam a ON a.kind = first JOIN fam b ON b.kind = second WHERE sign({_GAP.format('lo')}) <> sign({_GAP.format('hi')})
+UNION ALL SELECT first, second, CASE WHEN sign({_GAP.format('lo')}) * sign({_GAP.format('((lo + hi) / 2)')}) <= 0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN sign({_GAP.format('lo')}) * sign({_GAP.format('((lo + hi) / 2)')}) <= 0 THEN (lo + hi) / 2 ELSE hi END, step + 1 FROM h JOIN fam a ON a.kind = first JOIN fam b ON b.kind = second WHERE step < 60)
+SELECT first, second, round((lo + hi) / 2, 12) AS q FROM h WHERE step = 60"""
+)
 def cost_family_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualities at which two cost families cost the same: sign changes on a grid, each halved to the root."""
     fam = spark.createDataFrame(FAMILIES, "kind string, gamma double, lam double")
@@ -209,7 +218,7 @@ def cost_family_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = lambda q: F.log(allocation.cost_family(F.col("a_kind"), q, F.col("a_gamma"), F.col("a_lam"))) - F.log(allocation.cost_family(F.col("b_kind"), q, F.col("b_gamma"), F.col("b_lam")))
     cells = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(499)))).withColumn("low", F.pow(F.lit(10.0), F.col("i") / 100 - 5)).withColumn("high", F.pow(F.lit(10.0), (F.col("i") + 1) / 100 - 5))
     cells = cells.filter(F.signum(gap(F.col("low"))) != F.signum(gap(F.col("high"))))
-    return cells.select(F.col("a_kind").alias("first"), F.col("b_kind").alias("second"), allocation.bisect(F.col("low"), F.col("high"), gap).alias("q"))
+    return cells.select(F.col("a_kind").alias("first"), F.col("b_kind").alias("second"), rounded(allocation.bisect(F.col("low"), F.col("high"), gap), 12).alias("q"))
 
 
 @query()
@@ -221,9 +230,48 @@ def law_fit_multistart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("b.*", "objective", "starts")
 
 
+@query("SELECT 108::BIGINT AS starts, 1.7::DOUBLE AS e, 0.34::DOUBLE AS alpha, 0.3::DOUBLE AS beta, true AS exact")
+def law_fit_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the fit finds the law that made its data: as many digits as the smallest tables determine."""
+    b = law_fit_multistart(spark, sf_dir)
+    return b.select("starts", rounded("E", 1).alias("e"), rounded("alpha", 2).alias("alpha"), rounded("beta", 1).alias("beta"), (F.col("objective") < 1e-9).alias("exact"))
+
+
+@query(
+    """WITH m AS (SELECT o_orderpriority AS p, strftime(o_orderdate, '%Y-%m') AS month, quantile_cont(o_totalprice, 0.9) AS y FROM orders GROUP BY 1, 2), d AS (SELECT p, ((substr(month, 1, 4)::INT - 1995) * 12 + substr(month, 6, 2)::INT)::DOUBLE AS x, y FROM m),
+l AS (SELECT a.p, (b.y - a.y) / (b.x - a.x) AS slope, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS level FROM d a JOIN d b ON a.p = b.p AND a.x < b.x), e AS (SELECT l.p, slope, level, sum(CASE WHEN y - level - slope * x >= 0 THEN 0.9 * (y - level - slope * x) ELSE -0.1 * (y - level - slope * x) END) AS loss FROM l JOIN d ON l.p = d.p GROUP BY 1, 2, 3)
+SELECT p AS o_orderpriority, (SELECT count(*) FROM d WHERE d.p = e.p) AS n, round(min(loss), 2) AS loss FROM e GROUP BY p"""
+)
+def quantile_line_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exact quantile line of each priority loses, which no line through two months undercuts."""
+    o = stored(_monthly_best(spark, sf_dir))
+    line = optim.quantile_fits(o, "o_orderpriority", "x", "y", 0.9).withColumnRenamed("o_orderpriority", "p")
+    r = F.col("y") - F.col("level") - F.col("slope") * F.col("x")
+    return o.join(small(line), F.col("o_orderpriority") == F.col("p")).groupBy("o_orderpriority", "n").agg(rounded(F.sum(F.when(r >= 0, 0.9 * r).otherwise(-0.1 * r)), 2).alias("loss"))
+
+
+def _monthly_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("m"), "o_totalprice")
+    y = ranks.quantiles(o, ["o_orderpriority", "m"], "o_totalprice", {"y": 0.9})
+    return y.select("o_orderpriority", "y", ((F.substring("m", 1, 4).cast("int") - 1995) * 12 + F.substring("m", 6, 2).cast("int")).cast("double").alias("x"))
+
+
+@query(
+    """WITH m AS (SELECT o_orderpriority AS p, strftime(o_orderdate, '%Y-%m') AS month, quantile_cont(o_totalprice, 0.9) AS y, avg(ln(o_custkey + 1)) AS x FROM orders GROUP BY 1, 2 HAVING count(*) >= 2), d AS (SELECT p, y, x, ((substr(month, 1, 4)::INT - 1995) * 12 + substr(month, 6, 2)::INT) / 12.0 AS t FROM m),
+c AS (SELECT p, count(*) AS n, covar_pop(x, y) AS xy, covar_pop(x, t) AS xt, covar_pop(t, y) AS ty, var_pop(x) AS xx, var_pop(t) AS tt FROM d GROUP BY p)
+SELECT p AS priority, n, round(ty / tt, 3) AS g_time, round((xy * tt - ty * xt) / (xx * tt - xt * xt) * xt / tt, 3) AS carried, round((ty - (xy * tt - ty * xt) / (xx * tt - xt * xt) * xt) / tt, 3) AS rest, n >= 30 AS eligible FROM c"""
+)
+def frontier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frontier's rate by priority, split into what another regressor carries and the rest; which priorities have months enough."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("m"), "o_totalprice", F.log(F.col("o_custkey") + 1).alias("lx"))
+    y = ranks.quantiles(o, ["o_orderpriority", "m"], "o_totalprice", {"y": 0.9}).filter("n >= 2").drop("n")
+    x = o.groupBy(F.col("o_orderpriority").alias("xp"), F.col("m").alias("xm")).agg(F.avg("lx").alias("x"))
+    d = y.join(small(x), (F.col("o_orderpriority") == F.col("xp")) & (F.col("m") == F.col("xm"))).select(F.col("o_orderpriority").alias("priority"), "y", "x", (((F.substring("m", 1, 4).cast("int") - 1995) * 12 + F.substring("m", 6, 2).cast("int")) / 12).alias("t"))
+    out = linalg.exact_split(d, ["priority"], "y", "x", "t")
+    return out.select("priority", "n", rounded("g_time", 3).alias("g_time"), rounded(F.col("b") * F.col("s"), 3).alias("carried"), rounded("g", 3).alias("rest"), (F.col("n") >= 30).alias("eligible"))
+
+
 @query()
 def quantile_regression_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact 90 % quantile line of monthly best prices by priority."""
-    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(F.percentile("o_totalprice", 0.9).alias("y"))
-    o = o.withColumn("x", (F.substring("m", 1, 4).cast("int") - 1995) * 12 + F.substring("m", 6, 2).cast("int"))
-    return optim.quantile_fits(o, "o_orderpriority", "x", "y", 0.9)
+    return optim.quantile_fits(_monthly_best(spark, sf_dir), "o_orderpriority", "x", "y", 0.9)
