@@ -120,3 +120,63 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert once.count() == batch.select("event_id").distinct().count()
     events.to_parquet(events.first_seen(events.stream(spark, path), ["event_id"], "60 days"), str(tmp_path / "out"), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == once.count()
+
+
+def test_trusted_tables(spark, tmp_path):
+    from lodestat.operators.expect import ContractError
+    from lodestat.sources import tables
+
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return f"file://{tmp_path}/{name}"
+
+    log = put("log.csv", "N_params_B,loss\n0.07,3.1\n0.07,3.0\n0.41,2.7\n")
+    rows = tables.training_log(spark, log).collect()
+    assert {r.model_id for r in rows} == {"0.07", "0.41"} and {r.trust for r in rows} == {"observed"}
+    with pytest.raises(ContractError):
+        tables.training_log(spark, put("flat.csv", "N_params_B,loss\n0.07,3.1\n0.41,2.7\n"))
+    families = put("fam.csv", "family,loss\nPythia,3\nOther,2\n,1\n")
+    assert tables.cross_family(spark, families).count() == 2 and tables.cross_family(spark, families, ()).count() == 3
+    assert tables.graded(spark, put("g.csv", "q,loss,data_type\n0.5,3,calibrated\n")).first().trust == "mixed"
+    assert tables.graded(spark, families).first().trust == "semi_synthetic" and tables.estimates(spark, families).first().trust == "estimated"
+    assert tables.calibrated_log(spark, families).first().trust == "semi_synthetic" and tables.published(spark, families).first().trust == "observed"
+    assert [t.count() for t in tables.bridge_tables(spark, log, families)] == [3, 3]
+
+
+def test_domain_map(spark, tmp_path):
+    from lodestat.operators.expect import ContractError
+    from lodestat.sources import tables
+
+    path = tmp_path / "map.csv"
+    path.write_text("mixture_domain,quality_domain,mapping_type\na,x,direct\nb,(none),none\nc,y,inferred\n")
+    m = tables.domain_map(spark, f"file://{path}", ["a", "b", "c"])
+    assert {(r.domain, r.target) for r in m.collect()} == {("a", "x"), ("b", None), ("c", "y")}
+    for bad in (["a", "b"], ["a", "b", "c", "d"]):
+        with pytest.raises(ContractError):
+            tables.domain_map(spark, f"file://{path}", bad)
+    shares = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.3), (1, "c", 0.2), (2, "b", 1.0)], "index int, domain string, share double")
+    q = spark.createDataFrame([("x", 0.8), ("y", 0.1)], "target string, q double")
+    got = {r["index"]: (r.mass, r.quality) for r in tables.mapped_quality(shares, m, q).collect()}
+    assert got[1] == pytest.approx((0.7, 0.42 / 0.7)) and got[2] == (0.0, None)
+    with pytest.raises(Exception, match="no quality for y"):
+        tables.mapped_quality(shares, m, q.filter("target = 'x'")).collect()
+
+
+def test_handoffs(spark):
+    from lodestat.operators import allocation, handoff
+    from lodestat.operators.expect import ContractError
+
+    rows = spark.createDataFrame([("d", 0.5, 0.4, 0.6, 10, 0.9)], "domain string, q double, low double, high double, n long, coverage double")
+    h = handoff.build("quality", rows, "observed", "0" * 64)
+    assert h.columns == handoff.COLUMNS["quality"] and handoff.require_not_imputed(h, 0.8).count() == 1
+    for bad in (lambda: handoff.build("law", rows, "observed", "0" * 64), lambda: handoff.build("quality", rows, "hearsay", "0" * 64), lambda: handoff.build("quality", rows, "observed", "x"), lambda: handoff.require_not_imputed(h, 0.95), lambda: handoff.require_scale(h, 1e9, 1e6, 10)):
+        with pytest.raises(ContractError):
+            bad()
+    m = handoff.build("mixture", spark.createDataFrame([("t", "a", 0.1, "1M")], "target string, term string, value double, scope string"), "estimated", "f" * 64)
+    assert handoff.require_scope(m, "1M").count() == 1
+    with pytest.raises(ContractError):
+        handoff.require_scope(m, "1B")
+    record = handoff.allocation_records(allocation.solve(allocation.grid(spark, [1e21], [2048]))).first()
+    assert record.optimum.loss > 1.6 and record.regime.startswith("SATURATED")
+    reports = handoff.panel_reports(spark.createDataFrame([(1, "A", "2024-01-05"), (2, None, "2024-01-09")], "k int, s string, d string"), "k", "s", "d")
+    assert {(r.column, r.present) for r in reports["schema"].collect()} == {("k", 2), ("s", 1), ("d", 2)} and reports["dates"].first().n == 2
