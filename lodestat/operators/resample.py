@@ -104,3 +104,18 @@ def leave_level_out(df: DataFrame, level: str, x: str, y: str) -> DataFrame:
     flat = c["syy"] - 2 * F.col("mean") * c["sy"] + c["n"] * F.col("mean") * F.col("mean")
     root = lambda v: F.sqrt(F.greatest(F.lit(0.0), v) / c["n"])
     return j.select(level, "n", "slope", root(line).alias("rmse"), root(flat).alias("baseline_rmse"))
+
+
+def jackknife(df: DataFrame, by: list[str], block: str, x: str, y: str, least: int = 3) -> DataFrame:
+    """(by, left_out, slope, lowest, highest, jackknife_se, same_sign) of a line's slope with each block left out; blocks that leave fewer than `least` rows are not."""
+    p = {"n": F.count(y), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(F.col(x) * F.col(x)), "sxy": F.sum(F.col(x) * F.col(y))}
+    s = stored(df.groupBy(*by, block).agg(*[v.alias(k) for k, v in p.items()]))
+    t = s.groupBy(*[F.col(c).alias(f"__g_{c}") for c in by]).agg(*[F.sum(k).alias(f"t_{k}") for k in p])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    slope = lambda v: F.try_divide(v["sxy"] - v["sx"] * v["sy"] / v["n"], v["sxx"] - v["sx"] * v["sx"] / v["n"])
+    j = s.join(small(t), same).filter(F.col("t_n") - F.col("n") >= least)
+    j = j.withColumn("b", slope({k: F.col(f"t_{k}") for k in p})).withColumn("o", slope({k: F.col(f"t_{k}") - F.col(k) for k in p}))
+    low, high = F.min("o"), F.max("o")
+    return j.groupBy(*by).agg(F.count("*").alias("left_out"), F.first("b").alias("slope"), low.alias("lowest"), high.alias("highest"), F.sqrt((F.count("*") - 1) * F.var_pop("o")).alias("jackknife_se"), (low * high > 0).alias("same_sign"))

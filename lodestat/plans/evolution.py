@@ -325,3 +325,31 @@ def parameter_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = stored(power_profile(p, "n", "y", [0.3 * f for f in factors]))
     least = r.agg(F.min("rss").alias("least"))
     return r.join(F.broadcast(least)).select(F.round(F.col("c") / 0.3, 6).alias("factor"), rounded("a", 3).alias("e"), rounded("b", 3).alias("a"), rounded(F.col("rss") / F.col("least") - 1).alias("excess"))  # one row by few
+
+
+@query(
+    """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS y, (year(min(o_orderdate)) - 1995) * 12 + month(min(o_orderdate)) AS k FROM orders GROUP BY 1), s AS (SELECT *, (row_number() OVER (ORDER BY k) - 1) // 6 AS block FROM m), b AS (SELECT block, count(*) AS n, sum(y) AS sy, row_number() OVER (ORDER BY block) - 1 AS slot, count(*) OVER () AS c FROM s GROUP BY block),
+d AS (SELECT rep, ('0x' || substr(md5('42|' || rep || '|' || slot), 1, 8))::BIGINT % c AS pos FROM b, (SELECT unnest(generate_series(0, 99)) AS rep)), r AS (SELECT rep, sum(sy) / sum(n) AS v FROM d JOIN b ON pos = b.slot GROUP BY rep)
+SELECT (SELECT count(*) FROM b) AS blocks, round((SELECT avg(y) FROM m), 3) AS mean, round(quantile_cont(v, 0.025), 3) AS low, round(quantile_cont(v, 0.975), 3) AS high FROM r"""
+)
+def block_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of a mean over months, half-years resampled as blocks so that neighbouring months stay together."""
+    m = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("y"))
+    k = (F.substring("month", 1, 4).cast("int") - 1995) * 12 + F.substring("month", 6, 2).cast("int")
+    b = m.withColumn("block", F.floor((F.row_number().over(Window.orderBy(k)) - 1) / 6)).groupBy("block").agg(F.count("*").alias("n"), F.sum("y").alias("sy"))  # months: few rows
+    b = stored(b)
+    r = resample.draws(b, None, "block", 100, 42).groupBy("replicate").agg((F.sum("sy") / F.sum("n")).alias("v"))
+    q = ranks.quantiles(r, [], "v", {"low": 0.025, "high": 0.975}).drop("n")
+    return b.agg(F.count("*").alias("blocks"), rounded(F.sum("sy") / F.sum("n"), 3).alias("mean")).join(F.broadcast(q)).select("blocks", "mean", rounded("low", 3).alias("low"), rounded("high", 3).alias("high"))  # one row by one row
+
+
+@query(
+    """WITH p AS (SELECT p_type AS g, ln(p_size) AS x, ln(p_retailprice) AS y, ((p_size - 1) // 10) AS f FROM part), s AS (SELECT g, f, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM p GROUP BY 1, 2), t AS (SELECT g, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, count(*) AS c FROM s GROUP BY 1),
+j AS (SELECT s.g, c, (t.sxy - t.sx * t.sy / t.n) / (t.sxx - t.sx ** 2 / t.n) AS b, ((t.sxy - s.sxy) - (t.sx - s.sx) * (t.sy - s.sy) / (t.n - s.n)) / ((t.sxx - s.sxx) - (t.sx - s.sx) ** 2 / (t.n - s.n)) AS bo FROM s JOIN t ON s.g = t.g WHERE t.n - s.n >= 3)
+SELECT g AS part_type, count(*) AS left_out, round(any_value(b), 6) AS slope, round(min(bo), 6) AS lowest, round(max(bo), 6) AS highest, round(sqrt((count(*) - 1) * var_pop(bo)), 6) AS jackknife_se, min(bo) * max(bo) > 0 AS same_sign FROM j GROUP BY 1"""
+)
+def jackknife_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slope with each block of sizes left out in turn: its range, jackknife error and whether the sign holds. Sums of a block are taken from all sums."""
+    p = table(spark, sf_dir, "part").select(F.col("p_type").alias("part_type"), F.log("p_size").alias("x"), F.log("p_retailprice").alias("y"), F.floor((F.col("p_size") - 1) / 10).alias("f"))
+    out = resample.jackknife(p, ["part_type"], "f", "x", "y")
+    return out.select("part_type", "left_out", *[rounded(c).alias(c) for c in ("slope", "lowest", "highest", "jackknife_se")], "same_sign")

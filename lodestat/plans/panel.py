@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestat.functions import columns as C
-from lodestat.operators import aggregates, linkage, ranks
+from lodestat.operators import aggregates, expect, handoff, linkage, ranks
 from lodestat.operators.core import rounded, small, stored, table
 from lodestat.plans.registry import query
+from lodestat.streaming import events
 
 _KEY = "nullif(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"
 _LINK = f"""p AS (SELECT p_partkey, p_brand || '/' || p_name AS full_name, {_KEY.format("p_brand || '/' || p_name")} AS k_full, {_KEY.format('p_brand')} AS k_brand, {_KEY.format('p_name')} AS k_name FROM part WHERE p_size <= 25),
@@ -44,6 +45,24 @@ def linkage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.audit(linked, "k_full", right, "r_full")
 
 
+@query(
+    f"""WITH p AS (SELECT p_partkey, {_KEY.format("p_brand || '/' || p_name")} AS k_full, {_KEY.format("p_brand || ' ' || p_type || ' ' || p_name")} AS k_org, {_KEY.format('p_name')} AS k_name, {_KEY.format("replace(p_name, 'small', 'large')")} AS k_alias FROM part WHERE p_size <= 25),
+r AS (SELECT p_partkey AS r_id, {_KEY.format("p_brand || ' ' || p_name")} AS r_full, {_KEY.format("p_brand || ' ' || p_type || ' ' || p_name")} AS r_org, {_KEY.format('p_name')} AS r_name FROM part WHERE p_size > 25),
+u1 AS (SELECT r_full AS k, any_value(r_id) AS v FROM r WHERE r_full IS NOT NULL GROUP BY 1 HAVING count(*) = 1), u2 AS (SELECT r_org AS k, any_value(r_id) AS v FROM r WHERE r_org IS NOT NULL GROUP BY 1 HAVING count(*) = 1),
+u3 AS (SELECT r_name AS k, any_value(r_id) AS v FROM r WHERE r_name IN (SELECT k_name FROM p WHERE k_name IS NOT NULL GROUP BY 1 HAVING count(*) = 1) GROUP BY 1 HAVING count(*) = 1), u4 AS (SELECT r_name AS k, any_value(r_id) AS v FROM r WHERE r_name IN (SELECT k_alias FROM p WHERE k_alias IS NOT NULL GROUP BY 1 HAVING count(*) = 1) GROUP BY 1 HAVING count(*) = 1)
+SELECT p_partkey, coalesce(u1.v, u2.v, u3.v, u4.v)::VARCHAR AS linked, CASE WHEN u1.v IS NOT NULL THEN 'full' WHEN u2.v IS NOT NULL THEN 'org' WHEN u3.v IS NOT NULL THEN 'name' WHEN u4.v IS NOT NULL THEN 'alias' ELSE 'unlinked' END AS link_method
+FROM p LEFT JOIN u1 ON k_full = u1.k LEFT JOIN u2 ON k_org = u2.k LEFT JOIN u3 ON k_name = u3.k LEFT JOIN u4 ON k_alias = u4.k"""
+)
+def linkage_four_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ladder: full name, owner with family and name, name alone, alias. Name and alias must be unique on both sides."""
+    part = table(spark, sf_dir, "part")
+    key = lambda *parts: C.name_key(F.concat_ws(" ", *parts))
+    left = part.filter("p_size <= 25").select("p_partkey", key("p_brand", "p_name").alias("k_full"), key("p_brand", "p_type", "p_name").alias("k_org"), key("p_name").alias("k_name"), C.name_key(F.replace(F.col("p_name"), F.lit("small"), F.lit("large"))).alias("k_alias"))
+    right = part.filter("p_size > 25").select(F.col("p_partkey").alias("r_id"), key("p_brand", "p_name").alias("r_full"), key("p_brand", "p_type", "p_name").alias("r_org"), key("p_name").alias("r_name"), key("p_name").alias("r_alias"))
+    out = linkage.ladder(left, right, [("full", "k_full", "r_full", False), ("org", "k_org", "r_org", False), ("name", "k_name", "r_name", True), ("alias", "k_alias", "r_alias", True)], "r_id")
+    return out.select("p_partkey", F.col("linked").cast("string").alias("linked"), "link_method")
+
+
 @query("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
 def keep_first_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and type, by time, then id."""
@@ -151,6 +170,58 @@ def rule_ledger_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.ledger(table(spark, sf_dir, "orders"), rules)
 
 
+_ENDINGS = ["", "-Instruct", "-7b-it", "-DPO", "-base", "-slerp", "-continuously-pretrained", "-merge-chat", "-vision"]
+_NAMED = "lower(p_name || (" + str(_ENDINGS).replace('"', "'") + ")[(p_partkey % 9 + 1)::INT])"
+
+
+@query(
+    f"""WITH x AS (SELECT {_NAMED} AS n FROM part), c AS (SELECT CASE {' '.join(f"WHEN contains(n, '{k}') THEN '{v}'" for k, v in KEYWORDS)} ELSE 'finetuned' END AS coarse FROM x)
+SELECT coarse, CASE coarse WHEN 'base' THEN 'A' WHEN 'chat' THEN 'B' WHEN 'finetuned' THEN 'C' WHEN 'merge' THEN 'D' ELSE 'E' END AS stratum, count(*) AS n FROM c GROUP BY 1, 2"""
+)
+def strata_by_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strata of names by the whole list of keywords, in its order."""
+    name = F.lower(F.concat("p_name", F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("p_partkey") % 9 + 1).cast("int"))))
+    out = table(spark, sf_dir, "part").groupBy(C.first_keyword(name, KEYWORDS, "finetuned").alias("coarse")).agg(F.count("*").alias("n"))
+    return out.select("coarse", F.element_at(F.create_map(*[F.lit(x) for kv in STRATA.items() for x in kv]), F.col("coarse")).alias("stratum"), "n")
+
+
+@query("SELECT date_trunc('day', ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 4) AS best FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily windows by type: the batch form of the stream's aggregation, which carries a watermark."""
+    out = events.windowed(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", rounded("total", 4).alias("total"), rounded("best", 4).alias("best"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+g AS (SELECT user_id, k, count(*) AS n, sum(value) AS total FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest, round(sum(total), 4) AS total FROM g GROUP BY 1"""
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user, ended by half an hour without events."""
+    out = events.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"), rounded(F.sum("total"), 4).alias("total"))
+
+
+@query(
+    """WITH c AS (SELECT unnest(['doc_id', 'lang', 'source', 'quality', 'toxic']) AS col), j AS (SELECT d.doc_id, lang, source, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT col AS "column", (SELECT CASE col WHEN 'doc_id' THEN count(doc_id) WHEN 'lang' THEN count(lang) WHEN 'source' THEN count(source) WHEN 'quality' THEN count(quality) ELSE count(toxic) END FROM j) AS present,
+round((SELECT CASE col WHEN 'doc_id' THEN count(doc_id) WHEN 'lang' THEN count(lang) WHEN 'source' THEN count(source) WHEN 'quality' THEN count(quality) ELSE count(toxic) END / count(*) FROM j), 6) AS share FROM c"""
+)
+def panel_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each column a panel has."""
+    j = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("day", F.lit("2024-01-01"))
+    return handoff.panel_reports(j, "doc_id", "lang", "day")["schema"].filter("column <> 'day'").select("column", "present", "share")
+
+
+@query(
+    """WITH e AS (SELECT 'price over 0' AS expectation, count(*) AS n, count(*) FILTER (NOT coalesce(o_totalprice > 0, false)) AS failed FROM orders UNION ALL SELECT 'known status', count(*), count(*) FILTER (NOT coalesce(o_orderstatus IN ('F', 'O'), false)) FROM orders UNION ALL SELECT 'not late', count(*), count(*) FILTER (NOT coalesce(o_orderdate < TIMESTAMP '1999-01-01', false)) FROM orders) SELECT * FROM e"""
+)
+def expectations_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a table, counted in one pass; null does not hold."""
+    every = [expect.Expectation("price over 0", F.col("o_totalprice") > 0), expect.Expectation("known status", F.col("o_orderstatus").isin("F", "O")), expect.Expectation("not late", F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))]
+    return expect.report(table(spark, sf_dir, "orders"), every)
+
+
 _MONTH = "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_totalprice AS v, o_orderstatus AS s FROM orders)"
 
 
