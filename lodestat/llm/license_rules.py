@@ -2,8 +2,8 @@
 
 A rule is (priority, keywords, label, pattern, score); whatever the pattern matches holds one of the keywords. Patterns are read over words: text lower-cased, everything but letters and
 digits turned into single spaces. Rules are ordered; where one detection lies inside another of the same or a higher
-priority it is suppressed. The table is built from LICENSES by FORMS: a licence's own names and addresses,
-each in the ways that notices, tags and references put them.
+priority it is suppressed. Names, addresses and tags of LICENSES are put in the ways that notices, tags and references have (FORMS); SENTENCES and OTHER
+are signatures written out one by one.
 """
 
 from __future__ import annotations
@@ -109,6 +109,85 @@ OTHER = [
 ]
 
 
+#: Sentences of licence texts and notices, as words; each names its licence by itself. Keyword, label, pattern; whatever a pattern matches holds its keyword.
+SENTENCES = [
+    ("without restriction", "mit", r"to deal in the software without restriction including without limitation the rights to use copy modify"),
+    ("above copyright notice", "mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("warranty of any kind", "mit", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("may not use this file", "apache-2", r"you may not use this file except in compliance with the license"),
+    ("obtain a copy of the license", "apache-2", r"you may obtain a copy of the license at(?: https?)? www apache org"),
+    ("terms and conditions for use", "apache-2", r"terms and conditions for use reproduction and distribution"),
+    ("perpetual worldwide", "apache-2", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license"),
+    ("end user documentation", "apache-1.1", r"the end user documentation included with the redistribution if any must include the following acknowledgment this product includes software developed by the apache software foundation"),
+    ("either version 1", "gpl-1", r"general public license as published by the free software foundation either version 1(?: of the license)? or(?: at your option)? any later version"),
+    ("either version 2", "gpl-2-or-later", r"gnu general public license as published by the free software foundation either version 2(?: of the license)? or(?: at your option)? any later version"),
+    ("either version 3", "gpl-3-or-later", r"gnu general public license as published by the free software foundation either version 3(?: of the license)? or(?: at your option)? any later version"),
+    ("version 2 june 1991", "gpl-2", r"gnu general public license version 2 june 1991"),
+    ("version 3 29 june 2007", "gpl-3", r"gnu general public license version 3 29 june 2007"),
+    ("version 2 1 february 1999", "lgpl-2.1", r"gnu lesser general public license version 2 1 february 1999"),
+    ("lesser general public", "lgpl-3", r"gnu lesser general public license version 3 29 june 2007"),
+    ("lesser general public", "lgpl-2.1", r"gnu lesser general public license as published by the free software foundation either version 2 1(?: of the license)? or(?: at your option)? any later version"),
+    ("lesser general public", "lgpl-3", r"gnu lesser general public license as published by the free software foundation either version 3(?: of the license)? or(?: at your option)? any later version"),
+    ("library general public", "lgpl-2", r"gnu library general public license (?:version 2 june 1991|as published by the free software foundation)"),
+    ("affero general public", "agpl-3", r"gnu affero general public license (?:version 3 19 november 2007|as published by the free software foundation(?: either)? version 3)"),
+    ("remote network interaction", "agpl-3", r"remote network interaction use with the gnu general public license"),
+    ("free documentation license", "fdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("without even the implied warranty", "gpl", r"without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
+    ("copy of the gnu general public", "gpl", r"you should have received a copy of the gnu general public license"),
+    ("copy of the gnu lesser", "lgpl", r"you should have received a copy of the gnu lesser general public license"),
+    ("copy of the gnu affero", "agpl", r"you should have received a copy of the gnu affero general public license"),
+    ("must retain the above", "bsd", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("in binary form", "bsd", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("neither the name", "bsd-3", r"neither the names? of (?:the )?(?:[a-z0-9]+ ){1,8}?(?:nor|and) the names of its contributors may be used to endorse or promote products"),
+    ("advertising materials", "bsd-4", r"all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("governed by a bsd", "bsd", r"is governed by a bsd (?:style )?licen[sc]e that can be found in the licen[sc]e file"),
+    ("source code form is subject", "mpl-2", r"this source code form is subject to the terms of the mozilla public license v ?2 0"),
+    ("mozilla public license", "mpl-1", r"the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("copy of the mpl", "mpl-2", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("eclipse public license", "epl-1", r"this program and the accompanying materials are made available under the terms of the eclipse public license v ?1 0"),
+    ("eclipse public license", "epl-2", r"this program and the accompanying materials are made available under the terms of the eclipse public license(?: v)? ?2 0"),
+    ("agreement recipient", "epl-1", r"the accompanying program is provided under the terms of this eclipse public license agreement recipient"),
+    ("common development and distribution", "cddl", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "eupl", r"licensed under the eupl(?: version)? 1 [12] or as soon they will be approved by the european commission"),
+    ("artistic license", "artistic-2", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed artistic license 2 0"),
+    ("terms as perl", "artistic-1", r"(?:under|same) (?:the )?(?:same )?terms as perl(?: 5| itself)?"),
+    ("with or without fee", "isc", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("held liable for any damages", "zlib", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("origin of this software", "zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("boost software license", "bsl-1", r"distributed under the boost software license version 1 0 see accompanying file"),
+    ("production use", "busl-1.1", r"make production use of the licensed work provided"),
+    ("change date", "busl-1.1", r"business source license(?: [a-z0-9]+){0,40}? change date"),
+    ("the fuck you want", "wtfpl", r"you just do what(?:ever)? the fuck you want to"),
+    ("free and unencumbered", "unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("font software", "ofl-1.1", r"this font software is licensed under the sil open font license version 1 1"),
+    ("without a written agreement", "postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("python software foundation license", "python-2", r"python software foundation license version 2"),
+    ("subject to version 3 01", "php-3", r"this source file is subject to version 3 01 of the php license"),
+    ("universal permissive license", "upl-1", r"the universal permissive license upl version 1 0"),
+    ("microsoft public license", "ms-pl", r"this license governs use of the accompanying software if you use the software you accept this license microsoft public license"),
+    ("open database license", "odbl", r"made available under the open database license"),
+    ("waived all copyright", "cc0", r"(?:has|have) waived all copyright and related or neighbou?ring rights to"),
+    ("dedicated the work", "cc0", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("attribution 4 0 international", "cc-by", r"licensed under (?:a |the )?creative commons attribution 4 0 international license"),
+    ("attribution sharealike", "cc-by-sa", r"licensed under (?:a |the )?creative commons attribution sharealike [1-4] [05](?: international| unported)? license"),
+    ("attribution noncommercial", "cc-by-nc", r"licensed under (?:a |the )?creative commons attribution noncommercial [1-4] [05](?: international| unported)? license"),
+    ("attribution noncommercial", "cc-by-nc-nd", r"licensed under (?:a |the )?creative commons attribution noncommercial noderiv(?:ative)?s [1-4] [05](?: international| unported)? license"),
+    ("use based restrictions", "openrail", r"use based restrictions as referenced in paragraph 5 must be included as an enforceable provision"),
+    ("llama materials", "llama", r"you are granted a non exclusive worldwide non transferable and royalty free limited license under meta s intellectual property(?: or other rights)? (?:owned by meta )?embodied in the llama materials"),
+    ("hosted or managed service", "elastic-2", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("offering the program as a service", "sspl-1", r"offering the program as a service if you make the functionality of the program"),
+    ("academic free license", "afl-3", r"licensed under the academic free license version 3 0"),
+    ("open software license", "osl-3", r"licensed under the open software license version 3 0"),
+    ("mulan psl", "mulan-2", r"you can use this software according to the terms and conditions of the mulan psl v2"),
+    ("blue oak model", "blueoak-1", r"blue oak model license(?: version)? 1 0 0"),
+    ("internal use only", "proprietary", r"(?:confidential|proprietary)(?: and (?:confidential|proprietary))? (?:for )?internal use only"),
+    ("unauthorized copying", "proprietary", r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("may not be reproduced", "proprietary", r"may not be reproduced(?: [a-z]+){0,8}? without (?:the )?(?:prior |express |written )+permission"),
+]
+#: Words of which each of SENTENCES without a word for licence holds one.
+SENTENCE_WORDS = ("restriction", "merchantability", "notice", "endorse", "acknowledg", "affero", "perl", "liable", "misrepresented", "production", "fuck", "waived", "dedicated", "enforceable", "managed", "functionality", "mulan", "internal", "unauthorized", "reproduced", "mpl", "reproduction")
+
+
 def _literal(pattern: str) -> str:
     """What a pattern begins with, up to its first choice."""
     found = re.match(r"[a-z0-9 ]*", pattern)[0]
@@ -129,6 +208,7 @@ def rules() -> list[tuple[int, tuple[str, ...], str, str, float]]:
             need = {"address": (url.split(" ")[0].replace("(?:", ""),), "tag": (_literal(tag) or "spdx",)}.get(form, tuple(keywords.split("|")))
             out.append((priority, need, label, body, score))
     out += [(p, (k,), label, pattern, s) for p, k, label, pattern, s in OTHER]
+    out += [(45, (k,), label, pattern, 1.0 if label != "proprietary" else 0.5) for k, label, pattern in SENTENCES]
     return sorted(out, key=lambda r: -r[0])
 
 

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.llm.common import BLOCK, ascii_lower, let, spans, table, text_or_empty
-from lodestat.llm.license_rules import GRANT, PHRASES, rules
+from lodestat.llm.license_rules import GRANT, PHRASES, SENTENCE_WORDS, rules
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = "[^0-9a-z]+"
 #: What a lower-cased text must hold for a rule or phrase to match in it: one of these, or a hint and then the pattern of that hint. Forms
 #: with a word for licence are in the first; grants, addresses, names and phrases that need none have hints.
-GATE = ("licen", "spdx", "creativecommons", "opendatacommons", "unlicense", "wtfpl", "unencumbered", "blueoakcouncil")
+GATE = ("licen", "spdx", "creativecommons", "opendatacommons", "unlicense", "wtfpl", "unencumbered", "blueoakcouncil", *SENTENCE_WORDS)
 HINTS = {
     "under": f"{GRANT}{_GAP}(?:only{_GAP})?under(?![0-9a-z])",
     "cc": f"(?<![0-9a-z])cc{_GAP}by(?![0-9a-z])",
