@@ -239,3 +239,14 @@ def intersect(*boxes: tuple[float, float]) -> tuple[float, float]:
 def signature(part: Column) -> Column:
     """Aggregate: the sorted parts of a group, joined. For groups with few distinct parts."""
     return F.array_join(F.array_sort(F.collect_list(part)), ";")
+
+
+def power_of_ten(text: Column) -> Column:
+    """The first 10^k of a text; null without one."""
+    return F.pow(F.lit(10.0), F.nullif(F.regexp_extract(text, r"10\^(\d+)", 1), F.lit("")).try_cast("double"))
+
+
+def parsed_interval(text: Column) -> tuple[Column, Column]:
+    """Ends of the first [a, b] of a text; null without one."""
+    part = lambda k: F.nullif(F.regexp_extract(text, r"\[([0-9.]+), *([0-9.]+)\]", k), F.lit("")).try_cast("double")
+    return part(1), part(2)

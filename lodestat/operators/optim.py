@@ -129,3 +129,61 @@ def quantile_fits(df: DataFrame, by: str, x: str, y: str, tau: float) -> DataFra
         return pd.DataFrame([{by: rows[by].iloc[0], "n": len(rows), "level": level, "slope": slope}])
 
     return df.select(by, x, y).groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, n bigint, level double, slope double")
+
+
+#: Bounds of the law's parameters and of the exponent of quality; how many screened starts are refined.
+QUALITY_BOUNDS = np.vstack([BOUNDS, [[0.0, 5.0]]])
+REFINED = 12
+
+
+def quality_objective(theta: np.ndarray, ln_n: np.ndarray, ln_d: np.ndarray, ln_q: np.ndarray, ln_l: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The objective of the law over data weighed by quality, d q^gamma, and its gradient: that of the plain law at the effective data, and the chain rule for gamma."""
+    gamma = theta[5]
+    value, g = objective(theta[:5], ln_n, ln_d + gamma * ln_q, ln_l, w)
+    a, b, e, alpha, beta = theta[:5]
+    z = np.stack([a - alpha * ln_n, b - beta * (ln_d + gamma * ln_q), np.full_like(ln_n, e)])
+    m = z.max(axis=0)
+    ex = np.exp(z - m)
+    total = ex.sum(axis=0)
+    r = np.clip(m + np.log(total) - ln_l, -DELTA, DELTA) * w
+    return value, np.r_[g, -(r * ex[1] / total * beta * ln_q).sum()]
+
+
+def fit_quality_law(spark: SparkSession, data: DataFrame, n: str, d: str, q: str, loss: str) -> DataFrame:
+    """(start, objective, A, B, E, alpha, beta, gamma) of E + A n^-alpha + B (q^gamma d)^-beta: 324 starts are screened by their objective, the best REFINED refined, all in parallel. data: grouped rows, at most MOST_ROWS."""
+    rows = data.select(*[F.log(c).alias(k) for c, k in ((n, "n"), (d, "d"), (q, "q"), (loss, "l"))]).groupBy("n", "d", "q", "l").agg(F.count("*").cast("double").alias("w"))
+    if rows.count() > MOST_ROWS:
+        raise ValueError(f"group the data to at most {MOST_ROWS} rows")
+    rows = rows.orderBy("n", "d", "q", "l").toPandas()
+    sent = spark.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in "ndqlw"))
+    grid = [(*s, g) for s in starts() for g in (0.2, 0.6, 1.0)]
+
+    def screen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([(s[0], quality_objective(np.array(s[1:]), *sent.value)[0]) for s in part.itertuples(index=False)], columns=["start", "objective"])
+
+    def refine(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for s in part.itertuples(index=False):
+                x, value, _ = minimise(lambda t: quality_objective(t, *sent.value), np.array(s[1:]), QUALITY_BOUNDS)
+                out.append((s[0], value, *np.exp(x[:3]), *x[3:]))
+            yield pd.DataFrame(out, columns=["start", "objective", "A", "B", "E", "alpha", "beta", "gamma"])
+
+    names = "start int, a double, b double, e double, alpha double, beta double, gamma double"
+    frame = spark.createDataFrame([(i, *map(float, s)) for i, s in enumerate(grid)], names).repartition(16)
+    best = [r.start for r in frame.mapInPandas(screen, "start int, objective double").orderBy("objective", "start").limit(REFINED).collect()]
+    return frame.filter(F.col("start").isin(best)).repartition(REFINED).mapInPandas(refine, "start int, objective double, A double, B double, E double, alpha double, beta double, gamma double")
+
+
+def law_statistic(begin: np.ndarray) -> Callable[[pd.DataFrame], dict[str, float]]:
+    """For resample.bootstrap: the law fitted to the drawn clusters (columns n, d, loss of lists), from a warm start; clusters of fewer than three sizes are a failure."""
+
+    def fit(rows: pd.DataFrame) -> dict[str, float]:
+        ln_n, ln_d, ln_l = (np.log(np.concatenate([np.asarray(v, float) for v in rows[c]])) for c in ("n", "d", "loss"))
+        if len(np.unique(ln_n)) < 3:
+            raise ValueError("fewer than three sizes")
+        x, _, _ = minimise(lambda t: objective(t, ln_n, ln_d, ln_l, np.ones_like(ln_n)), begin, BOUNDS)
+        return dict(zip(("A", "B", "E", "alpha", "beta"), [*np.exp(x[:3]), *x[3:]], strict=True))
+
+    return fit
