@@ -117,7 +117,8 @@ class Block:
             size = np.diff(np.r_[new, len(where)])
             keep = good[new]
             new, size = new[keep], size[keep]
-            out.append((new + at, size, (h[where[new]] >> np.uint64(16)).astype(np.int64), doc[new]))
+            # anchors are least hashes, so most are small; multiplied, they spread evenly over the buckets
+            out.append((new + at, size, ((h[where[new]] * _C[1]) >> np.uint64(16)).astype(np.int64), doc[new]))
         return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), (), ())))
 
 
