@@ -73,6 +73,19 @@ def join_dim(big: DataFrame, dim: DataFrame, on: list[str], how: str = "left", l
     return out.drop(*[f"__dim_{c}" for c in on])
 
 
+def join_hot(big: DataFrame, few: DataFrame, big_key: str, few_key: str, weight: str, total: int, how: str = "inner", short: Column | None = None) -> DataFrame:
+    """big joined with few, which has one row a key and knows in `weight` how many of big's `total` rows have it.
+
+    Keys with so many rows that there can be at most BROADCAST_ROWS of them (and rows that are `short`, where keys can be long) are broadcast, so that no task reads all rows of a
+    hot key; the others are joined by a shuffle, where a key has few.
+    """
+    hot = F.col(weight) >= max(2, -(-total // BROADCAST_ROWS))
+    hot = hot & short if short is not None else hot
+    first = F.broadcast(few.filter(hot))
+    rest = big.join(F.broadcast(few.filter(hot).select(few_key)), F.col(big_key) == F.col(few_key), "left_anti")
+    return big.join(first, F.col(big_key) == F.col(few_key)).unionByName(rest.join(few.filter(~hot).hint("merge"), F.col(big_key) == F.col(few_key), how))
+
+
 def unit_hash(*cols: Column) -> Column:
     """A double in (0, 1) that depends on the values only."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))

@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import cut, table, text_or_empty
+from lodestat.llm.common import cut, join_hot, table, text_or_empty
 
 #: Average, least and largest bytes of a chunk.
 AVERAGE, LEAST, MOST = 2048, 512, 16384
 _GEAR = np.random.default_rng(20240601).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Identifiers of a list up to which a hot one is broadcast; a longer one is 128 kB of text or more a row, so that even hot ones are few for their bytes.
+SHORT = 64
 _SPAN = 64  # bytes that the rolling hash sees
 
 
@@ -115,14 +117,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("__list", F.concat("__list", F.array("__size")))
     copies = rows.groupBy("__list", "__id").agg(F.count("*").alias("__n"), F.first("__sha").alias("__sha"))
     groups = copies.groupBy("__list").agg(F.min("__id").alias("keep_id"), F.sum("__n").alias("group_size"), F.count("*").alias("__ids"))
-    many = groups.filter("group_size > 1").select(F.col("__list").alias("__key"), "keep_id", "group_size")
-    out = copies.join(many, F.col("__list") == F.col("__key"), "left")
+    many = cut(groups.filter("group_size > 1").select(F.col("__list").alias("__key"), "keep_id", "group_size", "__ids"), "groups")
+    out = join_hot(copies, many, "__list", "__key", "__ids", recipes.count(), "left", F.size("__key") <= SHORT)
     out = out.withColumns({"keep_id": F.when(F.col("__key").isNull(), F.col("__id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1))})
     out = out.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
     return out.select("__id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"), ((F.col("__nth") == 1) & F.col("__id").eqNullSafe(F.col("keep_id"))).alias("kept"), "__sha")
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. Null counts as empty; of rows that repeat an id and text one is kept; whole texts are read, however long."""
     out = deduplicate(table(spark, sf_dir, "documents"))
     return out.select(F.col("__id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("__sha").alias("text_sha256"))
 

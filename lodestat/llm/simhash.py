@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestat.llm.common import cut, row_key, table, text_or_empty
+from lodestat.llm.common import cut, join_hot, row_key, table, text_or_empty
 from lodestat.llm.components import connected_components
 
 SHINGLE, RADIUS, BITS, SEED = 4, 4, 64, 42
@@ -203,18 +204,18 @@ def near_duplicates(docs: DataFrame, keep: dict[str, Column], id_name: str, text
     An empty table gives no rows.
     """
     prints = cut(with_fingerprint(docs, keep, text_col, shingle), "prints")
-    nodes = cut(prints.groupBy("__fp").agg(F.min(id_name).alias("__least")), "nodes")
+    nodes = cut(prints.groupBy("__fp").agg(F.min(id_name).alias("__least"), F.count("*").alias("__n")), "nodes")
     roots = cut(connected_components(near_links(nodes.select("__fp"), radius)), "roots")
     # a root's least id, then each linked fingerprint's; the others have their own
     linked = nodes.join(roots, F.col("__fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("__least").alias("__id")).select(F.col("root").alias("__named"), "__id")
     of = roots.join(least, F.col("root") == F.col("__named")).select("node", "__id", F.col("root").alias("__r"))
-    named = nodes.join(of, F.col("__fp") == F.col("node"), "left").select(F.col("__fp").alias("__node"), F.coalesce("__id", "__least").alias("component_id"), F.coalesce("__r", "__fp").alias("__root"))
-    # copies share a fingerprint: the adaptive join splits a hot one
-    return prints.join(named.hint("merge"), F.col("__fp") == F.col("__node")).drop("__node")
+    named = nodes.join(of, F.col("__fp") == F.col("node"), "left").select(F.col("__fp").alias("__node"), F.coalesce("__id", "__least").alias("component_id"), F.coalesce("__r", "__fp").alias("__root"), "__n")
+    return join_hot(prints, cut(named, "named"), "__fp", "__node", "__n", prints.count()).drop("__node", "__n")
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. Null and empty texts have fingerprint zero; rows that repeat have one component; ties do not arise, as the least id names a component. Whole texts are read."""
     out = near_duplicates(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}, "doc_id")
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -223,8 +224,8 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: copy is decided by the shingles of five words that both texts have, of all that either has.
 COPY_SHINGLE, COPY_RADIUS = 2, 9
 ALIKE_SHINGLE, ALIKE = 5, (4, 5)
-#: Shingles of kept texts that a task holds of a group; what is like none of these goes on to the next round.
-HELD = 500_000
+#: Texts of a group that one task takes in a round, the first by id; the others are compared with those of them that stay, so many a task.
+HEADS = 1000
 
 
 def shingles(data: bytes, size: int = ALIKE_SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -239,7 +240,6 @@ class Kept:
     def __init__(self) -> None:
         self.sets: list[np.ndarray] = []
         self.index: dict[int, list[int]] = {}
-        self.held = 0
 
     @staticmethod
     def _first(found: np.ndarray) -> list[int]:
@@ -259,34 +259,43 @@ class Kept:
         for h in self._first(found):
             self.index.setdefault(h, []).append(len(self.sets))
         self.sets.append(found)
-        self.held += len(found)
 
 
-def _copies(held: int) -> callable:
-    """For mapInArrow over rows (__group, __none, __id, __key, __text) sorted by the first four: rows of texts like an earlier one that stays, without text, and rows to go on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, last, kept = None, None, Kept()
-        for batch in batches:
-            out, gone = [], []
-            for i, (g, key) in enumerate(zip(batch.column("__group").to_pylist(), batch.column("__key").to_pylist(), strict=True)):
-                if g != group:
-                    group, last, kept = g, None, Kept()
-                if key == last:  # a row that repeats another
-                    continue
-                last = key
-                found = shingles(batch.column("__text")[i].as_buffer().to_pybytes())
-                like = kept.has_like(found)
-                if not like and (kept.held < held or not kept.sets):
-                    kept.add(found)
-                    continue
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (__group, __none, __id, __key, __size, __text) sorted by the first four: the same, and __like: whether an earlier text of the group that stays is alike. A row that repeats another is left out."""
+    group, last, kept = None, None, Kept()
+    for batch in batches:
+        out, like = [], []
+        for i, (g, key) in enumerate(zip(batch.column("__group").to_pylist(), batch.column("__key").to_pylist(), strict=True)):
+            if g != group:
+                group, last, kept = g, None, Kept()
+            if key == last:
+                continue
+            last, found = key, shingles(batch.column("__text")[i].as_buffer().to_pybytes())
+            out.append(i)
+            like.append(kept.has_like(found))
+            if not like[-1]:
+                kept.add(found)
+        rows = batch.take(pa.array(out, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(like, pa.bool_())], names=[*rows.schema.names, "__like"])
+
+
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (__group, __part, __head, __none, __id, __key, __size, __text) sorted by group, part and heads first: the others, and __like: whether a head is alike."""
+    at, kept = None, Kept()
+    for batch in batches:
+        out, like = [], []
+        for i, (g, part, head) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__group", "__part", "__head")), strict=True)):
+            if (g, part) != at:
+                at, kept = (g, part), Kept()
+            found = shingles(batch.column("__text")[i].as_buffer().to_pybytes())
+            if head == 0:
+                kept.add(found)
+            else:
                 out.append(i)
-                gone.append(like)
-            rows = batch.take(pa.array(out, pa.int64()))
-            text = pa.array([None if x else t for x, t in zip(gone, rows.column("__text").to_pylist(), strict=True)], rows.schema.field("__text").type)
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], text], names=rows.schema.names)
-
-    return run
+                like.append(kept.has_like(found))
+        rows = batch.take(pa.array(out, pa.int64())).select(["__group", "__none", "__id", "__key", "__size", "__text"])
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(like, pa.bool_())], names=[*rows.schema.names, "__like"])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -305,30 +314,49 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
     return rows.groupBy("__fp", "__words").agg(first).select("__fp", "__first.*")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS, *, held: int = HELD) -> DataFrame:
+def _first_of_groups(members: DataFrame, heads: int) -> DataFrame:
+    """Keys of the first texts of each group. The limit is applied in every task before the shuffle, so no task sorts a group."""
+    order = Window.partitionBy("__group").orderBy("__none", "__id", "__key")
+    return members.select("__group", "__none", "__id", "__key").distinct().withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= heads).select(F.col("__key").alias("__front"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS, *, heads: int = HEADS) -> DataFrame:
     """docs without texts that are alike to one that stays with a smaller id; rows that repeat an id and text stay once. Null ids come last, by key.
 
     Fingerprints within radius, and what these link, are groups of candidates. In a group texts are taken by id, and one stays unless it is alike
-    to one that stays; texts of the same words are one. A round holds so many kept texts of a group; what is like none of them goes on.
+    to one that stays; texts of the same words are one. Null and empty texts are one text. Of a large group a task takes the first texts by id, the others are dealt out to tasks that compare them with those
+    which stay, and what is like none of them goes on to the next round: the same choice, whatever the size of a group. Whole texts are read. An empty table stays empty; other columns stay as they are.
     """
     texts = cut(_texts(docs, id_col, text_col, shingle), "texts")
     roots = connected_components(near_links(texts.select("__fp").distinct(), radius))
     named = cut(texts.join(roots.hint("merge"), F.col("__fp") == F.col("node"), "left").select(F.coalesce("root", "__fp").alias("__group"), "__none", "__id", "__key"), "named")
-    several = named.groupBy("__group").count().filter("count > 1").select(F.col("__group").alias("__g"))
-    members = named.join(several.hint("merge"), F.col("__group") == F.col("__g")).drop("__g")
+    several = cut(named.groupBy("__group").agg(F.count("*").alias("__size")).filter("__size > 1").withColumnRenamed("__group", "__g"), "groups")
+    members = cut(join_hot(named, several, "__group", "__g", "__size", named.count()).drop("__g"), "members")
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    left = keyed.select(F.col("__key").alias("__k"), text_or_empty(text_col).alias("__text")).join(members.hint("merge"), F.col("__k") == F.col("__key"))
-    left, order = left.select("__group", "__none", "__id", "__key", "__text"), ["__group", "__none", "__id", "__key"]
-    stay = named.select(F.col("__key").alias("__stay"))
-    gone: DataFrame | None = None
+    columns = ["__group", "__none", "__id", "__key", "__size", "__text"]
+    front = members.join(_first_of_groups(members, heads).hint("merge"), F.col("__key") == F.col("__front"), "left")
+    left = keyed.select(F.col("__key").alias("__k"), text_or_empty(text_col).alias("__text")).join(front.hint("merge"), F.col("__k") == F.col("__key"))
+    left = cut(left.select(*columns, F.col("__front").isNotNull().alias("__head")), "left")
+    schema = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in columns) + ", __like boolean"
+    gone: list[DataFrame] = []
     while True:
-        schema = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in left.columns)
-        found = cut(left.repartition("__group").sortWithinPartitions(*order).mapInArrow(_copies(held), schema), "copies")
-        here = found.filter("__text is null").select(F.col("__key").alias("__gone"))
-        gone = here if gone is None else gone.unionByName(here)
-        left = found.filter("__text is not null")
+        first = cut(left.filter("__head").select(*columns).repartition("__group").sortWithinPartitions(*columns[:4]).mapInArrow(_greedy, schema), "first")
+        gone.append(first.filter("__like").select(F.col("__key").alias("__gone")))
+        rest = left.filter("not __head").select(*columns)
+        if rest.isEmpty():
+            break
+        parts = F.ceil(F.col("__size") / heads).cast("int")
+        pieces = first.filter(~F.col("__like") & (F.col("__size") > heads)).select("__group", F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"), F.lit(0).alias("__head"), *columns[1:])
+        pieces = pieces.unionByName(rest.select("__group", F.pmod(F.xxhash64("__key"), parts).cast("int").alias("__part"), F.lit(1).alias("__head"), *columns[1:]))
+        found = cut(pieces.repartition("__group", "__part").sortWithinPartitions("__group", "__part", "__head").mapInArrow(_against, schema), "found")
+        gone.append(found.filter("__like").select(F.col("__key").alias("__gone")))
+        left = found.filter(~F.col("__like")).select(*columns)
         if left.isEmpty():
             break
-    stay = cut(stay.join(gone.hint("merge"), F.col("__stay") == F.col("__gone"), "left_anti"), "stay")
+        left = cut(left.join(_first_of_groups(left, heads).hint("merge"), F.col("__key") == F.col("__front"), "left").select(*columns, F.col("__front").isNotNull().alias("__head")), "left")
+    dropped = gone[0]
+    for one in gone[1:]:
+        dropped = dropped.unionByName(one)
+    stay = cut(named.select(F.col("__key").alias("__stay")).join(dropped.hint("merge"), F.col("__stay") == F.col("__gone"), "left_anti"), "stay")
     # the join leaves rows of one key in one partition, where the first of them stays
     return keyed.join(stay.hint("merge"), F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"]).drop("__key")
