@@ -215,7 +215,8 @@ def build_indexes(items: DataFrame, item_col: str = "item_id", text_col: str = "
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(__id, __key, item_id, first_word, score, question_overlap, answer_overlap): one row for each document and item that it leaks.
 
-    Null and empty texts leak nothing and are not leaked. Rows that repeat are each reported. Without items there are no rows.
+    Null and empty texts leak nothing and are not leaked. Rows that repeat are each reported, as are items that repeat or tie. Whole texts are read, windows of a long one in turn. Null ids are reported
+    as null. Other columns do not matter. Without items there are no rows.
     """
     id_kind, item_kind = docs.schema[id_col].dataType, items.schema[item_col].dataType
     schema = f"__id {id_kind.simpleString()}, __key string, item_id {item_kind.simpleString()}, first_word bigint, score double, question_overlap double, answer_overlap double"

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import cut, join_dim, row_key, table, text_or_empty, unit_hash, without
+from lodestat.llm.common import BROADCAST_ROWS, cut, join_hot, row_key, table, text_or_empty, unit_hash, without
 
 #: Bound of the labelled sample that the text models are fitted on: documents of each declared language. Every declared language has a model.
 SAMPLE = 400
@@ -195,8 +195,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     world = _log_array([x / sum(total) for x in total])
     smooth = lambda counts, above: F.zip_with(counts, above, lambda c, p: (c + p * STRENGTH) / (F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) + STRENGTH))
     domains = by("domain").select(F.col("domain").alias("__dom"), smooth(F.col("__h"), world).alias("__pd"))
-    priors = by("host", "domain").filter("host is not null").join(domains, F.col("domain") == F.col("__dom")).select("host", smooth(F.col("__h"), F.col("__pd")).alias("__prior"))
-    rows = join_dim(rows, priors, ["host"])
+    priors = by("host", "domain").filter("host is not null").join(domains, F.col("domain") == F.col("__dom"))
+    priors = cut(priors.select(F.col("host").alias("__host"), smooth(F.col("__h"), F.col("__pd")).alias("__prior"), F.aggregate("__h", F.lit(0.0), lambda a, b: a + b).alias("__votes")), "priors")
+    if priors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(priors), F.col("host") == F.col("__host"), "left")
+    else:  # rows without a host need no join, and those of a hot host are in no one task
+        bare = rows.filter("host is null").withColumns({c: F.lit(None).cast(priors.schema[c].dataType) for c in priors.columns})
+        rows = join_hot(rows.filter("host is not null"), priors, "host", "__host", "__votes", rows.count(), "left").unionByName(bare)
     prior = F.transform(F.coalesce("__prior", world), lambda p: F.log(p))
     rows = rows.withColumn("__all", _sum_arrays(F.col("__text"), F.col("__said"), prior))
     top = F.greatest(F.array_max("__all"), F.col("__und") + math.log(1e-3))

@@ -131,8 +131,8 @@ def numbered(rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> tuple[
 def shard(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """rows with shard and slot: counts of shards differ by at most one, slots are gapless from 0, reruns agree on any partitioning.
 
-    Equal rows share keys and are spread by a count of copies before numbering, so a row that repeats without end fills no
-    task. Nulls order first. An empty table stays empty. Columns of rows named shard or slot are replaced.
+    Rows that agree in all keys stand in one bucket; where a row may repeat without end the caller counts its copies first and makes the copy a key, as
+    op2_feistel_shards does. Nulls order first. An empty table stays empty. Columns of rows named shard or slot are replaced.
     """
     names = [c for c in rows.columns if c not in ("shard", "slot")]
     rows = rows.select(*names)
@@ -144,7 +144,10 @@ def shard(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SE
 
 
 def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with shard and slot. Rows move once, to the bucket that numbers them. Rows of one id and text are interchangeable."""
+    """docs with shard and slot. Rows move once, to the bucket that numbers them. Null and empty texts are rows like any other.
+
+    Rows of one id and text are interchangeable and share a bucket, so a table in which one row makes up a large part is to be deduplicated before, as the pipeline does.
+    """
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
     names = [c for c in docs.columns if c not in ("shard", "slot")]
     return shard(keyed, ["__key"], **options).select(*names, "shard", "slot")
