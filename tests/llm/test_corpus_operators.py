@@ -56,6 +56,24 @@ def test_license_rules_are_hundreds():
     assert len(license_rules.rules()) > 200
 
 
+def spelled(pattern):
+    """A text that a pattern of SENTENCES matches: the first of each choice, what may be left out left out."""
+    for old, new in ((r"\(\?: \[[^\]]*\]\+\)\{[^}]*\}\??", ""), (r"\(\?:\[a-z0-9\]\+ \)\{[^}]*\}\??", "some "), (r"\(\?:([^()|]*)\|[^()]*\)\+", r"\1")):
+        pattern = re.sub(old, new, pattern)
+    while "(?:" in pattern:
+        pattern = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] else m[1].split("|")[0], pattern)
+    return re.sub(r".\?", "", re.sub(r"\[(.)[^\]]*\]", r"\1", pattern)).strip()
+
+
+def test_license_sentences_pass_the_gate(spark):
+    texts = [spelled(p) for _, _, p in license_rules.SENTENCES]
+    for (keyword, _, pattern), text in zip(license_rules.SENTENCES, texts, strict=True):
+        assert re.search(pattern, text) and keyword in text, (pattern, text)
+    frame = spark.createDataFrame([(i, "Foo. " + t.replace(" ", "\n", 3).capitalize() + ".") for i, t in enumerate(texts)], "doc_id int, text string")
+    for (_, label, _), r in zip(license_rules.SENTENCES, license_scan.scan(frame).orderBy("doc_id").collect(), strict=True):
+        assert label in {d.label for d in r["__found"]}, r.text
+
+
 def test_license_scan(docs, empty):
     out = {(r.doc_id, r.text): r for r in license_scan.scan(docs).collect()}
     for (_, text), r in out.items():
@@ -149,6 +167,23 @@ def test_shards(docs, empty):
     assert sharding.sharded(empty).count() == 0
 
 
+def as_table(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    return f"{folder}"
+
+
+def test_op2_query(spark, tmp_path):
+    rows = [(i, t, *rest) for i, t, *rest in awkward()] + [(18, awkward()[-3][1], *awkward()[-3][2:])] * 40
+    got = sharding.op2_feistel_shards(spark, as_table(spark, tmp_path, rows, SCHEMA)).collect()
+    want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+        assert r.law == "rows" and r.grown_shard is None and 0 <= r.shard < 16
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 # -- 3 ------------------------------------------------------------------------------------------
 
 
@@ -267,8 +302,8 @@ def test_one_of_each_catches_near_copies_only(spark):
     assert {g * 10 for g in range(40)} <= kept and len(kept) <= 40 + 18  # most of the 120 copies
 
 
-@pytest.mark.parametrize("held", [1, simhash.HELD])
-def test_one_of_each_is_greedy_by_similarity(spark, held):
+@pytest.mark.parametrize("heads", [3, simhash.HEADS])
+def test_one_of_each_is_greedy_by_similarity(spark, heads):
     rng = random.Random(13)
     rows, words = [], [w + v for w in _WORDS for v in _WORDS]
     for g in range(12):
@@ -289,9 +324,9 @@ def test_one_of_each_is_greedy_by_similarity(spark, held):
                 want.append(i)
         return want
 
-    # everything is a candidate: just the greedy choice by similarity, also where a round holds one text
-    assert sorted(r.doc_id for r in simhash.one_of_each(frame, radius=24, held=held).collect()) == greedy({i: 0 for i, _ in rows})
-    kept = sorted(r.doc_id for r in simhash.one_of_each(frame, held=held).collect())
+    # everything is a candidate: just the greedy choice by similarity, also where a round takes three texts
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame, radius=24, heads=heads).collect()) == greedy({i: 0 for i, _ in rows})
+    kept = sorted(r.doc_id for r in simhash.one_of_each(frame, heads=heads).collect())
     assert all(any(alike(i, k) for k in kept) for i, _ in rows)  # what went is like one that stays
     assert len(set(kept) ^ set(greedy({i: 0 for i, _ in rows}))) <= 0.05 * len(rows)
 
@@ -359,6 +394,15 @@ def test_leaks(spark, docs, empty, index_bytes):
     assert decontaminate.leaks(empty, items).count() == 0 and decontaminate.leaks(docs, items.filter("item_id > 7")).count() == 0
 
 
+def test_leaks_on_awkward_rows(spark, docs):
+    rows = awkward()
+    items = [(1, rows[6][1]), (2, rows[6][1]), (None, rows[0][1]), (4, None), (5, "")]
+    found = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = collections.Counter((r["__id"], r.item_id) for r in found.collect())
+    assert got[7, 1] == got[7, 2] == 2 and got[8, 1] == got[8, 2] == 1  # rows and items that repeat are all reported
+    assert got[1, None] == got[2, None] == got[17, None] == 1 and not {i for i, _ in got} & {4, 5, 6, 12, 15, 16}
+
+
 # -- 6 ------------------------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -650,9 +694,12 @@ def brute_posteriors(rows, model):
     return out
 
 
-def test_language_posteriors_are_bayes_by_hand(spark):
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_language_posteriors_are_bayes_by_hand(spark, most, monkeypatch):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(langid, "BROADCAST_ROWS", most)  # also with more hosts than are broadcast
+
     rows, held, _, say = language_rows()
     rng = random.Random(24)
     hosts = ["www.a.fr", "b.a.fr", "news.b.de", "c.uk", "plain", None, "x.b.de"]
@@ -843,6 +890,35 @@ def test_mix(spark, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mixed(frame).columns == frame.columns
 
 
+def test_op10_query(spark, tmp_path):
+    rng = random.Random(30)
+    rows = [(i, prose(rng.randint(1, 50), rng), None, rng.choice(["a", "b", "c", None]), 0, "", 0) for i in range(400)] + [(900, None, None, "z", 0, "", 0), (901, "\x0b\x0c ", None, "z", 0, "", 0)]
+    folder = as_table(spark, tmp_path, rows, SCHEMA)
+    got, again = (sorted(map(tuple, mixing.op10_pareto_mix(spark, folder).collect())) for _ in range(2))
+    assert got == again
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows}
+    of, sizes, taken = {i: s for i, _, _, s, *_ in rows}, collections.Counter(), collections.Counter()
+    for i, n in words.items():
+        sizes[of[i]] += n
+    want = brute_targets(dict(sizes))
+    for i, size, source_size, target, took in got:
+        assert size == words[i] and source_size == sizes[of[i]] and abs(target - want[of[i]]) < 1e-6 and took in (0, size, 2 * size)
+        taken[of[i]] += took
+    assert all(abs(taken[s] - want[s]) <= 26 for s in sizes)
+
+
+def test_operators_with_clashing_columns(spark):
+    """Columns named as the operators' own, in types of their own."""
+    names = ["doc_id", "text", "lang", "source", "base", "more", "cand", "__row", "__key", "__text", "labels", "score", "shard", "copies", "size"]
+    row = (1, "Released under the MIT License. token = 'abcdef123456' mail a@b.cd " + prose(60), "en", "s", *["x"] * 11)
+    frame = spark.createDataFrame([row, row], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    assert [len(r["__base"]) for r in license_scan.scan(frame).collect()] == [1, 1]
+    assert [len(r.base) for r in pii.personal_data(frame).collect()] == [1, 1] and [len(r.base) for r in secrets_crf.scan(frame).collect()] == [1, 1]
+    assert suffix_dedup.remove_repeats(frame).count() == exact_dedup.deduplicate(frame).count() == langid.identify(frame).count() == 2
+    assert sharding.sharded(frame).count() == 2
+    assert mixing.mixed(frame).columns == names
+
+
 def test_crc(spark, docs):
     from pyspark.sql import functions as F
 
