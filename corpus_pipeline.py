@@ -7,7 +7,10 @@
 5 shards    documents get a shard and a slot
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet into the shared folder and gives
-what it reads there to the next. All but the last return the columns of documents, extra ones included.
+what it reads there to the next. All but the last return the columns of documents, extra ones included, whatever their names.
+
+In every stage null texts count as empty, null ids are ids of their own, whole texts are read however long, ties are broken by id or by hash, so that reruns agree, and an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,23 +24,23 @@ from lodestat.llm.common import cut, table, without
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is identified. Empty texts and texts that no language explains go."""
+    """Keeps documents whose language is identified. Empty texts and texts that no language explains go. Rows that repeat are judged alike and all stay."""
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that SimHash links, the one with the smallest doc_id."""
+    """Of documents that SimHash links and whose five-word shingles are 0.8 similar one stays, the one with the smallest doc_id; of rows that repeat one, null ids last."""
     return simhash.one_of_each(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that leak no item of benchmark."""
+    """Keeps documents that leak no item of benchmark. Rows that repeat go or stay together; without items all stay."""
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, cut(found.select("__key"), "leaks"), "doc_id", "text")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that each source's words reach its target; a document taken twice is two rows."""
+    """Repeats or leaves out documents so that each source's words reach its target; a document taken twice is two rows. Documents without words are left out; a null source is a source."""
     return mixing.mixed(docs)
 
 
