@@ -226,6 +226,8 @@ COPY_SHINGLE, COPY_RADIUS = 2, 9
 ALIKE_SHINGLE, ALIKE = 5, (4, 5)
 #: Texts of a group that one task takes in a round, the first by id; the others are compared with those of them that stay, so many a task.
 HEADS = 1000
+#: Parts of a group whose first texts are looked for apart.
+SALTS = 64
 
 
 def shingles(data: bytes, size: int = ALIKE_SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -315,9 +317,12 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
 
 def _first_of_groups(members: DataFrame, heads: int) -> DataFrame:
-    """Keys of the first texts of each group. The limit is applied in every task before the shuffle, so no task sorts a group."""
-    order = Window.partitionBy("__group").orderBy("__none", "__id", "__key")
-    return members.select("__group", "__none", "__id", "__key").distinct().withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= heads).select(F.col("__key").alias("__front"))
+    """Keys of the first texts of each group: first of each of SALTS parts of a group, then of those, so no task sorts a group."""
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("__none", "__id", "__key"))
+    few = members.select("__group", "__none", "__id", "__key").distinct().withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)))
+    for by in (("__group", "__salt"), ("__group",)):
+        few = few.withColumn("__nth", order(*by)).filter(F.col("__nth") <= heads).drop("__nth")
+    return few.select(F.col("__key").alias("__front"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS, *, heads: int = HEADS) -> DataFrame:
