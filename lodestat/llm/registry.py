@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import decontaminate, exact_dedup, langid, lexical_search, license_scan, mixing, pii, secrets_crf, sharding, simhash, suffix_dedup, url_filter
+from lodestat.llm import alignment, decontaminate, exact_dedup, langid, lexical_search, license_scan, mixing, pii, secrets_crf, sharding, simhash, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pareto_mix": mixing.op10_pareto_mix,
     "op11_dual_tree_search": lexical_search.op11_dual_tree_search,
     "op12_url_cascade": url_filter.op12_url_cascade,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 SQL: dict[str, str] = {"op3_chunk_dedup": exact_dedup.OP3_SQL, "op11_dual_tree_search": lexical_search.OP11_SQL, "op12_url_cascade": url_filter.OP12_SQL}
