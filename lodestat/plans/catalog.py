@@ -1,4 +1,4 @@
 """The query catalogue: importing the modules registers their queries."""
 
-from lodestat.plans import evolution, laws, mixture, panel, quality  # noqa: F401
+from lodestat.plans import evolution, inference, laws, mixture, panel, quality  # noqa: F401
 from lodestat.plans.registry import QUERIES, SQL  # noqa: F401
