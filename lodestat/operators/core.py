@@ -76,3 +76,33 @@ def rounded(col: str | Column, digits: int = 6) -> Column:
 
 def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str, value: str) -> DataFrame:
     return df.unpivot([F.col(c) for c in ids], [F.col(c) for c in values], name, value)
+
+
+#: Rows that share a bucket of row numbers, so about the most that one task sorts.
+BUCKET_ROWS = 100_000
+
+
+def row_numbers(df: DataFrame, key: str, seed: int, name: str = "row") -> DataFrame:
+    """df with gapless numbers from 0 in an order that MD5 of seed and key decides, equal keys in any order: a permutation that any engine with MD5 reproduces.
+
+    Rows go to buckets by the first digits of the hash; sums of the buckets' sizes give their first numbers, and only rows of a bucket are sorted together.
+    """
+    digits, n = 2, df.count()
+    while n > BUCKET_ROWS << (4 * digits):
+        digits += 1
+    df = df.withColumn("__hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("__bucket", F.substring("__hash", 1, digits))
+    sizes = df.groupBy("__bucket").agg(F.count("*").alias("__size"))
+    starts = sizes.select(F.col("__bucket").alias("__k"), (F.sum("__size").over(Window.orderBy("__bucket")) - F.col("__size")).alias("__start"))  # one row a bucket
+    inner = Window.partitionBy("__bucket").orderBy("__hash")
+    return df.join(small(starts), F.col("__bucket") == F.col("__k")).withColumn(name, F.col("__start") + F.row_number().over(inner) - 1).drop("__hash", "__bucket", "__k", "__start", "__size")
+
+
+def exact_folds(df: DataFrame, key: str, k: int, seed: int, name: str = "fold") -> DataFrame:
+    """df with folds 0 to k - 1 of equal size after a keyed shuffle: of n rows the first n mod k folds have one more."""
+    n = df.count()
+    if not 2 <= k <= n:
+        raise ValueError("folds need at least a row each, and two of them")
+    size, more = n // k, n % k
+    at = F.col("__row")
+    fold = F.when(at < more * (size + 1), F.floor(at / F.lit(size + 1))).otherwise(F.lit(more) + F.floor((at - more * (size + 1)) / F.lit(size)))
+    return row_numbers(df, key, seed, "__row").withColumn(name, fold.cast("int")).drop("__row")

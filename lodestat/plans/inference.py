@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.functions import columns as C
-from lodestat.operators import allocation, quantreg, ranks, refits, resample
-from lodestat.operators.core import rounded, small, stored, table
+from lodestat.operators import allocation, effects, quantreg, ranks, refits, resample, ridge
+from lodestat.operators.core import exact_folds, rounded, small, stored, table
 from lodestat.plans.registry import query
-from lodestat.plans.sqlmath import law_fit
+from lodestat.plans.sqlmath import law_fit, normal, solved
 
 TAU = 0.9
 #: A share of which few numbers of rows have a whole multiple, so that optimal lines are single ones.
@@ -210,3 +210,75 @@ def noisy_law_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = ranks.quantiles(out, [], "alpha", {"alpha_low": 0.025, "alpha_high": 0.975}).drop("n").join(F.broadcast(ranks.quantiles(out, [], "E", {"e_low": 0.025, "e_high": 0.975}).drop("n")))
     one = out.agg(F.count("*").alias("replicates"), F.count_if("failed").alias("failed"))
     return one.join(F.broadcast(q)).select("replicates", "failed", *[rounded(c, 5).alias(c) for c in ("alpha_low", "alpha_high", "e_low", "e_high")], (F.col("alpha_high") > F.col("alpha_low")).alias("wide"))  # one row by one row
+
+
+# -- absorbed effects, many penalties, exact folds ----------------------------------------------------
+
+
+def _resid_sql(rows: str, out: str, columns: list[str], target: str) -> str:
+    """CTE `out` with the slope of target on the last of columns beside the others and a level, by normal equations on centred columns; one row a g."""
+    mean = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY g) AS {c}" for c in [*columns, target])
+    k = len(columns)
+    return f"{out}_c AS (SELECT g, {mean} FROM {rows}), {out}_m AS (SELECT g, count(*) AS n, {normal(columns, [target], '1.0')} AS m FROM {out}_c GROUP BY g), {solved(f'{out}_s', f'{out}_m', ['g'], k, k + 1)}, {out} AS (SELECT g, m[{k}][{k + 1}] AS slope FROM {out}_s)"
+
+
+_YEARS = "(epoch(o_orderdate) - epoch(TIMESTAMP '1995-01-01')) / 86400.0 / 365.25"
+_FE = f"o AS (SELECT 1 AS g, ln(o_custkey + 1) AS x, ln(o_custkey + 1) ** 2 AS x2, {_YEARS} AS t, ln(o_totalprice) AS y, o_orderpriority AS p, o_orderstatus AS s FROM orders)"
+_TURNS = 12
+
+
+def _two_way_sql() -> str:
+    """Columns less priority and status effects, taken in turns."""
+    parts, last = [], "o"
+    for i in range(_TURNS):
+        by = "p" if i % 2 == 0 else "s"
+        parts.append(f"w{i} AS (SELECT g, p, s, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY {by}) AS {c}' for c in ('x', 't', 'y'))} FROM {last})")
+        last = f"w{i}"
+    return ", ".join(parts)
+
+
+@query(
+    f"""WITH RECURSIVE {_FE}, {_resid_sql('o', 'lin', ['x', 't'], 'y')}, {_resid_sql('o', 'quad', ['x', 'x2', 't'], 'y')}, one AS (SELECT g, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY p) AS {c}' for c in ('t', 'y'))} FROM o), {_resid_sql('one', 'fe', ['t'], 'y')}, {_two_way_sql()}, {_resid_sql(f'w{_TURNS - 1}', 'both_', ['x', 't'], 'y')}
+SELECT spec, (SELECT count(*) FROM orders)::DOUBLE AS n, round(slope, 6) AS time_trend FROM (SELECT 'linear' AS spec, slope FROM lin UNION ALL SELECT 'quadratic', slope FROM quad UNION ALL SELECT 'priority_effects', slope FROM fe UNION ALL SELECT 'priority_and_status_effects', slope FROM both_)"""
+)
+def time_trend_by_specification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time trend of log price that is left beside scale: linear, quadratic, with a level for each priority, and with levels for priorities and statuses."""
+    t = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) / 365.25
+    o = stored(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", F.log(F.col("o_custkey") + 1).alias("x"), F.pow(F.log(F.col("o_custkey") + 1), 2).alias("x2"), t.alias("t"), F.log("o_totalprice").alias("y")))
+    cases = {"linear": ([], ["x", "t"]), "quadratic": ([], ["x", "x2", "t"]), "priority_effects": (["o_orderpriority"], ["t"]), "priority_and_status_effects": (["o_orderpriority", "o_orderstatus"], ["x", "t"])}
+    found = {k: effects.slopes(o, by, x, "y") for k, (by, x) in cases.items()}
+    rows = F.array(*[F.struct(F.lit(k).alias("spec"), F.lit(v["n"]).alias("n"), rounded(F.lit(v["t"])).alias("time_trend")) for k, v in found.items()])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+
+
+_FOLDS = "(SELECT {key} AS fk, CASE WHEN i < more * (size + 1) THEN i // (size + 1) ELSE more + (i - more * (size + 1)) // size END AS f FROM (SELECT {key}, row_number() OVER (ORDER BY md5('{seed}|' || {key})) - 1 AS i, count(*) OVER () // {k} AS size, count(*) OVER () % {k} AS more FROM {rows}))"
+
+
+@query(f"SELECT f::INT AS fold, count(*) AS n, sum(fk)::BIGINT AS sum_of_keys, min(fk) AS first_key, max(fk) AS last_key FROM {_FOLDS.format(key='o_orderkey', seed=42, k=7, rows='orders')} GROUP BY 1")
+def exact_fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven folds of orders of sizes that differ by one at most, after a keyed shuffle."""
+    f = exact_folds(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 7, 42)
+    return f.groupBy("fold").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("sum_of_keys"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
+_PENALTIES = [0.01, 1.0, 30.0]
+_RIDGE = f"""e AS (SELECT vec_id, embedding::DOUBLE[] AS x, [label::DOUBLE, (label % 3)::DOUBLE, embedding[1]::DOUBLE * embedding[2] + label / 10.0] AS y FROM embeddings), fo AS (SELECT * FROM {_FOLDS.format(key='vec_id', seed=7, k=5, rows='embeddings')}),
+r AS (SELECT f, list_concat(list_concat([1.0], x), y) AS v FROM e JOIN fo ON vec_id = fk), c AS (SELECT f, unnest(range(1, 69)) AS i, v FROM r), d AS (SELECT f, i, unnest(range(1, 69)) AS j, v FROM c), p AS (SELECT f, i, j, sum(v[i] * v[j]) AS s FROM d GROUP BY ALL),
+a AS (SELECT i, j, sum(s) AS s FROM p GROUP BY ALL), tr AS (SELECT p.f, p.i, p.j, a.s - p.s AS s FROM p JOIN a USING (i, j) UNION ALL SELECT -1, i, j, s FROM a),
+ce AS (SELECT q.f, q.i, q.j, q.s - u.s * v.s / w.s AS s FROM tr q JOIN tr u ON u.f = q.f AND u.i = 1 AND u.j = q.i JOIN tr v ON v.f = q.f AND v.i = 1 AND v.j = q.j JOIN tr w ON w.f = q.f AND w.i = 1 AND w.j = 1 WHERE q.i BETWEEN 2 AND 65 AND q.j >= 2),
+ro AS (SELECT f, al, i, list(s + CASE WHEN i = j THEN al ELSE 0 END ORDER BY j) AS v FROM ce, (SELECT unnest({_PENALTIES}) AS al) GROUP BY f, al, i), ma AS (SELECT f, al, list(v ORDER BY i) AS m FROM ro GROUP BY f, al), {solved('so', 'ma', ['f', 'al'], 64, 67)},
+be AS (SELECT f, al, t, list_transform(m, lambda z: z[64 + t]) AS b FROM so, (SELECT unnest([1, 2, 3]) AS t)),
+mu AS (SELECT f, list(s ORDER BY j) AS v FROM tr WHERE i = 1 GROUP BY f),
+ab AS (SELECT be.f, al, t, b, (mu.v[65 + t] - list_dot_product(b, mu.v[2:65])) / mu.v[1] AS level FROM be JOIN mu USING (f)),
+er AS (SELECT al, t, sqrt(avg((level + list_dot_product(b, x) - y[t]) ** 2)) AS rmse FROM ab JOIN fo ON ab.f = fo.f JOIN e ON vec_id = fk GROUP BY al, t), ch AS (SELECT t, arg_min(al, rmse) AS al, min(rmse) AS rmse FROM er GROUP BY t)"""
+
+
+@query(f"WITH RECURSIVE {_RIDGE} SELECT ch.t::INT AS target, ch.al AS penalty, round(ch.rmse, 6) AS cv_rmse, round(ab.level, 5) AS level, round(list_sum(list_transform(ab.b, lambda z: abs(z))), 4) AS weight, (list_position(list_transform(ab.b, lambda z: abs(z)), list_max(list_transform(ab.b, lambda z: abs(z)))))::INT AS heaviest FROM ch JOIN ab ON ab.f = -1 AND ab.t = ch.t AND ab.al = ch.al")
+def ridge_many_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three targets on all 64 parts of the embedding, each with the penalty that five exact folds choose."""
+    label = F.col("label").cast("double")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.array(label, label % 3, F.col("embedding")[0].cast("double") * F.col("embedding")[1] + label / 10).alias("y"))
+    found = ridge.ridge_many(exact_folds(e, "vec_id", 5, 7), "x", "y", "fold", 64, 3, _PENALTIES)
+    slopes = abs(found["beta"][1:])
+    rows = [F.struct(F.lit(t + 1).alias("target"), F.lit(float(found["penalty"][t])).alias("penalty"), rounded(F.lit(float(found["cv_rmse"][t]))).alias("cv_rmse"), rounded(F.lit(float(found["beta"][0, t])), 5).alias("level"), rounded(F.lit(float(slopes[:, t].sum())), 4).alias("weight"), F.lit(int(slopes[:, t].argmax()) + 1).alias("heaviest")) for t in range(3)]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
