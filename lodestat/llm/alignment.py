@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,56 +78,66 @@ def load(folder: str, a_name: str = BYTE_BPE, b_name: str = PIECE_BPE) -> Tokeni
     return Tokenizers(a, b, [data.get(i, b"") for i in range(max(vocab.values()) + 1)], b_bytes, apart)
 
 
-def align(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups, links) of two lists of ids with the bytes of each: slices between ends that both have, and pairs that end together."""
-    ends = []
-    for sizes in (a_size, b_size):
-        at, own = 0, {}
-        for i, n in enumerate(sizes):
-            at += n
-            own.setdefault(at, []).append(i)  # a token without bytes ends where the one before it does
-        ends.append(own)
-    first, second = ends
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(first.keys() & second.keys()):
-        to_i, to_j = first[end][-1] + 1, second[end][-1] + 1
-        groups.append((a[i:to_i], b[j:to_j]))
-        links += [(a[x], b[y]) for x in first[end] for y in second[end]]
-        i, j = to_i, to_j
-    return groups, links
+def align(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where both lists of ids are cut: numbers of tokens of each up to the ends that both have. Ends ascend; no token is without bytes."""
+    first, second = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True)), dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
+    common = sorted(first.keys() & second.keys())
+    return np.array([first[e] for e in common], np.int64), np.array([second[e] for e in common], np.int64)
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of flat that belong to the places at, one after the other, and where each begins (and the last ends)."""
+    size = start[at + 1] - start[at]
+    begin = np.r_[0, np.cumsum(size)]
+    return flat[np.repeat(start[at] - begin[:-1], size) + np.arange(begin[-1])], begin
 
 
 class Aligner:
-    """Aligned pieces by text. Of each piece it keeps numbers of tokens, groups and links, groups as text, and links as numbers a * width + b."""
+    """Aligned pieces. Of each it keeps numbers of tokens and groups, the groups as codes of token and separator, and links as numbers a * width + b."""
 
     def __init__(self, tokenizers: Tokenizers, most: int = CACHE) -> None:
         self.t, self.most, self.width = tokenizers, most, len(tokenizers.b_bytes)
+        self.a_size, self.b_size = (np.array([len(x) for x in v], np.int64) for v in (tokenizers.a_bytes, tokenizers.b_bytes))
+        self.after = 2 * len(self.a_size)  # codes of B's tokens come after A's
+        self.written = [f"{i}{c}" for n, marks in ((len(self.a_size), ",|"), (self.width, ",;")) for i in range(n) for c in marks]
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.text: list[str] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # n_a, n_b, groups, whether bytes agree
-        self.links: list[list[int]] = []
+        self.sizes = np.empty((0, 4), np.int64)  # n_a, n_b, groups, whether bytes agree
+        self.codes, self.code_start = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.links, self.link_start = np.empty(0, np.int64), np.zeros(1, np.int64)
 
     def pieces(self, text: str) -> list[str]:
         return _CUT.split(text) if self.t.apart else [text]
 
     def learn(self, pieces: list[str]) -> None:
+        """Encodes and aligns new pieces, all in one go: as their tokens' bytes are the pieces' bytes, ends of pieces are ends of both."""
         t = self.t
-        for piece, b in zip(pieces, t.b.encode(pieces, num_threads=1), strict=True):
-            data, a = f" {piece}".encode(), t.a.encode_ordinary(f" {piece}")
-            left, right = [t.a_bytes[i] for i in a], [t.b_bytes[i] for i in b]
-            self.place[piece] = len(self.text)
-            if b"".join(left) != data or b"".join(right) != data:
-                self.text.append("")
-                self.sizes.append((0, 0, 0, 0))
-                self.links.append([])
-                continue
-            groups, links = align(a, b, list(map(len, left)), list(map(len, right)))
-            self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-            self.sizes.append((len(a), len(b), len(groups), 1))
-            self.links.append([x * self.width + y for x, y in links])
+        lists = [[t.a.encode_ordinary(f" {p}") for p in pieces], t.b.encode(pieces, num_threads=1)]
+        data = [f" {p}".encode() for p in pieces]
+        joined = [[b"".join([own[i] for i in ids]) for ids in side] for side, own in zip(lists, (t.a_bytes, t.b_bytes), strict=True)]
+        good = np.array([x == y == z for x, y, z in zip(data, *joined, strict=True)], bool)
+        a, n_a = _flat([ids if ok else [] for ids, ok in zip(lists[0], good, strict=True)])
+        b, n_b = _flat([ids if ok else [] for ids, ok in zip(lists[1], good, strict=True)])
+        a_ends = np.cumsum(self.a_size[a])
+        cut_a, cut_b = align(a_ends.tolist(), np.cumsum(self.b_size[b]).tolist())
+        group_a, group_b = (np.repeat(np.arange(len(c)), np.diff(np.r_[0, c])) for c in (cut_a, cut_b))
+        codes = np.empty(len(a) + len(b), np.int64)  # of each group A's tokens, then B's
+        last_a, last_b = (np.isin(np.arange(1, len(x) + 1), c, assume_unique=True) for x, c in ((a, cut_a), (b, cut_b)))
+        codes[np.arange(len(a)) + np.r_[0, cut_b][group_a]] = 2 * a + last_a
+        codes[np.arange(len(b)) + cut_a[group_b]] = self.after + 2 * b + last_b
+        of = np.searchsorted(np.cumsum(n_a), cut_a)  # the piece that a group is in
+        groups = np.bincount(of, minlength=len(pieces))
+        self.place.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces)), strict=True))
+        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, groups, good], axis=1)])
+        self.codes, self.code_start = np.concatenate([self.codes, codes]), np.concatenate([self.code_start, self.code_start[-1] + np.cumsum(n_a + n_b)])
+        self.links, self.link_start = np.concatenate([self.links, a[cut_a - 1] * self.width + b[cut_b - 1]]), np.concatenate([self.link_start, self.link_start[-1] + np.cumsum(groups)])
 
     def batch(self, texts: list[str]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, linked pairs, how often each) of each text."""
@@ -135,20 +146,21 @@ class Aligner:
         if len(self.place) + len(new) > self.most and self.place:
             self.clear()
             new = list({p: None for pieces in cut_up for p in pieces})
-        for k in range(0, len(new), 4096):
-            self.learn(new[k : k + 4096])
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 4)
+        for k in range(0, len(new), 16_384):
+            self.learn(new[k : k + 16_384])
         out = []
         for pieces in cut_up:
-            at = [self.place[p] for p in pieces]
-            total = sizes[at].sum(axis=0) if at else np.zeros(4, np.int64)
-            if not at or total[3] < len(at):
+            at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+            total = self.sizes[at].sum(axis=0)
+            if not pieces or total[3] < len(at):
                 out.append((0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)))
                 continue
+            codes, _ = _gather(self.codes, self.code_start, at)
             sha = hashlib.sha256()
-            for k in range(0, len(at), 65_536):
-                sha.update((";" if k else "").encode() + ";".join([self.text[i] for i in at[k : k + 65_536]]).encode())
-            pairs, n = np.unique(np.array([p for i in at for p in self.links[i]], np.int64), return_counts=True)
+            for k in range(0, len(codes), 1 << 20):
+                part = "".join(map(self.written.__getitem__, codes[k : k + (1 << 20)].tolist()))
+                sha.update((part[:-1] if k + (1 << 20) >= len(codes) else part).encode())  # without the last semicolon
+            pairs, n = np.unique(_gather(self.links, self.link_start, at)[0], return_counts=True)
             out.append((int(total[0]), int(total[1]), int(total[2]), int(n.sum()), sha.hexdigest(), pairs, n))
         return out
 

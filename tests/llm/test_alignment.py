@@ -83,10 +83,10 @@ def test_a_small_cache_changes_nothing(libraries):
             assert x[:5] == y[:5] and x[5].tolist() == y[5].tolist() and x[6].tolist() == y[6].tolist()
 
 
-def test_groups_and_links_of_tokens_without_bytes():
-    groups, links = m.align([1, 2, 3], [7, 8, 9], [2, 0, 1], [1, 1, 1])
-    assert groups == [([1, 2], [7, 8]), ([3], [9])]
-    assert links == [(1, 8), (2, 8), (3, 9)]
+def test_cuts_stand_where_both_end():
+    cut_a, cut_b = m.align([2, 3, 7, 9], [1, 3, 4, 5, 9])
+    assert cut_a.tolist() == [2, 4] and cut_b.tolist() == [2, 5]
+    assert [x.tolist() for x in m.align([], [])] == [[], []]
 
 
 def test_links_are_bounded_by_the_vocabularies(spark):
