@@ -101,13 +101,6 @@ def close(a: Column, b: Column, tolerance: float = 1e-12) -> Column:
 # -- names --------------------------------------------------------------------------------------------
 
 
-def name_key(x: Column) -> Column:
-    """Lower case, runs of anything but a-z and 0-9 as one underscore, none at the ends; empty becomes null. Accents are folded for Latin letters."""
-    folded = F.translate(F.lower(x), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    key = F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(key != "", key)
-
-
 def split_owner(x: Column) -> tuple[Column, Column]:
     """(owner, name) around the first slash; no slash, no owner."""
     parts = F.split(x, "/", 2)

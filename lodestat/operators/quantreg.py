@@ -94,7 +94,7 @@ def _residual(x: list[str], y: str, beta: np.ndarray) -> Column:
 def quantile_plane(df: DataFrame, x: list[str], y: str, tau: float, weight: str | None = None, band: int = BAND, sample: int = SAMPLE) -> dict[str, float]:
     """Level and slopes of the plane that a share tau of the rows lies below, with `n`, `loss` and `passes`: the exact optimum over all rows.
 
-    Equal rows count together. A sample of bounded size gives a first plane; each pass sums the rows beyond `band` rows around it and solves the rest. The loss of a solution that takes rows to
+    Equal rows count together. A sample of bounded size gives a first plane, Newton steps on a smoothed loss over all rows a near one; each pass sums the rows beyond `band` rows around it and solves the rest. The loss of a solution that takes rows to
     the wrong side of the plane underestimates theirs, so that the solution is a bound, and the next plane lies between, where the loss over all rows is less.
     """
     names = ["__one", *x]
@@ -108,8 +108,32 @@ def quantile_plane(df: DataFrame, x: list[str], y: str, tau: float, weight: str
         got = part.select(*names, y, "__w").orderBy(*x, y).toPandas()
         return got[names].to_numpy(float), got[y].to_numpy(float), got["__w"].to_numpy(float)
 
-    def loss(*betas: np.ndarray) -> list[float]:
-        return list(rows.agg(*[F.sum(F.col("__w") * check_loss(_residual(x, y, b), tau)).alias(f"l{i}") for i, b in enumerate(betas)]).first())
+    def loss(*betas: np.ndarray, h: float = 0.0) -> list[float]:
+        """The loss over all rows at some planes, with h that of the smoothed loss: a parabola where residuals are under h."""
+        each = [(r, F.when(F.abs(r) < h, (tau - 0.5) * r + r * r / (4 * h) + h / 4).otherwise(check_loss(r, tau)) if h else check_loss(r, tau)) for r in (_residual(x, y, b) for b in betas)]
+        return list(rows.agg(*[F.sum(F.col("__w") * v).alias(f"l{i}") for i, (_, v) in enumerate(each)]).first())
+
+    def smoothed(beta: np.ndarray, h: float) -> np.ndarray:
+        """Newton steps to the optimum of the smoothed loss, near which the exact one lies: a pass for sums of products of rows under h, a pass for the step's length."""
+        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+        value = loss(beta, h=h)[0]
+        for _ in range(30):
+            r = _residual(x, y, beta)
+            slope = F.lit(tau - 1) + F.least(F.lit(1.0), F.greatest(F.lit(0.0), (r + h) / (2 * h)))
+            w, inner = F.col("__w"), F.when(F.abs(r) < h, F.col("__w") / (2 * h)).otherwise(0.0)
+            got = rows.agg(*[F.sum(w * slope * F.col(c)) for c in names], *[F.sum(inner * F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
+            g, m = np.array(got[: len(names)], float), np.zeros((len(names), len(names)))
+            for (i, j), v in zip(pairs, got[len(names) :], strict=True):
+                m[i, j] = m[j, i] = v
+            scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
+            step = np.linalg.lstsq(m / np.outer(scale, scale), g / scale, rcond=1e-12)[0] / scale
+            cuts = [beta + step * 0.5**k for k in range(-1, 12)]
+            losses = loss(*cuts, h=h)
+            best = int(np.argmin(losses))
+            if losses[best] >= value * (1 - 1e-9):
+                break
+            beta, value = cuts[best], losses[best]
+        return beta
 
     if n <= band:
         xs, ys, ws = local(rows)
@@ -118,22 +142,23 @@ def quantile_plane(df: DataFrame, x: list[str], y: str, tau: float, weight: str
         first = rows.filter(F.pmod(F.xxhash64(*x, y), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample / n)) + 1))
         xs, ys, ws = local(first)
         beta = vertex(xs, ys, tau, ws)
-        value = loss(beta)[0]
         for passes in range(1, MOST_PASSES + 1):
-            r = _residual(x, y, beta)
+            width = rows.agg(F.percentile_approx(F.abs(_residual(x, y, beta)), min(1.0, 0.3 * band / n), 100_000)).first()[0]
+            beta = smoothed(beta, float(width)) if width > 0 and passes <= 6 else beta
+            value, r = loss(beta)[0], _residual(x, y, beta)
             # the band: as many rows nearest to the plane as are solved at once
             near = rows.agg(F.percentile_approx(F.abs(r), min(1.0, 0.5 * band / n), 100_000)).first()[0]
             far = F.abs(r) > F.lit(float(near))
             side = F.when(r > 0, F.lit(tau)).otherwise(F.lit(tau - 1)) * F.col("__w")
             pull = np.array([v or 0.0 for v in rows.filter(far).agg(*[F.sum(side * F.col(c)) for c in names]).first()])
             xs, ys, ws = local(rows.filter(~far))
+            solved = True
             try:
                 new = vertex(xs, ys, tau, ws, pull, beta)
             except NoFit:  # too few rows near the plane hold back the rest: a step down the slope, cut below
                 g = rows.agg(*[F.sum(F.when(r > 0, F.lit(tau)).otherwise(F.lit(tau - 1)) * F.col("__w") * F.col(c)) for c in names]).first()
-                new = beta + np.array([v or 0.0 for v in g]) / total
-            crossed = rows.filter(far & (F.signum(r) * _residual(x, y, new) < 0)).isEmpty()
-            if crossed:
+                new, solved = beta + np.array([v or 0.0 for v in g]) / total, False
+            if solved and rows.filter(far & (F.signum(r) * _residual(x, y, new) < 0)).isEmpty():  # no row has changed sides
                 beta = new
                 break
             cuts = [beta + (new - beta) * 0.5**k for k in range(12)]

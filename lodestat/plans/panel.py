@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestat.functions import columns as C
-from lodestat.operators import aggregates, expect, handoff, linkage, ranks
+from lodestat.operators import aggregates, expect, handoff, linkage, names, ranks
 from lodestat.operators.core import rounded, small, stored, table
 from lodestat.plans.registry import query
 from lodestat.streaming import events
@@ -23,8 +23,9 @@ l AS (SELECT p.*, coalesce(u1.v, u2.v) AS linked, CASE WHEN u1.v IS NOT NULL THE
 def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
     whole = F.concat_ws("/", "p_brand", "p_name")
-    left = part.filter("p_size <= 25").select("p_partkey", C.name_key(whole).alias("k_full"), C.name_key(F.col("p_name")).alias("k_name"))
-    right = part.filter("p_size > 25").select(F.col("p_partkey").alias("r_id"), C.name_key(F.concat_ws(" ", "p_brand", "p_name")).alias("r_full"), C.name_key(F.col("p_name")).alias("r_name"))
+    both = names.with_keys(part.select("p_partkey", "p_size", whole.alias("whole"), "p_name"), {"whole": "full", "p_name": "name"})
+    left = both.filter("p_size <= 25").select("p_partkey", F.col("full").alias("k_full"), F.col("name").alias("k_name"))
+    right = both.filter("p_size > 25").select(F.col("p_partkey").alias("r_id"), F.col("full").alias("r_full"), F.col("name").alias("r_name"))
     return linkage.ladder(left, right, [("full", "k_full", "r_full", False), ("name", "k_name", "r_name", True)], "r_id"), right
 
 
@@ -56,9 +57,10 @@ FROM p LEFT JOIN u1 ON k_full = u1.k LEFT JOIN u2 ON k_org = u2.k LEFT JOIN u3 O
 def linkage_four_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ladder: full name, owner with family and name, name alone, alias. Name and alias must be unique on both sides."""
     part = table(spark, sf_dir, "part")
-    key = lambda *parts: C.name_key(F.concat_ws(" ", *parts))
-    left = part.filter("p_size <= 25").select("p_partkey", key("p_brand", "p_name").alias("k_full"), key("p_brand", "p_type", "p_name").alias("k_org"), key("p_name").alias("k_name"), C.name_key(F.replace(F.col("p_name"), F.lit("small"), F.lit("large"))).alias("k_alias"))
-    right = part.filter("p_size > 25").select(F.col("p_partkey").alias("r_id"), key("p_brand", "p_name").alias("r_full"), key("p_brand", "p_type", "p_name").alias("r_org"), key("p_name").alias("r_name"), key("p_name").alias("r_alias"))
+    of = {"full": F.concat_ws(" ", "p_brand", "p_name"), "org": F.concat_ws(" ", "p_brand", "p_type", "p_name"), "name": F.col("p_name"), "alias": F.replace(F.col("p_name"), F.lit("small"), F.lit("large"))}
+    both = names.with_keys(part.select("p_partkey", "p_size", *[c.alias(f"of_{k}") for k, c in of.items()]), {f"of_{k}": f"k_{k}" for k in of})
+    left = both.filter("p_size <= 25").select("p_partkey", *[f"k_{k}" for k in of])
+    right = both.filter("p_size > 25").select(F.col("p_partkey").alias("r_id"), *[F.col(f"k_{k}").alias(f"r_{k}") for k in ("full", "org", "name")], F.col("k_name").alias("r_alias"))
     out = linkage.ladder(left, right, [("full", "k_full", "r_full", False), ("org", "k_org", "r_org", False), ("name", "k_name", "r_name", True), ("alias", "k_alias", "r_alias", True)], "r_id")
     return out.select("p_partkey", F.col("linked").cast("string").alias("linked"), "link_method")
 

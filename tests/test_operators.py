@@ -2,13 +2,15 @@
 
 import math
 import random
+import re
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestat.functions import columns as C
-from lodestat.operators import aggregates, allocation, core, expect, linalg, linkage, optim, ranks, resample
+from lodestat.operators import aggregates, allocation, core, expect, linalg, linkage, names, optim, ranks, resample
 from lodestat.plans import catalog
 
 
@@ -48,9 +50,17 @@ def test_keep_first_is_by_order(spark):
 
 
 def test_names(spark):
-    df = frame(spark, [("A / B-C",), ("a_b c",), ("Yi-1.5-34B-Chat",), ("Yi-1.5-34B",), ("--",), (None,)], "x string")
-    got = [r[0] for r in df.select(C.name_key(F.col("x"))).collect()]
-    assert got[0] == got[1] == "a_b_c" and got[2] != got[3] and got[4] is None and got[5] is None
+    """Keys as unicodedata makes them: ligatures, full width, Vietnamese, combining marks, letters that do not decompose."""
+    odd = ["A / B-C", "a_b c", "Yi-1.5-34B-Chat", "Yi-1.5-34B", "--", None, "", "ﬁne-tuné", "Ｆｕｌｌ Ｗｉｄｔｈ", "Tiếng Việt", "e\u0301cole", "Ørsted", "straße", "№ 5", "x²", "日本", "İstanbul"]
+    df = frame(spark, [(i, x, "plain") for i, x in enumerate(odd)], "i int, x string, __bare_ string")
+    got = {r.i: (r.k, r.p) for r in names.with_keys(df, {"x": "k", "__bare_": "p"}).collect()}
+
+    def plain(x):
+        low = "".join(c for c in unicodedata.normalize("NFKD", x or "") if not unicodedata.combining(c)).lower()
+        return re.sub("[^a-z0-9]+", "_", low).strip("_") or None
+
+    assert got == {i: (plain(x), "plain") for i, x in enumerate(odd)}
+    assert got[0] == got[1] and got[7][0] == "fine_tune" and got[9][0] == "tieng_viet"
 
 
 def test_ladder_leaves_ambiguous_keys_alone(spark):
