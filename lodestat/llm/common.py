@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -24,6 +25,17 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+def ascii_lower(col: Column) -> Column:
+    """Lower-cases A-Z and nothing else."""
+    return F.translate(col, ASCII_UPPER, ASCII_LOWER)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A key of a row by its id and text. Rows that agree in it are interchangeable for these operators."""
+    text = text_or_empty(text_col)
+    return F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(text)), F.octet_length(text).cast("string"))
+
+
 def free(df: DataFrame, name: str) -> str:
     """name, or name with as many underscores behind it as no column of df has (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -32,17 +44,26 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def ascii_lower(col: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(col, ASCII_UPPER, ASCII_LOWER)
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on docs whose columns of its own begin with two underscores: columns of docs that do are renamed before and named back after, so that none is lost. What the operator itself returns under such a name replaces the column."""
 
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        hidden: dict[str, str] = {}
+        for c in docs.columns:
+            if c.startswith("__"):
+                hidden[c] = free(docs, f"kept{len(hidden)}")
+        if not hidden:
+            return operator(docs, *args, **options)
+        named = lambda x: hidden.get(x, x) if isinstance(x, str) else x
+        out = operator(docs.withColumnsRenamed(hidden), *map(named, args), **{k: named(v) for k, v in options.items()})
+        made = set(out.columns)
+        return out.drop(*[v for k, v in hidden.items() if k in made]).withColumnsRenamed({v: k for k, v in hidden.items() if k not in made and v in made})
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """A key of a row by its id and text. Rows that agree in it are interchangeable for these operators."""
-    text = text_or_empty(text_col)
-    return F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(text)), F.octet_length(text).cast("string"))
+    return run
 
 
+@shielded
 def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs whose row_key is not in keys (column __key). Few keys, as counted, are broadcast; else both sides are shuffled."""
     gone = keys.select(F.col("__key").alias("__gone")).distinct()
@@ -51,13 +72,12 @@ def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset (tests, one machine) a folder is set here."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset (tests, one machine) a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file:///tmp/lodestat-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import BLOCK, ascii_lower, let, spans, table, text_or_empty
+from lodestat.llm.common import BLOCK, ascii_lower, let, shielded, spans, table, text_or_empty
 from lodestat.llm.license_rules import GRANT, PHRASES, SENTENCE_WORDS, rules
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,6 +100,7 @@ def _places(label: str, phrase: str) -> Column:
     return F.transform(at, lambda s: F.struct(F.lit(label).alias("label"), s["first"].alias("first"), s["last"].alias("last")))
 
 
+@shielded
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with __n_words, __base (label, first, last of the base phrases) and __found (detections that stand).
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestat.llm.common import cut, join_dim, row_key, table, text_or_empty, unit_hash
+from lodestat.llm.common import cut, join_dim, row_key, shielded, table, text_or_empty, unit_hash
 
 SHARE, CAP, WEIGHTS, SEED = 1.5, 2.0, (3.0, 1.0, 2.0), 42
 #: Parts of a source's order of rank that are summed before the one part that holds its border is sorted.
@@ -91,6 +91,7 @@ def mix(rows: DataFrame, source_col: str, size_col: str, keys: list[str], *, sha
     return rows.withColumn("copies", F.col("__whole") + taken.cast("bigint")).select(*[c for c in names if c not in ("source_size", "target", "copies")], "source_size", "target", "copies")
 
 
+@shielded
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs, each row as often as the mix takes it. Sizes and keys are mixed; texts move once, in the join with the copies.
 

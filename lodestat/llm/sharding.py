@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestat.llm.common import row_key, table, text_or_empty
+from lodestat.llm.common import row_key, shielded, table, text_or_empty
 
 SHARDS, SEED, ROUNDS = 16, 42, 6
 #: Buckets in which rows are numbered; each is sorted by one task and its first number is known beforehand.
@@ -143,6 +143,7 @@ def shard(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SE
     return out.select(*names, F.pmod("__at", F.lit(shards)).cast("int").alias("shard"), _div(F.col("__at"), shards).alias("slot"))
 
 
+@shielded
 def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with shard and slot. Rows move once, to the bucket that numbers them. Null and empty texts are rows like any other.
 
