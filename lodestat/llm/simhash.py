@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestat.llm.common import cut, join_hot, row_key, table, text_or_empty
+from lodestat.llm.common import cut, join_hot, row_key, shielded, table, text_or_empty
 from lodestat.llm.components import connected_components
 
 SHINGLE, RADIUS, BITS, SEED = 4, 4, 64, 42
@@ -86,14 +86,14 @@ def variants(fp: Column, radius: int = RADIUS) -> Column:
     return F.array(*keys)
 
 
-def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what is within radius, by breadth-first search over those not reached yet."""
-    left, out = fps.copy(), []
+def _forest(fps: np.ndarray, sketches: np.ndarray, radius: int, apart: int) -> list[tuple[int, int]]:
+    """Links (places in the arrays) that connect what is near, by breadth-first search over those not reached yet."""
+    left, out = np.arange(len(fps)), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = (np.bitwise_count(fps[left] ^ fps[x]) <= radius) & (np.bitwise_count(sketches[left] ^ sketches[x]) <= apart)
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -102,11 +102,12 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _linked(radius: int, most: int) -> callable:
-    """For mapInArrow over rows (key, fp) sorted by key: links (a, b), and of buckets over `most` the rows themselves (key not null)."""
+def _linked(radius: int, most: int, apart: int | None) -> callable:
+    """For mapInArrow over rows (key, fp) or (key, fp, sketch) sorted by key: links (a, b), with the sketches of both if there are any, and of buckets over `most` the rows themselves (key not null)."""
+    sketched, apart = apart is not None, 64 if apart is None else apart
 
-    def compare(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links in whole buckets, each of at most `most` rows."""
+    def compare(key: np.ndarray, fp: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of linked rows in whole buckets, each of at most `most` rows."""
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
         bucket = np.repeat(np.arange(len(first)), size)
@@ -116,84 +117,100 @@ def _linked(radius: int, most: int) -> callable:
         of, a, b = [], [], []
         for d in range(1, SMALL):
             if not d & (d - 1):  # at 1, 2, 4, ... those are left out that have no neighbour so far away
-                k, f, n = k[n > d], f[n > d], n[n > d]
+                k, f, left, n = k[n > d], f[n > d], left[n > d], n[n > d]
             if len(k) <= d:
                 break
             hit = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= radius))
+            if sketched:
+                hit = hit[np.bitwise_count(sk[left[hit]] ^ sk[left[hit + d]]) <= apart]
             of.append(k[hit])
-            a.append(f[hit])
-            b.append(f[hit + d])
-        of, a, b = (np.concatenate([np.empty(0, x.dtype), *y]) for x, y in ((bucket, of), (fp, a), (fp, b)))
+            a.append(left[hit])
+            b.append(left[hit + d])
+        of, a, b = (np.concatenate([np.empty(0, np.int64), *y]) for y in (of, a, b))
         # large buckets, and those of which nearly all are linked, give a spanning forest
         dense = (np.bincount(of, minlength=len(first)) > 2 * size) | (size > SMALL)
         keep = ~dense[of]
-        pairs = [p for i in np.flatnonzero(dense) for p in _forest(fp[first[i] : first[i] + size[i]], radius)]
-        pairs = np.array(pairs, dtype=np.uint64).reshape(-1, 2)
+        pairs = [(first[i] + x, first[i] + y) for i in np.flatnonzero(dense) for at in (slice(first[i], first[i] + size[i]),) for x, y in _forest(fp[at], sk[at], radius, apart)]
+        pairs = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         return np.concatenate([a[keep], pairs[:, 0]]), np.concatenate([b[keep], pairs[:, 1]])
 
-    def rows(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
+    def rows(f: np.ndarray, sk: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
+        """Rows of the places a and b; with key, rows that are passed on."""
+        columns = [f[a], f[b], *([sk[a], sk[b]] if sketched else [])]
         keys = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), keys], names=["a", "b", "key"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), keys], names=["a", "b", *(["sa", "sb"] if sketched else []), "key"])
+
+    def passed(k: np.ndarray, f: np.ndarray, sk: np.ndarray) -> pa.RecordBatch:
+        return rows(f, sk, np.arange(len(k)), np.arange(len(k)), k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f, large = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        held, large = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)), None
         for batch in batches:
             k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            now = (k, f, batch.column(2).to_numpy().view(np.uint64) if sketched else np.zeros(len(k), np.uint64))
             if large is not None:  # the rest of a bucket that is passed on
                 n = int(np.searchsorted(k, large, "right"))
                 if n:
-                    yield rows(f[:n], f[:n], k[:n])
-                k, f = k[n:], f[n:]
-                if not len(k):
+                    yield passed(*(x[:n] for x in now))
+                now = tuple(x[n:] for x in now)
+                if not len(now[0]):
                     continue
                 large = None
-            k, f = np.concatenate([held_k, k]), np.concatenate([held_f, f])
-            if not len(k):
+            now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            if not len(now[0]):
                 continue
-            begin = int(np.searchsorted(k, k[-1]))  # the last bucket may go on in the next batch
-            held_k, held_f, k, f = k[begin:], f[begin:], k[:begin], f[:begin]
-            if len(held_k) > most:
-                large = held_k[0]
-                yield rows(held_f, held_f, held_k)
-                held_k, held_f = held_k[:0], held_f[:0]
-            if len(k):
+            begin = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
+            held, now = tuple(x[begin:] for x in now), tuple(x[:begin] for x in now)
+            if len(held[0]) > most:
+                large = held[0][0]
+                yield passed(*held)
+                held = tuple(x[:0] for x in held)
+            if len(now[0]):
+                k = now[0]
                 first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
                 size = np.diff(np.r_[first, len(k)])
                 over = np.repeat(size > most, size)
                 if over.any():
-                    yield rows(f[over], f[over], k[over])
-                    k, f = k[~over], f[~over]
-                if len(k):
-                    yield rows(*compare(k, f))
-        if len(held_k):
-            yield rows(*compare(held_k, held_f))
+                    yield passed(*(x[over] for x in now))
+                    now = tuple(x[~over] for x in now)
+                if len(now[0]):
+                    yield rows(now[1], now[2], *compare(*now))
+        if len(held[0]):
+            yield rows(held[1], held[2], *compare(*held))
 
     return run
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, most: int = MOST_MEMBERS) -> DataFrame:
-    """(a, b): links between different fingerprints of prints (column __fp) that connect all pairs within radius.
+def near_links(prints: DataFrame, radius: int = RADIUS, most: int = MOST_MEMBERS, apart: int | None = None) -> DataFrame:
+    """(a, b): links between different fingerprints of prints (column __fp) that connect all pairs within radius. With `apart` links also need sketches (column __sk) within so many bits, and name nodes by `node_of`.
 
     A bucket over `most` is cut again by one more segment of the bits outside its own, of which one is equal in
     any pair; after every segment has been used what is left is compared by search, which is fast among fingerprints that near.
     """
-    index = prints.select(F.explode(variants(F.col("__fp"), radius)).alias("key"), "__fp")
+    sketch = ["__sk"] if apart is not None else []
+    index = prints.select(F.explode(variants(F.col("__fp"), radius)).alias("key"), "__fp", *sketch)
     links: DataFrame | None = None
     for level in range(3):
         ordered = index.repartition("key").sortWithinPartitions("key")
-        found = cut(ordered.mapInArrow(_linked(radius, most if level < 2 else 1 << 62), "a bigint, b bigint, key bigint"), "simhash")
-        here = found.filter("key is null").select("a", "b")
+        found = cut(ordered.mapInArrow(_linked(radius, most if level < 2 else 1 << 62, apart), f"a bigint, b bigint, {'sa bigint, sb bigint, ' if sketch else ''}key bigint"), "simhash")
+        here = found.filter("key is null")
+        here = here.select(node_of(F.col("a"), F.col("sa")).alias("a"), node_of(F.col("b"), F.col("sb")).alias("b")) if sketch else here.select("a", "b")
         links = here if links is None else links.unionByName(here)
-        large = found.filter("key is not null").select("key", F.col("a").alias("__fp"))
+        large = found.filter("key is not null").select("key", F.col("a").alias("__fp"), *([F.col("sa").alias("__sk")] if sketch else []))
         if level == 2 or large.isEmpty():
             return links
         # radius + 1 parts of the fingerprint, at least one of which is equal in any pair; distinct parts at each level
         n = radius + 1 + level * 3
         parts = [F.xxhash64("key", F.lit(i), F.shiftrightunsigned(F.col("__fp"), BITS * i // n).bitwiseAND(F.lit((1 << (BITS * (i + 1) // n - BITS * i // n)) - 1))) for i in range(n)]
-        index = large.select(F.explode(F.array(*parts)).alias("key"), "__fp")
+        index = large.select(F.explode(F.array(*parts)).alias("key"), "__fp", *sketch)
     return links
 
 
+def node_of(fp: Column, sketch: Column) -> Column:
+    """A node of the link graph: texts that agree in fingerprint and sketch."""
+    return F.xxhash64(fp, sketch)
+
+
 # -- operators --------------------------------------------------------------------------------------
 
 
@@ -224,6 +241,9 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: copy is decided by the shingles of five words that both texts have, of all that either has.
 COPY_SHINGLE, COPY_RADIUS = 2, 9
 ALIKE_SHINGLE, ALIKE = 5, (4, 5)
+#: Sketches of 64 bits, each the parity of a least hash of the five-word shingles: texts that are 0.8 similar differ in 6 of them, at most, in expectation; unlike ones in 32.
+#: With links only up to so many bits, groups are what is alike, however many fingerprints are near by chance.
+SKETCH_APART = 16
 #: Texts of a group that one task takes in a round, the first by id; the others are compared with those of them that stay, so many a task.
 HEADS = 1000
 #: Parts of a group whose first texts are looked for apart.
@@ -236,6 +256,18 @@ def shingles(data: bytes, size: int = ALIKE_SHINGLE, seed: int = SEED) -> np.nda
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), seed) for i in range(max(1, len(words) - size + 1))], dtype=np.uint64))
 
 
+_FACTORS = np.random.default_rng(64).integers(1 << 32, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(found: np.ndarray) -> int:
+    """64 bits of a text's different shingles: a bit differs between two texts with half the chance that their least hashes do."""
+    least = np.full(64, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):  # in pieces, so that long texts need no more memory
+        h = found[at : at + 4096, None] * _FACTORS[None, :]
+        least = np.minimum(least, (h ^ (h >> np.uint64(29))).min(axis=0))
+    return int(np.packbits((np.bitwise_count(least) & 1).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
 class Kept:
     """Texts that stay, by their least shingles: texts that are alike share one of the first fifth."""
 
@@ -301,7 +333,7 @@ def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """One row a text that differs in words: __fp, and __none, __id and __key of its first row by id; null ids come last."""
+    """One row a text that differs in words: __fp, __sk, and __none, __id and __key of its first row by id; null ids come last."""
     slim = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__key"), text_or_empty(text_col).alias("__text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,11 +341,12 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
             data = [v.as_buffer().to_pybytes() for v in batch.column("__text")]
             prints = np.array([fingerprint(x, shingle) for x in data], dtype=np.uint64)
             words = pa.array([xxhash.xxh3_128_digest(b" ".join(x.translate(_UPPER).split())) for x in data], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__key"), pa.array(prints.view(np.int64)), words], names=["__id", "__key", "__fp", "__words"])
+            sketches = np.array([sketch(shingles(x)) for x in data], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__key"), pa.array(prints.view(np.int64)), pa.array(sketches.view(np.int64)), words], names=["__id", "__key", "__fp", "__sk", "__words"])
 
-    rows = slim.mapInArrow(made, f"__id {slim.schema['__id'].dataType.simpleString()}, __key string, __fp bigint, __words binary")
+    rows = slim.mapInArrow(made, f"__id {slim.schema['__id'].dataType.simpleString()}, __key string, __fp bigint, __sk bigint, __words binary")
     first = F.min(F.struct(F.col("__id").isNull().alias("__none"), "__id", "__key")).alias("__first")
-    return rows.groupBy("__fp", "__words").agg(first).select("__fp", "__first.*")
+    return rows.groupBy("__fp", "__sk", "__words").agg(first).select("__fp", "__sk", "__first.*")
 
 
 def _first_of_groups(members: DataFrame, heads: int) -> DataFrame:
@@ -325,16 +358,18 @@ def _first_of_groups(members: DataFrame, heads: int) -> DataFrame:
     return few.select(F.col("__key").alias("__front"))
 
 
+@shielded
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS, *, heads: int = HEADS) -> DataFrame:
     """docs without texts that are alike to one that stays with a smaller id; rows that repeat an id and text stay once. Null ids come last, by key.
 
-    Fingerprints within radius, and what these link, are groups of candidates. In a group texts are taken by id, and one stays unless it is alike
+    Fingerprints within radius whose sketches of five-word shingles agree, and what these link, are groups of candidates. In a group texts are taken by id, and one stays unless it is alike
     to one that stays; texts of the same words are one. Null and empty texts are one text. Of a large group a task takes the first texts by id, the others are dealt out to tasks that compare them with those
     which stay, and what is like none of them goes on to the next round: the same choice, whatever the size of a group. Whole texts are read. An empty table stays empty; other columns stay as they are.
     """
     texts = cut(_texts(docs, id_col, text_col, shingle), "texts")
-    roots = connected_components(near_links(texts.select("__fp").distinct(), radius))
-    named = cut(texts.join(roots.hint("merge"), F.col("__fp") == F.col("node"), "left").select(F.coalesce("root", "__fp").alias("__group"), "__none", "__id", "__key"), "named")
+    roots = connected_components(near_links(texts.select("__fp", "__sk").distinct(), radius, apart=SKETCH_APART))
+    own = node_of(F.col("__fp"), F.col("__sk"))
+    named = cut(texts.join(roots.hint("merge"), own == F.col("node"), "left").select(F.coalesce("root", own).alias("__group"), "__none", "__id", "__key"), "named")
     several = cut(named.groupBy("__group").agg(F.count("*").alias("__size")).filter("__size > 1").withColumnRenamed("__group", "__g"), "groups")
     members = cut(join_hot(named, several, "__group", "__g", "__size", named.count()).drop("__g"), "members")
     keyed = docs.withColumn("__key", row_key(id_col, text_col))
