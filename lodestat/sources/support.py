@@ -19,7 +19,7 @@ def support_grid(df: DataFrame, field: str, name: str) -> DataFrame:
 def reconciled(spark: SparkSession, path: str, schema: str, listed: DataFrame) -> DataFrame:
     """(name, bytes, rows, broken, status) of CSV files under path against listed (name, bytes, rows): ok, or the first that holds of missing, unlisted, bytes, broken (rows that do not fit the schema), rows.
 
-    Sizes and rows come from one reading: a file's size is known to each of its rows. Files without any row are found by their listing.
+    Sizes and rows come from one reading: a file's size is known to each of its rows. Files with a header only are found by their listing; one without bytes is missing.
     """
     full = T._parse_datatype_string(schema).add("__broken", T.StringType())
     rows = spark.read.csv(path, schema=full, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="__broken", recursiveFileLookup=True)

@@ -70,7 +70,7 @@ def test_files_are_tied_to_what_is_listed(spark, tmp_path):
         (tmp_path / name).write_text(content)
     listed = [("good.csv", len(text), 9), ("cut.csv", len(text), 9), ("torn.csv", len(text.replace("m4,4096", "m4,not a number")), 9), ("short.csv", len(text), 10), ("gone.csv", 5, 1), ("empty.csv", 0, 0)]
     got = {r.name: r for r in support.reconciled(spark, str(tmp_path), "model_name string, context long", spark.createDataFrame(listed, "name string, bytes long, rows long")).collect()}
-    assert {k: r.status for k, r in got.items()} == {"good.csv": "ok", "cut.csv": "bytes", "torn.csv": "broken", "short.csv": "rows", "extra.csv": "unlisted", "gone.csv": "missing", "empty.csv": "ok"}
+    assert {k: r.status for k, r in got.items()} == {"good.csv": "ok", "cut.csv": "bytes", "torn.csv": "broken", "short.csv": "rows", "extra.csv": "unlisted", "gone.csv": "missing", "empty.csv": "missing"}
     assert got["good.csv"].rows == 9 and got["torn.csv"].broken == 1
     grid = {r.value: (r.n, r.first_name) for r in support.support_grid(spark.read.csv(str(tmp_path / "good.csv"), header=True, schema="model_name string, context long"), "context", "model_name").collect()}
     assert grid == {2048: (3, "m0"), 4096: (3, "m1"), 6144: (3, "m2")}
