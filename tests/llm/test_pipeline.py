@@ -66,4 +66,4 @@ def test_extra_columns_and_empty_tables(spark, corpus):
 
 
 def test_every_operator_is_registered():
-    assert [k.split("_")[0] for k in registry.QUERIES if k != "language_of_pages"] == [f"op{i}" for i in range(1, 11)]  # op8's operator has a query for either table
+    assert [k.split("_")[0] for k in registry.QUERIES if k != "language_of_pages"] == [f"op{i}" for i in range(1, 14)]  # op8's operator has a query for either table
