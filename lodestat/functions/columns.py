@@ -197,8 +197,12 @@ def month_mid_days(month: Column) -> Column:
     return (F.dayofmonth(F.last_day(month)) - 1) / F.lit(2.0)
 
 
-def inside(x: Column, low: float, high: float) -> Column:
-    return (x >= low) & (x <= high)
+def inside(x: Column, low: float | Column, high: float | Column, slack: float = 0.0) -> Column:
+    """Whether x is in [low, high], each end moved out by a share `slack` of its size."""
+    if not slack:
+        return (x >= low) & (x <= high)
+    low, high = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
+    return (x >= low - slack * F.abs(low)) & (x <= high + slack * F.abs(high))
 
 
 def inferred_data(method: Column, n: Column, compute: Column) -> Column:
