@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Rows up to which a grouped side is broadcast.
 BROADCAST_ROWS = 50_000
+#: Rows of a whole table up to which its groups are sorted without being cut into bins first.
+SORTED_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,13 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, weight: str | list[str
     """
     weights = [weight] if isinstance(weight, str) else weight
     df = stored(df)
+    if df.limit(SORTED_ROWS + 1).count() <= SORTED_ROWS:  # so few rows in all that a group is no load for a task
+        whole = Window.partitionBy(*by).orderBy(order)
+        for w in weights:
+            name = "" if isinstance(weight, str) else f"_{w}"
+            df = df.withColumn(f"__upto{name}", F.sum(w).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            df = df.withColumn(f"__below{name}", F.col(f"__upto{name}") - F.col(w))
+        return df.withColumn("__next", F.lead(order).over(whole)) if following else df
     cuts = df.groupBy(*by).agg(F.percentile_approx(order, [k / bins for k in range(1, bins)], 1000).alias("__cuts"))
     cuts = cuts.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__cuts")
     df = df.join(small(cuts), _same(by, "__k_"), "left").drop(*[f"__k_{c}" for c in by])

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 DELTA = 1e-3
 #: Logarithms of A, B, E, then the exponents.
 BOUNDS = np.array([[-20, 40], [-20, 40], [-10, 3], [1e-3, 3], [1e-3, 3]], float)
-#: Rows of grouped data that a fit takes as they are; more are summed in cells of ln n, ln d and ln loss so fine that a cell's residuals agree to CELL.
-MOST_ROWS, CELL = 200_000, 1e-3
+#: Rows of grouped data that a fit takes; more are an error, as another grouping would be another fit.
+MOST_ROWS = 200_000
 
 
 def starts() -> list[tuple[float, ...]]:
@@ -72,14 +72,11 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
 
 
 def fit_law(spark: SparkSession, data: DataFrame, n: str, d: str, loss: str, weight: str | None = None) -> DataFrame:
-    """(start, objective, A, B, E, alpha, beta): one row a start of the law E + A n^-alpha + B d^-beta; take the least objective. data is grouped to the rows' own values, beyond MOST_ROWS to means of cells that grow until they are so few; what remains is collected once."""
+    """(start, objective, A, B, E, alpha, beta): one row a start of the law E + A n^-alpha + B d^-beta; take the least objective. data is grouped to the rows' own values, of which there may be MOST_ROWS, and collected once."""
     rows = data.select(F.log(n).alias("n"), F.log(d).alias("d"), F.log(loss).alias("l"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
     rows = rows.groupBy("n", "d", "l").agg(F.sum("w").alias("w"))
-    size = CELL
-    while rows.count() > MOST_ROWS:
-        mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c)
-        rows = rows.groupBy(*[F.floor(F.col(c) / size).alias(f"cell_{c}") for c in "ndl"]).agg(mean("n"), mean("d"), mean("l"), F.sum("w").alias("w")).select(*"ndlw")
-        size *= 2
+    if rows.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"group the data to at most {MOST_ROWS} rows")
     rows = rows.orderBy("n", "d", "l").toPandas()
     sent = spark.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in "ndlw"))
 
