@@ -38,9 +38,9 @@ SUFFIXES = {
 _LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256)).lower()
 
 
-def _codes(data: bytes) -> np.ndarray:
-    """Hashed trigrams with at least two letters, of the letters of the data with a space at both ends."""
-    b = np.frombuffer(b" " + data.translate(_LETTERS) + b" ", np.uint8)
+def _codes(data: bytes, first: bool = True, last: bool = True) -> np.ndarray:
+    """Hashed trigrams with at least two letters, of the letters of the data with a space at both ends, or of a piece that is not the first or last of a text."""
+    b = np.frombuffer(b" " * first + data.translate(_LETTERS) + b" " * last, np.uint8)
     blank = b == 0x20
     b = b.astype(np.uint32)
     codes = ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(7) & np.uint32(BUCKETS - 1)
@@ -59,8 +59,8 @@ class TextModel:
     def means(self, data: bytes) -> tuple[np.ndarray, int]:
         """Mean log likelihood of a text for each language, and its trigrams."""
         total, n, step = np.zeros(len(self.languages)), 0, 1 << 18
-        for at in range(0, len(data), step):  # in pieces, so that long texts need no more memory
-            codes, piece = _codes(data[at : at + step]), max(1024, PIECE // len(self.languages))
+        for at in range(0, len(data), step):  # in pieces that overlap by two bytes, so that long texts need no more memory
+            codes, piece = _codes(data[max(0, at - 2) : at + step], at == 0, at + step >= len(data)), max(1024, PIECE // len(self.languages))
             for k in range(0, len(codes), piece):
                 total += self.log_p[:, codes[k : k + piece]].sum(axis=1, dtype=np.float64)
             n += len(codes)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestat.llm import license_scan, mixing, secrets_crf, sharding, simhash
+from lodestat.llm import langid, license_scan, mixing, secrets_crf, sharding, simhash
 from lodestat.llm.common import without
 from lodestat.llm.components import connected_components
 
@@ -104,3 +104,15 @@ def test_recall_of_near_copies_in_the_given_documents(spark):
     stay = {r.doc_id for r in simhash.one_of_each(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("doc_id").collect()}
     caught = sum(not (a in stay and b in stay) for a, b in pairs)
     assert pairs and caught >= 0.9 * len(pairs), (caught, len(pairs))
+
+
+@pytest.mark.parametrize("size", [0, 1, (1 << 18) - 1, 1 << 18, (1 << 18) + 1, (1 << 18) + 2, 700_003])
+def test_long_texts_have_the_trigrams_of_the_whole(size):
+    data = bytes(random.Random(size).choices(b"abcde  .", k=size))
+    model = langid.TextModel(["x", "y"], np.random.default_rng(1).integers(0, 50, (2, langid.BUCKETS)), np.zeros((2, 2)))
+    got, n = model.means(data)
+    codes = langid._codes(data)
+    if size == 0:
+        assert n == 0
+    else:
+        assert n == len(codes) and got == pytest.approx(model.log_p[:, codes].astype(float).sum(axis=1) / max(1, n), rel=1e-9)
