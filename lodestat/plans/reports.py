@@ -159,3 +159,63 @@ def inside_with_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     end = (F.abs(v - lo) <= 1e-9 * F.abs(lo)) | (F.abs(v - hi) <= 1e-9 * F.abs(hi))
     return p.join(small(b), F.col("g") == F.col("b")).groupBy(F.col("g").alias("part_type")).agg(F.count("*").alias("n"), F.count_if(C.inside(v, lo, hi)).alias("inside"), F.count_if(C.inside(v, lo, hi, 1e-9)).alias("inside_with_slack"), F.count_if(end).alias("at_an_end"))
+
+
+_ROLES = "CASE l_linenumber WHEN 5 THEN 'in_design' WHEN 6 THEN 'scaled' WHEN 7 THEN 'out_of_design' END"
+
+
+@query(
+    f"""WITH f AS (SELECT l_returnflag AS target, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_extendedprice) AS mean FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1),
+v AS (SELECT {_ROLES} AS role, l_returnflag AS target, l_extendedprice AS y, a + b * l_quantity AS p, mean FROM lineitem JOIN f ON l_returnflag = target WHERE l_linenumber >= 5), r AS (SELECT *, rank() OVER (PARTITION BY role, target ORDER BY y) + (count(*) OVER (PARTITION BY role, target, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY role, target ORDER BY p) + (count(*) OVER (PARTITION BY role, target, p) - 1) / 2.0 AS rp FROM v),
+t AS (SELECT role, target, count(*) AS n, sqrt(avg((p - y) ** 2)) AS rmse, sqrt(avg((mean - y) ** 2)) AS base, 1 - avg((p - y) ** 2) / var_pop(y) AS r2, avg(abs((p - y) / y)) AS mare, sqrt(var_pop(p - y)) / stddev_pop(y) AS nrmse, corr(ry, rp) AS rho FROM r GROUP BY 1, 2),
+m AS (SELECT role, sum(n)::BIGINT AS n, avg(r2) AS r2, avg(rmse) / avg(base) AS ratio, avg(nrmse) AS nrmse, avg(rho) AS rho, avg(mare) AS mare FROM t GROUP BY 1)
+SELECT role, n, round(r2, 6) AS macro_r2, round(ratio, 6) AS baseline_ratio, round(nrmse, 6) AS centred_nrmse, round(rho, 6) AS macro_rho, round(mare, 6) AS relative_error, mare <= 0.5 AS absolute_pass, CASE role WHEN 'in_design' THEN r2 >= 0.5 AND ratio <= 0.8 WHEN 'out_of_design' THEN rho >= 0.7 AND nrmse <= 0.6 ELSE true END AS role_pass, (SELECT bool_and(CASE role WHEN 'in_design' THEN r2 >= 0.5 AND ratio <= 0.8 WHEN 'out_of_design' THEN rho >= 0.7 AND nrmse <= 0.6 ELSE true END) FROM m) AS release_pass FROM m"""
+)
+def acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines fitted by target and frozen, against rows in three roles that took no part: errors against the mean's, shape and ranks; what each role must pass, and whether the fit may be released."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("target"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("x"))
+    f = li.filter("line <= 4").groupBy(F.col("target").alias("ft")).agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.avg("y").alias("mean"))
+    role = F.when(F.col("line") == 5, "in_design").when(F.col("line") == 6, "scaled").when(F.col("line") == 7, "out_of_design")
+    v = stored(li.filter("line >= 5").join(small(f), F.col("target") == F.col("ft")).select(role.alias("role"), "target", "y", (F.col("a") + F.col("b") * F.col("x")).alias("p"), "mean"))
+    r = ranks.average_ranks(ranks.average_ranks(v, ["role", "target"], "y", "ry"), ["role", "target"], "p", "rp")
+    e, g = F.col("p") - F.col("y"), F.col("mean") - F.col("y")
+    t = r.groupBy("role", "target").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(g * g)).alias("base"), (1 - F.avg(e * e) / F.var_pop("y")).alias("r2"), F.avg(F.abs(e / F.col("y"))).alias("mare"), (F.stddev_pop(e) / F.stddev_pop("y")).alias("nrmse"), F.corr("ry", "rp").alias("rho"))
+    m = stored(t.groupBy("role").agg(F.sum("n").alias("n"), F.avg("r2").alias("r2"), (F.avg("rmse") / F.avg("base")).alias("ratio"), F.avg("nrmse").alias("nrmse"), F.avg("rho").alias("rho"), F.avg("mare").alias("mare")))
+    passes = F.when(F.col("role") == "in_design", (F.col("r2") >= 0.5) & (F.col("ratio") <= 0.8)).when(F.col("role") == "out_of_design", (F.col("rho") >= 0.7) & (F.col("nrmse") <= 0.6)).otherwise(True)
+    release = m.agg(F.bool_and(passes).alias("release_pass"))
+    return m.join(F.broadcast(release)).select("role", "n", rounded("r2").alias("macro_r2"), rounded("ratio").alias("baseline_ratio"), rounded("nrmse").alias("centred_nrmse"), rounded("rho").alias("macro_rho"), rounded("mare").alias("relative_error"), (F.col("mare") <= 0.5).alias("absolute_pass"), passes.alias("role_pass"), "release_pass")  # three rows by one row
+
+
+@query(
+    """WITH p AS (SELECT p_partkey % 2 AS own, p_size * 1e8 AS n, p_retailprice * 1e8 AS d FROM part), l AS (SELECT *, 1.68982 + 406.268 * pow(n, -0.339983) + 409.744 * pow(d, -0.279888) AS published, 1.7012 + 401.5 * pow(n, -0.3391) + 412.3 * pow(d, -0.2803) AS fitted FROM p),
+o AS (SELECT *, round(CASE WHEN own = 1 THEN published ELSE fitted END, 4) AS loss FROM l), x AS (SELECT unnest(['published', 'fitted']) AS law, n, d, loss, unnest([published, fitted]) AS predicted FROM o)
+SELECT law, count(*) AS n, count(*) FILTER (abs(predicted - loss) <= 5e-5 * (1 + 1e-9)) AS fits, count(*) FILTER (n >= 7.054e7 * (1 - 1e-9) AND n <= 1.1965825e10 * (1 + 1e-9) AND d >= 1.34e8 * (1 - 1e-9) AND d <= 2.99893e11 * (1 + 1e-9)) AS inside_box, round(max(abs(predicted - loss)), 6) AS widest, round(sqrt(avg((predicted - loss) ** 2)), 8) AS rmse FROM x GROUP BY 1"""
+)
+def law_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of two laws made losses that are given to four digits: how many each predicts to the digit, and how many lie in the box that the laws hold in."""
+    n, d = F.col("p_size") * 1e8, F.col("p_retailprice") * 1e8
+    other = {"E": 1.7012, "A": 401.5, "alpha": 0.3391, "B": 412.3, "beta": 0.2803}
+    laws = {"published": C.law(n, d, allocation.LAW), "fitted": C.law(n, d, other)}
+    loss = F.round(F.when(F.col("p_partkey") % 2 == 1, laws["published"]).otherwise(laws["fitted"]), 4)
+    p = table(spark, sf_dir, "part").select(n.alias("n"), d.alias("d"), loss.alias("loss"), F.explode(F.array(*[F.struct(F.lit(k).alias("law"), v.alias("predicted")) for k, v in laws.items()])).alias("x")).select("n", "d", "loss", "x.*")
+    e, box = F.abs(F.col("predicted") - F.col("loss")), allocation.BOX
+    inside = C.inside(F.col("n"), box["n_min"], box["n_max"], 1e-9) & C.inside(F.col("d"), box["d_min"], box["d_max"], 1e-9)
+    return p.groupBy("law").agg(F.count("*").alias("n"), F.count_if(e <= 5e-5 * (1 + 1e-9)).alias("fits"), F.count_if(inside).alias("inside_box"), rounded(F.max(e)).alias("widest"), rounded(F.sqrt(F.avg(e * e)), 8).alias("rmse"))
+
+
+@query(
+    """WITH l AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'Parameter-scale ' WHEN 1 THEN 'Historical continuation ' WHEN 2 THEN 'compute ' ELSE '' END || 'train_the_pile_' || replace(p_name, ' ', '_') || CASE p_size % 3 WHEN 0 THEN '_val_loss' WHEN 1 THEN ' slowdown' ELSE '' END AS label FROM part),
+e AS (SELECT regexp_replace(regexp_replace(label, '^.*train_the_pile_', ''), '(_val_loss| slowdown)$', '') AS domain, list_filter([CASE WHEN NOT contains(lower(label), 'parameter-scale') THEN 'not marked as parameter-scale' END, CASE WHEN contains(lower(label), 'compute') THEN 'mentions compute' END, CASE WHEN contains(lower(label), 'historical') AND contains(lower(label), 'slowdown') THEN 'continuation called a slowdown' END], lambda x: x IS NOT NULL) AS errors FROM l)
+SELECT domain, error, count(*) AS n FROM (SELECT domain, unnest(CASE WHEN len(errors) = 0 THEN ['none'] ELSE errors END) AS error FROM e) GROUP BY 1, 2"""
+)
+def label_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with their prefix and suffix taken off, and what each says that it must not, or does not say that it must."""
+    key, size = F.col("p_partkey") % 4, F.col("p_size") % 3
+    head = F.when(key == 0, "Parameter-scale ").when(key == 1, "Historical continuation ").when(key == 2, "compute ").otherwise("")
+    label = F.concat(head, F.lit("train_the_pile_"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.when(size == 0, "_val_loss").when(size == 1, " slowdown").otherwise(""))
+    p = table(spark, sf_dir, "part").select(label.alias("label"))
+    domain = F.regexp_replace(F.regexp_replace("label", "^.*train_the_pile_", ""), "(_val_loss| slowdown)$", "")
+    says = lambda w: F.contains(F.lower("label"), F.lit(w))
+    errors = F.array_compact(F.array(F.when(~says("parameter-scale"), "not marked as parameter-scale"), F.when(says("compute"), "mentions compute"), F.when(says("historical") & says("slowdown"), "continuation called a slowdown")))
+    e = p.select(domain.alias("domain"), F.explode(F.when(F.size(errors) == 0, F.array(F.lit("none"))).otherwise(errors)).alias("error"))
+    return e.groupBy("domain", "error").agg(F.count("*").alias("n"))
