@@ -248,12 +248,12 @@ def forecast_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS v FROM embeddings), s AS (SELECT unnest([1, 2, 3, 4]) AS i, v FROM e), o AS (SELECT i, count(*) AS n, round(min(v[i]), 6) AS lowest, round(median(v[i]), 6) AS median, round(max(v[i]), 6) AS highest, round(stddev_pop(v[i]), 6) AS sd, round(corr(v[i], v[1]), 6) AS r_first, count(*) FILTER (isnan(v[i]) OR isinf(v[i])) AS not_finite, count(*) FILTER (len(v) <> 4) AS wrong_width FROM s GROUP BY i) SELECT * FROM o"""
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT unnest(range(1, len(v) + 1)) AS i, v FROM e), o AS (SELECT i, count(*) AS n, round(min(v[i]), 6) AS lowest, round(median(v[i]), 6) AS median, round(max(v[i]), 6) AS highest, round(stddev_pop(v[i]), 6) AS sd, round(corr(v[i], v[1]), 6) AS r_first, count(*) FILTER (isnan(v[i]) OR isinf(v[i])) AS not_finite, count(*) FILTER (len(v) <> 64) AS wrong_width FROM s GROUP BY i) SELECT * FROM o"""
 )
 def list_part_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part of a list column: range, median, spread, correlation with the first, parts that are not finite, lists of another width."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
-    long = stored(e.select(F.posexplode("v").alias("i", "x"), F.col("v")[0].alias("f"), (F.size("v") != 4).alias("w")).withColumn("i", F.col("i") + 1))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    long = stored(e.select(F.posexplode("v").alias("i", "x"), F.col("v")[0].alias("f"), (F.size("v") != 64).alias("w")).withColumn("i", F.col("i") + 1))
     q = ranks.quantiles(long, ["i"], "x", {"median": 0.5}).select(F.col("i").alias("qi"), "median")
     infinite = F.isnan("x") | (F.abs("x") == float("inf"))
     one = long.groupBy("i").agg(F.count("*").alias("n"), rounded(F.min("x")).alias("lowest"), rounded(F.max("x")).alias("highest"), rounded(F.stddev_pop("x")).alias("sd"), rounded(F.corr("x", "f")).alias("r_first"), F.count_if(infinite).alias("not_finite"), F.count_if("w").alias("wrong_width"))

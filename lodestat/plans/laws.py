@@ -317,11 +317,11 @@ def antagonist_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worst.unionByName(best).select("kind", "a", "b", rounded("rho").alias("rho"))
 
 
-@query(f"WITH {_EMB}, m AS (SELECT vec_id, i, (2 * (rank() OVER (PARTITION BY i ORDER BY x) - 1) + count(*) OVER (PARTITION BY i, x)) / (2.0 * count(*) OVER (PARTITION BY i)) AS s, x FROM v WHERE i <= 4) SELECT vec_id, round(avg(s), 6) AS ecdf_mean, round(avg(x), 6) AS raw_mean FROM m GROUP BY 1")
+@query(f"WITH {_EMB.replace('[1, 2, 3, 4, 5]', 'range(1, 65)')}, m AS (SELECT vec_id, i, (2 * (rank() OVER (PARTITION BY i ORDER BY x) - 1) + count(*) OVER (PARTITION BY i, x)) / (2.0 * count(*) OVER (PARTITION BY i)) AS s, x FROM v) SELECT vec_id, round(avg(s), 10) AS ecdf_mean, round(avg(x), 6) AS raw_mean FROM m GROUP BY 1")
 def criterion_ecdf_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of criteria as the mean of each one's standing among all rows, beside the plain mean."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4).cast("array<double>")).alias("i", "x"))
-    return ranks.midrank(e, ["i"], "x", "s").groupBy("vec_id").agg(rounded(F.avg("s")).alias("ecdf_mean"), rounded(F.avg("x")).alias("raw_mean"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    return ranks.midrank(e, ["i"], "x", "s").groupBy("vec_id").agg(rounded(F.avg("s"), 10).alias("ecdf_mean"), rounded(F.avg("x")).alias("raw_mean"))
 
 
 @query(
