@@ -44,12 +44,13 @@ def substitution(surface: dict[str, float], shares: dict[str, Column], source: s
     return F.when((moved[source] >= 0) & (moved[target] <= 1), predict(surface, moved) - predict(surface, shares))
 
 
-def decode(df: DataFrame, column: str) -> DataFrame:
-    """A column of coefficient maps as rows (kind, a, b, coefficient), for joins with long shares."""
-    e = df.select(F.explode(F.map_entries(column)).alias("e")).select("e.key", "e.value")
+def decode(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    """A column of coefficient maps as rows (the columns to keep, kind, a, b, coefficient), for joins with long shares."""
+    keep = keep or []
+    e = df.select(*keep, F.explode(F.map_entries(column)).alias("e")).select(*keep, "e.key", "e.value")
     pair = F.split(F.expr("substring(key, 13)"), r"\*")
     inter, inner = F.col("key").startswith("interaction:"), F.col("key") == "__intercept__"
-    return e.select(F.when(inner, "intercept").when(inter, "interaction").otherwise("linear").alias("kind"), F.when(inter, pair[0]).when(~inner, F.col("key")).alias("a"), F.when(inter, pair[1]).alias("b"), F.col("value").alias("coefficient"))
+    return e.select(*keep, F.when(inner, "intercept").when(inter, "interaction").otherwise("linear").alias("kind"), F.when(inter, pair[0]).when(~inner, F.col("key")).alias("a"), F.when(inter, pair[1]).alias("b"), F.col("value").alias("coefficient"))
 
 
 def power_profile(df: DataFrame, n: str, y: str, exponents: list[float]) -> DataFrame:

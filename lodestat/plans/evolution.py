@@ -290,12 +290,12 @@ def law_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT * FROM (VALUES (1e19), (1e20), (1e21), (1e22)) b(budget)), g AS (SELECT budget, i, exp(ln(1e7) + (ln(1e12) - ln(1e7)) * i / 4096) AS n FROM c, (SELECT unnest(generate_series(0, 4096)) AS i)), l AS (SELECT budget, n, 1.68982 + 406.268 * pow(n, -0.339983) + 409.744 * pow(budget / (6 * n), -0.279888) AS loss FROM g),
+    """WITH c AS (SELECT DISTINCT pow(10.0, 19 + p_size % 4) AS budget FROM part), g AS (SELECT budget, i, exp(ln(1e7) + (ln(1e12) - ln(1e7)) * i / 4096) AS n FROM c, (SELECT unnest(generate_series(0, 4096)) AS i)), l AS (SELECT budget, n, 1.68982 + 406.268 * pow(n, -0.339983) + 409.744 * pow(budget / (6 * n), -0.279888) AS loss FROM g),
 m AS (SELECT budget, arg_min(n, loss) AS n, min(loss) AS loss FROM l GROUP BY 1) SELECT round(log10(budget), 4) AS log_budget, round(log10(n), 3) AS log_n_grid, round(loss, 8) AS loss, abs(log10(n) - log10(pow(0.339983 * 406.268 / (0.279888 * 409.744) * pow(budget / 6, 0.279888), 1 / (0.339983 + 0.279888)))) < 0.0013 AS agrees FROM m"""
 )
 def numeric_optimum_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The optimum by a fine logarithmic grid against the closed form."""
-    c = spark.createDataFrame([(1e19,), (1e20,), (1e21,), (1e22,)], "budget double")
+    c = table(spark, sf_dir, "part").select(F.pow(F.lit(10.0), 19 + F.col("p_size") % 4).alias("budget")).distinct()
     n = F.exp(math.log(1e7) + (math.log(1e12) - math.log(1e7)) * F.col("i") / 4096)
     g = c.select("budget", F.explode(F.sequence(F.lit(0), F.lit(4096))).alias("i")).select("budget", n.alias("n"))
     m = g.withColumn("loss", C.law(F.col("n"), F.col("budget") / (6 * F.col("n")), LAW)).groupBy("budget").agg(F.min_by("n", "loss").alias("n"), F.min("loss").alias("loss"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -145,17 +145,23 @@ ok AS (SELECT *, least(d1, budget / (k * n)) AS d FROM cand WHERE n >= n0 AND n
 sol AS (SELECT budget, context, any_value(k) AS k, min(e + a * pow(n, -al) + b * pow(d, -be)) AS loss, arg_min(n, e + a * pow(n, -al) + b * pow(d, -be)) AS n, arg_min(d, e + a * pow(n, -al) + b * pow(d, -be)) AS d FROM ok GROUP BY budget, context),
 lab AS (SELECT *, abs(k * n * d - budget) <= 1e-12 * greatest(k * n * d, budget) AS sat, concat_ws('+', CASE WHEN abs(n - 7.054e7) <= 1e-9 * n THEN 'N_min' END, CASE WHEN abs(n - 1.1965825e10) <= 1e-9 * 1.1965825e10 THEN 'N_max' END, CASE WHEN abs(d - 1.34e8) <= 1e-9 * d THEN 'D_min' END, CASE WHEN abs(d - 2.99893e11) <= 1e-9 * 2.99893e11 THEN 'D_max' END) AS bounds FROM sol),
 r AS (SELECT *, CASE WHEN sat THEN 'SATURATED:' ELSE 'SLACK:' END || CASE WHEN bounds = '' THEN 'interior' ELSE bounds END AS regime FROM lab)"""
-_GRID = "(SELECT * FROM (VALUES (1e19), (1e22), (1e24)) c(c), (VALUES (2048), (4096), (8192), (32768), (131072)) x(x))"
+_GRID = "(SELECT DISTINCT pow(10.0, 18 + p_size % 7) AS c, [2048, 4096, 8192, 32768, 131072][1 + p_partkey % 5] AS x FROM part)"
+
+
+def _points(spark: SparkSession, sf_dir: str, exponent: Column, contexts: list[int]) -> DataFrame:
+    """(budget, context) that parts make: a power of ten, and one of the contexts by key; equal ones once."""
+    at = F.get(F.array(*[F.lit(c).cast("bigint") for c in contexts]), (F.col("p_partkey") % len(contexts)).cast("int"))
+    return table(spark, sf_dir, "part").select(F.pow(F.lit(10.0), exponent).alias("budget"), at.alias("context")).distinct()
 
 
 @query(f"WITH {_SOLVE.format(p=_P, grid=_GRID)} SELECT context, round(log10(budget), 6) AS log_budget, round(log10(n), 6) AS log_n, round(log10(d), 6) AS log_d, round(loss, 6) AS loss, sat AS saturated, regime FROM r")
 def allocation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optimum of each budget and context of the published grid."""
-    out = allocation.solve(allocation.grid(spark))
+    """Optimum of each budget and context that parts make, over the published contexts."""
+    out = allocation.solve(_points(spark, sf_dir, 18 + F.col("p_size") % 7, allocation.CONTEXTS))
     return out.select("context", *[rounded(F.log10(c)).alias(f"log_{c}") for c in ("budget", "n", "d")], rounded("loss").alias("loss"), "saturated", "regime")
 
 
-_BUDGETS = "(SELECT 10 ** (18 + i * 0.25) AS c, x FROM (SELECT unnest(generate_series(0, 28)) AS i), (VALUES (2048), (32768)) x(x))"
+_BUDGETS = "(SELECT DISTINCT pow(10.0, 18 + (p_size % 29) * 0.25) AS c, [2048, 32768][1 + p_partkey % 2] AS x FROM part)"
 
 
 @query(
@@ -163,30 +169,30 @@ _BUDGETS = "(SELECT 10 ** (18 + i * 0.25) AS c, x FROM (SELECT unnest(generate_s
 SELECT context, round(log10(budget), 4) AS log_budget, prev AS from_regime, regime AS to_regime FROM w WHERE prev IS NOT NULL AND prev <> regime"""
 )
 def regime_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the regime changes along a grid of budgets, by context."""
-    out = allocation.solve(allocation.grid(spark, [10 ** (18 + i * 0.25) for i in range(29)], [2048, 32768])).filter("regime is not null")
+    """Where the regime changes along the budgets that parts make, by context."""
+    out = allocation.solve(_points(spark, sf_dir, 18 + (F.col("p_size") % 29) * 0.25, [2048, 32768])).filter("regime is not null")
     w = Window.partitionBy("context").orderBy("budget")
     return out.withColumn("prev", F.lag("regime").over(w)).filter("prev <> regime").select("context", rounded(F.log10("budget"), 4).alias("log_budget"), F.col("prev").alias("from_regime"), F.col("regime").alias("to_regime"))
 
 
 @query(
-    f"""WITH g AS (SELECT x AS context, 6.0 + 2e-4 * x AS k, {_P} FROM (VALUES (2048), (32768), (131072)) x(x))
+    f"""WITH g AS (SELECT x AS context, 6.0 + 2e-4 * x AS k, {_P} FROM (SELECT DISTINCT [2048, 32768, 131072][1 + p_partkey % 3] AS x FROM part))
 SELECT context, kind, round(log10(CASE WHEN kind IN ('n_min', 'n_max') THEN k * v * (be * b * pow(v, al) / (al * a)) ** (1 / be) ELSE k * v * (al * a * pow(v, be) / (be * b)) ** (1 / al) END), 6) AS log_budget
 FROM g, (VALUES ('n_min', 7.054e7), ('n_max', 1.1965825e10), ('d_min', 1.34e8), ('d_max', 2.99893e11)) s(kind, v)"""
 )
 def regime_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contexts = spark.createDataFrame([(2048,), (32768,), (131072,)], "context long")
+    contexts = _points(spark, sf_dir, F.lit(0.0), [2048, 32768, 131072]).select("context")
     return allocation.thresholds(contexts).select("context", "kind", rounded(F.log10("budget")).alias("log_budget"))
 
 
 @query(
-    f"""WITH g AS (SELECT c.c AS budget, x.x AS context, 6.0 + 2e-4 * x.x AS k, 406.268 + s2 * 5e-4 AS a, 0.339983 + s1 * 5e-7 AS al, 409.744::DOUBLE AS b, 0.279888 + s3 * 5e-7 AS be FROM (VALUES (2048), (32768)) x(x), (VALUES (1e19), (1e21)) c(c), (VALUES (-1), (1)) p(s1), (VALUES (-1), (1)) q(s2), (VALUES (-1), (1)) r(s3)),
+    f"""WITH g AS (SELECT u.c AS budget, u.x AS context, 6.0 + 2e-4 * u.x AS k, 406.268 + s2 * 5e-4 AS a, 0.339983 + s1 * 5e-7 AS al, 409.744::DOUBLE AS b, 0.279888 + s3 * 5e-7 AS be FROM (SELECT DISTINCT pow(10.0, 19 + 2 * (p_size % 2)) AS c, [2048, 32768][1 + p_partkey % 2] AS x FROM part) u, (VALUES (-1), (1)) p(s1), (VALUES (-1), (1)) q(s2), (VALUES (-1), (1)) r(s3)),
 o AS (SELECT budget, context, ln((al * a / (be * b) * pow(budget / k, be)) ** (1 / (al + be))) AS v FROM g)
 SELECT round(log10(budget), 4) AS log_budget, context, count(*) AS corners, round(min(v), 6) AS lowest, round(max(v), 6) AS highest, round((max(v) - min(v)) * 1000, 5) AS width_permille, CASE WHEN max(v) - min(v) = 0 THEN 'DEGENERATE' WHEN max(v) - min(v) > 2e-4 THEN 'RESOLVED' ELSE 'NOT_RESOLVED' END AS verdict FROM o GROUP BY budget, context"""
 )
 def loo_corner_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width of the optimum over the corners of what rounding hides in the parameters."""
-    points = allocation.grid(spark, [1e19, 1e21], [2048, 32768])
+    points = _points(spark, sf_dir, 19 + 2 * (F.col("p_size") % 2), [2048, 32768])
     signs = spark.createDataFrame([(a, b, c) for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)], "s1 int, s2 int, s3 int")
     k = allocation.kappa(F.col("context"))
     a, al, b, be = 406.268 + F.col("s2") * 5e-4, 0.339983 + F.col("s1") * 5e-7, F.lit(409.744), 0.279888 + F.col("s3") * 5e-7
@@ -205,14 +211,15 @@ _GAP = f"ln({_FAMILY.format('a', '{0}')}) - ln({_FAMILY.format('b', '{0}')})"
 
 
 @query(
-    f"""WITH RECURSIVE fam AS (SELECT * FROM (VALUES ('exponential', 1e7, 6.0::DOUBLE), ('power', 5e9, 4.0::DOUBLE), ('logarithmic', 2e9, 10.0::DOUBLE)) f(kind, gamma, lam)), cell AS (SELECT a.kind AS first, b.kind AS second, pow(10.0, i / 100.0 - 5) AS lo, pow(10.0, (i + 1) / 100.0 - 5) AS hi FROM fam a, fam b, (SELECT unnest(generate_series(0, 499)) AS i) WHERE a.kind < b.kind),
+    f"""WITH RECURSIVE fam AS (SELECT f.* FROM (VALUES ('exponential', 1e7, 6.0::DOUBLE), ('power', 5e9, 4.0::DOUBLE), ('logarithmic', 2e9, 10.0::DOUBLE)) f(kind, gamma, lam), (SELECT DISTINCT ['exponential', 'power', 'logarithmic'][1 + p_partkey % 3] AS own FROM part) WHERE own = kind), cell AS (SELECT a.kind AS first, b.kind AS second, pow(10.0, i / 100.0 - 5) AS lo, pow(10.0, (i + 1) / 100.0 - 5) AS hi FROM fam a, fam b, (SELECT unnest(generate_series(0, 499)) AS i) WHERE a.kind < b.kind),
 h AS (SELECT first, second, lo, hi, 0 AS step FROM cell JOIN fam a ON a.kind = first JOIN fam b ON b.kind = second WHERE sign({_GAP.format('lo')}) <> sign({_GAP.format('hi')})
 UNION ALL SELECT first, second, CASE WHEN sign({_GAP.format('lo')}) * sign({_GAP.format('((lo + hi) / 2)')}) <= 0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN sign({_GAP.format('lo')}) * sign({_GAP.format('((lo + hi) / 2)')}) <= 0 THEN (lo + hi) / 2 ELSE hi END, step + 1 FROM h JOIN fam a ON a.kind = first JOIN fam b ON b.kind = second WHERE step < 60)
 SELECT first, second, round((lo + hi) / 2, 12) AS q FROM h WHERE step = 60"""
 )
 def cost_family_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualities at which two cost families cost the same: sign changes on a grid, each halved to the root."""
-    fam = spark.createDataFrame(FAMILIES, "kind string, gamma double, lam double")
+    own = F.get(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(g).alias("gamma"), F.lit(v).alias("lam")) for k, g, v in FAMILIES]), (F.col("p_partkey") % 3).cast("int"))
+    fam = stored(table(spark, sf_dir, "part").select(own.alias("f")).distinct().select("f.*"))  # the families that parts have
     a = fam.select(*[F.col(c).alias(f"a_{c}") for c in fam.columns])
     b = fam.select(*[F.col(c).alias(f"b_{c}") for c in fam.columns])
     pairs = a.join(F.broadcast(b), F.col("a_kind") < F.col("b_kind"))  # three families

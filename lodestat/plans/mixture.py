@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.functions import columns as C
@@ -74,13 +74,15 @@ def surface_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT unnest(map_entries(MAP {'__intercept__': 0.05, '0': 0.02, '1': -0.03, '2': 0.01, 'interaction:0*1': 0.4, 'interaction:1*3': -0.2})) AS e)
-SELECT CASE WHEN e.key = '__intercept__' THEN 'intercept' WHEN e.key LIKE 'interaction:%' THEN 'interaction' ELSE 'linear' END AS kind, CASE WHEN e.key LIKE 'interaction:%' THEN split_part(substr(e.key, 13), '*', 1) WHEN e.key <> '__intercept__' THEN e.key END AS a,
-CASE WHEN e.key LIKE 'interaction:%' THEN split_part(substr(e.key, 13), '*', 2) END AS b, e.value AS coefficient FROM c"""
+    """WITH c AS (SELECT n_nationkey AS g, unnest(map_entries(MAP {'__intercept__': 0.05 + n_regionkey, '0': 0.02, '1': -0.03, '2': 0.01 * n_nationkey, 'interaction:0*1': 0.4, 'interaction:1*3': -0.2})) AS e FROM nation)
+SELECT g, CASE WHEN e.key = '__intercept__' THEN 'intercept' WHEN e.key LIKE 'interaction:%' THEN 'interaction' ELSE 'linear' END AS kind, CASE WHEN e.key LIKE 'interaction:%' THEN split_part(substr(e.key, 13), '*', 1) WHEN e.key <> '__intercept__' THEN e.key END AS a,
+CASE WHEN e.key LIKE 'interaction:%' THEN split_part(substr(e.key, 13), '*', 2) END AS b, e.value::DOUBLE AS coefficient FROM c"""
 )
 def coefficient_map_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map of coefficients as rows: kind, one or two domains, value."""
-    return mixtures.decode(spark.createDataFrame([(SURFACE,)], "m map<string, double>"), "m")
+    changed = SURFACE | {"__intercept__": F.lit(SURFACE["__intercept__"]) + F.col("n_regionkey"), "2": F.lit(SURFACE["2"]) * F.col("n_nationkey")}
+    m = F.create_map(*[x for k, v in changed.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])
+    return mixtures.decode(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("g"), m.alias("m")), "m", ["g"])
 
 
 @query(
