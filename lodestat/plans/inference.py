@@ -282,3 +282,25 @@ def ridge_many_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     slopes = abs(found["beta"][1:])
     rows = [F.struct(F.lit(t + 1).alias("target"), F.lit(float(found["penalty"][t])).alias("penalty"), rounded(F.lit(float(found["cv_rmse"][t]))).alias("cv_rmse"), rounded(F.lit(float(found["beta"][0, t])), 5).alias("level"), rounded(F.lit(float(slopes[:, t].sum())), 4).alias("weight"), F.lit(int(slopes[:, t].argmax()) + 1).alias("heaviest")) for t in range(3)]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+@query(
+    f"""WITH RECURSIVE {_QPOINTS}, w AS (SELECT o.h AS g, p.n, p.d, p.q, p.l, 1.0 AS w FROM points p JOIN (SELECT DISTINCT h FROM points) o ON p.h <> o.h), {law_fit('w', _QSTART, quality=True)},
+e AS (SELECT avg((ln(exp(t[1] - t[4] * (n - 22.0)) + exp(t[2] - t[5] * (d - 24.0 + t[6] * q)) + exp(t[3])) - l) ** 2) AS own FROM fit JOIN points p ON p.h = fit.g),
+c AS (SELECT s, k, count(*) AS c, sum(l) AS sl, regr_slope(l, q) AS slope FROM points GROUP BY 1, 2), b AS (SELECT avg((l - (sl - l) / (c - 1)) ** 2) AS flat FROM points JOIN c USING (s, k) WHERE c >= 2), dn AS (SELECT count(*) FILTER (c >= 3) AS cells, count(*) FILTER (c >= 3 AND slope < 0) AS negative FROM c)
+SELECT (SELECT count(DISTINCT h) FROM points) AS levels, cells, negative, round(sqrt(own) * 1e3, 5) AS loqo_rmse_thousandth, round(sqrt(flat), 6) AS baseline_rmse, negative = cells AS direction_gate, own <= 0.25 * flat AS error_gate, (SELECT max(t[6]) - min(t[6]) FROM fit) <= 0.05 AS stability_gate, negative = cells AND own <= 0.25 * flat AND (SELECT max(t[6]) - min(t[6]) FROM fit) <= 0.05 AS candidate FROM e, b, dn"""
+)
+def quality_candidate_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether quality earns its place in the law: losses fall with it in every cell of size and data, levels left out are predicted far better than by the other levels' mean, and the exponent keeps still."""
+    data = stored(_noisy(spark, sf_dir, quality=True).withColumn("level", F.round("q", 1)))
+    out = stored(refits.leave_out(data, refits.anchor(allocation.LAW | {"gamma": 0.8}), "level", "n", "d", "loss", "q"))
+    counts = data.groupBy(F.col("level").alias("left_out")).agg(F.count("*").alias("k"))
+    error = out.join(small(counts), "left_out").agg(F.count("*").alias("levels"), (F.sum(F.col("k") * F.col("rmse_out") * F.col("rmse_out")) / F.sum("k")).alias("own"), (F.max("gamma") - F.min("gamma")).alias("spread"))
+    cells = stored(data.groupBy("s", "k").agg(F.count("*").alias("c"), F.sum(F.log("loss")).alias("sl"), F.regr_slope(F.log("loss"), F.log("q")).alias("slope")))
+    falls = cells.filter("c >= 3").agg(F.count("*").alias("cells"), F.count_if(F.col("slope") < 0).alias("negative"))
+    each = data.select("s", "k", F.log("loss").alias("l")).join(small(cells.select(F.col("s").alias("cs"), F.col("k").alias("ck"), "c", "sl").filter("c >= 2")), (F.col("s") == F.col("cs")) & (F.col("k") == F.col("ck")))
+    gap = F.col("l") - (F.col("sl") - F.col("l")) / (F.col("c") - 1)
+    one = error.join(F.broadcast(falls)).join(F.broadcast(each.agg(F.avg(gap * gap).alias("flat"))))  # one row each
+    gates = {"direction_gate": F.col("negative") == F.col("cells"), "error_gate": F.col("own") <= 0.25 * F.col("flat"), "stability_gate": F.col("spread") <= 0.05}
+    every = gates["direction_gate"] & gates["error_gate"] & gates["stability_gate"]
+    return one.select("levels", "cells", "negative", rounded(F.sqrt("own") * 1e3, 5).alias("loqo_rmse_thousandth"), rounded(F.sqrt("flat")).alias("baseline_rmse"), *[v.alias(k) for k, v in gates.items()], every.alias("candidate"))
