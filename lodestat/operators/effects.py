@@ -7,13 +7,14 @@ left of each column's sums of products after the effects is all that slopes need
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.operators.core import small, stored
 
-#: Turns after which effects that have not settled are an error.
-MOST_TURNS = 400
+#: Turns after which effects that have not settled are an error; cells up to which turns are taken on the driver, where they are sums of a bounded number.
+MOST_TURNS, FEW_CELLS = 400, 20_000
 
 
 def _same(by: list[str], mark: str) -> Column:
@@ -34,6 +35,8 @@ def absorbed(df: DataFrame, effects: list[str], columns: list[str], tolerance: f
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     cells = rows.groupBy(*effects).agg(F.count("*").cast("double").alias("__n"), *[F.sum(c).alias(f"s_{c}") for c in columns], *[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"p{i}_{j}") for i, j in pairs])
     cells = stored(cells.withColumns({f"f_{c}": F.lit(0.0) for c in columns}))  # f: the effects so far, summed over the effects' columns
+    if cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS:
+        return _few(cells.toPandas(), effects, columns, pairs, tolerance)
     groups = {e: cells.select(e).distinct().count() for e in effects}
     for turn in range(MOST_TURNS):
         moved = 0.0
@@ -57,6 +60,29 @@ def absorbed(df: DataFrame, effects: list[str], columns: list[str], tolerance: f
     return m, found["n"] or 0.0, groups
 
 
+def _few(cells: pd.DataFrame, effects: list[str], columns: list[str], pairs: list[tuple[int, int]], tolerance: float) -> tuple[np.ndarray, float, dict[str, int]]:
+    """The same turns over few cells."""
+    n, sums = cells["__n"].to_numpy(float), cells[[f"s_{c}" for c in columns]].to_numpy(float)
+    codes = {e: pd.factorize(cells[e], use_na_sentinel=False)[0] for e in effects}
+    groups = {e: int(c.max(initial=-1)) + 1 for e, c in codes.items()}
+    fitted = np.zeros_like(sums)
+    for _ in range(MOST_TURNS):
+        moved = 0.0
+        for e in effects:
+            size = np.bincount(codes[e], n, groups[e])
+            means = np.stack([np.bincount(codes[e], sums[:, j] - n * fitted[:, j], groups[e]) / size for j in range(len(columns))], axis=1)
+            moved = max(moved, float(np.abs(means).max(initial=0.0)))
+            fitted += means[codes[e]]
+        if len(effects) == 1 or moved <= tolerance:
+            break
+    else:
+        raise RuntimeError("the effects have not settled")
+    m = np.zeros((len(columns), len(columns)))
+    for i, j in pairs:
+        m[i, j] = m[j, i] = cells[f"p{i}_{j}"].sum() - (sums[:, i] * fitted[:, j]).sum()
+    return m, float(n.sum()), groups
+
+
 def slopes(df: DataFrame, effects: list[str], x: list[str], y: str) -> dict[str, float]:
     """Slopes of y on x with a level for all rows (no effects) or for each group of the effects; also n, groups and the residual sum of squares."""
     if effects:

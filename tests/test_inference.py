@@ -113,8 +113,9 @@ def test_resampled_counts_failures(spark):
         refits.collected(data.selectExpr("-n AS n", "d", "loss"), "n", "d", "loss")
 
 
-@pytest.mark.parametrize("by", [["g"], ["g", "h"]])
-def test_absorbed_effects_are_dummies(spark, by):
+@pytest.mark.parametrize(("by", "few"), [(["g"], 20_000), (["g", "h"], 20_000), (["g"], 0), (["g", "h"], 0)])
+def test_absorbed_effects_are_dummies(spark, monkeypatch, by, few):
+    monkeypatch.setattr(effects, "FEW_CELLS", few)
     rng = np.random.default_rng(2)
     rows = [(None if g == 4 else f"g{g}", int(rng.integers(0, 6)) if g else int(rng.integers(0, 3)), float(rng.normal() + g), float(rng.normal())) for g in rng.integers(0, 5, 400)]
     rows = [(g, h, x, t, 2 * x - 3 * t + len(str(g)) * h + float(rng.normal()) + 1e6) for g, h, x, t in rows]
