@@ -16,9 +16,9 @@ def _edges(items: DataFrame) -> DataFrame:
 
 
 def depths(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((id, depth), edges left): the longest way from an item without parents. Items are taken off layer by layer; what is left is on a cycle or depends on one."""
+    """((id, depth), edges left): the longest way from an item without parents. Items are taken off layer by layer; what is left is on a cycle or depends on one. Null ids have no depth."""
     left = stored(_edges(items))
-    here = stored(items.select("id").distinct())
+    here = stored(items.select("id").filter("id is not null").distinct())
     done, depth = None, 0
     while True:
         free = stored(here.join(left.select(F.col("child").alias("id")).distinct(), "id", "left_anti"))
