@@ -160,7 +160,7 @@ def test_allocation_meets_published_points(spark):
 
 
 def test_cost_crossings(spark):
-    got = {(r["first"], r["second"]): r.q for r in catalog.QUERIES["cost_family_crossings"](spark, "").collect()}
+    got = {(r["first"], r["second"]): r.q for r in catalog.QUERIES["cost_family_crossings"](spark, "/root/testdata/sf0.001").collect()}
     assert sorted(got.values()) == pytest.approx([0.0005027702573, 0.3663817962, 0.9885477189], rel=1e-9)
 
 
