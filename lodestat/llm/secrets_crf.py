@@ -1,10 +1,10 @@
 """Secret scan: base patterns, and a linear-chain conditional random field.
 
 The field tags tokens as secret begin, inside or outside, from the token's shape, the words beside it and features of its file, and
-is decoded by Viterbi. Tokens are words and marks, whatever stands between them. All tokens near a hint word (password, key, bearer, ...) or near a token
-that looks like a key are tagged, of letters only or with marks too; tokens far from both are outside by the model's structure, so a document's
-chain falls apart there, and decoding the parts is decoding the whole. The model is trained on generated lines
-(`examples`), the same each time; tests hold it against lines of that generator and against others that were written by hand.
+is decoded by Viterbi. Tokens are words and marks, whatever stands between them. Every token of a text is scored and may be tagged, beside a hint
+word (password, key, bearer, ...) or far from any. Where the scores leave no best path but through outside, a chain is decoded in parts, which is
+decoding the whole. The model is trained on generated lines (`examples`), the same each time; tests hold it against lines of that generator and
+against others that were written by hand.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,16 @@ WEIGHTS = 1 << 15
 #: Runs between separators, with padding of base 64 behind them; separators and breaks between lines.
 _RUN = re.compile(r"""([^\s"'`=:,;()<>{}\[\]|]++)(?:={1,2}(?![^\s"'`,;)}\]]))?|[^\s]|\n""")
 _STOPS = ".!?"
-#: Words that announce a secret, as parts of words; tokens that look like a key: digits and letters mixed, or letters in mixed case, and long.
+#: Words that announce a secret, as parts of words.
 _HINT = re.compile(r"(?<![a-z])(?:passw|pass(?![a-z])|passphrase|passcode|pwd|secret|token|api[_-]?key|auth|bearer|credential|private[_-]?key|access[_-]?key|signature|pin(?![a-z])|login|key(?![a-z])|otp(?![a-z]))|_(?:pass|pwd|key|token|secret|pin)(?![a-z])", re.IGNORECASE)
-_KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{12,}")
-#: Tokens before and after a hint or key that its chain takes in.
-BEFORE, AFTER = 4, 8
+#: Tokens behind a hint word whose features tell how far it is.
+AFTER = 8
+#: Tokens scored at once.
+SLICE = 1 << 16
+#: Characters of short texts that are scored together.
+TOGETHER = 1 << 18
 #: Added to the score of a secret's tags after training: a missed secret costs more than a false find.
-LEAN = 1.5
+LEAN = 1.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,28 +64,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # -- features -------------------------------------------------------------------------------------
 
 
+class _Kinds(dict):
+    """Characters by code point as far as features of shapes tell them apart, for str.translate: letters and digits by their kinds, marks as they are."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        cased = "u" if c.isupper() else "l" if c.islower() else ""
+        self[point] = "d" if c.isdigit() else cased if cased and c.isascii() else {"u": "U", "l": "L"}[cased] if cased and c.isalpha() else c if cased or not c.isalpha() or c.istitle() else "o"
+        return self[point]
+
+
+_KINDS = _Kinds()
+_ODD = frozenset("@#$%^&*!~")
+
+
 def _class(t: str) -> str:
     """What a neighbour looks like: a short word stands for itself, others for their kinds of characters."""
-    if len(t) <= 14 and t.isalpha():
-        return t.lower()
+    if t.isalpha():
+        return t.lower() if len(t) <= 14 else f"a{min(len(t) // 6, 4)}"
     return "".join(sorted({"d" if c.isdigit() else "a" if c.isalpha() else c if c in "_-/+.@#$%&*!" else "m" for c in t})) + str(min(len(t) // 6, 4))
 
 
+def _entropy(t: str) -> int:
+    """Of its characters, in half bits."""
+    n, some = len(t), set(t)
+    if len(some) == n:
+        return int(2 * math.log2(n))
+    often = sorted([k for k in map(t.count, some) if k > 1] if n < 32 else [k for k in Counter(t).values() if k > 1])
+    return int(2 * (math.log2(n) - sum(k * math.log2(k) for k in often) / n))
+
+
+def _hexy(t: str) -> bool:
+    return not t.strip("0123456789abcdefABCDEF")
+
+
 def _shape(t: str) -> list[str]:
     n = len(t)
     if n == 1 and not t.isalnum():
         return [f"mark{t}"]
     digits, uppers, lowers = sum(c.isdigit() for c in t), sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
     marks = n - digits - uppers - lowers
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(t).values())
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "p" for c in t]
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    hexy = all(c in "0123456789abcdefABCDEF" for c in t)
+    turns = sum(map(ne, kinds, kinds[1:]))
+    hexy = _hexy(t)
     mix = f"{digits > 0}{uppers > 0}{lowers > 0}{marks > 0}"
     return [
-        f"n{min(n // 4, 10)}", f"d{digits * 5 // n}", f"u{(uppers > 0) + (uppers > 2)}", f"l{(lowers > 0) + (lowers > 2)}", f"p{min(marks, 3)}", f"e{int(entropy * 2)}",
+        f"n{min(n // 4, 10)}", f"d{digits * 5 // n}", f"u{(uppers > 0) + (uppers > 2)}", f"l{(lowers > 0) + (lowers > 2)}", f"p{min(marks, 3)}", f"e{_entropy(t)}",
         f"t{min(10, turns * 10 // n)}", f"h{hexy}{n > 15}", f"mix{mix}", f"num{digits + marks == n}", f"tn{min(turns, 12)}n{min(n // 8, 5)}", f"dots{min(t.count('.'), 3)}", f"dash{min(t.count('-'), 4)}",
-        f"mixn{mix}{min(n // 6, 5)}", f"cap{t[:1].isupper() and t[1:].islower()}", f"odd{any(c in '@#$%^&*!~' for c in t)}", f"url{'//' in t or '@' in t and '.' in t}",
+        f"mixn{mix}{min(n // 6, 5)}", f"cap{t[:1].isupper() and t[1:].islower()}", f"odd{not _ODD.isdisjoint(t)}", f"url{'//' in t or '@' in t and '.' in t}",
     ]
 
 
@@ -92,10 +123,10 @@ def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[i
         if begin < 0:
             out.append(m.span())
             continue
-        word = begin + len(m[1].rstrip(_STOPS))
-        if word == last:
+        if text[last - 1] not in _STOPS:
             out.append(m.span())
             continue
+        word = begin + len(m[1].rstrip(_STOPS))
         if word > begin:
             out.append((begin, word))
         out += [(i, i + 1) for i in range(word, last - 1)]
@@ -107,26 +138,47 @@ def _hint_words(word: str) -> bool:
     return bool(_HINT.search(word))
 
 
+#: Neighbours by their distance to the left, with the names of their features.
+_BESIDE = {1: "l1", 2: "l2", 3: "l3", -1: "r1", -2: "r2"}
+_QUOTES = "\"'`"
+
+
+def _alone(word: str) -> list[str]:
+    """Features that a word has wherever it stands."""
+    return ["bias", *_shape(word), f"w{word.lower() if word.isalpha() and len(word) < 15 else ''}", f"is{_hint_words(word)}"]
+
+
+def _sort(word: str) -> str:
+    kind = "long" if len(word) >= 20 else "mid" if len(word) >= 8 else "short"
+    if word.isalpha():
+        return f"{kind}FalseTrueFalse"
+    return f"{kind}{any(c.isdigit() for c in word)}{any(c.isalpha() for c in word)}{not word.isalnum()}"
+
+
+def _behind(back: int, between: str, sort: str) -> list[str]:
+    """Features of a word of that sort `back` tokens behind a hint (0: none), with what stands between."""
+    return [f"hint{back}", f"hinted{back > 0}{between}", f"hk{back > 0}{sort}", f"between{between}{sort}"]
+
+
+def _between(words: list[str]) -> str:
+    return "".join(sorted(set("".join(w if not w[0].isalnum() else "w" for w in words))))[:6]
+
+
 def features(words: list[str], spans: list[tuple[int, int]], hinted: list[bool], i: int, file: list[str]) -> list[int]:
     """Hashed features of token i: its shape, the words beside it, how far behind it a hint is and what stands between, whether it touches the token before, the file's."""
     near = lambda k: words[i + k] if 0 <= i + k < len(words) else "^"
     word = words[i]
-    back, between = 0, ""
+    back = 0
     for d in range(1, min(i, AFTER) + 1):
-        w = words[i - d]
-        if w == "\n":
+        if words[i - d] == "\n":
             break
         if hinted[i - d]:
             back = d
             break
-        between += w if not w[0].isalnum() else "w"
-    between = "".join(sorted(set(between)))[:6] if back else ""
-    touch = i > 0 and spans[i - 1][1] == spans[i][0]
-    kind = "long" if len(word) >= 20 else "mid" if len(word) >= 8 else "short"
-    mixed = f"{any(c.isdigit() for c in word)}{any(c.isalpha() for c in word)}{not word.isalnum()}"
+    sort = _sort(word)
     names = [
-        "bias", *_shape(word), f"w{word.lower() if word.isalpha() and len(word) < 15 else ''}", f"touch{touch}", f"hint{back}", f"hinted{back > 0}{between}", f"hk{back > 0}{kind}{mixed}", f"between{between}{kind}{mixed}",
-        f"l1{_class(near(-1))}", f"l2{_class(near(-2))}", f"l3{_class(near(-3))}", f"r1{_class(near(1))}", f"r2{_class(near(2))}", f"is{hinted[i]}", f"l1k{near(-1)[0]}{kind}{mixed}", f"quoted{near(-1) in '\"\'`' and near(1) in '\"\'`'}{back > 0}", *file,
+        *_alone(word), *_behind(back, _between(words[i - back + 1 : i]) if back else "", sort), f"touch{i > 0 and spans[i - 1][1] == spans[i][0]}", *[f"{name}{_class(near(-d))}" for d, name in _BESIDE.items()],
+        f"l1k{near(-1)[0]}{sort}", f"quoted{near(-1) in _QUOTES and near(1) in _QUOTES}{back > 0}", *file,
     ]
     return [_feature(x) for x in names]
 
@@ -141,35 +193,23 @@ def file_features(text: str) -> list[str]:
     return [f"code{min(code, 3)}", f"hints{any(k in low for k in _KEYWORDS)}"]
 
 
-def chains(text: str) -> list[list[tuple[int, int, list[int]]]]:
-    """Runs of tokens that may be tagged: (start, end, features) each. Between runs every token is outside.
+class Chain:
+    """All tokens of a text: (start, end, features) each. Features are made as they are asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.spans = text, tokens_of(text)
+
+    def __iter__(self) -> Iterator[tuple[int, int, list[int]]]:
+        words = [self.text[s:e] for s, e in self.spans]
+        hinted, file = [_hint_words(w) for w in words], file_features(self.text)
+        for i, span in enumerate(self.spans):
+            yield (*span, features(words, self.spans, hinted, i, file))
 
-    A text is cut into tokens only around its hints and keys: between two line breaks or blanks far enough from both.
-    """
-    marks = sorted([m.span() for m in _HINT.finditer(text)] + [m.span() for m in _KEYLIKE.finditer(text)])
-    if not marks:
-        return []
-    spans = tokens_of(text)
-    starts = [s for s, _ in spans]
-    words = [text[s:e] for s, e in spans]
-    keep = np.zeros(len(spans) + 1, np.int32)
-    for s, e in marks:
-        lo, hi = max(0, bisect_right(starts, s) - 1 - BEFORE), min(len(spans), bisect_right(starts, e - 1) + AFTER)
-        keep[lo] += 1
-        keep[hi] -= 1
-    live = np.flatnonzero(np.cumsum(keep)[:-1] > 0)
-    hinted = [False] * len(spans)
-    for i in live.tolist():
-        hinted[i] = _hint_words(words[i])
-    file, out, last = file_features(text), [], -2
-    for i in live.tolist():
-        item = (*spans[i], features(words, spans, hinted, i, file))
-        if i == last + 1:
-            out[-1].append(item)
-        else:
-            out.append([item])
-        last = i
-    return out
+
+def chains(text: str) -> list[Chain]:
+    """The text's chain of all its tokens; none, if it has no token."""
+    whole = Chain(text)
+    return [whole] if whole.spans else []
 
 
 # -- the field --------------------------------------------------------------------------------------
@@ -187,17 +227,36 @@ class Field:
 
     def viterbi(self, chain: list[list[int]]) -> list[int]:
         """The likeliest tags."""
-        emit = self.scores(chain)
-        best, back = self.move[OUT] + emit[0], []
-        for row in emit[1:]:
-            through = best[:, None] + self.move
-            back.append(through.argmax(axis=0))
-            best = through.max(axis=0) + row
-        tags = [int((best + self.move[:, OUT]).argmax())]
+        return self.path(self.scores(chain))
+
+    def path(self, emit: np.ndarray) -> list[int]:
+        """The likeliest tags of tokens (at least one) with these scores."""
+        move, rows = self.move.T.tolist(), emit.tolist()
+        best, back = [m[OUT] + e for m, e in zip(move, rows[0], strict=True)], []
+        for row in rows[1:]:
+            through = [[b + m for b, m in zip(best, to, strict=True)] for to in move]
+            best = [max(t) for t in through]
+            back.append([t.index(b) for t, b in zip(through, best, strict=True)])
+            best = [b + e for b, e in zip(best, row, strict=True)]
+        ends = [b + m for b, m in zip(best, move[OUT], strict=True)]
+        tags = [ends.index(max(ends))]
         for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
+            tags.append(b[tags[-1]])
         return tags[::-1]
 
+    def settled(self, emit: np.ndarray) -> np.ndarray:
+        """Tokens that are outside on every best path, whatever the tags beside them: to make them so, and an inside behind them a begin, raises the score of any other path."""
+        move = self.move
+        follow = np.zeros(len(emit))
+        follow[:-1] = emit[1:, BEGIN] - emit[1:, INSIDE]
+        out = np.full(len(emit), True)
+        for t in (BEGIN, INSIDE):
+            before = (move[:, OUT] - move[:, t]).min()
+            behind = (move[OUT, :INSIDE] - move[t, :INSIDE]).min()
+            inside = move[OUT, BEGIN] - move[t, INSIDE] + (move[BEGIN] - move[INSIDE]).min() + follow
+            out &= emit[:, OUT] - emit[:, t] + before + np.minimum(behind, inside) > 1e-6
+        return out
+
     def gradient(self, feats: np.ndarray, tags: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Gradients by emission (chains x tokens x tags) and transition, and the log likelihood, of chains filled up to one length. Forward and backward sums in logarithms."""
         emit = self.emit[feats].sum(axis=2)
@@ -270,9 +329,10 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
     pick = lambda items: items[int(rng.integers(len(items)))]
     run = lambda chars, k: "".join(chars[i] for i in rng.integers(len(chars), size=k))
     size = lambda a, b: int(rng.integers(a, b))
-    syllables = lambda: "".join(pick(["er", "an", "the", "in", "on", "re", "st", "ion", "ou", "ment", "é", "sch", "os", "ung", "ción", "eau"]) for _ in range(size(1, 5)))
+    syllables = lambda: "".join(pick(["er", "an", "the", "in", "on", "re", "st", "ion", "ou", "ment", "é", "sch", "os", "ung", "ción", "eau"]) for _ in range(size(1, 5) if rng.random() < 0.8 else size(5, 9)))
     word = lambda: pick(_COMMON) if rng.random() < 0.6 else syllables()
     cased = lambda w: pick([w, w, w.capitalize(), w.upper()])
+    running = lambda k: " ".join((cased(word()) if rng.random() < 0.2 else word()) + (pick([",", ".", "?", "!", "!!", "%%%", "$$$", "###", "***", "&&&"]) if rng.random() < 0.08 else "") for _ in range(k))
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
     def leet() -> str:
@@ -292,7 +352,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
     ]
     plain = [
         lambda: run(digits, size(1, 20)), lambda: f"{size(1990, 2030)}-{size(1, 13):02d}-{size(1, 29):02d}", lambda: f"{size(1, 250)}.{size(1, 250)}.{size(1, 250)}.{size(1, 250)}", lambda: f"v{size(1, 9)}.{size(0, 20)}.{size(0, 30)}-rc{size(1, 5)}", lambda: syllables() + word() + str(size(1, 2030)), lambda: f"+{size(1, 99)}-{run(digits, 3)}-{run(digits, 7)}", lambda: f"{pick(_COMMON)}-{pick(_COMMON)}-{pick(_COMMON)}-{size(1, 2030)}",
-        lambda: f"{size(100, 999)}-{size(1000, 9999)}", lambda: f"{word()}.{size(1, 99):02d}@mail{size(1, 9)}.example.com", lambda: f"{word()}{size(1, 99)}@{word()}{size(1, 9)}.{pick(['org', 'net', 'com'])}", lambda: f"https://www{size(1, 9)}.{word()}.com/{word()}/{size(1, 9999)}", lambda: f"/usr/{word()}/{word()}_{word()}{size(1, 9)}/{word()}-{size(1, 9)}.{size(1, 20)}.tar.gz", lambda: f"{word()}_{size(1, 9)}/{word()}.{word()}", lambda: f"ISBN-{run(digits, 10)}", lambda: f"{run(upper[:8], 2)}-{size(1000, 99999)}-{run(upper[:3], 1)}", lambda: f"{size(1, 999)}.{run(digits, 6)}", lambda: f"20{run(digits, 6)}T{run(digits, 6)}Z", lambda: f"{word()}-{word()}-{size(1, 99)}-{word()}", lambda: f"{word()}_{word()}_{word()}{size(1, 99)}", lambda: f"{cased(word())}{pick(['!!', '%%%', '$$$', '###', '***'])}", lambda: f"{word().capitalize()}{word().capitalize()}{word().capitalize()}{size(1, 99)}",
+        lambda: f"{size(100, 999)}-{size(1000, 9999)}", lambda: f"{word()}.{size(1, 99):02d}@mail{size(1, 9)}.example.com", lambda: f"{word()}{size(1, 99)}@{word()}{size(1, 9)}.{pick(['org', 'net', 'com'])}", lambda: f"https://www{size(1, 9)}.{word()}.com/{word()}/{size(1, 9999)}", lambda: f"/usr/{word()}/{word()}_{word()}{size(1, 9)}/{word()}-{size(1, 9)}.{size(1, 20)}.tar.gz", lambda: f"{word()}_{size(1, 9)}/{word()}.{word()}", lambda: f"ISBN-{run(digits, 10)}", lambda: f"{run(upper[:8], 2)}-{size(1000, 99999)}-{run(upper[:3], 1)}", lambda: f"{size(1, 999)}.{run(digits, 6)}", lambda: f"{size(0, 10)}.{size(0, 10)}", lambda: f"20{run(digits, 6)}T{run(digits, 6)}Z", lambda: f"{word()}-{word()}-{size(1, 99)}-{word()}", lambda: f"{word()}_{word()}_{word()}{size(1, 99)}", lambda: f"{cased(word())}{pick(['!!', '%%%', '$$$', '###', '***'])}", lambda: f"{word().capitalize()}{word().capitalize()}{word().capitalize()}{size(1, 99)}",
     ]
     name = lambda: pick(["password", "passwd", "pwd", "PASSWORD", "Password", "db_password", "DB_PASS", "passphrase", "Passphrase", "pass", "secret", "client_secret", "SECRET_KEY", "token", "auth_token", "API token", "api_key", "apikey", "API key", "access key", "private key", "credential", "login", "PIN", "pin", "passcode", "session key", "otp", "OTP", "signature", "aws_secret_access_key", "key", "pin code", "pass code", "PGPASSWORD", "MYSQL_PWD", "sessionid cookie", "session token", "login", "unlock code", "cookie secret"])
     setting = lambda: name() + pick([": ", " = ", "=", ' = "', ": '", ':"', '": "', " := ", " => '", "  :  ", " -> "])
@@ -303,7 +363,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
     end = lambda lead: pick(['" ', '", ', '"\n']) if lead.rstrip().endswith('"') else pick(["' ", "', ", "')\n"]) if lead.endswith("'") else ") " if lead.endswith("(") else "@localhost/db " if lead.endswith("user:") else pick([" ", "\n", ". ", ", ", " ", "; ", "\n\n", "!! ", "### "])
     out = []
     for i in range(n):
-        text = " ".join(cased(word()) for _ in range(size(0, 12))) + pick([" ", "\n", " ", ". "])
+        text = running(size(0, 12)) + pick([" ", "\n", " ", ". "])
         spans = []
         for _ in range(size(1, 4)):
             draw = rng.random()
@@ -321,7 +381,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
                 text += pick(["the ", "", "a ", "your "]) + name() + pick([" ", ": ", " "]) + nothing() + pick([" ", ". ", "\n", ", "])
             else:
                 text += word() + pick([" ", " ", ": ", " = ", " ("]) + pick(plain)() + pick([" ", ", ", ". ", "\n", ") "])
-            text += " ".join(cased(word()) if rng.random() < 0.2 else word() for _ in range(size(1, 9))) + pick([" ", ". ", "\n"])
+            text += running(size(1, 9) if rng.random() < 0.85 else size(9, 40)) + pick([" ", ". ", "\n"])
         out.append((text, spans))
     return out
 
@@ -347,18 +407,138 @@ def trained(n: int = 3500, seed: int = 11, lean: float = LEAN) -> Field:
     return field
 
 
+class Words:
+    """Scores of all tokens of texts, those that `Field.scores` has for the features of `chains`: what a word has alone and lends to those beside it is summed once a word, and arrays of these sums are added up.
+
+    Words are kept until there are `most`, then anew. Before and behind each text stand AFTER tokens of no text, number 0.
+    """
+
+    def __init__(self, field: Field, most: int = 1 << 18) -> None:
+        self.field, self.most, both = field, most, (False, True)
+        self.touch = self._sums([[f"touch{t}"] for t in both])
+        self.quoted = self._sums([[f"quoted{q}{h}"] for q in both for h in both])
+        kinds = [f"{kind}{a}{b}{c}" for kind in ("short", "mid", "long") for a in both for b in both for c in both]
+        self.sorts, self.sort_names, self.plain = {k: i for i, k in enumerate(kinds)}, kinds, self._sums([_behind(0, "", k) for k in kinds])
+        files = [(f"code{c}", f"hints{h}") for c in range(4) for h in both]
+        self.file_of, self.files = {f: i for i, f in enumerate(files)}, self._sums(files)
+        self.begun = [zlib.crc32(name.encode()) for name in ("w", *_BESIDE.values())]
+        self.hinted = self._sums([[f"is{h}"] for h in both])
+        self._clear()
+
+    def _sums(self, lists: list) -> np.ndarray:
+        return np.array([self.field.emit[[_feature(x) for x in names]].sum(axis=0) for names in lists])
+
+    def _clear(self) -> None:
+        self.ids, self.words, self.hints = {}, [], {}
+        self.alone, self.beside, self.flags = np.zeros((1024, 3)), np.zeros((1024, len(_BESIDE), 3)), np.zeros((1024, 3), bool)
+        self.sort, self.first = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.firsts, self.first_names, self.pairs, self.paired = {}, [], np.zeros((1024, 3)), np.zeros(1024, bool)
+        self.forms, self.form_sums, self.form_sorts, self.form_looks = {}, [], [], []
+        self._learn(["^"], True)
+
+    def _form(self, word: str) -> int:
+        """The number of all that features know of a word but its letters: looked up by kinds of characters, entropy and whether it is hexadecimal."""
+        key = (word.translate(_KINDS), _entropy(word), _hexy(word))
+        form = self.forms.get(key)
+        if form is None:
+            form = self.forms[key] = len(self.form_sums)
+            self.form_sums.append(self._sums([["bias", *_shape(word)]])[0])
+            self.form_sorts.append(self.sorts[_sort(word)])
+            self.form_looks.append(None if word.isalpha() and len(word) < 15 else [_feature("w"), *[_feature(name + _class(word)) for name in _BESIDE.values()]])
+        return form
+
+    def _learn(self, new: list[str], none: bool = False) -> None:
+        at, end = len(self.words), len(self.words) + len(new)
+        while end > len(self.alone):
+            self.alone, self.beside, self.flags, self.sort, self.first = (np.concatenate([x, np.zeros_like(x)]) for x in (self.alone, self.beside, self.flags, self.sort, self.first))
+        self.words += new
+        forms = [self._form(w) for w in new]
+        looks = []
+        for word, form in zip(new, forms, strict=True):
+            look = self.form_looks[form]
+            if look is None:  # a short word stands for itself: the hash of a feature, from its name on
+                low = word.lower().encode()
+                look = [1 + zlib.crc32(low, c) % (WEIGHTS - 1) for c in self.begun]
+            looks.append(look)
+            if word[0] not in self.firsts:
+                self.firsts[word[0]] = len(self.firsts)
+                self.first_names.append(word[0])
+        while len(self.firsts) * len(self.sorts) > len(self.paired):
+            self.pairs, self.paired = (np.concatenate([x, np.zeros_like(x)]) for x in (self.pairs, self.paired))
+        hinted, each = np.array([_hint_words(w) for w in new]), self.field.emit[np.array(looks)]
+        self.alone[at:end] = np.array([self.form_sums[f] for f in forms]) + each[:, 0] + self.hinted[hinted.astype(np.int64)]
+        self.beside[at:end] = each[:, 1:]
+        self.flags[at:end, 0], self.flags[at:end, 1], self.flags[at:end, 2] = hinted, [none or w == "\n" for w in new], [w in _QUOTES for w in new]
+        self.sort[at:end], self.first[at:end] = [self.form_sorts[f] for f in forms], [self.firsts[w[0]] for w in new]
+
+    def scores(self, ids: np.ndarray, touch: np.ndarray, file: np.ndarray) -> np.ndarray:
+        """Of all but the first AFTER tokens and the last two, which are only looked at."""
+        n = len(ids)
+        at = lambda x, d=0: x[AFTER - d : n - 2 - d]
+        own, left = at(ids), at(ids, 1)
+        sort = self.sort[own]
+        pair = self.first[left] * len(self.sorts) + sort
+        for p in set(pair[~self.paired[pair]].tolist()):
+            self.pairs[p], self.paired[p] = self._sums([[f"l1k{self.first_names[p // len(self.sorts)]}{self.sort_names[p % len(self.sorts)]}"]])[0], True
+        flags, place = self.flags[ids], np.arange(n)
+        hint, end = (at(np.maximum.accumulate(np.where(flags[:, k], place, -1)), 1) for k in (0, 1))
+        back = np.where(hint > end, at(place) - hint, 0)
+        back[back > AFTER] = 0
+        quoted = at(flags[:, 2], 1) & at(flags[:, 2], -1)
+        out = self.alone[own] + self.pairs[pair] + self.files[at(file)] + self.touch[at(touch)] + self.quoted[2 * quoted + (back > 0)] + np.where(back[:, None] > 0, 0.0, self.plain[sort])
+        for k, d in enumerate(_BESIDE):
+            out += self.beside[at(ids, d), k]
+        for i in np.flatnonzero(back).tolist():
+            key = (int(back[i]), _between([self.words[w] for w in ids[AFTER + i - back[i] + 1 : AFTER + i]]), int(sort[i]))
+            if key not in self.hints:
+                self.hints[key] = self._sums([_behind(key[0], key[1], self.sort_names[key[2]])])[0]
+            out[i] += self.hints[key]
+        return out
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Spans that the field tags as secrets in each text, without marks around them. The tokens of all these texts are held at once."""
+        if len(self.words) > self.most:
+            self._clear()
+        gap, zeros = [(-1, -2)] * AFTER, [0] * AFTER
+        flat, ids, file, firsts = [*gap], [*zeros], [*zeros], []  # spans, words and files of tokens, the first token of each text
+        parts = [tokens_of(text) for text in texts]
+        words = [[text[s:e] for s, e in part] for text, part in zip(texts, parts, strict=True)]
+        new = sorted(set().union(*words).difference(self.ids))
+        if new:
+            self.ids |= {w: len(self.words) + k for k, w in enumerate(new)}
+            self._learn(new)
+        for text, part, own in zip(texts, parts, words, strict=True):
+            firsts.append(len(flat))
+            flat += part + gap
+            ids += [*map(self.ids.__getitem__, own), *zeros]
+            file += [self.file_of[tuple(file_features(text))]] * (len(part) + AFTER)
+        ids, file, bounds = np.array(ids), np.array(file), np.fromiter(chain.from_iterable(flat), np.int64, 2 * len(flat)).reshape(-1, 2)
+        touch = np.zeros(len(flat), np.int64)
+        touch[1:] = bounds[1:, 0] == bounds[:-1, 1]
+        emit = np.zeros((len(flat), 3))
+        for lo in range(AFTER, len(flat) - AFTER, SLICE):
+            hi = min(lo + SLICE, len(flat) - AFTER)
+            seen = slice(lo - AFTER, hi + 2)
+            emit[lo:hi] = self.scores(ids[seen], touch[seen], file[seen])
+        emit[ids == 0] = 0
+        live = np.flatnonzero((ids > 0) & ~self.field.settled(emit))
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for run in np.split(live, np.flatnonzero(np.diff(live) > 1) + 1) if len(live) else []:
+            found, last = [], OUT
+            for i, tag in zip(run.tolist(), self.field.path(emit[run]), strict=True):
+                if tag == BEGIN or (tag == INSIDE and last == OUT):
+                    found.append(flat[i])
+                elif tag == INSIDE:
+                    found[-1] = (found[-1][0], flat[i][1])
+                last = tag
+            of = bisect_right(firsts, int(run[0])) - 1
+            out[of] += [(s, e) for s, e in found if texts[of][s:e].strip()]
+        return out
+
+
 def crf_spans(text: str, field: Field) -> list[tuple[int, int]]:
     """Spans that the field tags as secrets, without marks around them."""
-    out = []
-    for chain in chains(text):
-        last = OUT
-        for (s, e, _), tag in zip(chain, field.viterbi([f for _, _, f in chain]), strict=True):
-            if tag == BEGIN or (tag == INSIDE and last == OUT):
-                out.append((s, e))
-            elif tag == INSIDE:
-                out[-1] = (out[-1][0], e)
-            last = tag
-    return [(s, e) for s, e in out if text[s:e].strip()]
+    return Words(field).spans([text])[0]
 
 
 def apart(found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -387,14 +567,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field()
         own.emit[model[0]], own.move = model[1], model[2]
+        words = Words(own)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
         for batch in batches:
-            base, more = [], []
-            for value in batch.column(1):
-                text = value.as_py()
-                spans = base_spans(text)
-                base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                more.append([{"start": s, "kind": 3, "end": e} for s, e in apart(crf_spans(text, own), spans)])
+            base, more, at = [], [], 0
+            while at < len(batch):
+                texts, size = [], 0
+                while at < len(batch) and size < TOGETHER:
+                    texts.append(batch.column(1)[at].as_py())
+                    size += len(texts[-1])
+                    at += 1
+                for text, tagged in zip(texts, words.spans(texts), strict=True):
+                    spans = base_spans(text)
+                    base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
+                    more.append([{"start": s, "kind": 3, "end": e} for s, e in apart(tagged, spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(more, kind)], names=["__id", "base", "more"])
 
     slim = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))

@@ -26,6 +26,17 @@ def test_runs_of_marks_take_time_that_grows_with_them(mark):
     assert time.process_time() - began < 5  # a tenth of a second to a second; the square would be hours
 
 
+@pytest.mark.parametrize("mark", list("a0.=$ \n\"") + ["aB3 ", "key ", "中", "é9"])
+def test_tagging_takes_time_that_grows_with_the_text(mark):
+    words = secrets_crf.Words(secrets_crf.trained())
+    took = []
+    for n in (250_000, 1_000_000):
+        began = time.process_time()
+        words.spans(["key a" + mark * (n // len(mark)) + "b x"])
+        took.append(time.process_time() - began)
+    assert took[1] < 12 and took[1] < 8 * took[0] + 1
+
+
 def test_words_stops_and_padding():
     words = lambda x: [x[s:e] for s, e in secrets_crf.tokens_of(x)]
     assert words("pw aGk== b64=\n end... ?! a.b.c. x==y") == ["pw", "aGk==", "b64=", "\n", "end", ".", ".", ".", "?", "!", "a.b.c", ".", "x", "=", "=", "y"]

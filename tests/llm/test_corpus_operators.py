@@ -849,6 +849,43 @@ def test_viterbi_is_the_best_path():
         assert abs(score(tuple(field.viterbi(feats))) - score(best)) < 1e-9
 
 
+def test_every_token_is_tagged(monkeypatch):
+    """Whole texts by arrays as by features and one Viterbi of all tokens, far from hints and keys, too."""
+    field = secrets_crf.trained()
+    far = {
+        "The password that Maria wrote down on the yellow note under her desk yesterday morning was k!ngf1sher7": "k!ngf1sher7", "the door opens with Tr0ub4dor&3 after nine": "Tr0ub4dor&3", "push it with ghp_QwZxRtYpLkJhGfDsAqWeRtYuKv and then tell me": "ghp_QwZxRtYpLkJhGfDsAqWeRtYuKv",
+    }
+    assert [[t[s:e] for s, e in secrets_crf.crf_spans(t, field)] for t in far] == [[secret] for secret in far.values()]
+    texts = [*far, *[t for t, _ in secrets_crf.examples(120, 3)], "", "\n", "^ ^ key ^", "pwd:\n a1B2 b", "key '\"x9Y8z7\"' é", "中文 Ǆx ½ key 密码 aB3$xY9!zQ7#"]
+    monkeypatch.setattr(secrets_crf, "SLICE", 50)
+    words = secrets_crf.Words(field, most=300)
+    got = [spans for k in range(0, len(texts), 7) for spans in words.spans(texts[k : k + 7])]
+    for text, found in zip(texts, got, strict=True):
+        whole = [x for c in secrets_crf.chains(text) for x in c]
+        assert [(s, e) for s, e, _ in whole] == secrets_crf.tokens_of(text)
+        want = []
+        for (s, e, _), tag in zip(whole, field.viterbi([f for _, _, f in whole]) if whole else [], strict=True):
+            if tag == 1:
+                want.append((s, e))
+            elif tag == 2:
+                want[-1] = (want[-1][0], e)
+        assert [(s, e) for s, e in want if text[s:e].strip()] == found, text
+
+
+def test_settled_tokens_are_outside_on_the_best_path():
+    import numpy as np
+
+    rng, settled = np.random.default_rng(4), 0
+    for _ in range(300):
+        field = secrets_crf.Field()
+        field.move += rng.normal(size=(3, 3))
+        emit = rng.normal(size=(30, 3)) * 3 + [2, 0, 0]
+        sure = field.settled(emit)
+        settled += sure.sum()
+        assert not np.array(field.path(emit))[sure].any()
+    assert settled > 1000
+
+
 # -- 10 -----------------------------------------------------------------------------------------
 
 
