@@ -166,9 +166,13 @@ def hash_draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
 _POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(7)]
 
 
-def poisson_weight(seed: int, replicate: Column, key: Column) -> Column:
-    """A Poisson number with mean 1 that any engine with MD5 reproduces: how often a row stands in a resample."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+def uniform(seed: int, replicate: Column, key: Column) -> Column:
+    """A number in [0, 1) that any engine with MD5 reproduces."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+def poisson_number(u: Column) -> Column:
+    """The Poisson number with mean 1 at u in [0, 1): how often a row stands in a resample."""
     out = F
     for k, p in enumerate(_POISSON):
         out = out.when(u < p, k)

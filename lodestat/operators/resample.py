@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestat.functions.columns import hash_draw, poisson_weight
+from lodestat.functions.columns import hash_draw, poisson_number, uniform
 from lodestat.operators.core import small, stored
 from lodestat.operators.ranks import quantiles
 
@@ -50,10 +50,25 @@ def bootstrap(units: DataFrame, unit: str, statistic: Callable[[pd.DataFrame], d
     return draws(units, None, unit, replicates, seed).groupBy("replicate").applyInPandas(one, schema)
 
 
+#: Draws (rows times replicates) of about one task: a second of work.
+TASK_DRAWS = 500_000
+
+
+def weighted(rows: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """rows times replicates with `__rep` and `__w`, the Poisson number that the key's hash decides.
+
+    A file of many rows may be one task's; rows are dealt out first, so that tasks grow in number with them and not in length. Each hash is computed once.
+    """
+    tasks = -(-rows.count() * replicates // TASK_DRAWS)
+    each = (rows.repartition(tasks) if tasks > 1 else rows).withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    each = each.withColumn("__u", uniform(seed, F.col("__rep"), F.col(key)))  # a column of its own, which the branches of the number share
+    return each.withColumn("__w", poisson_number(F.col("__u"))).drop("__u")
+
+
 def row_interval(df: DataFrame, by: list[str], key: str, value: str, replicates: int, seed: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(by, replicates, mean, low, high) of the mean of value with rows resampled: each row weighs by a Poisson number that its key's hash decides, so tasks sum all replicates of their rows."""
-    each = df.select(*by, F.col(value).alias("__v"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.struct(r.alias("rep"), poisson_weight(seed, r, F.col(key)).alias("w")))).alias("__r"))
-    boot = each.groupBy(*by, F.col("__r.rep").alias("__rep")).agg(F.try_divide(F.sum(F.col("__r.w") * F.col("__v")), F.sum("__r.w")).alias("__m"))
+    each = weighted(df.select(*by, F.col(key).alias("__k"), F.col(value).alias("__v")), "__k", replicates, seed)
+    boot = each.groupBy(*by, "__rep").agg(F.try_divide(F.sum(F.col("__w") * F.col("__v")), F.sum("__w")).alias("__m"))
     q = quantiles(boot, by, "__m", {"low": low, "high": high}).withColumnRenamed("n", "replicates")
     mean = df.groupBy(*[F.col(c).alias(f"__g_{c}") for c in by]).agg(F.avg(value).alias("mean"))
     same = F.lit(True)
@@ -68,9 +83,9 @@ def overlap_interval(first: DataFrame, second: DataFrame, key: str, value: str,
     u = a.join(b, F.col("__ka") == F.col("__kb"), "full")
     ina, inb = F.col("__ka").isNotNull(), F.col("__kb").isNotNull()
     u = stored(u.select(F.coalesce("__ka", "__kb").alias("k"), F.coalesce("__va", "__vb").alias("v"), ina.alias("a"), inb.alias("b"), (ina & inb & ~F.col("__va").eqNullSafe(F.col("__vb"))).alias("clash")))
-    each = u.select("v", "a", "b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.struct(r.alias("rep"), poisson_weight(seed, r, F.col("k")).alias("w")))).alias("r")).select("v", "a", "b", "r.*")
-    mean = lambda c: F.try_divide(F.sum(F.when(F.col(c), F.col("w") * F.col("v"))), F.sum(F.when(F.col(c), F.col("w"))))
-    q = quantiles(each.groupBy("rep").agg((mean("a") - mean("b")).alias("d")), [], "d", {"low": 0.025, "high": 0.975}).drop("n")
+    each = weighted(u.select("k", "v", "a", "b"), "k", replicates, seed)
+    mean = lambda c: F.try_divide(F.sum(F.when(F.col(c), F.col("__w") * F.col("v"))), F.sum(F.when(F.col(c), F.col("__w"))))
+    q = quantiles(each.groupBy("__rep").agg((mean("a") - mean("b")).alias("d")), [], "d", {"low": 0.025, "high": 0.975}).drop("n")
     point = u.agg(F.count("*").alias("identities"), F.count_if(F.col("a") & F.col("b")).alias("shared"), F.count_if("clash").alias("clashes"), (F.avg(F.when(F.col("a"), F.col("v"))) - F.avg(F.when(F.col("b"), F.col("v")))).alias("difference"))
     return point.join(F.broadcast(q))  # one row by one row
 

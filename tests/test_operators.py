@@ -193,3 +193,17 @@ def test_contracts(spark):
         expect.require_unique(good.union(good), ["domain"])
     items = frame(spark, [("a", []), ("b", ["a", "x"]), ("b", [])], "id string, parents array<string>")
     assert sorted(map(tuple, expect.provenance_graph(items).collect())) == [("b", "repeated id"), ("b", "unknown parent")]
+
+
+def test_draws_of_one_file_are_dealt_out(spark, monkeypatch):
+    """Rows that one task read are drawn in as many tasks as their draws ask for, by the hashes that SQL has."""
+    import hashlib
+
+    monkeypatch.setattr(resample, "TASK_DRAWS", 700)
+    df = spark.createDataFrame([(i % 2, i if i % 50 else None, float(i)) for i in range(200)], "g int, k int, v double").coalesce(1)
+    got = resample.weighted(df, "k", 20, 42)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() == 6
+    below = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+    weight = lambda rep, k: sum(int(hashlib.md5("|".join(["42", str(rep)] + ([str(k)] if k is not None else [])).encode()).hexdigest()[:8], 16) / 2**32 >= b for b in below)
+    rows = got.collect()
+    assert len(rows) == 4000 and all(r["__w"] == weight(r["__rep"], r.k) for r in rows)
