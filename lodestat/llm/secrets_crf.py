@@ -16,7 +16,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 from operator import ne
 
 import numpy as np
@@ -35,8 +35,8 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 OUT, BEGIN, INSIDE = range(3)
 WEIGHTS = 1 << 15
 #: Runs between separators, with padding of base 64 behind them; separators and breaks between lines.
-_RUN = re.compile(r"""([^\s"'`=:,;()<>{}\[\]|]++)(?:={1,2}(?![^\s"'`,;)}\]]))?|[^\s]|\n""")
-_STOPS = ".!?"
+_RUN = re.compile(r"""[^\s"'`=:,;()<>{}\[\]|]++(?:={1,2}(?![^\s"'`,;)}\]]))?|[^\s]|\n""")
+_STOPS, _ENDS = ".!?", ".!?="
 #: Words that announce a secret, as parts of words.
 _HINT = re.compile(r"(?<![a-z])(?:passw|pass(?![a-z])|passphrase|passcode|pwd|secret|token|api[_-]?key|auth|bearer|credential|private[_-]?key|access[_-]?key|signature|pin(?![a-z])|login|key(?![a-z])|otp(?![a-z]))|_(?:pass|pwd|key|token|secret|pin)(?![a-z])", re.IGNORECASE)
 #: Tokens behind a hint word whose features tell how far it is.
@@ -118,19 +118,21 @@ def _shape(t: str) -> list[str]:
 def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
     """Words (marks such as $ or / may be part of them, padding of base 64 ends them), stops behind words and separators, one each, and line breaks. A run is matched once, so time grows with the text."""
     out = []
-    for m in _RUN.finditer(text, start, len(text) if end is None else end):
-        begin, last = m.span(1)
-        if begin < 0:
-            out.append(m.span())
+    for span in [m.span() for m in _RUN.finditer(text, start, len(text) if end is None else end)]:
+        begin, last = span
+        if text[last - 1] not in _ENDS or last - begin == 1:
+            out.append(span)
             continue
-        if text[last - 1] not in _STOPS:
-            out.append(m.span())
+        run = text[begin:last].rstrip("=")  # no separator is inside a run
+        last = begin + len(run)
+        word = begin + len(run.rstrip(_STOPS))
+        if word == last:
+            out.append(span)
             continue
-        word = begin + len(m[1].rstrip(_STOPS))
         if word > begin:
             out.append((begin, word))
         out += [(i, i + 1) for i in range(word, last - 1)]
-        out.append((last - 1, m.end()))
+        out.append((last - 1, span[1]))
     return out
 
 
@@ -413,7 +415,7 @@ class Words:
     Words are kept until there are `most`, then anew. Before and behind each text stand AFTER tokens of no text, number 0.
     """
 
-    def __init__(self, field: Field, most: int = 1 << 18) -> None:
+    def __init__(self, field: Field, most: int = 1 << 19) -> None:
         self.field, self.most, both = field, most, (False, True)
         self.touch = self._sums([[f"touch{t}"] for t in both])
         self.quoted = self._sums([[f"quoted{q}{h}"] for q in both for h in both])
@@ -466,10 +468,10 @@ class Words:
         while len(self.firsts) * len(self.sorts) > len(self.paired):
             self.pairs, self.paired = (np.concatenate([x, np.zeros_like(x)]) for x in (self.pairs, self.paired))
         hinted, each = np.array([_hint_words(w) for w in new]), self.field.emit[np.array(looks)]
-        self.alone[at:end] = np.array([self.form_sums[f] for f in forms]) + each[:, 0] + self.hinted[hinted.astype(np.int64)]
+        self.alone[at:end] = np.array(self.form_sums)[forms] + each[:, 0] + self.hinted[hinted.astype(np.int64)]
         self.beside[at:end] = each[:, 1:]
         self.flags[at:end, 0], self.flags[at:end, 1], self.flags[at:end, 2] = hinted, [none or w == "\n" for w in new], [w in _QUOTES for w in new]
-        self.sort[at:end], self.first[at:end] = [self.form_sorts[f] for f in forms], [self.firsts[w[0]] for w in new]
+        self.sort[at:end], self.first[at:end] = np.array(self.form_sorts)[forms], [self.firsts[w[0]] for w in new]
 
     def scores(self, ids: np.ndarray, touch: np.ndarray, file: np.ndarray) -> np.ndarray:
         """Of all but the first AFTER tokens and the last two, which are only looked at."""
@@ -503,9 +505,9 @@ class Words:
         flat, ids, file, firsts = [*gap], [*zeros], [*zeros], []  # spans, words and files of tokens, the first token of each text
         parts = [tokens_of(text) for text in texts]
         words = [[text[s:e] for s, e in part] for text, part in zip(texts, parts, strict=True)]
-        new = sorted(set().union(*words).difference(self.ids))
+        new = list(set().union(*words).difference(self.ids))
         if new:
-            self.ids |= {w: len(self.words) + k for k, w in enumerate(new)}
+            self.ids.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
             self._learn(new)
         for text, part, own in zip(texts, parts, words, strict=True):
             firsts.append(len(flat))
@@ -523,19 +525,36 @@ class Words:
         emit[ids == 0] = 0
         live = np.flatnonzero((ids > 0) & ~self.field.settled(emit))
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        for run in np.split(live, np.flatnonzero(np.diff(live) > 1) + 1) if len(live) else []:
+        cuts = np.flatnonzero(np.diff(live, prepend=-2, append=len(flat) + 1) > 1).tolist()
+        live, scored = live.tolist(), emit[live]
+        for lo, hi in pairwise(cuts):
             found, last = [], OUT
-            for i, tag in zip(run.tolist(), self.field.path(emit[run]), strict=True):
+            for i, tag in zip(live[lo:hi], self.field.path(scored[lo:hi]), strict=True):
                 if tag == BEGIN or (tag == INSIDE and last == OUT):
                     found.append(flat[i])
                 elif tag == INSIDE:
                     found[-1] = (found[-1][0], flat[i][1])
                 last = tag
-            of = bisect_right(firsts, int(run[0])) - 1
+            of = bisect_right(firsts, live[lo]) - 1
             out[of] += [(s, e) for s, e in found if texts[of][s:e].strip()]
         return out
 
 
+_kept: dict[int, Words] = {}
+
+
+def _words(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Words:
+    """Of the field with these weights; the tasks that a process runs one after the other share the words."""
+    key = zlib.crc32(b"".join(x.tobytes() for x in model))
+    if key not in _kept or any(not np.array_equal(a, b) for a, b in zip(_kept[key].model, model, strict=True)):
+        field = Field()
+        field.emit[model[0]], field.move = model[1], model[2]
+        _kept.clear()
+        _kept[key] = Words(field)
+        _kept[key].model = model
+    return _kept[key]
+
+
 def crf_spans(text: str, field: Field) -> list[tuple[int, int]]:
     """Spans that the field tags as secrets, without marks around them."""
     return Words(field).spans([text])[0]
@@ -565,9 +584,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
     model = (place, field.emit[place], field.move)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Field()
-        own.emit[model[0]], own.move = model[1], model[2]
-        words = Words(own)
+        words = _words(model)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
         for batch in batches:
             base, more, at = [], [], 0
