@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
 from operator import ne
 
 import numpy as np
@@ -37,6 +37,11 @@ WEIGHTS = 1 << 15
 #: Runs between separators, with padding of base 64 behind them; separators and breaks between lines.
 _RUN = re.compile(r"""[^\s"'`=:,;()<>{}\[\]|]++(?:={1,2}(?![^\s"'`,;)}\]]))?|[^\s]|\n""")
 _STOPS, _ENDS = ".!?", ".!?="
+#: Kinds of bytes for `cuts`: between tokens, of a word, a stop in a word, a token of its own, padding behind a word. Bytes of other code points are words', but for those of blanks.
+BLANK, WORD, STOP, MARK, PAD = range(5)
+_BYTES = np.array([BLANK if chr(i).isspace() and chr(i) != "\n" else MARK if chr(i) in "\n\"'`=,:;()<>{}[]|" else STOP if chr(i) in _STOPS else WORD for i in range(128)] + [WORD] * 128, np.uint8)
+_CLOSES = np.isin(np.arange(256), list(b"\n\"'`,;)}]"))
+_WIDE_BLANKS = re.compile(b"|".join(re.escape(chr(i).encode()) for i in range(128, 0x3001) if chr(i).isspace()))
 #: Words that announce a secret, as parts of words.
 _HINT = re.compile(r"(?<![a-z])(?:passw|pass(?![a-z])|passphrase|passcode|pwd|secret|token|api[_-]?key|auth|bearer|credential|private[_-]?key|access[_-]?key|signature|pin(?![a-z])|login|key(?![a-z])|otp(?![a-z]))|_(?:pass|pwd|key|token|secret|pin)(?![a-z])", re.IGNORECASE)
 #: Tokens behind a hint word whose features tell how far it is.
@@ -44,7 +49,11 @@ AFTER = 8
 #: Tokens scored at once.
 SLICE = 1 << 16
 #: Characters of short texts that are scored together.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 20
+#: Characters of words that are told apart by arrays.
+WIDTH = 16
+#: Tokens of stretches whose tags are found for many at once.
+STRETCH = 8
 #: Added to the score of a secret's tags after training: a missed secret costs more than a false find.
 LEAN = 1.0
 
@@ -76,6 +85,7 @@ class _Kinds(dict):
 
 _KINDS = _Kinds()
 _ODD = frozenset("@#$%^&*!~")
+_HEX_POINTS = np.isin(np.arange(128), list(b"0123456789abcdefABCDEF"))
 
 
 def _class(t: str) -> str:
@@ -136,6 +146,36 @@ def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[i
     return out
 
 
+def cuts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the tokens of `tokens_of` begin and end in UTF-8 that ends with a blank, and all bytes of tokens. Texts may be joined by blanks."""
+    raw = np.frombuffer(data, np.uint8)
+    kind = _BYTES[raw]
+    if not data.isascii():
+        for m in _WIDE_BLANKS.finditer(data):
+            kind[m.start() : m.end()] = BLANK
+    at = np.flatnonzero(raw == ord("="))
+    if len(at):
+        first, last = _groups(at)
+        padding = (last - first < 2) & np.isin(kind[first - 1], (WORD, STOP)) & ((kind[last + 1] == BLANK) | _CLOSES[raw[last + 1]])
+        kind[first[padding]] = kind[last[padding]] = PAD
+    at = np.flatnonzero(kind == STOP)
+    if len(at):
+        first, last = _groups(at)
+        kind[at[np.repeat(kind[last + 1] != WORD, last - first + 1)]] = MARK
+    full = kind != BLANK
+    word = (kind == WORD) | (kind == STOP)
+    begin = kind == MARK
+    begin[0] |= word[0]
+    begin[1:] |= word[1:] & ~word[:-1]
+    return np.flatnonzero(begin), np.flatnonzero(full[:-1] & (begin[1:] | ~full[1:])) + 1, raw[full]
+
+
+def _groups(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each group of places that follow each other."""
+    gap = np.flatnonzero(np.diff(at) > 1)
+    return at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])]
+
+
 def _hint_words(word: str) -> bool:
     return bool(_HINT.search(word))
 
@@ -246,6 +286,18 @@ class Field:
             tags.append(b[tags[-1]])
         return tags[::-1]
 
+    def paths(self, emit: np.ndarray) -> np.ndarray:
+        """The likeliest tags of chains of one length (chains x tokens x tags), those that `path` finds."""
+        best, back = self.move[OUT] + emit[:, 0], []
+        for i in range(1, emit.shape[1]):
+            through = best[:, :, None] + self.move
+            back.append(through.argmax(axis=1))
+            best = through.max(axis=1) + emit[:, i]
+        tags = [(best + self.move[:, OUT]).argmax(axis=1)]
+        for b in reversed(back):
+            tags.append(b[np.arange(len(b)), tags[-1]])
+        return np.stack(tags[::-1], axis=1)
+
     def settled(self, emit: np.ndarray) -> np.ndarray:
         """Tokens that are outside on every best path, whatever the tags beside them: to make them so, and an inside behind them a begin, raises the score of any other path."""
         move = self.move
@@ -412,19 +464,23 @@ def trained(n: int = 3500, seed: int = 11, lean: float = LEAN) -> Field:
 class Words:
     """Scores of all tokens of texts, those that `Field.scores` has for the features of `chains`: what a word has alone and lends to those beside it is summed once a word, and arrays of these sums are added up.
 
-    Words are kept until there are `most`, then anew. Before and behind each text stand AFTER tokens of no text, number 0.
+    Words are kept as UTF-8 until there are `most`, then anew. Before and behind each text stand AFTER tokens of no text, number 0.
     """
 
     def __init__(self, field: Field, most: int = 1 << 19) -> None:
         self.field, self.most, both = field, most, (False, True)
-        self.touch = self._sums([[f"touch{t}"] for t in both])
-        self.quoted = self._sums([[f"quoted{q}{h}"] for q in both for h in both])
         kinds = [f"{kind}{a}{b}{c}" for kind in ("short", "mid", "long") for a in both for b in both for c in both]
-        self.sorts, self.sort_names, self.plain = {k: i for i, k in enumerate(kinds)}, kinds, self._sums([_behind(0, "", k) for k in kinds])
+        self.sorts, self.sort_names = {k: i for i, k in enumerate(kinds)}, kinds
         files = [(f"code{c}", f"hints{h}") for c in range(4) for h in both]
-        self.file_of, self.files = {f: i for i, f in enumerate(files)}, self._sums(files)
-        self.begun = [zlib.crc32(name.encode()) for name in ("w", *_BESIDE.values())]
+        self.file_of = {f: i for i, f in enumerate(files)}
+        #: by file, touching or not, quoted or not, behind a hint or not, and sort, whose features behind a hint are added where it stands
+        around = [[self._sums([[*f, f"touch{t}", f"quoted{q}{h}", *([] if h else _behind(0, "", k))] for k in kinds]) for h in both] for f in files for t in both for q in both]
+        self.around = np.array(around).reshape(-1, 3)
+        begun = [zlib.crc32(name.encode()) for name in ("w", *_BESIDE.values())]
+        #: what the name of a feature adds to the hash of the word behind it, by the word's bytes
+        self.begun = np.array([[zlib.crc32(bytes(n), c) ^ zlib.crc32(bytes(n)) for c in begun] for n in range(256)])
         self.hinted = self._sums([[f"is{h}"] for h in both])
+        self.points = np.full(sys.maxunicode + 1, -1, np.int32)
         self._clear()
 
     def _sums(self, lists: list) -> np.ndarray:
@@ -432,11 +488,11 @@ class Words:
 
     def _clear(self) -> None:
         self.ids, self.words, self.hints = {}, [], {}
-        self.alone, self.beside, self.flags = np.zeros((1024, 3)), np.zeros((1024, len(_BESIDE), 3)), np.zeros((1024, 3), bool)
-        self.sort, self.first = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.alone, self.beside = np.zeros((1024, 3)), [np.zeros((1024, 3)) for _ in _BESIDE]
+        self.flags, self.sort, self.first = np.zeros((1024, 3), bool), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.firsts, self.first_names, self.pairs, self.paired = {}, [], np.zeros((1024, 3)), np.zeros(1024, bool)
-        self.forms, self.form_sums, self.form_sorts, self.form_looks = {}, [], [], []
-        self._learn(["^"], True)
+        self.forms, self.form_sums, self.form_sorts, self.form_looks, self.form_short, self.alike = {}, [], [], [], [], {}
+        self._learn([b"^"], True)
 
     def _form(self, word: str) -> int:
         """The number of all that features know of a word but its letters: looked up by kinds of characters, entropy and whether it is hexadecimal."""
@@ -446,32 +502,76 @@ class Words:
             form = self.forms[key] = len(self.form_sums)
             self.form_sums.append(self._sums([["bias", *_shape(word)]])[0])
             self.form_sorts.append(self.sorts[_sort(word)])
-            self.form_looks.append(None if word.isalpha() and len(word) < 15 else [_feature("w"), *[_feature(name + _class(word)) for name in _BESIDE.values()]])
+            self.form_short.append(word.isalpha() and len(word) < 15)  # stands for itself
+            self.form_looks.append([_feature("w"), *[_feature(name + _class(word)) for name in _BESIDE.values()]])
         return form
 
-    def _learn(self, new: list[str], none: bool = False) -> None:
+    def _forms(self, words: list[str], size: np.ndarray) -> np.ndarray:
+        """Their forms, asked once for words of up to WIDTH characters that agree in kinds of characters, in how often these repeat, and in being hexadecimal."""
+        forms = np.zeros(len(words), np.int64)
+        points = np.array(words, f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
+        inside = np.arange(WIDTH) < size[:, None]
+        brief = (size <= WIDTH) & ((points > 0) == inside).all(axis=1)
+        for i in np.flatnonzero(~brief).tolist():
+            forms[i] = self._form(words[i])
+        which = np.flatnonzero(brief)
+        if not len(which):
+            return forms
+        points = points[which]
+        new = np.unique(points[self.points[points] < 0])
+        self.points[new] = [ord(_KINDS[p]) if p else 0 for p in new.tolist()]
+        key = np.zeros((len(which), WIDTH + 3), np.uint32)
+        key[:, :WIDTH] = self.points[points]
+        key[:, WIDTH] = ((points == 0) | _HEX_POINTS[np.minimum(points, 127)]).all(axis=1)
+        row, repeats = np.sort(points, axis=1), np.zeros(len(which), np.uint64)
+        for d in range(1, WIDTH):  # a character that stands k times has k - d pairs d places apart
+            pairs = ((row[:, d:] == row[:, :-d]) & (row[:, d:] > 0)).sum(axis=1)
+            if not pairs.any():
+                break
+            repeats |= pairs.astype(np.uint64) << np.uint64(4 * (d - 1))
+        key[:, WIDTH + 1 :] = repeats.view(np.uint32).reshape(-1, 2)
+        keys = pa.Array.from_buffers(pa.binary(key.shape[1] * 4), len(which), [None, pa.py_buffer(key)]).dictionary_encode()
+        of, kinds = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+        some = np.zeros(len(kinds), np.int64)
+        some[of] = which
+        found = []
+        for k, i in zip(kinds, some.tolist(), strict=True):
+            form = self.alike.get(k)
+            if form is None:
+                form = self.alike[k] = self._form(words[i])
+            found.append(form)
+        forms[which] = np.array(found)[of]
+        return forms
+
+    def _learn(self, new: list[bytes], none: bool = False) -> None:
         at, end = len(self.words), len(self.words) + len(new)
+        more = lambda x: np.concatenate([x, np.zeros_like(x)])
         while end > len(self.alone):
-            self.alone, self.beside, self.flags, self.sort, self.first = (np.concatenate([x, np.zeros_like(x)]) for x in (self.alone, self.beside, self.flags, self.sort, self.first))
+            self.alone, self.flags, self.sort, self.first = map(more, (self.alone, self.flags, self.sort, self.first))
+            self.beside = [more(x) for x in self.beside]
+        if not none:  # the mark itself may stand in a text
+            self.ids.update(zip(new, range(at, end), strict=True))
         self.words += new
-        forms = [self._form(w) for w in new]
-        looks = []
-        for word, form in zip(new, forms, strict=True):
-            look = self.form_looks[form]
-            if look is None:  # a short word stands for itself: the hash of a feature, from its name on
-                low = word.lower().encode()
-                look = [1 + zlib.crc32(low, c) % (WEIGHTS - 1) for c in self.begun]
-            looks.append(look)
-            if word[0] not in self.firsts:
-                self.firsts[word[0]] = len(self.firsts)
-                self.first_names.append(word[0])
+        words = [w.decode("utf-8", "surrogatepass") for w in new]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        forms = self._forms(words, size)
+        looks, short = np.array(self.form_looks)[forms], np.flatnonzero(np.array(self.form_short)[forms])
+        low = [words[i].lower().encode("utf-8", "surrogatepass") for i in short.tolist()]
+        own = np.fromiter(map(zlib.crc32, low), np.int64, len(low))
+        looks[short] = 1 + (own[:, None] ^ self.begun[np.fromiter(map(len, low), np.int64, len(low))]) % (WEIGHTS - 1)
+        for c in dict.fromkeys(w[0] for w in words):
+            if c not in self.firsts:
+                self.firsts[c] = len(self.firsts)
+                self.first_names.append(c)
         while len(self.firsts) * len(self.sorts) > len(self.paired):
-            self.pairs, self.paired = (np.concatenate([x, np.zeros_like(x)]) for x in (self.pairs, self.paired))
-        hinted, each = np.array([_hint_words(w) for w in new]), self.field.emit[np.array(looks)]
-        self.alone[at:end] = np.array(self.form_sums)[forms] + each[:, 0] + self.hinted[hinted.astype(np.int64)]
-        self.beside[at:end] = each[:, 1:]
-        self.flags[at:end, 0], self.flags[at:end, 1], self.flags[at:end, 2] = hinted, [none or w == "\n" for w in new], [w in _QUOTES for w in new]
-        self.sort[at:end], self.first[at:end] = np.array(self.form_sorts)[forms], [self.firsts[w[0]] for w in new]
+            self.pairs, self.paired = more(self.pairs), more(self.paired)
+        hinted, ends = np.zeros(len(new), bool), np.cumsum(size + 1)
+        hinted[np.searchsorted(ends, [m.start() for m in _HINT.finditer("\n".join(words))], "right")] = True  # no hint has a line break
+        self.alone[at:end] = np.array(self.form_sums)[forms] + self.field.emit[looks[:, 0]] + self.hinted[hinted.astype(np.int64)]
+        for k, beside in enumerate(self.beside, 1):
+            beside[at:end] = self.field.emit[looks[:, k]]
+        self.flags[at:end, 0], self.flags[at:end, 1], self.flags[at:end, 2] = hinted, [none or w == "\n" for w in words], [w in _QUOTES for w in words]
+        self.sort[at:end], self.first[at:end] = np.array(self.form_sorts)[forms], [self.firsts[w[0]] for w in words]
 
     def scores(self, ids: np.ndarray, touch: np.ndarray, file: np.ndarray) -> np.ndarray:
         """Of all but the first AFTER tokens and the last two, which are only looked at."""
@@ -487,56 +587,75 @@ class Words:
         back = np.where(hint > end, at(place) - hint, 0)
         back[back > AFTER] = 0
         quoted = at(flags[:, 2], 1) & at(flags[:, 2], -1)
-        out = self.alone[own] + self.pairs[pair] + self.files[at(file)] + self.touch[at(touch)] + self.quoted[2 * quoted + (back > 0)] + np.where(back[:, None] > 0, 0.0, self.plain[sort])
-        for k, d in enumerate(_BESIDE):
-            out += self.beside[at(ids, d), k]
+        out = self.around.take((((at(file) * 2 + at(touch)) * 2 + quoted) * 2 + (back > 0)) * len(self.sorts) + sort, axis=0)
+        out += self.alone.take(own, axis=0)
+        out += self.pairs.take(pair, axis=0)
+        for beside, d in zip(self.beside, _BESIDE, strict=True):
+            out += beside.take(at(ids, d), axis=0)
         for i in np.flatnonzero(back).tolist():
-            key = (int(back[i]), _between([self.words[w] for w in ids[AFTER + i - back[i] + 1 : AFTER + i]]), int(sort[i]))
+            key = (int(back[i]), _between([self.words[w].decode("utf-8", "surrogatepass") for w in ids[AFTER + i - back[i] + 1 : AFTER + i]]), int(sort[i]))
             if key not in self.hints:
                 self.hints[key] = self._sums([_behind(key[0], key[1], self.sort_names[key[2]])])[0]
             out[i] += self.hints[key]
         return out
 
+    def _number(self, begin: np.ndarray, end: np.ndarray, full: np.ndarray) -> np.ndarray:
+        """Numbers of the tokens' words, new ones learnt."""
+        offsets = np.zeros(len(begin) + 1, np.int64)
+        np.cumsum(end - begin, out=offsets[1:])
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(full)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        numbers = list(map(self.ids.get, distinct))
+        if new := [w for w, n in zip(distinct, numbers, strict=True) if n is None]:
+            self._learn(new)
+            numbers = list(map(self.ids.get, distinct))
+        return np.array(numbers)[words.indices.to_numpy()]
+
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """Spans that the field tags as secrets in each text, without marks around them. The tokens of all these texts are held at once."""
         if len(self.words) > self.most:
             self._clear()
-        gap, zeros = [(-1, -2)] * AFTER, [0] * AFTER
-        flat, ids, file, firsts = [*gap], [*zeros], [*zeros], []  # spans, words and files of tokens, the first token of each text
-        parts = [tokens_of(text) for text in texts]
-        words = [[text[s:e] for s, e in part] for text, part in zip(texts, parts, strict=True)]
-        new = list(set().union(*words).difference(self.ids))
-        if new:
-            self.ids.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-            self._learn(new)
-        for text, part, own in zip(texts, parts, words, strict=True):
-            firsts.append(len(flat))
-            flat += part + gap
-            ids += [*map(self.ids.__getitem__, own), *zeros]
-            file += [self.file_of[tuple(file_features(text))]] * (len(part) + AFTER)
-        ids, file, bounds = np.array(ids), np.array(file), np.fromiter(chain.from_iterable(flat), np.int64, 2 * len(flat)).reshape(-1, 2)
-        touch = np.zeros(len(flat), np.int64)
-        touch[1:] = bounds[1:, 0] == bounds[:-1, 1]
-        emit = np.zeros((len(flat), 3))
-        for lo in range(AFTER, len(flat) - AFTER, SLICE):
-            hi = min(lo + SLICE, len(flat) - AFTER)
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        parts = [text.encode("utf-8", "surrogatepass") for text in texts]
+        data, heads = b" ".join([*parts, b""]), np.cumsum([0, *[len(x) + 1 for x in parts]])
+        begin, end, full = cuts(data) if data else (np.zeros(0, np.int64),) * 3
+        if not len(begin):
+            return out
+        of = np.searchsorted(heads, begin, "right") - 1
+        place, total = np.arange(len(begin)) + AFTER * (of + 1), len(begin) + AFTER * (len(texts) + 1)
+        ids, file, touch = (np.zeros(total, np.int64) for _ in range(3))
+        ids[place], file[place] = self._number(begin, end, full), np.array([self.file_of[tuple(file_features(text))] for text in texts])[of]
+        touch[place[1:]] = begin[1:] == end[:-1]
+        emit = np.zeros((total, 3))
+        for lo in range(AFTER, total - AFTER, SLICE):
+            hi = min(lo + SLICE, total - AFTER)
             seen = slice(lo - AFTER, hi + 2)
             emit[lo:hi] = self.scores(ids[seen], touch[seen], file[seen])
         emit[ids == 0] = 0
         live = np.flatnonzero((ids > 0) & ~self.field.settled(emit))
-        out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        cuts = np.flatnonzero(np.diff(live, prepend=-2, append=len(flat) + 1) > 1).tolist()
-        live, scored = live.tolist(), emit[live]
-        for lo, hi in pairwise(cuts):
-            found, last = [], OUT
-            for i, tag in zip(live[lo:hi], self.field.path(scored[lo:hi]), strict=True):
-                if tag == BEGIN or (tag == INSIDE and last == OUT):
-                    found.append(flat[i])
+        if not len(live):
+            return out
+        first, last = _groups(live)
+        length, tagged = last - first + 1, {}
+        for n in np.unique(length[length <= STRETCH]).tolist():
+            some = first[length == n]
+            tags = self.field.paths(emit[some[:, None] + np.arange(n)])
+            tagged |= {int(some[k]): tags[k].tolist() for k in np.flatnonzero(tags.any(axis=1))}
+        tagged |= {lo: self.field.path(emit[lo : lo + n]) for lo, n in zip(first[length > STRETCH].tolist(), length[length > STRETCH].tolist(), strict=True)}
+        if not any(map(any, tagged.values())):
+            return out
+        begun = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])  # code points before a byte
+        for lo in sorted(tagged):
+            at = int(np.searchsorted(place, lo))
+            head = begun[heads[of[at]]]
+            found, before = [], OUT
+            for s, e, tag in zip((begun[begin[at : at + len(tagged[lo])]] - head).tolist(), (begun[end[at : at + len(tagged[lo])]] - head).tolist(), tagged[lo], strict=True):
+                if tag == BEGIN or (tag == INSIDE and before == OUT):
+                    found.append((s, e))
                 elif tag == INSIDE:
-                    found[-1] = (found[-1][0], flat[i][1])
-                last = tag
-            of = bisect_right(firsts, live[lo]) - 1
-            out[of] += [(s, e) for s, e in found if texts[of][s:e].strip()]
+                    found[-1] = (found[-1][0], e)
+                before = tag
+            out[of[at]] += [(s, e) for s, e in found if texts[of[at]][s:e].strip()]
         return out
 
 

@@ -42,6 +42,65 @@ def test_words_stops_and_padding():
     assert words("pw aGk== b64=\n end... ?! a.b.c. x==y") == ["pw", "aGk==", "b64=", "\n", "end", ".", ".", ".", "?", "!", "a.b.c", ".", "x", "=", "=", "y"]
 
 
+def test_tokens_cut_by_arrays_are_those_of_the_expression():
+    blanks = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    rng = random.Random(9)
+    texts = ["", "=", ".", ".=", "a==", "==", "a===", "a= b", "a=b", "...=)", "é==", "x.\u2028", *[f"a{b}b={b}c.{b}." for b in blanks]]
+    texts += ["".join(rng.choice(["a", "B", "é", "中", "😀", "7", "=", "=", ".", "!", "?", " ", "\n", '"', ")", ":", "-", "\x00", "\ud800", rng.choice(blanks)]) for _ in range(rng.randrange(25))) for _ in range(20_000)]
+    data = b" ".join([*(t.encode("utf-8", "surrogatepass") for t in texts), b""])
+    begin, end, full = secrets_crf.cuts(data)
+    want = [t[s:e].encode("utf-8", "surrogatepass") for t in texts for s, e in secrets_crf.tokens_of(t)]
+    assert [data[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)] == want and full.tobytes() == b"".join(want)
+
+
+def test_scores_by_arrays_are_those_of_features(monkeypatch):
+    """Short and long words of many scripts, words with a zero in them, hints whose letters only fold to ASCII, twice each."""
+    field = secrets_crf.trained()
+    rng = random.Random(10)
+    letters = ["a", "b", "e", "B", "Z", "é", "É", "ß", "Σ", "İ", "中", "ǅ", "½", "٣", "😀", "\x00", "0", "7", "f", "-", "_", "$", ".", "/", "@", "ſ"]
+    words = ["".join(rng.choice(letters[:i]) for _ in range(rng.randrange(1, 22))) for i in range(1, len(letters) + 1) for _ in range(60)]
+    words += ["key", "KEY", "to\u212aen", "pa\u017f\u017fword", "db_pass", "compass", "ΑΣ", "ΑΣΑ", "a" * 14, "a" * 15, "İ" * 14, "=", ":", '"', "'", "\n", "^", "(", "pin"] * 30
+    rng.shuffle(words)
+    texts = [rng.choice([" ", " ", ""]).join(words[k : k + 20]) for k in range(0, len(words), 20)]
+    seen = []
+    monkeypatch.setattr(secrets_crf.Field, "settled", lambda self, emit: seen.append(emit.copy()) or np.full(len(emit), True))
+    model = secrets_crf.Words(field)
+    for _ in range(2):
+        model.spans(texts)
+        at = secrets_crf.AFTER
+        for text in texts:
+            want = [field.scores([f for _, _, f in c]) for c in secrets_crf.chains(text)]
+            for scores in want:
+                assert np.allclose(seen[-1][at : at + len(scores)], scores, atol=1e-9), text
+                at += len(scores)
+            at += secrets_crf.AFTER
+
+
+def test_paths_of_many_are_the_paths_of_each():
+    rng = np.random.default_rng(5)
+    for n in range(1, secrets_crf.STRETCH + 1):
+        field = secrets_crf.Field()
+        field.move += rng.integers(-2, 3, size=(3, 3))  # whole numbers: many ties
+        emit = rng.integers(-2, 3, size=(200, n, 3)).astype(float)
+        assert field.paths(emit).tolist() == [field.path(e) for e in emit]
+
+
+def test_tagging_costs_about_what_cutting_costs():
+    """Of prose whose words are mostly new. The field took over four times the time of cutting tokens by an expression, which itself was part of it."""
+    rng = random.Random(11)
+    parts = ["er", "an", "the", "in", "on", "re", "st", "ion", "ou", "ment", "é", "sch", "os", "ung", "ción", "eau"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) + rng.choice(["", "", "", ",", "."]) for _ in range(5000)) for _ in range(40)]
+    took = {"cut": [], "tag": []}
+    model = secrets_crf.trained()
+    for _ in range(3):
+        words = secrets_crf.Words(model)
+        for what, run in (("cut", lambda: [secrets_crf.tokens_of(t) for t in texts]), ("tag", lambda: words.spans(texts))):  # noqa: B023
+            began = time.process_time()
+            run()
+            took[what].append(time.process_time() - began)
+    assert min(took["tag"]) < 4 * min(took["cut"]), took
+
+
 @pytest.mark.parametrize("stage", ["mixed", "sharded", "one_of_each", "scan", "without"])
 def test_values_of_clashing_columns_stay(spark, stage):
     rows = [(i, f"text number {i} of a few words that say {i * 7}", "en", f"s{i % 2}", *[f"{c}-{i}" for c in CLASH]) for i in range(12)]
